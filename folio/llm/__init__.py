@@ -1,0 +1,11 @@
+"""Operators for preparing language-model training data, as Spark jobs.
+
+Nothing else in the library imports this subpackage.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers get the functions they run by value, so executors need no copy of this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

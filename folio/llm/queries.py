@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format, license_scan
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +23,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import rotate_perspectives
+
+    out = rotate_perspectives(_table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return out.withColumn("mask", F.array_join(spans, ","))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_records
 
@@ -44,6 +54,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    rows, _ = scan_licenses(_table(spark, sf_dir, "documents"))
+    return rows
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -59,10 +76,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_exact_dedup, op3_sharding, op4_decontamination, op9_jaccard_join, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_chat_format,
+        op3_sharding,
+        op4_decontamination,
+        op6_license_scan,
+        op9_jaccard_join,
+        op10_mixing,
+    )
 }
 
 SQL = {
+    "op2_chat_format": chat_format.ORACLE,
+    "op6_license_scan": license_scan.oracle(),
     "op1_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

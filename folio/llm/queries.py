@@ -61,6 +61,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -83,6 +90,7 @@ QUERIES = {
         op3_sharding,
         op4_decontamination,
         op6_license_scan,
+        op7_quality,
         op9_jaccard_join,
         op10_mixing,
     )

@@ -54,6 +54,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -68,6 +74,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, _table(spark, sf_dir, "labels")).drop("text")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -89,8 +101,10 @@ QUERIES = {
         op2_chat_format,
         op3_sharding,
         op4_decontamination,
+        op5_pitman_yor,
         op6_license_scan,
         op7_quality,
+        op8_html_extract,
         op9_jaccard_join,
         op10_mixing,
     )

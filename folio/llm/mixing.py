@@ -61,7 +61,7 @@ def mix_sources(
     text: str = "text",
     source: str = "source",
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, schedule): rows has doc_id, size, source, source_size, target, taken;
+    """(rows, schedule): rows has doc_id, size, source, source_size, target, taken, text_crc32;
     schedule has slot, source, block, turn: which block the mix reads at each slot."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -108,7 +108,13 @@ def mix_sources(
     taken = taken.withColumn("_some", F.lit(True))
     out = placed.withColumn("_some", F.col("size") > 0).join(taken, ["_source", "_from", "_some"], "left")
     out = out.select(
-        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id",
+        "size",
+        "source",
+        "source_size",
+        "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.col("_crc").alias("text_crc32"),
     )
     name = F.broadcast(facts.select("_source", "source"))
     return out, schedule.join(name, "_source").select("slot", "source", "block", "turn")
@@ -142,3 +148,23 @@ def _schedule(spark, names, sizes, goal, total, block, max_repeats) -> DataFrame
     return ranked.select(
         "slot", "_source", F.pmod("_rank", "_blocks").alias("block"), turn.alias("turn")
     ).where(F.col("turn") < max_repeats)
+
+
+def mixed_documents(
+    docs: DataFrame, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options
+) -> DataFrame:
+    """``docs`` as the mix has them: each row as often as its words are taken, rounded by its hash.
+
+    A document of which the mix takes 1.4 times its words stands once, and twice with a chance of
+    0.4; texts without words are not in the mix.
+    """
+    rows, _ = mix_sources(docs, seed, doc_id=doc_id, text=text, source=source, **options)
+    rate = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(
+        (F.sum("taken") / F.sum("size")).alias("_rate")
+    )
+    crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "_id", "_crc"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = rate.select("_id", "_crc", F.floor(F.col("_rate") + chance).cast("int").alias("_copies")).where("_copies > 0")
+    copies = keep(copies, "mix-copies")
+    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col("_id")) & (crc == F.col("_crc")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])

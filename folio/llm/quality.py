@@ -251,6 +251,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return keep(rows.dropDuplicates(["_id"]).drop("_id"), "quality-sample")
 
 
+class QualityModel:
+    """A fitted classifier: word vectors and network, both of bounded size, as broadcasts."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, label: str, limit: int, doc_id: str, text: str):
+        spark = docs.sparkSession
+        sample = labelled_sample(docs, labels, label, limit, doc_id, text)
+        self.vectors = vectors = spark.sparkContext.broadcast(fit_vectors(sample))
+        n_features = WIDTH + FORMS + EXTRA
+
+        def pooled(batches):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    x = vectors.value.pool(part.column(0)).astype(np.float32)
+                    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([flat, part.column(1)], ["x", "y"])
+
+        # at most ``limit`` rows of fixed width
+        rows = sample.mapInArrow(pooled, "x array<float>, y double").toArrow()
+        x = np.array(rows["x"].combine_chunks().flatten().to_numpy() if len(rows) else [], np.float32).reshape(-1, n_features)
+        y = rows["y"].to_numpy().astype(np.float64)
+        order = np.lexsort((*x.T[:4], y))  # the same rows in the same order whatever tasks delivered them
+        self.network = spark.sparkContext.broadcast(fit_network(x[order], y[order]))
+
+    def __reduce__(self):
+        return _loaded, (self.vectors, self.network)
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        return self.network.value.scores(self.vectors.value.pool(column))
+
+
+def _loaded(vectors, network) -> QualityModel:
+    model = object.__new__(QualityModel)
+    model.vectors, model.network = vectors, network
+    return model
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -260,41 +296,44 @@ def quality_scores(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``docs`` with the columns held_out, score and predicted added."""
-    spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, label, limit, doc_id, text)
-    vectors = spark.sparkContext.broadcast(fit_vectors(sample))
-    n_features = WIDTH + FORMS + EXTRA
-
-    def pooled(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                x = vectors.value.pool(part.column(0)).astype(np.float32)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([flat, part.column(1)], ["x", "y"])
-
-    # at most ``limit`` rows of fixed width
-    rows = sample.mapInArrow(pooled, "x array<float>, y double").toArrow()
-    x = np.array(rows["x"].combine_chunks().flatten().to_numpy() if len(rows) else [], np.float32).reshape(-1, n_features)
-    y = rows["y"].to_numpy().astype(np.float64)
-    order = np.lexsort((*x.T[:4], y))  # the same rows in the same order whatever tasks delivered them
-    network = spark.sparkContext.broadcast(fit_network(x[order], y[order]))
-
-    names = docs.columns
+    """``docs`` with held_out, score and predicted added; columns of these names are replaced."""
+    model = QualityModel(docs, labels, label, limit, doc_id, text)
+    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     place = names.index(text)
-    score_name = "_score"
 
     def score(batches):
         for batch in batches:
             for part in slices(batch, text):
-                s = network.value.scores(vectors.value.pool(part.column(place)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*names, score_name])
+                s = pa.array(model.scores(part.column(place)), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, s], [*names, "score"])
 
-    out = docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(score_name, T.DoubleType())]))
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    out = docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select(
         *[F.col(f"`{c}`") for c in names],
         held.alias("held_out"),
-        F.col(score_name).alias("score"),
-        (F.col(score_name) >= threshold).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    limit: int = SAMPLE,
+    threshold: float = 0.3,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, as they are."""
+    model = QualityModel(docs, labels, label, limit, doc_id, text)
+    place = docs.columns.index(text)
+
+    def good(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(model.scores(part.column(place)) >= threshold))
+
+    return docs.mapInArrow(good, docs.schema)

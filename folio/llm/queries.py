@@ -94,6 +94,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,6 +113,7 @@ QUERIES = {
         op8_html_extract,
         op9_jaccard_join,
         op10_mixing,
+        pipeline,
     )
 }
 

@@ -15,11 +15,14 @@ order on segment content, which is the same on both sides, so no pair is lost: o
 take the one with the lower cut; it keeps a segment that they share and so does the other.
 Empty segments rank last and are indexed only when the bound cannot be met otherwise.
 
-Documents with equal sets are one node.  Sets that share an index key are compared exactly, on
-their whole sets.  Within a key's run the members are compared with one pivot first; others are
-compared only where a pivot comparison failed and they are still in different components, since
-a link inside a component changes nothing.  So a large group of near copies costs one comparison
-a member, and no link between components is missed.
+Documents with equal sets are one node.  Of sets that share an index key, sizes and the counts of
+tokens in ``MARKS`` parts of the universe are compared first: they differ in no more tokens than the
+sets do, so a pair that is too far apart by them is settled.  Other pairs are compared exactly, on
+their whole sets.  Within a key's run the members are compared with one pivot first, the member that
+shares most keys with others and so lies nearest the middle.  Then only members that are still in
+different components are compared, since a link inside a component changes nothing; the counts
+by part settle nearly all of these before a row is made of them.  So a large group of near copies
+costs about one comparison a member, and no link between components is missed.
 
 Shingles are 64-bit hashes of five whole words; sets are compared on them.
 
@@ -41,12 +44,17 @@ from pyspark.sql import functions as F
 
 from . import bitmap as bits
 from .components import components
-from .scratch import drop, keep
+from .scratch import drop, keep, tasks_for
 from .words import Words, mix, shingles, slices
 
 SIZE, NUM, DEN = 5, 80, 100
 #: log2 of the counters for token commonness; growth of the bands; spare segments; price of a loose key.
 SKETCH_BITS, BAND_GROWTH, SPARE, LOOSE = 18, 1.95, 1.25, 16
+#: Parts of the universe in which tokens are counted (up to 255) to tell pairs that are far apart.
+MARK_BITS = 7
+MARKS = 1 << MARK_BITS
+#: Nodes of a run that one task compares by their counts; larger runs go through a join.
+RUN_BOUND = 50_000
 _ALONE = (0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x428A2F98D728AE22, 0x7137449123EF65CD)
 
 
@@ -75,6 +83,12 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].view(np.int64))
 
 
+def marks_of(tokens: np.ndarray) -> bytes:
+    """How many tokens lie in each part of the universe, cut at 255."""
+    counts = np.bincount((tokens >> np.uint64(64 - MARK_BITS)).astype(np.int64), minlength=MARKS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def apart(a: int, b: int, num: int = NUM, den: int = DEN) -> int:
     """Most tokens in which similar sets of sizes a and b can differ."""
     return (a + b) * (den - num) // (den + num)
@@ -181,10 +195,11 @@ def jaccard_components(
     num: int = NUM,
     den: int = DEN,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows has doc_id, n_shingles, node, component_id for every input row; links has
+    """(rows, links): rows has doc_id, n_shingles, node, text_hash,
+    root and component_id for every input row; links has
     the verified pairs of nodes (a, b, common, size_a, size_b) that hold the components together."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def facts(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -196,15 +211,23 @@ def jaccard_components(
                     np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
                 none = pa.nulls(len(n), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), nodes, none], names)
+                marks = pa.array([marks_of(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), nodes, none, marks, part.column(2)], names)
         heavy = np.flatnonzero(counts >= max(8, 4 * counts.mean()))
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(heavy), pa.int64()), pa.array(counts[heavy]), pa.nulls(len(heavy), pa.int64()), pa.array(heavy, pa.int32())],
+            [
+                pa.nulls(len(heavy), pa.int64()),
+                pa.array(counts[heavy]),
+                pa.nulls(len(heavy), pa.int64()),
+                pa.array(heavy, pa.int32()),
+                pa.nulls(len(heavy), pa.binary()),
+                pa.nulls(len(heavy), pa.int64()),
+            ],
             names,
         )
 
-    names = ["doc_id", "n", "node", "slot"]
-    found = keep(docs.mapInArrow(facts, "doc_id long, n long, node long, slot int"), "join-facts")
+    names = ["doc_id", "n", "node", "slot", "marks", "text_hash"]
+    found = keep(docs.mapInArrow(facts, "doc_id long, n long, node long, slot int, marks binary, text_hash long"), "join-facts")
     rows = found.where("slot is null")
     # at most 2**SKETCH_BITS rows
     heavy = found.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -213,21 +236,25 @@ def jaccard_components(
     common = spark.sparkContext.broadcast(common)
 
     runs = _runs(docs, common, size, num, den)
-    links = _links(docs, runs, size, num, den)
+    links = _links(docs, runs, rows.where("node is not null").select("node", "n", "marks"), size, num, den)
     roots = components(links)
     rows = rows.join(roots, "node", "left").withColumn("_class", F.coalesce("root", "node"))
-    rows = keep(rows.select("doc_id", "n", "node", "_class"), "join-rows")
+    rows = keep(rows.select("doc_id", "n", "node", "text_hash", "_class"), "join-rows")
     heads = rows.where("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
     heads = keep(heads.where("k > 1").drop("k"), "join-heads")
     out = rows.join(heads.hint("merge"), "_class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("least", "doc_id").alias("component_id")
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        "node",
+        "text_hash",
+        F.col("_class").alias("root"),
+        F.coalesce("least", "doc_id").alias("component_id"),
     )
     return out, links
 
 
 def _runs(docs: DataFrame, common, size: int, num: int, den: int) -> DataFrame:
-    """Sets of nodes that share an index key: one row a bucket of keys, with the nodes of all runs
-    (least first) and the lengths of the runs.
+    """(run, node, times): the nodes that share an index key; runs of the same nodes are one, ``times`` tells how often.
 
     Keys travel as packed arrays, a bucket of keys a row, each (key, node) once for each piece of input."""
     spark = docs.sparkSession
@@ -243,7 +270,7 @@ def _runs(docs: DataFrame, common, size: int, num: int, den: int) -> DataFrame:
                         keys.append(k)
                         nodes.append(np.full(len(k), node_of(s), np.int64))
                         held += len(k)
-                if held >= 1 << 21:
+                if held >= 1 << 20:
                     yield from packed(keys, nodes)
                     keys, nodes, held = [], [], 0
         if held:
@@ -275,147 +302,170 @@ def _runs(docs: DataFrame, common, size: int, num: int, den: int) -> DataFrame:
         k, v = k[new], v[new]
         at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         n = np.diff(np.append(at, len(k)))
-        several = n > 1
-        v = v[np.repeat(several, n)]
-        return pa.table({"nodes": pa.array([v.tobytes()], pa.binary()), "lengths": pa.array([n[several].astype(np.int32).tobytes()], pa.binary())})
+        at, n = at[n > 1], n[n > 1]
+        if not len(at):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("run", "node", "times")})
+        inside = np.repeat(at - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        v, first = v[inside], np.append(0, np.cumsum(n)[:-1])
+        # a run is named by its nodes
+        name = mix(np.add.reduceat(mix(v.view(np.uint64)), first) + n.astype(np.uint64)).view(np.int64)
+        _, one, times = np.unique(name, return_index=True, return_counts=True)
+        pick = np.concatenate([np.arange(first[j], first[j] + n[j]) for j in one])
+        return pa.table({"run": np.repeat(name[one], n[one]), "node": v[pick], "times": np.repeat(times, n[one])})
 
     entries = docs.mapInArrow(index, "bucket int, keys binary, nodes binary")
-    return keep(entries.groupBy("bucket").applyInArrow(meet, "nodes binary, lengths binary"), "join-runs")
+    met = entries.groupBy("bucket").applyInArrow(meet, "run long, node long, times long")
+    return keep(met.groupBy("run", "node").agg(F.sum("times").alias("times")), "join-runs")
 
 
-def _links(docs: DataFrame, runs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, runs: DataFrame, marks: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Verified pairs of nodes, enough to connect whatever is similar."""
     spark = docs.sparkSession
-
-    def unpack(row):
-        v = np.frombuffer(row["nodes"], np.int64)
-        n = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        return v, n, np.cumsum(n) - n
-
-    def pivots(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                v, n, at = unpack(row)
-                if not len(v):
-                    continue
-                rest = np.ones(len(v), bool)
-                rest[at] = False
-                pair = np.unique(np.stack([np.repeat(v[at], n - 1), v[rest]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    pairs = keep(runs.mapInArrow(pivots, "a long, b long").distinct(), "join-pairs")
-    live = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    live = spark.sparkContext.broadcast(bits.build(live, "node"))
-
-    def live_sets(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [s for s in token_sets(part, 1, size) if len(s)]
-                nodes = np.array([node_of(s) for s in sets], np.int64)
-                hit = np.flatnonzero(bits.has(live.value, nodes.view(np.uint64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[hit]), pa.array([sets[i].tobytes() for i in hit], pa.binary())], ["node", "tokens"]
+    tasks = tasks_for(runs.count(), spark, 200_000)
+    shared = keep(runs.groupBy("node").agg(F.sum("times").alias("shared")), "join-shared", tasks=tasks)
+    marks = marks.groupBy("node").agg(F.first("n").alias("n"), F.first("marks").alias("marks"))
+    marks = keep(marks.join(shared.select("node"), "node", "left_semi"), "join-marks", tasks=tasks)
+    compare = _Comparison(docs, marks, size, num, den)
+    pivots = runs.join(shared, "node").groupBy("run").agg(F.max(F.struct("shared", "node")).alias("p"))
+    pivots = keep(pivots.select("run", F.col("p.node").alias("pivot")), "join-pivots", tasks=tasks)
+    pairs = runs.join(pivots.hint("merge"), "run").where("node != pivot")
+    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pairs = keep(pairs, "join-pairs", tasks=tasks)
+    links, failed = compare(pairs)
+    roots = components(links)
+    labelled = keep(runs.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root")), "join-labelled", tasks=tasks)
+    several = labelled.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"))
+    # runs of two have been compared by their pivot
+    several = keep(several.where("lo != hi and k > 2").select("run", "k"), "join-open", tasks=tasks)
+    rows = labelled.join(several.hint("merge"), "run")
+    # the runs that a task can hold; what is larger is paired by a join, which splits it
+    small = _near_in_runs(rows.where(F.col("k") <= RUN_BOUND).join(marks, "node").select("run", "node", "root", "n", "marks"), num, den)
+    large = rows.where(F.col("k") > RUN_BOUND)
+    most = large.groupBy("run", "root").agg(F.count("*").alias("c")).groupBy("run").agg(F.max(F.struct("c", "root")).alias("m"))
+    away = large.join(most.select("run", F.col("m.root").alias("main")), "run").where("root != main")
+    across = large.select("run", F.col("node").alias("x"), F.col("root").alias("rx")).join(away.select("run", "node", "root"), "run")
+    across = across.where("rx != root").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    new = small.unionByName(across).distinct().join(failed, ["a", "b"], "left_anti")
+    more, _ = compare(keep(new, "join-pairs", tasks=tasks))
+    return links.unionByName(more)
+
+
+def _near_in_runs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): nodes of different components in a run that may be similar by their sizes and counts by part.
+
+    A run is looked at as a matrix of counts, its smaller components against all, a block at a time."""
+
+    def near(table: pa.Table) -> pa.Table:
+        node, root, n = (table[c].to_numpy() for c in ("node", "root", "n"))
+        counts = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, MARKS).astype(np.int16)
+        names, of, size = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.argsort(n, kind="stable")
+        node, of, n, counts = node[order], of[order], n[order], counts[order]
+        a, b = [], []
+        for i in np.flatnonzero(of != np.argmax(size)):
+            lo, hi = np.searchsorted(n, [-(-n[i] * num // den), n[i] * den // num + 1])
+            other = np.arange(lo, hi)
+            other = other[of[other] != of[i]]
+            gap = np.abs(counts[other] - counts[i]).sum(1, dtype=np.int64)
+            other = other[gap <= (n[other] + n[i]) * (den - num) // (den + num)]
+            a.append(np.minimum(node[other], node[i]))
+            b.append(np.maximum(node[other], node[i]))
+        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"a": flat(a), "b": flat(b)})
+
+    return rows.groupBy("run").applyInArrow(near, "a long, b long")
+
+
+class _Comparison:
+    """Compares pairs of nodes: the marks settle most that are not similar, whole sets the rest."""
+
+    def __init__(self, docs: DataFrame, marks: DataFrame, size: int, num: int, den: int):
+        self.docs, self.marks, self.size, self.num, self.den = docs, marks, size, num, den
+        self.sets: DataFrame | None = None
+
+    def __call__(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(similar pairs with their overlap and sizes, the other pairs)."""
+        tasks = tasks_for(pairs.count(), pairs.sparkSession)
+        near = keep(self._near(pairs, tasks), "join-near", tasks=tasks)
+        close = near.where("near").select("a", "b")
+        # a pair comes with both its sets, so fewer of them make a task
+        tested = keep(self._verify(close), "join-tested", tasks=tasks_for(close.count(), pairs.sparkSession, 2_000))
+        failed = near.where("not near").select("a", "b").unionByName(tested.where("not similar").select("a", "b"))
+        return tested.where("similar").drop("similar"), failed
+
+    def _near(self, pairs: DataFrame, tasks: int) -> DataFrame:
+        num, den = self.num, self.den
+        side = lambda k: self.marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}"))
+        both = pairs.join(side("a"), "a").coalesce(tasks).join(side("b"), "b")
+
+        def judge(batches):
+            for batch in batches:
+                a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
+                ma, mb = (
+                    np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MARKS).astype(np.int64) for k in (4, 5)
                 )
-
-    sets = docs.mapInArrow(live_sets, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    sets = keep(sets, "join-sets")
-    tested = keep(_verify(pairs, sets, num, den), "join-tested")
-    drop(pairs)
-    links = tested.where("similar")
-    failed = tested.where("not similar").select("a", "b")
-    if failed.isEmpty():
-        return links.drop("similar")
-
-    # runs in which a pivot comparison failed: the bitmap passes all of them, and few others
-    wanted = failed.select(F.col("a").bitwiseXOR(F.shiftleft("b", 1)).alias("pair"))
-    wanted = spark.sparkContext.broadcast(bits.build(wanted, "pair"))
-
-    def unsettled(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                v, n, at = unpack(row)
-                if not len(v):
-                    continue
-                run = np.repeat(np.arange(len(n)), n)
-                pivot = v[at][run]
-                miss = bits.has(wanted.value, (pivot ^ (v << np.int64(1))).view(np.uint64)) & (pivot != v)
-                open_ = np.zeros(len(n), bool)
-                open_[run[miss]] = True
-                pick = open_[run] & (n[run] > 2)
-                # a run is named by its members: equal runs of different keys are one
-                name, seen = np.zeros(len(n), np.int64), set()
-                for j in np.flatnonzero(open_ & (n > 2)):
-                    members = v[at[j] : at[j] + n[j]]
-                    name[j] = node_of(members.view(np.uint64))
-                    if name[j] in seen:
-                        open_[j] = False
-                    seen.add(name[j])
-                pick &= open_[run]
-                yield pa.RecordBatch.from_arrays([pa.array(name[run[pick]]), pa.array(v[pick])], ["run", "node"])
-
-    members = keep(runs.mapInArrow(unsettled, "run long, node long").distinct(), "join-members")
-    tried = failed
-    while True:
-        roots = components(links)
-        labelled = keep(
-            members.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root")), "join-labelled"
-        )
-        # in each run that still holds several components, the least member of each of them meets
-        # the members of the others that it has not met
-        mixed = labelled.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-        heads = labelled.join(mixed.select("run"), "run").groupBy("run", "root").agg(F.min("node").alias("head"))
-        heads = keep(heads, "join-heads-of-runs")
-        across = heads.select("run", F.col("root").alias("r"), F.col("head").alias("a"))
-        new = _new_pairs(labelled, across, tried)
-        new = keep(new, "join-pairs")
-        if new.isEmpty():
-            # heads have met all members of other components; compare what is left of them member by member
-            across = labelled.join(mixed.select("run"), "run").select("run", F.col("root").alias("r"), F.col("node").alias("a"))
-            new = keep(_new_pairs(labelled, across, tried), "join-pairs")
-            if new.isEmpty():
-                break
-        more = keep(_verify(new, sets, num, den), "join-tested")
-        links = links.unionByName(more.where("similar"))
-        tried = tried.unionByName(more.where("not similar").select("a", "b"))
-    return links.drop("similar")
-
-
-def _new_pairs(labelled: DataFrame, heads: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of a head and a member of another component in its run that were not compared yet."""
-    joined = labelled.join(heads, "run").where(F.col("root") != F.col("r"))
-    pairs = joined.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs with their exact overlap; similar: 100 * common >= 80 * all, in general num and den."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    # sizes alone settle many pairs before the second set is fetched
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-
-    def compare(batches):
-        for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
-                n = 0
-                if min(len(x), len(y)) * den >= num * max(len(x), len(y)):
+                gap = np.abs(ma - mb).sum(1)
+                near = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (gap <= (na + nb) * (den - num) // (den + num))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], ["a", "b", "near"])
+
+        return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(judge, "a long, b long, near boolean")
+
+    def _fetch(self, nodes: DataFrame) -> DataFrame:
+        """(node, tokens): the sets of these nodes and of a few others, read from the documents again."""
+        size = self.size
+        live = self.docs.sparkSession.sparkContext.broadcast(bits.build(nodes, "node"))
+
+        def live_sets(batches):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    sets = [s for s in token_sets(part, 1, size) if len(s)]
+                    names = np.array([node_of(s) for s in sets], np.int64)
+                    hit = np.flatnonzero(bits.has(live.value, names.view(np.uint64)))
+                    tokens = pa.array([sets[i].tobytes() for i in hit], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(names[hit]), tokens], ["node", "tokens"])
+
+        found = self.docs.mapInArrow(live_sets, "node long, tokens binary")
+        return keep(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "join-sets")
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with their exact overlap; similar: den * common >= num * all."""
+        num, den = self.num, self.den
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        if self.sets is None:
+            self.sets = self._fetch(nodes)
+        else:
+            missing = keep(nodes.join(self.sets.select("node"), "node", "left_anti").distinct(), "join-missing", tasks=6)
+            if not missing.isEmpty():
+                more = self._fetch(missing).join(self.sets.select("node"), "node", "left_anti")
+                self.sets = self.sets.unionByName(more)
+        side = lambda k: self.sets.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+        names = ["a", "b", "common", "size_a", "size_b", "similar"]
+
+        def compare(batches):
+            for batch in batches:
+                out = []
+                for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
                     n = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                out.append((a, b, n, len(x), len(y), den * n >= num * (len(x) + len(y) - n)))
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = [pa.int64()] * 5 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "common", "size_a", "size_b", "similar"]
-            )
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(
-        compare, "a long, b long, common long, size_a long, size_b long, similar boolean"
-    )
-
-
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of every component: the row of the smallest id (of equal rows, one)."""
-    rows, _ = jaccard_components(docs, doc_id, text)
-    stay = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([doc_id])
+                    out.append((a, b, n, len(x), len(y), den * n >= num * (len(x) + len(y) - n)))
+                columns, kinds = list(zip(*out)) or [[]] * 6, [pa.int64()] * 5 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        return both.mapInArrow(compare, "a long, b long, common long, size_a long, size_b long, similar boolean")
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of every component: the one of the smallest id.
+
+    Texts without words are linked with nothing and all stay; of wholly equal rows one does.
+    """
+    rows, _ = jaccard_components(docs, doc_id, text, **options)
+    # of a component the smallest id, then, where ids repeat, the smallest set and text
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"), F.col("text_hash"))
+    first = rows.where("root is not null").groupBy("root").agg(F.min(order).alias("o"))
+    stay = first.select(F.col("o.doc_id").alias("_id"), F.col("o.text_hash").alias("_hash"))
+    stay = stay.unionByName(rows.where("root is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    stay = keep(stay.distinct(), "join-stay")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    return docs.join(stay, same, "left_semi").dropDuplicates([doc_id, text])

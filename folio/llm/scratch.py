@@ -28,9 +28,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def tasks_for(rows: int, spark: SparkSession, each: int = 50_000) -> int:
+    """How many tasks a step over so many rows is worth: from a few up to the session's shuffle partitions."""
+    return max(6, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)))
+
+
+def keep(df: DataFrame, name: str, compression: str = "zstd", tasks: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``tasks`` limits the tasks of the last step, for tables known to be small."""
     spark = df.sparkSession
+    df = df.coalesce(tasks) if tasks else df
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

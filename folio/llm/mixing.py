@@ -160,7 +160,7 @@ def mixed_documents(
     """
     rows, _ = mix_sources(docs, seed, doc_id=doc_id, text=text, source=source, **options)
     rate = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(
-        (F.sum("taken") / F.sum("size")).alias("_rate")
+        F.try_divide(F.sum("taken"), F.sum("size")).alias("_rate")
     )
     crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     chance = F.pmod(F.xxhash64(F.lit(seed + 1), "_id", "_crc"), F.lit(1 << 20)) / F.lit(float(1 << 20))

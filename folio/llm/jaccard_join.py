@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap as bits
 from .components import components
-from .scratch import drop, keep, tasks_for
+from .scratch import keep, release, tasks_for
 from .words import Words, mix, shingles, slices
 
 SIZE, NUM, DEN = 5, 80, 100
@@ -237,6 +237,7 @@ def jaccard_components(
 
     runs = _runs(docs, common, size, num, den)
     links = _links(docs, runs, rows.where("node is not null").select("node", "n", "marks"), size, num, den)
+    release(spark)
     roots = components(links)
     rows = rows.join(roots, "node", "left").withColumn("_class", F.coalesce("root", "node"))
     rows = keep(rows.select("doc_id", "n", "node", "text_hash", "_class"), "join-rows")
@@ -321,6 +322,7 @@ def _runs(docs: DataFrame, common, size: int, num: int, den: int) -> DataFrame:
 def _links(docs: DataFrame, runs: DataFrame, marks: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Verified pairs of nodes, enough to connect whatever is similar."""
     spark = docs.sparkSession
+    release(spark)  # of the keys' shuffle
     tasks = tasks_for(runs.count(), spark, 200_000)
     shared = keep(runs.groupBy("node").agg(F.sum("times").alias("shared")), "join-shared", tasks=tasks)
     marks = marks.groupBy("node").agg(F.first("n").alias("n"), F.first("marks").alias("marks"))
@@ -332,6 +334,7 @@ def _links(docs: DataFrame, runs: DataFrame, marks: DataFrame, size: int, num: i
     pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = keep(pairs, "join-pairs", tasks=tasks)
     links, failed = compare(pairs)
+    release(spark)
     roots = components(links)
     labelled = keep(runs.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root")), "join-labelled", tasks=tasks)
     several = labelled.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"))
@@ -467,5 +470,26 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     stay = first.select(F.col("o.doc_id").alias("_id"), F.col("o.text_hash").alias("_hash"))
     stay = stay.unionByName(rows.where("root is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
     stay = keep(stay.distinct(), "join-stay")
+    # rows that go, and rows that are there more than once, are told by a bitmap of their keys: it passes all of them and
+    # few others, and only what it passes is shuffled and decided by a join
+    counts = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("k"))
+    good = (F.col("c._id").eqNullSafe(F.col("s._id"))) & (F.col("c._hash") == F.col("s._hash"))
+    gone = counts.alias("c").join(stay.alias("s"), good, "left_anti").unionByName(counts.where("k > 1"))
+    wanted = bits.build(gone.select(F.xxhash64("_id", "_hash").alias("key")), "key")
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted)
+    names = docs.columns
+    key = F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("__key"))
+
+    def passing(doubtful: bool):
+        def run(batches):
+            for batch in batches:
+                hit = bits.has(wanted.value, batch.column(len(names)).to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(hit == doubtful)).select(names)
+
+        return run
+
+    sure = keyed.mapInArrow(passing(False), docs.schema)
+    doubtful = keyed.mapInArrow(passing(True), docs.schema)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    return docs.join(stay, same, "left_semi").dropDuplicates([doc_id, text])
+    return sure.unionByName(doubtful.join(stay, same, "left_semi").dropDuplicates([doc_id, text]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,12 @@ def keep(df: DataFrame, name: str, compression: str = "zstd", tasks: int | None
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's collectors find their frames unused; ask them now, after a large step."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by keep() that nothing reads any more."""
     for table in tables:

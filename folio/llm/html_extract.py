@@ -4,12 +4,18 @@ A page is cut into lines: one for each block of text, and one for each container
 (navigation, header, footer, sidebar, notice, advert, form, comments), whatever it holds, because
 a site fills the same chrome with other words on every page.  Pages are put in the order of their
 host and path, and each page is paired with its nearest neighbour in that order within the host
-(the page before it, or the one after; a lone page of a host with the nearest of another host).
-The pair's lines are aligned by a longest common subsequence and lines that both share are deleted.
+that is no copy of it (a page before it, or one after; a lone page of a host with the nearest of
+another host).  The pair's lines are aligned by a longest common subsequence and lines that both
+share are deleted.
 
-Two exact checks follow.  A text block inside an article element is content even if the
-neighbour repeats it (copied paragraphs are common), so it stays.  Chrome that the neighbour
-happens to lack is still chrome and goes.  Scripts, styles and markup never are lines.
+The alignment alone decides on text outside of articles and on containers that only a name
+(class or id) tells as chrome: such a container goes if the neighbour has one like it and stays
+if not.  Names count by themselves where the alignment has no say, because no other page of the
+host is at hand.  A container by name, or a form, that holds an article or main is no chrome.
+
+Two checks follow.  A text block inside an article element is content even if the neighbour
+repeats it (copied paragraphs are common), so it stays.  Containers that their tag or role tells
+as chrome go though the neighbour happens to lack them.  Scripts, styles and markup never are lines.
 
 Pages are range-partitioned by host and path, so the pages of one large host lie in many tasks;
 at a task's edge the neighbour on the other side serves.
@@ -62,10 +68,11 @@ class Line:
     text: str
     article: bool
     chrome: bool
+    named: bool = False  # chrome by its class or id alone
 
 
-def _part(tag: str, attrs: str, in_article: bool) -> str:
-    """chrome, hidden, article or nothing."""
+def _part(tag: str, attrs: str, in_article: bool, holder: bool = False) -> str:
+    """chrome, named (chrome by class or id alone), hidden, article or nothing; holder: it has an article inside."""
     if tag in HIDDEN:
         return "hidden"
     names: list[str] = []
@@ -80,21 +87,28 @@ def _part(tag: str, attrs: str, in_article: bool) -> str:
         if name in ("class", "id"):
             names += [w.lower() for w in _NAME_WORDS.findall(value)]
     # the heading of an article may stand in a header element of its own
-    if tag in CHROME and not (tag == "header" and in_article):
+    if tag in CHROME and not (tag == "header" and in_article) and not (tag == "form" and holder):
         return "chrome"
     if tag in ("html", "body"):
         return ""
-    if any(w in CHROME_WORDS for w in names) and not (tag in ARTICLE):
-        return "chrome"
+    if any(w in CHROME_WORDS for w in names) and not (tag in ARTICLE or holder):
+        return "named"
     return "article" if tag in ARTICLE else ""
 
 
 def page_lines(html: str | None) -> list[Line]:
     """The lines of a page in order."""
-    html = html or ""
+    holders: set[int] = set()
+    lines = _lines(html or "", holders)
+    return _lines(html or "", holders) if holders else lines
+
+
+def _lines(html: str, holders: set[int]) -> list[Line]:
+    """The lines, given the places of named containers and forms that hold an article; adds those it finds."""
+    known = frozenset(holders)
     out: list[Line] = []
-    stack: list[tuple[str, str]] = []  # (tag, part)
-    depth = {"chrome": 0, "hidden": 0, "article": 0}
+    stack: list[tuple[str, str, int]] = []  # (tag, part, place)
+    depth = {"chrome": 0, "named": 0, "hidden": 0, "article": 0}
     buffer: list[str] = []
 
     def flush() -> None:
@@ -102,14 +116,18 @@ def page_lines(html: str | None) -> list[Line]:
         buffer.clear()
         if not text or depth["hidden"]:
             return
-        if depth["chrome"]:
+        if depth["named"] and out[-1].named:
+            # what is chrome by its tag goes, whatever becomes of the container around it
+            if not depth["chrome"]:
+                out[-1].text += ("\n" if out[-1].text else "") + text
+        elif depth["chrome"]:
             out[-1].text += ("\n" if out[-1].text else "") + text
         else:
             out.append(Line(text, text, depth["article"] > 0, False))
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            _, part = stack.pop()
+            _, part, _ = stack.pop()
             if part:
                 depth[part] -= 1
 
@@ -145,11 +163,13 @@ def page_lines(html: str | None) -> list[Line]:
             continue
         if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
             close(len(stack) - 1)
-        part = _part(tag, m[3], depth["article"] > 0)
-        if part == "chrome" and not depth["chrome"] and not depth["hidden"]:
+        part = _part(tag, m[3], depth["article"] > 0, m.start() in known)
+        if part in ("chrome", "named") and not depth["chrome"] and not depth["named"] and not depth["hidden"]:
             names = " ".join(sorted(w.lower() for a in _ATTR.finditer(m[3] or "") for w in _NAME_WORDS.findall(a[2] or a[3] or a[4] or "")))
-            out.append(Line(f"\x00{tag} {names}", "", depth["article"] > 0, True))
-        stack.append((tag, part))
+            out.append(Line(f"\x00{tag} {names}", "", depth["article"] > 0, True, part == "named"))
+        if part == "article" and not depth["hidden"]:
+            holders.update(place for t, p, place in stack if p == "named" or t == "form" and p == "chrome")
+        stack.append((tag, part, m.start()))
         if part:
             depth[part] += 1
     flush()
@@ -192,10 +212,20 @@ def shared(a: list[str], b: list[str]) -> np.ndarray:
     return on
 
 
-def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
+def main_text(page: list[Line], neighbour: list[Line] | None, alike: bool = True) -> str:
+    """What the alignment leaves of a page; alike: the neighbour is of the same host, so that it would have the same chrome."""
     gone = shared([x.key for x in page], [x.key for x in neighbour]) if neighbour else np.zeros(len(page), bool)
-    # an article's own text is content though the neighbour repeats it; chrome is chrome though it does not
-    stay = [x.text for x, g in zip(page, gone, strict=True) if not x.chrome and (x.article or not g)]
+    judged = alike and neighbour is not None
+    stay = []
+    for x, g in zip(page, gone, strict=True):
+        if x.chrome:
+            # the alignment deletes what the neighbour has too; of what is left over, tags and roles are checked
+            keep = not g and x.named and judged
+        else:
+            # an article's own text is content though the neighbour repeats it
+            keep = x.article or not g
+        if keep and x.text:
+            stay.append(x.text)
     return "\n".join(stay)
 
 
@@ -214,32 +244,34 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
 
     def extract(batches):
         def texts(rows):
-            """(row, its lines, lines of its neighbour) one step behind the input."""
-            last = None  # (row, lines, lines of the page before it in the same host)
-            before = None
+            """(row, its lines, lines of its neighbour, whether that is of its host)."""
+            before = None  # (host, lines) of the last page that is no copy of those at hand
+            run = None  # (host, lines, keys) of the copies at hand
+            wait = []  # those without a neighbour yet; they share their lines
             for row in rows:
                 lines = page_lines(row[2])
-                if last is not None:
-                    host = last[0][3]
-                    if before is not None and before[0] == host:
-                        other = before[1]
-                    elif row[3] == host:
-                        other = lines
-                    else:
-                        other = before[1] if before is not None else lines
-                    yield last[0], last[1], other
-                    before = (host, last[1])
-                last = (row, lines)
-            if last is not None:
-                yield last[0], last[1], before[1] if before is not None else None
+                keys = [x.key for x in lines]
+                if run is not None and (row[3] != run[0] or keys != run[2]):
+                    other = (row[3], lines) if row[3] == run[0] or before is None else before
+                    for x, its in wait:
+                        yield x, its, other[1], other[0] == run[0]
+                    before, run, wait = run[:2], None, []
+                if run is None:
+                    run = (row[3], lines, keys)
+                if before is not None and before[0] == row[3]:
+                    yield row[:2], lines, before[1], True
+                else:
+                    wait.append((row[:2], [x if x == y else y for x, y in zip(run[1], lines, strict=True)]))
+            for x, its in wait:
+                yield x, its, before[1] if before is not None else None, False
 
         def read():
             for batch in batches:
                 yield from zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
 
         out, held = [], 0
-        for row, lines, other in texts(read()):
-            text = main_text(lines, other)
+        for row, lines, other, alike in texts(read()):
+            text = main_text(lines, other, alike)
             out.append((row[0], row[1], text, len(text)))
             held += len(text)
             if held > 4 << 20 or len(out) >= 2000:

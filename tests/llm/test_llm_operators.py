@@ -277,6 +277,27 @@ def test_html(spark):
     assert extract_main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_html_alignment_decides_on_named_containers(spark):
+    nav = "<nav>{0}</nav><div class='ad'>Buy {0}</div>"
+    page = [page_lines(x) for x in (nav.format("a") + "<div class='related-work'>Only here <nav>x</nav> and on</div><p>Text a", nav.format("b") + "<p>Text b")]
+    # the neighbour has an advert too, but nothing like the other container; chrome by its tag goes in any case
+    assert main_text(*page) == "Only here\nand on\nText a"
+    assert main_text(page[0], None) == main_text(*page, alike=False) == "Text a"
+    # a name or a form does not swallow the article inside
+    for box in ("<div id='header-menu'>", "<form>", "<div class=promo><div class=nav>"):
+        a, b = (page_lines(f"<nav>{x}</nav>{box}<p>Same<article><p>News {x}</article><p>After {x}</div></form>") for x in "cd")
+        assert main_text(a, b) == "News c\nAfter c"
+    # copies are not differenced against each other, first or last in their host
+    rows = [(i, f"http://copy.example/{i}", "<p>Same<p>Own" if i < 3 else "<p>Same<p>Other", None, None) for i in range(6)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = extract_main_text(spark.createDataFrame(rows, PAGES)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.page_id: r.text for r in got} == {i: "Own" if i < 3 else "Other" for i in range(6)}
+
+
 def test_common_subsequence_is_longest():
     rng = random.Random(1)
     for _ in range(200):

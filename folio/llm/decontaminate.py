@@ -5,9 +5,10 @@ there does not spoil the hash.  Several masks look at every window of the test i
 training documents.  Test hashes go into a fixed-size bitmap; a document in whose windows it
 strikes keeps those hashes, and Spark joins them with the table of test hashes.  Each hit names
 an item and a diagonal (document position less item position).  The documents' own words are
-then compared with the item's along the diagonals: the best-scoring stretch (+1 for an equal
-word, -1 for another) counts when at least ``identity`` of it is equal and it has ``enough``
-equal words, or ``share`` of the item's if those are fewer.
+then compared with the item's along the diagonals: a pair is found if any stretch of any of its
+diagonals has ``enough`` equal words, or ``share`` of the item's if those are fewer, and at least
+``identity`` of it is equal.  Of such stretches the best-scoring one is reported (1 - identity for
+an equal word, -identity for another).
 
 Words are runs of letters and digits in lower case, so punctuation and case do not matter.
 Equal items count once, under their smallest id.  Items of fewer words than a mask are matched
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -161,13 +163,13 @@ def spaced_seed_matches(
             for r in batch.to_pylist():
                 doc, item = words_of(r["text"]), words_of(r["item_text"])
                 best = None
+                need = min(enough, int(np.ceil(share * len(item))))
                 for line in sorted(r["lines"]):
-                    found = best_stretch(doc, item, line)
-                    if found and (best is None or found[0] > best[0]):
+                    found = best_stretch(doc, item, line, need, identity)
+                    if found and (best is None or found[:2] > best[:2]):
                         best = found
-                need = min(enough, int(np.ceil(share * len(item))))
-                if best and best[0] >= need and best[0] >= identity * (best[2] - best[1] + 1):
-                    out.append((r["doc_id"], r["item_id"], best[1], best[2], best[0], len(item), r["text_hash"]))
+                if best:
+                    out.append((r["doc_id"], r["item_id"], best[2], best[3], best[1], len(item), r["text_hash"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 7, names)
 
     names = ["doc_id", "item_id", "first_word", "last_word", "matched", "item_words", "text_hash"]
@@ -175,19 +177,29 @@ def spaced_seed_matches(
     return full.mapInArrow(verify, ", ".join(f"{n} long" for n in names))
 
 
-def best_stretch(doc: list[str], item: list[str], line: int) -> tuple[int, int, int] | None:
-    """(equal words, first, last word in doc) of the best-scoring stretch on a diagonal."""
-    best, score, begin, equal = None, 0, 0, 0
-    for i in range(max(0, -line), min(len(item), len(doc) - line)):
-        if doc[i + line] == item[i]:
-            if score <= 0:
-                score, begin, equal = 0, i, 0
-            score, equal = score + 1, equal + 1
-            if best is None or score > best[0]:
-                best = (score, equal, begin + line, i + line)
-        else:
-            score -= 1
-    return best and best[1:]
+def best_stretch(doc: list[str], item: list[str], line: int, need: int, identity: float) -> tuple[int, int, int, int] | None:
+    """(score, equal words, first, last word in doc) of the best-scoring stretch on a diagonal that has
+    ``need`` equal words, ``identity`` of it at least; nothing if there is none."""
+    lo = max(0, -line)
+    hi = max(lo, min(len(item), len(doc) - line))
+    equal = np.array([a == b for a, b in zip(doc[lo + line : hi + line], item[lo:hi], strict=True)], bool)
+    at = np.flatnonzero(equal)
+    need = max(need, 1)
+    if len(at) < need:
+        return None
+    # a best stretch begins and ends with equal words: scores are whole numbers, up to and with a word
+    mark = Fraction(str(identity))
+    score = mark.denominator * np.arange(1, len(at) + 1) - mark.numerator * (at + 1)
+    before = score - mark.denominator + mark.numerator
+    # the best beginning for each end among those that leave enough equal words: the lowest score before it
+    low = np.minimum.accumulate(before)[: len(at) - need + 1]
+    gain = score[need - 1 :] - low
+    end = int(np.argmax(gain))
+    if gain[end] < 0:
+        return None
+    begin = int(np.argmin(before[: end + 1]))
+    end += need - 1
+    return int(gain.max()), end - begin + 1, int(at[begin]) + lo + line, int(at[end]) + lo + line
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

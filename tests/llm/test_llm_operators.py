@@ -14,7 +14,7 @@ import pytest
 from folio.llm import license_scan
 from folio.llm.chat_format import rotate_perspectives
 from folio.llm.components import components
-from folio.llm.decontaminate import decontaminate, spaced_seed_matches, words_of
+from folio.llm.decontaminate import best_stretch, decontaminate, spaced_seed_matches, words_of
 from folio.llm.exact_dedup import exact_dedup
 from folio.llm.html_extract import extract_main_text, main_text, page_lines, shared
 from folio.llm.jaccard_join import apart, jaccard_components, one_of_each_group, plans, scheme_of
@@ -172,6 +172,44 @@ def test_decontamination(spark, edge, clashing, empty):
     assert spaced_seed_matches(empty, bench).count() == spaced_seed_matches(edge, bench.limit(0)).count() == 0
 
 
+def test_decontamination_counts_any_stretch(spark):
+    """Equal words around a stretch that passes do not make it vanish."""
+    item = prose(60, 60).split()
+    other = lambda n: [f"other{k}" for k in range(n)]
+    agree = [k for k in range(46) if k % 5 in (1, 3, 4)]
+    tail = [item[13 + k] if k in agree else f"other{k}" for k in range(46)]
+    docs = [
+        (1, item[:13] + other(12) + item[25:38]),
+        (2, item[:20] + other(18) + item[38:58]),
+        (3, item[:13] + tail),
+        (4, item[:12] + other(12) + item[24:36]),
+    ]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = spark.createDataFrame([(i, " ".join(x), None, None, None) for i, x in docs], DOCS)
+    got = {r.doc_id: r for r in spaced_seed_matches(rows, bench).collect()}
+    assert set(got) == {1, 2, 3}
+    assert all(r.matched >= 13 and 10 * r.matched >= 7 * (r.last_word - r.first_word + 1) for r in got.values())
+
+
+def test_best_stretch_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        n, line, need = rng.randrange(1, 30), rng.randrange(-4, 5), rng.randrange(1, 8)
+        doc, item = [rng.choice("ab") for _ in range(n)], [rng.choice("ab") for _ in range(rng.randrange(1, 30))]
+        on = {i + line: doc[i + line] == x for i, x in enumerate(item) if 0 <= i + line < n}
+        want = []
+        for a in on:
+            for b in range(a, max(on) + 1):
+                e = sum(on[k] for k in range(a, b + 1))
+                if e >= need and 10 * e >= 7 * (b - a + 1):
+                    want.append(10 * e - 7 * (b - a + 1))
+        found = best_stretch(doc, item, line, need, 0.7)
+        assert (found and found[0]) == (max(want) if want else None)
+        if found:
+            _, e, a, b = found
+            assert on[a] and on[b] and e == sum(on[k] for k in range(a, b + 1)) >= need and found[0] == 10 * e - 7 * (b - a + 1)
+
+
 # ---------------------------------------------------------------- Pitman-Yor
 
 

@@ -9,6 +9,8 @@ import zlib
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from folio.llm import license_scan
@@ -22,6 +24,7 @@ from folio.llm.mixing import mix_sources, mixed_documents, targets
 from folio.llm.pitman_yor import score_texts
 from folio.llm.quality import keep_good, quality_scores
 from folio.llm.sharding import SlotMap, rebalance, shard_records
+from folio.llm.words import Words, mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
@@ -241,6 +244,22 @@ def test_pitman_yor_predictions_sum_to_one(spark):
     assert 0 < sum(got.values()) <= 1.0
 
 
+def test_pitman_yor_contexts_do_not_share(spark):
+    """Two words with equal upper 14 bits of their mixed hash, which a table of 16 384 contexts would put together."""
+    names = [f"x{k}" for k in range(1000)]
+    places = mix(Words(pa.array([" ".join(names)])).hashes()) >> np.uint64(50)
+    by = defaultdict(list)
+    for name, place in zip(names, places.tolist(), strict=True):
+        by[place].append(name)
+    one, two = next(x for x in by.values() if len(x) > 1)[:2]
+    held = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 10 == 0]
+    rest = [k for k in range(1000) if k not in set(held)]
+    rows = [(k, f"{one} left" if k % 2 else f"{two} right", "", "", 0) for k in rest[:400]]
+    rows += [(held[0], f"{one} left", "", "", 0), (held[1], f"{two} left", "", "", 0), (held[2], f"{two} right", "", "", 0)]
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows, DOCS)).collect() if r.held_out}
+    assert got[held[0]] > got[held[1]] + 1 and got[held[2]] > got[held[1]] + 1
+
+
 # ---------------------------------------------------------------- licenses
 
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: The temporary folder of a local application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; local runs without the setting get a temporary folder."""
@@ -16,6 +19,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
         master = conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-folio-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-folio-")
+        root = _LOCAL[app]
     return f"{root.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"

@@ -1,7 +1,7 @@
-"""A fixed-size Bloom bitmap of 64-bit values, built by Spark and small enough to broadcast.
+"""A Bloom bitmap of 64-bit values, built by Spark and small enough to broadcast.
 
-Its size depends on the ``bits`` parameter alone.  When a bitmap fills up it lets more values
-through; whoever uses it joins exactly afterwards, so results never depend on it.
+It has thirty-two bits or more a value, from ``LEAST`` up to ``MOST`` in log2: 128 MB at most.  A bitmap of more values
+fills up and lets others through; whoever uses it joins exactly afterwards, so results never depend on it.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: log2 of the number of bits: 8 MB.
-BITS = 26
+LEAST, MOST = 20, 30
 
 
-def build(values: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
+def build(values: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
     """Bitmap of the non-null longs in ``column``: at most ``2**bits / 64`` rows reach the driver."""
+    if bits is None:
+        bits = min(max((32 * values.count()).bit_length(), LEAST), MOST)
     low = (1 << bits) - 1
     probes = F.array(F.col(column).bitwiseAND(F.lit(low)), F.shiftrightunsigned(column, 64 - bits))
     words = (

@@ -49,6 +49,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    out.folio_tables = [edges]  # for drop()
+    return out

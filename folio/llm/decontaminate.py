@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap as bits
-from .scratch import drop, keep
+from .scratch import fresh, keep
 from .words import ALNUM, Words, mix, slices
 
 #: Fixed masks: seven or eight of eleven positions count.
@@ -205,6 +205,7 @@ def best_stretch(doc: list[str], item: list[str], line: int, need: int, identity
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold a test item."""
     found = keep(spaced_seed_matches(docs, benchmark, doc_id, text, **options), "decon-found")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    id_, hash_ = fresh(docs.columns, "id", "hash")
+    found = found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_))
     return docs.join(found, same, "left_anti")

@@ -15,14 +15,16 @@ order on segment content, which is the same on both sides, so no pair is lost: o
 take the one with the lower cut; it keeps a segment that they share and so does the other.
 Empty segments rank last and are indexed only when the bound cannot be met otherwise.
 
-Documents with equal sets are one node.  Of sets that share an index key, sizes and the counts of
-tokens in ``MARKS`` parts of the universe are compared first: they differ in no more tokens than the
-sets do, so a pair that is too far apart by them is settled.  Other pairs are compared exactly, on
-their whole sets.  Within a key's run the members are compared with one pivot first, the member that
-shares most keys with others and so lies nearest the middle.  Then only members that are still in
-different components are compared, since a link inside a component changes nothing; the counts
-by part settle nearly all of these before a row is made of them.  So a large group of near copies
-costs about one comparison a member, and no link between components is missed.
+Documents with equal sets are one node.  Of sets that share an index key, sizes and parity sketches
+are compared first.  A sketch has a bit for each of several parts of the universe, at least four times as
+many as the set has tokens, and tells whether a part holds an odd number of them; no more bits differ
+than tokens do, so a pair that is too far apart by its sketches is settled, and nearly all such pairs
+are.  The others are compared exactly, on their whole sets.  Within a key's run the members are compared with
+one pivot first, the member that shares most keys with others and so lies nearest the middle.  Then only
+members that are still in different components are compared, since a link inside a component changes
+nothing: at first each member of a smaller component with the nearest of every other component, and when those
+links are known, whatever is still apart with all.  So rows are made of links, about one a member and
+component, and no link between components is missed.  Large runs are dealt to tasks by pairs of blocks.
 
 Shingles are 64-bit hashes of five whole words; sets are compared on them.
 
@@ -36,25 +38,27 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bitmap as bits
 from .components import components
-from .scratch import keep, release, tasks_for
+from .scratch import drop, fresh, keep, release, tasks_for
 from .words import Words, mix, shingles, slices
 
 SIZE, NUM, DEN = 5, 80, 100
 #: log2 of the counters for token commonness; growth of the bands; spare segments; price of a loose key.
 SKETCH_BITS, BAND_GROWTH, SPARE, LOOSE = 18, 1.95, 1.25, 16
-#: Parts of the universe in which tokens are counted (up to 255) to tell pairs that are far apart.
-MARK_BITS = 7
-MARKS = 1 << MARK_BITS
-#: Nodes of a run that one task compares by their counts; larger runs go through a join.
-RUN_BOUND = 50_000
+#: Bits of a parity sketch for each token, at least; members of a run that one group compares with as many others.
+SKETCH, RUN_BLOCK = 4, 4096
+#: Shingles of the corpus for each bucket of index keys.
+BUCKET = 8 << 20
 _ALONE = (0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x428A2F98D728AE22, 0x7137449123EF65CD)
 
 
@@ -83,10 +87,33 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].view(np.int64))
 
 
-def marks_of(tokens: np.ndarray) -> bytes:
-    """How many tokens lie in each part of the universe, cut at 255."""
-    counts = np.bincount((tokens >> np.uint64(64 - MARK_BITS)).astype(np.int64), minlength=MARKS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """A bit for each part of the universe that holds an odd number of tokens; parts go by the low bits."""
+    bits = max(64, 1 << (SKETCH * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 64-bit words as the sketches of fewer parts: ``width`` words each."""
+    while sketches.shape[-1] > width:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def gaps(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many tokens the sets of two sketches differ at least, pair by pair."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(a), np.int64)
+    for la, lb in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == la) & (sizes[:, 1] == lb))
+        for part in np.array_split(at, -(-len(at) * int(la + lb) // (8 << 20))):
+            x = np.frombuffer(b"".join([a[i] for i in part]), np.uint64).reshape(len(part), -1)
+            y = np.frombuffer(b"".join([b[i] for i in part]), np.uint64).reshape(len(part), -1)
+            width = int(min(la, lb)) // 8
+            out[part] = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(1, dtype=np.int64)
+    return out
 
 
 def apart(a: int, b: int, num: int = NUM, den: int = DEN) -> int:
@@ -199,7 +226,9 @@ def jaccard_components(
     root and component_id for every input row; links has
     the verified pairs of nodes (a, b, common, size_a, size_b) that hold the components together."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    kind = docs.schema[doc_id].dataType
+    arrow_kind = to_arrow_type(kind)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def facts(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -211,12 +240,12 @@ def jaccard_components(
                     np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
                 none = pa.nulls(len(n), pa.int32())
-                marks = pa.array([marks_of(s) if len(s) else None for s in sets], pa.binary())
+                marks = pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), nodes, none, marks, part.column(2)], names)
         heavy = np.flatnonzero(counts >= max(8, 4 * counts.mean()))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.nulls(len(heavy), pa.int64()),
+                pa.nulls(len(heavy), arrow_kind),
                 pa.array(counts[heavy]),
                 pa.nulls(len(heavy), pa.int64()),
                 pa.array(heavy, pa.int32()),
@@ -227,7 +256,8 @@ def jaccard_components(
         )
 
     names = ["doc_id", "n", "node", "slot", "marks", "text_hash"]
-    found = keep(docs.mapInArrow(facts, "doc_id long, n long, node long, slot int, marks binary, text_hash long"), "join-facts")
+    schema = T.StructType.fromDDL("n long, node long, slot int, marks binary, text_hash long")
+    found = keep(docs.mapInArrow(facts, T.StructType([T.StructField("doc_id", kind), *schema.fields])), "join-facts")
     rows = found.where("slot is null")
     # at most 2**SKETCH_BITS rows
     heavy = found.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -235,12 +265,15 @@ def jaccard_components(
     common[heavy["slot"].to_numpy()] = heavy["n"].to_numpy()
     common = spark.sparkContext.broadcast(common)
 
-    runs = _runs(docs, common, size, num, den)
+    tokens = rows.agg(F.sum("n")).first()[0] or 0
+    runs = _runs(docs, common, tokens, size, num, den)
     links = _links(docs, runs, rows.where("node is not null").select("node", "n", "marks"), size, num, den)
+    drop(runs)
     release(spark)
     roots = components(links)
     rows = rows.join(roots, "node", "left").withColumn("_class", F.coalesce("root", "node"))
     rows = keep(rows.select("doc_id", "n", "node", "text_hash", "_class"), "join-rows")
+    drop(found, *roots.folio_tables)
     heads = rows.where("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
     heads = keep(heads.where("k > 1").drop("k"), "join-heads")
     out = rows.join(heads.hint("merge"), "_class", "left").select(
@@ -254,12 +287,12 @@ def jaccard_components(
     return out, links
 
 
-def _runs(docs: DataFrame, common, size: int, num: int, den: int) -> DataFrame:
+def _runs(docs: DataFrame, common, tokens: int, size: int, num: int, den: int) -> DataFrame:
     """(run, node, times): the nodes that share an index key; runs of the same nodes are one, ``times`` tells how often.
 
     Keys travel as packed arrays, a bucket of keys a row, each (key, node) once for each piece of input."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET))
 
     def index(batches):
         schemes = [scheme_of(0, num, den)]
@@ -329,87 +362,130 @@ def _links(docs: DataFrame, runs: DataFrame, marks: DataFrame, size: int, num: i
     marks = keep(marks.join(shared.select("node"), "node", "left_semi"), "join-marks", tasks=tasks)
     compare = _Comparison(docs, marks, size, num, den)
     pivots = runs.join(shared, "node").groupBy("run").agg(F.max(F.struct("shared", "node")).alias("p"))
-    pivots = keep(pivots.select("run", F.col("p.node").alias("pivot")), "join-pivots", tasks=tasks)
-    pairs = runs.join(pivots.hint("merge"), "run").where("node != pivot")
-    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pivots = keep(pivots.select("run", F.col("p.node").alias("a")), "join-pivots", tasks=tasks)
+    pairs = runs.join(pivots.hint("merge"), "run").where("node != a").select("a", F.col("node").alias("b")).distinct()
     pairs = keep(pairs, "join-pairs", tasks=tasks)
     links, failed = compare(pairs)
+    drop(shared, pivots, pairs)
     release(spark)
-    roots = components(links)
+    for nearest in (True, False):
+        roots = components(links)
+        new = _apart(runs, roots, marks, nearest, num, den, tasks).distinct().join(failed, ["a", "b"], "left_anti")
+        new = keep(new, "join-pairs", tasks=tasks)
+        drop(*roots.folio_tables)
+        if new.isEmpty():
+            break
+        more, gone = compare(new)
+        drop(new)
+        release(spark)
+        links, failed = links.unionByName(more), failed.unionByName(gone)
+    compare.close()
+    drop(marks)
+    return links
+
+
+def _apart(runs: DataFrame, roots: DataFrame, marks: DataFrame, nearest: bool, num: int, den: int, tasks: int) -> DataFrame:
+    """(a, b), a < b: nodes of one run but different components that may be similar by their sizes and sketches.
+
+    Members of a run's largest component meet the others alone.  The members are dealt to blocks and so are those
+    others; a group holds a block of each, so its size is bounded.  nearest: of each other component's
+    members in a group only the one nearest by its sketch."""
     labelled = keep(runs.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root")), "join-labelled", tasks=tasks)
-    several = labelled.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"))
+    parts = labelled.groupBy("run", "root").agg(F.count("*").alias("c"))
+    facts = parts.groupBy("run").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("k"), F.count("*").alias("parts"))
     # runs of two have been compared by their pivot
-    several = keep(several.where("lo != hi and k > 2").select("run", "k"), "join-open", tasks=tasks)
-    rows = labelled.join(several.hint("merge"), "run")
-    # the runs that a task can hold; what is larger is paired by a join, which splits it
-    small = _near_in_runs(rows.where(F.col("k") <= RUN_BOUND).join(marks, "node").select("run", "node", "root", "n", "marks"), num, den)
-    large = rows.where(F.col("k") > RUN_BOUND)
-    most = large.groupBy("run", "root").agg(F.count("*").alias("c")).groupBy("run").agg(F.max(F.struct("c", "root")).alias("m"))
-    away = large.join(most.select("run", F.col("m.root").alias("main")), "run").where("root != main")
-    across = large.select("run", F.col("node").alias("x"), F.col("root").alias("rx")).join(away.select("run", "node", "root"), "run")
-    across = across.where("rx != root").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-    new = small.unionByName(across).distinct().join(failed, ["a", "b"], "left_anti")
-    more, _ = compare(keep(new, "join-pairs", tasks=tasks))
-    return links.unionByName(more)
-
-
-def _near_in_runs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): nodes of different components in a run that may be similar by their sizes and counts by part.
-
-    A run is looked at as a matrix of counts, its smaller components against all, a block at a time."""
+    facts = facts.where("parts > 1 and k > 2").select(
+        "run",
+        F.col("m.root").alias("main"),
+        F.ceil(F.col("k") / RUN_BLOCK).cast("int").alias("s"),
+        F.ceil((F.col("k") - F.col("m.c")) / RUN_BLOCK).cast("int").alias("t"),
+    )
+    rows = labelled.join(keep(facts, "join-open", tasks=tasks).hint("merge"), "run").withColumn("away", F.col("root") != F.col("main"))
+    place = F.xxhash64("node")
+    entry = lambda s, t, role: F.struct(s.cast("int").alias("s"), t.cast("int").alias("t"), role.alias("role"))
+    member = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda t: entry(F.pmod(place, F.col("s")), t, F.lit(1)))
+    other = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda s: entry(s, F.pmod(place, F.col("t")), F.lit(2)))
+    one = F.array(entry(F.lit(0), F.lit(0), F.when(F.col("away"), 3).otherwise(1)))
+    to = F.when((F.col("s") == 1) & (F.col("t") == 1), one).when(F.col("away"), F.concat(member, other)).otherwise(member)
+    rows = rows.select("run", "node", "root", "away", F.explode(to).alias("to")).select("run", "node", "root", "away", "to.*")
+    rows = rows.join(marks, "node").select("run", "s", "t", "node", "root", "away", "role", "n", "marks")
 
     def near(table: pa.Table) -> pa.Table:
-        node, root, n = (table[c].to_numpy() for c in ("node", "root", "n"))
-        counts = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, MARKS).astype(np.int16)
-        names, of, size = np.unique(root, return_inverse=True, return_counts=True)
-        order = np.argsort(n, kind="stable")
-        node, of, n, counts = node[order], of[order], n[order], counts[order]
-        a, b = [], []
-        for i in np.flatnonzero(of != np.argmax(size)):
-            lo, hi = np.searchsorted(n, [-(-n[i] * num // den), n[i] * den // num + 1])
-            other = np.arange(lo, hi)
-            other = other[of[other] != of[i]]
-            gap = np.abs(counts[other] - counts[i]).sum(1, dtype=np.int64)
-            other = other[gap <= (n[other] + n[i]) * (den - num) // (den + num)]
+        node, root, n, role = (table[c].to_numpy() for c in ("node", "root", "n", "role"))
+        away, sketches = table["away"].to_numpy(), table["marks"].to_pylist()
+        widths = np.array([len(x) for x in sketches]) // 8
+        # members by the width of their sketches, each in order of size
+        held = []
+        for w in np.unique(widths[role & 1 > 0]):
+            at = np.flatnonzero((widths == w) & (role & 1 > 0))
+            at = at[np.argsort(n[at], kind="stable")]
+            held.append((at, {int(w): np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(-1, w)}))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(role & 2):
+            mine, its = np.frombuffer(sketches[i], np.uint64), int(widths[i])
+            other, gap = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, tables in held:
+                lo, hi = np.searchsorted(n[at], [-(-n[i] * num // den), n[i] * den // num + 1])
+                if lo == hi:
+                    continue
+                width = min(its, max(tables))
+                if width not in tables:
+                    tables[width] = folded(tables[max(tables)], width)
+                # two members apart from the largest component meet twice: the lesser one asks
+                good = (root[at[lo:hi]] != root[i]) & (~away[at[lo:hi]] | (node[at[lo:hi]] > node[i]))
+                good = lo + np.flatnonzero(good)
+                other.append(at[good])
+                gap.append(np.bitwise_count(tables[width][good] ^ folded(mine, width)).sum(1, dtype=np.int64))
+            other, gap = np.concatenate(other), np.concatenate(gap)
+            fits = gap <= (n[other] + n[i]) * (den - num) // (den + num)
+            other, gap = other[fits], gap[fits]
+            if nearest and len(other) > 1:
+                order = np.lexsort((node[other], gap / (n[other] + n[i])))
+                other = other[order]
+                other = other[np.unique(root[other], return_index=True)[1]]
             a.append(np.minimum(node[other], node[i]))
             b.append(np.maximum(node[other], node[i]))
-        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": flat(a), "b": flat(b)})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.groupBy("run").applyInArrow(near, "a long, b long")
+    return rows.groupBy("run", "s", "t").applyInArrow(near, "a long, b long")
 
 
 class _Comparison:
-    """Compares pairs of nodes: the marks settle most that are not similar, whole sets the rest."""
+    """Compares pairs of nodes: the sketches settle most that are not similar, whole sets the rest."""
 
     def __init__(self, docs: DataFrame, marks: DataFrame, size: int, num: int, den: int):
         self.docs, self.marks, self.size, self.num, self.den = docs, marks, size, num, den
-        self.sets: DataFrame | None = None
+        self.sets: list[DataFrame] = []
+        self.nears: list[DataFrame] = []
 
     def __call__(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(similar pairs with their overlap and sizes, the other pairs)."""
+        """(similar pairs with their overlap and sizes, the other pairs, a < b)."""
         tasks = tasks_for(pairs.count(), pairs.sparkSession)
         near = keep(self._near(pairs, tasks), "join-near", tasks=tasks)
+        self.nears.append(near)
         close = near.where("near").select("a", "b")
         # a pair comes with both its sets, so fewer of them make a task
         tested = keep(self._verify(close), "join-tested", tasks=tasks_for(close.count(), pairs.sparkSession, 2_000))
         failed = near.where("not near").select("a", "b").unionByName(tested.where("not similar").select("a", "b"))
-        return tested.where("similar").drop("similar"), failed
+        return tested.where("similar").drop("similar"), failed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def close(self) -> None:
+        drop(*self.sets, *self.nears)
 
     def _near(self, pairs: DataFrame, tasks: int) -> DataFrame:
         num, den = self.num, self.den
         side = lambda k: self.marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}"))
+        # rows of one pivot lie together, so its sketch compresses on the way to the other side
         both = pairs.join(side("a"), "a").coalesce(tasks).join(side("b"), "b")
 
         def judge(batches):
             for batch in batches:
                 a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
-                ma, mb = (
-                    np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MARKS).astype(np.int64) for k in (4, 5)
-                )
-                gap = np.abs(ma - mb).sum(1)
-                near = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (gap <= (na + nb) * (den - num) // (den + num))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], ["a", "b", "near"])
+                fits = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+                at = pa.array(np.flatnonzero(fits))
+                gap = gaps(batch.column(4).take(at).to_pylist(), batch.column(5).take(at).to_pylist())
+                fits[fits] = gap <= ((na + nb) * (den - num) // (den + num))[fits]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(fits)], ["a", "b", "near"])
 
         return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(judge, "a long, b long, near boolean")
 
@@ -430,18 +506,21 @@ class _Comparison:
         found = self.docs.mapInArrow(live_sets, "node long, tokens binary")
         return keep(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "join-sets")
 
+    def _all_sets(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.sets)
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs with their exact overlap; similar: den * common >= num * all."""
         num, den = self.num, self.den
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        if self.sets is None:
-            self.sets = self._fetch(nodes)
+        if not self.sets:
+            self.sets.append(self._fetch(nodes))
         else:
-            missing = keep(nodes.join(self.sets.select("node"), "node", "left_anti").distinct(), "join-missing", tasks=6)
+            missing = keep(nodes.join(self._all_sets().select("node"), "node", "left_anti").distinct(), "join-missing", tasks=6)
             if not missing.isEmpty():
-                more = self._fetch(missing).join(self.sets.select("node"), "node", "left_anti")
-                self.sets = self.sets.unionByName(more)
-        side = lambda k: self.sets.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
+                self.sets.append(keep(self._fetch(missing).join(self._all_sets().select("node"), "node", "left_anti"), "join-sets"))
+            drop(missing)
+        side = lambda k: self._all_sets().select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
         names = ["a", "b", "common", "size_a", "size_b", "similar"]
 
@@ -461,25 +540,26 @@ class _Comparison:
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of every component: the one of the smallest id.
 
-    Texts without words are linked with nothing and all stay; of wholly equal rows one does.
+    Texts without words are linked with nothing and all stay; where an id repeats with an equal text, one row does.
     """
     rows, _ = jaccard_components(docs, doc_id, text, **options)
     # of a component the smallest id, then, where ids repeat, the smallest set and text
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"), F.col("text_hash"))
     first = rows.where("root is not null").groupBy("root").agg(F.min(order).alias("o"))
-    stay = first.select(F.col("o.doc_id").alias("_id"), F.col("o.text_hash").alias("_hash"))
-    stay = stay.unionByName(rows.where("root is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    stay = first.select(F.col("o.doc_id").alias("id"), F.col("o.text_hash").alias("hash"), F.lit(True).alias("linked"))
+    stay = stay.unionByName(rows.where("root is null").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.lit(False).alias("linked")))
     stay = keep(stay.distinct(), "join-stay")
     # rows that go, and rows that are there more than once, are told by a bitmap of their keys: it passes all of them and
     # few others, and only what it passes is shuffled and decided by a join
-    counts = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("k"))
-    good = (F.col("c._id").eqNullSafe(F.col("s._id"))) & (F.col("c._hash") == F.col("s._hash"))
+    counts = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("k"))
+    good = F.col("c.id").eqNullSafe(F.col("s.id")) & F.col("c.hash").eqNullSafe(F.col("s.hash"))
     gone = counts.alias("c").join(stay.alias("s"), good, "left_anti").unionByName(counts.where("k > 1"))
-    wanted = bits.build(gone.select(F.xxhash64("_id", "_hash").alias("key")), "key")
+    wanted = bits.build(gone.select(F.xxhash64("id", "hash").alias("key")), "key")
     wanted = docs.sparkSession.sparkContext.broadcast(wanted)
     names = docs.columns
-    key = F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("__key"))
+    id_, hash_, linked, key_, row_ = fresh(names, "id", "hash", "linked", "key", "row")
+    key = F.xxhash64(F.col(doc_id), F.xxhash64(text))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], key.alias(key_))
 
     def passing(doubtful: bool):
         def run(batches):
@@ -491,5 +571,10 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     sure = keyed.mapInArrow(passing(False), docs.schema)
     doubtful = keyed.mapInArrow(passing(True), docs.schema)
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    return sure.unionByName(doubtful.join(stay, same, "left_semi").dropDuplicates([doc_id, text]))
+    stay = stay.toDF(id_, hash_, linked)
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & F.xxhash64(text).eqNullSafe(F.col(hash_))
+    doubtful = doubtful.join(stay, same)
+    # a component keeps one row of its id and text; rows without words are linked with nothing, not with each other either
+    one = F.when(F.col(linked), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    doubtful = doubtful.withColumn(row_, one).dropDuplicates([doc_id, text, row_])
+    return sure.unionByName(doubtful.select(*[F.col(f"`{c}`") for c in names]))

@@ -5,7 +5,7 @@ hash; the vector of a word is the sum of the index vectors of the words around i
 of the corpus.  Nothing has to be factorised and sums come from any number of tasks.  Words in
 question are described twice: by their letters in lower case, and by their form (case, affixed
 marks, length, whether they repeat the word before).  A document is the mean of its words'
-vectors, of their index vectors and of those of their forms, with a few ratios.  A two-layer numpy network on the
+vectors and of the index vectors of their forms, with a few ratios.  A two-layer numpy network on the
 pooled vectors gives a logit; a temperature fitted on rows kept from training calibrates it.
 
 Fitting looks at ``SAMPLE`` labelled rows at most, those of the smallest hashed ids; vocabulary,
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import keep
+from .scratch import drop, keep
 from .words import Words, mix, slices
 
 #: Labelled rows to fit on; words with a vector; width of word vectors and of form vectors.
@@ -36,6 +36,8 @@ SAMPLE, VOCABULARY, WIDTH, FORMS = 12_000, 16_384, 32, 64
 HIDDEN, EPOCHS, RATE, DECAY = 32, 40, 3e-3, 1e-4
 WINDOW, PLACES = 2, 4
 EXTRA = 6
+#: Text bytes that are pooled at a time; a word takes up to two kilobytes of arrays.
+SLICE = 512 << 10
 
 
 def index_vectors(h: np.ndarray, width: int) -> np.ndarray:
@@ -74,11 +76,11 @@ def word_forms(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of rows first[i]:first[i + 1]."""
-    total = np.zeros((len(first), *values.shape[1:]), np.float64)
-    if len(values):
-        acc = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-        total = acc[first]
-    return np.diff(total, axis=0)
+    total = np.zeros((len(first) - 1, *values.shape[1:]), np.float64)
+    some = np.flatnonzero(first[1:] > first[:-1])
+    if len(some):
+        total[some] = np.add.reduceat(values, first[some], axis=0, dtype=np.float64)
+    return total
 
 
 @dataclass
@@ -104,7 +106,10 @@ class Vectors:
             key, count = np.unique(rows * len(self.words) + at[hit], return_counts=True)
             of, which = key // len(self.words), key % len(self.words)
             first = np.searchsorted(of, np.arange(w.n + 1))
-            parts.append(_sums(self.table[which] * count[:, None].astype(np.float32), first) * per[:, None])
+            weighed = self.table[which]
+            weighed *= count[:, None].astype(np.float32)
+            parts.append(_sums(weighed, first) * per[:, None])
+            del weighed
             share = np.bincount(rows, minlength=w.n) * per
         else:
             parts.append(np.zeros((w.n, WIDTH)))
@@ -241,50 +246,58 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Network:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, doc_id: str, text: str) -> DataFrame:
     """text and y of at most ``limit`` labelled rows, those of the smallest hashed ids."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id"))
-    marks = marks.agg((F.avg(label) >= 0.5).cast("double").alias("y"))
-    marks = marks.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0)
-    marks = marks.join(docs.select(F.col(doc_id).alias("_id")).distinct(), "_id", "left_semi")
-    chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(limit)
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    marks = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("mark")).where("mark is not null and id is not null")
+    marks = marks.groupBy("id").agg((F.avg("mark") >= 0.5).cast("double").alias("y"))
+    marks = marks.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    marks = marks.join(docs.select("id").distinct(), "id", "left_semi")
+    chosen = marks.orderBy(F.xxhash64("id"), "id").limit(limit)
     # ``limit`` rows of two numbers: bounded by the parameter
-    rows = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["_id"]).select(F.col(text).alias("text"), "y", "_id")
-    return keep(rows.dropDuplicates(["_id"]).drop("_id"), "quality-sample")
+    rows = docs.join(F.broadcast(chosen), "id").select("text", "y", "id")
+    return keep(rows.dropDuplicates(["id"]).drop("id"), "quality-sample")
 
 
 class QualityModel:
-    """A fitted classifier: word vectors and network, both of bounded size, as broadcasts."""
+    """A fitted classifier: word vectors and network, both of bounded size, as broadcasts of plain arrays."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str, limit: int, doc_id: str, text: str):
-        spark = docs.sparkSession
+        context = docs.sparkSession.sparkContext
         sample = labelled_sample(docs, labels, label, limit, doc_id, text)
-        self.vectors = vectors = spark.sparkContext.broadcast(fit_vectors(sample))
+        fitted = fit_vectors(sample)
+        self.vectors = vectors = context.broadcast((fitted.words, fitted.table))
         n_features = WIDTH + FORMS + EXTRA
 
         def pooled(batches):
+            known = Vectors(*vectors.value)
             for batch in batches:
-                for part in slices(batch, "text"):
-                    x = vectors.value.pool(part.column(0)).astype(np.float32)
+                for part in slices(batch, "text", SLICE):
+                    x = known.pool(part.column(0)).astype(np.float32)
                     flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
                     yield pa.RecordBatch.from_arrays([flat, part.column(1)], ["x", "y"])
 
         # at most ``limit`` rows of fixed width
         rows = sample.mapInArrow(pooled, "x array<float>, y double").toArrow()
+        drop(sample)
         x = np.array(rows["x"].combine_chunks().flatten().to_numpy() if len(rows) else [], np.float32).reshape(-1, n_features)
         y = rows["y"].to_numpy().astype(np.float64)
         order = np.lexsort((*x.T[:4], y))  # the same rows in the same order whatever tasks delivered them
-        self.network = spark.sparkContext.broadcast(fit_network(x[order], y[order]))
+        net = fit_network(x[order], y[order])
+        self.network = context.broadcast((net.mean, net.scale, net.weights, net.temperature))
 
-    def __reduce__(self):
-        return _loaded, (self.vectors, self.network)
+    def on_worker(self) -> Scorer:
+        return Scorer(Vectors(*self.vectors.value), Network(*self.network.value))
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        return self.network.value.scores(self.vectors.value.pool(column))
 
+@dataclass
+class Scorer:
+    vectors: Vectors
+    network: Network
 
-def _loaded(vectors, network) -> QualityModel:
-    model = object.__new__(QualityModel)
-    model.vectors, model.network = vectors, network
-    return model
+    def scored(self, batch: pa.RecordBatch, column: str):
+        """(part of the batch, scores of its texts)"""
+        for part in slices(batch, column, SLICE):
+            yield part, self.network.scores(self.vectors.pool(part.column(part.schema.get_field_index(column))))
+            pa.default_memory_pool().release_unused()
 
 
 def quality_scores(
@@ -298,14 +311,14 @@ def quality_scores(
 ) -> DataFrame:
     """``docs`` with held_out, score and predicted added; columns of these names are replaced."""
     model = QualityModel(docs, labels, label, limit, doc_id, text)
+    start = model.on_worker
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    place = names.index(text)
 
     def score(batches):
+        scorer = start()
         for batch in batches:
-            for part in slices(batch, text):
-                s = pa.array(model.scores(part.column(place)), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, s], [*names, "score"])
+            for part, s in scorer.scored(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*names, "score"])
 
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     out = docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
@@ -329,11 +342,12 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, as they are."""
     model = QualityModel(docs, labels, label, limit, doc_id, text)
-    place = docs.columns.index(text)
+    start = model.on_worker
 
     def good(batches):
+        scorer = start()
         for batch in batches:
-            for part in slices(batch, text):
-                yield part.filter(pa.array(model.scores(part.column(place)) >= threshold))
+            for part, s in scorer.scored(batch, text):
+                yield part.filter(pa.array(s >= threshold))
 
     return docs.mapInArrow(good, docs.schema)

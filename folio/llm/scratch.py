@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder of a local application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
@@ -15,14 +18,24 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset, local runs (tests) get a temporary folder of their own; on a cluster
     that would lie on one machine only, so there it is an error.
     """
-    conf = spark.sparkContext.getConf()
+    conf, app = spark.sparkContext.getConf(), spark.sparkContext.applicationId
     if found := conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     master = conf.get("spark.master", "")
     if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-folio-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-folio-")
+    return _LOCAL[app]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names that clash with none of ``taken``."""
+    used = {c.lower() for c in taken}
+    mark = "_"
+    while any(mark + n in used for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -28,7 +28,10 @@ from folio.llm.words import Words, mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASH = "score long, node long, size long, slot int, _row long, hash long, held_out string, predicted string, label string"
+CLASH = (
+    "score long, node long, size long, slot int, _row long, hash long, held_out string, predicted string, label string, "
+    "_id long, _hash long, y double, _key long, _copies int, id string, mark string"
+)
 WORDS = "alder birch cedar elder hazel larch maple rowan sumac willow yew ash elm fir oak pine teak lime plum pear".split()
 
 
@@ -66,7 +69,7 @@ def edge(spark):
 
 @pytest.fixture(scope="module")
 def clashing(spark):
-    return spark.createDataFrame([(*r, *([None] * 9)) for r in edge_rows()], f"{DOCS}, {CLASH}")
+    return spark.createDataFrame([(*r, *([None] * 16)) for r in edge_rows()], f"{DOCS}, {CLASH}")
 
 
 @pytest.fixture(scope="module")
@@ -170,7 +173,7 @@ def test_decontamination(spark, edge, clashing, empty):
     got = {(r.doc_id, r.item_id): r for r in spaced_seed_matches(spark.createDataFrame(docs, DOCS), bench).collect()}
     assert set(got) == {(100, 1), (101, 1), (102, 3)}
     assert (got[100, 1].first_word, got[100, 1].last_word, got[100, 1].matched) == (50, 89, 40)
-    kept = decontaminate(spark.createDataFrame([(*r, *([None] * 9)) for r in docs], f"{DOCS}, {CLASH}"), bench)
+    kept = decontaminate(spark.createDataFrame([(*r, *([None] * 16)) for r in docs], f"{DOCS}, {CLASH}"), bench)
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in docs) - Counter([100, 101, 102])
     assert spaced_seed_matches(empty, bench).count() == spaced_seed_matches(edge, bench.limit(0)).count() == 0
 
@@ -224,7 +227,7 @@ def test_pitman_yor(spark, edge, clashing, empty):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     count = Counter(w for i, ws in tokens if not held(i) for w in ws)
     n, v = sum(count.values()), len(count)
-    got = score_texts(spark.createDataFrame([(*r, *([None] * 9)) for r in docs], f"{DOCS}, {CLASH}")).collect()
+    got = score_texts(spark.createDataFrame([(*r, *([None] * 16)) for r in docs], f"{DOCS}, {CLASH}")).collect()
     want = Counter()
     for i, ws in tokens:
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
@@ -272,7 +275,7 @@ def test_licenses(spark, empty):
         (23, "Licensed under nothing", "en", "s", 1),
         (24, "All rights reserved", "en", "s", 1),
     ]
-    rows, spans = license_scan.scan_licenses(spark.createDataFrame([(*r, *([None] * 9)) for r in docs], f"{DOCS}, {CLASH}"))
+    rows, spans = license_scan.scan_licenses(spark.createDataFrame([(*r, *([None] * 16)) for r in docs], f"{DOCS}, {CLASH}"))
     got = rows.collect()
     assert len(got) == len(docs)
     by = {r.doc_id: r for r in got}
@@ -299,7 +302,7 @@ def test_quality(spark, edge, clashing, empty):
         labels.append((i, int(good), None))
     labels += [(100, None, 1), (None, 1, 1), (999_999, 0, 0), (101, 1, 0)]
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    df = spark.createDataFrame([(*r, *([None] * 9)) for r in docs], f"{DOCS}, {CLASH}")
+    df = spark.createDataFrame([(*r, *([None] * 16)) for r in docs], f"{DOCS}, {CLASH}")
     got = quality_scores(df, marks).collect()
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     out = [r for r in got if r.held_out and (r.doc_id or 0) >= 100]
@@ -413,7 +416,7 @@ def test_jaccard_join_brute_force(spark, empty):
                 copy[at : at + 1] = rng.choice([["edit" + str(rng.randrange(99))], [], [copy[at], "more"]])
             rows.append((1000 + 10 * g + k, " ".join(copy), "en", "s", 1))
     rows += [(3000 + k, f"{prose(3000 + k, 40)} {passage} {prose(4000 + k, 40)}", "en", "s", 1) for k in range(30)]
-    df = spark.createDataFrame([(*r, *([None] * 9)) for r in rows], f"{DOCS}, {CLASH}")
+    df = spark.createDataFrame([(*r, *([None] * 16)) for r in rows], f"{DOCS}, {CLASH}")
     got, links = jaccard_components(df)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
     assert all(100 * r.common >= 80 * (r.size_a + r.size_b - r.common) for r in links.collect())
@@ -457,7 +460,7 @@ def test_targets():
 def test_mixing(spark, empty):
     rng = random.Random(6)
     docs = edge_rows() + [(i, prose(i, rng.randrange(1, 300)), "en", f"s{i % 5}", 1) for i in range(100, 500)]
-    df = spark.createDataFrame([(*r, *([None] * 9)) for r in docs], f"{DOCS}, {CLASH}")
+    df = spark.createDataFrame([(*r, *([None] * 16)) for r in docs], f"{DOCS}, {CLASH}")
     rows, schedule = mix_sources(df)
     got = rows.collect()
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))

@@ -5,12 +5,14 @@ turns are the assistant's, everyone else's are a named user's, and narrators (``
 system for everybody and take no perspective.  The loss mask covers what the assistant says and
 its closing mark.
 
-A dialogue is rendered in parts of ``PART`` turn numbers, one row each, so no row or task grows
-with the length of a conversation; up to that length it is a single row.  ``begin`` is the
-part's offset in the dialogue and the mask spans are offsets in the whole dialogue, in characters.
+A dialogue of up to ``PART`` turns is a single row.  A longer one is rendered in parts of ``PART`` turns each, in
+order, so no row or task grows with the length of a conversation; ``begin`` is the
+part's offset in the dialogue and the mask spans are offsets in the whole dialogue, in characters, so the parts'
+texts put end to end are the dialogue.  Turns are numbered in two levels (runs of turn numbers, then within a
+run), and the offsets are sums over rows of lengths, which hold no text.
 
 Defined results: null text is empty; a null role is the participant ``unknown``; turns are in
-order of number, then role, then text (null numbers first, in a part of their own), repeated
+order of number, then role, then text (null numbers first), repeated
 turns all appear; a null conversation id is one conversation; a conversation of narrators alone has no
 perspective and no row; an empty table gives an empty result; extra columns are ignored.
 """
@@ -20,6 +22,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import keep
+
+#: Turns of a part.
 PART = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -34,18 +39,42 @@ def rotate_perspectives(
     part: int = PART,
 ) -> DataFrame:
     """conv_id, speaker, part, begin, n_turns, text, mask (array of start and end) by perspective."""
+    conv = ["_c", "_null"]
     said = turns.select(
+        F.coalesce(F.col(conv_id).cast("string"), F.lit("")).alias("_c"),
+        F.col(conv_id).isNull().alias("_null"),
         F.col(conv_id).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn) / part), F.lit(-1)).cast("long").alias("part"),
+        # a run of turn numbers; null numbers come before all
+        F.coalesce(F.floor(F.col(turn) / part).cast("long"), F.lit(-(1 << 62))).alias("run"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("unknown")).alias("who"),
         F.coalesce(F.col(text), F.lit("")).alias("said"),
     )
-    parts = said.groupBy("conv_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "who", "said"))).alias("turns")
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = said.groupBy(*conv, "run").agg(F.count("*").alias("n"))
+    runs = runs.select(*conv, "run", F.coalesce(F.sum("n").over(earlier(conv, "run")), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy(*conv, "run").orderBy("turn", "who", "said"))
+    placed = said.withColumn("_in", within).join(runs, [*conv, "run"])
+    placed = placed.withColumn("at", F.col("_base") + F.col("_in") - 1).withColumn("part", F.floor(F.col("at") / part).cast("long"))
+    parts = placed.groupBy(*conv, "part").agg(
+        F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("at", "who", "said"))).alias("turns")
     )
-    people = said.where(~F.col("who").isin(*narrators)).select(F.col("conv_id").alias("_conv"), F.col("who").alias("speaker"))
-    seen = parts.join(people.distinct(), F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    parts = keep(parts, "chat-parts")
+
+    # lengths as everyone else sees a part, and how many turns a participant has in it
+    others_head = F.when(F.col("who").isin(*narrators), F.lit(len("system"))).otherwise(F.char_length("who") + len("user name="))
+    own = parts.select(*conv, "part", F.explode("turns").alias("t")).select(*conv, "part", F.col("t.who").alias("who"), F.char_length("t.said").alias("n"))
+    own = own.groupBy(*conv, "part", "who").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    own = keep(own.withColumn("n", F.col("n") + F.col("k") * (others_head + len(OPEN) + 1 + len(CLOSE))), "chat-lengths")
+    lengths = own.groupBy(*conv, "part").agg(F.sum("n").alias("n"))
+    lengths = lengths.select(*conv, "part", F.coalesce(F.sum("n").over(earlier(conv, "part")), F.lit(0)).alias("_before"))
+    people = own.where(~F.col("who").isin(*narrators)).select(*conv, "who").distinct()
+    seats = lengths.join(people, conv).join(own.drop("n"), [*conv, "part", "who"], "left")
+    # a speaker's own turns are headed by another word
+    mine = F.coalesce(F.sum("k").over(earlier([*conv, "who"], "part")), F.lit(0))
+    begin = F.col("_before") + mine * (len("assistant") - len("user name=") - F.char_length("who"))
+    seats = seats.select(*conv, "part", F.col("who").alias("speaker"), begin.cast("long").alias("begin"))
+    seen = parts.join(seats, [*conv, "part"])
 
     def head(t):
         own = F.when(t["who"] == F.col("speaker"), F.lit("assistant"))
@@ -60,10 +89,8 @@ def rotate_perspectives(
             (t["who"] == F.col("speaker")).alias("own"),
         ),
     )
-    seen = seen.select("conv_id", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), pieces.alias("pieces"))
+    seen = seen.select("conv_id", "speaker", "part", "begin", F.size("turns").cast("long").alias("n_turns"), pieces.alias("pieces"))
     seen = seen.withColumn("text", F.array_join(F.transform("pieces", lambda p: p["piece"]), ""))
-    before = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    seen = seen.withColumn("begin", F.coalesce(F.sum(F.char_length("text")).over(before), F.lit(0)).cast("long"))
     span = "struct<start:bigint,end:bigint>"
     start = F.struct(F.col("begin").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
@@ -77,9 +104,10 @@ def rotate_perspectives(
 
 
 ORACLE = f"""
-WITH s AS (
-  SELECT conv_id, coalesce(CAST(floor(turn / {PART}) AS BIGINT), -1) AS part, turn,
-         coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),
+s AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, said) - 1) // {PART} AS part FROM r),
 p AS (SELECT DISTINCT conv_id, who AS speaker FROM s WHERE who <> 'system'),
 x AS (
   SELECT s.*, speaker, who = speaker AS own,

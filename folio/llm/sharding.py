@@ -9,6 +9,9 @@ What the driver holds is the slot table: one row per slot, bounded by ``slots``.
 that grows with the input (hashing, sums, numbering) stays in Spark.  Numbers within a shard
 come from a rank inside the virtual slot plus the slot's offset, so no task sees a whole shard.
 
+Law: ``bytes``.  Records of equal text are no unit of placement: each is placed by its own id and text, so copies
+may lie in several shards, and a group of copies larger than a fair share is spread like other rows.
+
 Defined results: null text has no bytes; null ids and repeated rows are placed by their hash
 like any other; one record larger than a fair share fills a shard by itself; an empty table
 gives an empty result; extra columns are ignored.
@@ -144,7 +147,7 @@ def shard_records(
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
     )
-    vslot = F.pmod(F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text_crc32"))), F.lit(slots))
+    vslot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots))
     rows = keep(rows.withColumn("vslot", vslot.cast("long")), "shard-rows")
     sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     table = [{"vslot": v, "shard": v % shards, "bytes": 0, "rows": 0} for v in range(slots)]

@@ -12,8 +12,8 @@ an equal word, -identity for another).
 
 Words are runs of letters and digits in lower case, so punctuation and case do not matter.
 Equal items count once, under their smallest id.  Items of fewer words than a mask are matched
-through the run of all their words; items of fewer than ``least`` words cannot be told from
-chance and match nothing.
+through the run of all their words; the words of items of fewer than ``least`` stand by chance in many texts, so such an
+item is found where the whole document has the item's words and no other.
 
 Defined results: null and empty texts match nothing; repeated rows are each reported; an empty
 table on either side gives an empty result; extra columns are ignored.  Whole texts are read.
@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bitmap as bits
 from .scratch import fresh, keep
@@ -61,15 +63,18 @@ def _seeds(h: np.ndarray, masks: tuple[str, ...]) -> Iterator[tuple[str, np.ndar
         yield mask, mix(out)
 
 
-def _windows(batch: pa.RecordBatch, column: int, masks: tuple[str, ...]):
-    """By mask: (mask, row of each word, position of each word, words where a window fits, hashes)."""
+def _windows(batch: pa.RecordBatch, column: int, masks: tuple[str, ...], least: int):
+    """By mask: (mask, row of each word, position of each word, words where a window fits, hashes).
+
+    A mask of fewer than ``least`` words fits whole texts only."""
     words = Words(batch.column(column), ALNUM)
     h, counts = words.hashes(), words.counts
     row = np.repeat(np.arange(words.n), counts)
     at = np.arange(len(h)) - words.first[row] if len(h) else np.zeros(0, np.int64)
     left = counts[row] - at if len(h) else at
     for mask, hashes in _seeds(h, masks):
-        fits = np.flatnonzero(left[: len(hashes)] >= len(mask))
+        room = left[: len(hashes)]
+        fits = np.flatnonzero(room >= len(mask) if len(mask) >= least else (room == len(mask)) & (at[: len(hashes)] == 0))
         yield mask, row, at, fits, hashes
 
 
@@ -97,20 +102,20 @@ def spaced_seed_matches(
     def lengths(batches):
         for batch in batches:
             n = Words(batch.column(0), ALNUM).counts
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(n[(n >= least) & (n < span)]), pa.int32())], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(n[(n > 0) & (n < span)]), pa.int32())], ["n"])
 
     short = [r.n for r in items.select("item_text").mapInArrow(lengths, "n int").distinct().collect()]
-    masks = (*masks, *("1" * n for n in sorted(short)))  # at most span - least more
+    masks = (*masks, *("1" * n for n in sorted(short)))  # at most span - 1 more
 
     def test_hashes(batches):
         for batch in batches:
             for part in slices(batch, "item_text"):
                 n = Words(part.column(0), ALNUM).counts
                 key = part.column(1).to_numpy(zero_copy_only=False)
-                for mask, row, at, fits, hashes in _windows(part, 0, masks):
+                for mask, row, at, fits, hashes in _windows(part, 0, masks, least):
                     # a short item is looked for as a whole, a longer one by the spaced masks
                     size = n[row[fits]]
-                    good = size == len(mask) if "0" not in mask and len(mask) < span else size >= least
+                    good = size == len(mask) if "0" not in mask and len(mask) < span else size >= span
                     fits = fits[good]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(hashes[fits].view(np.int64)), pa.array(key[row[fits]], pa.int64()), pa.array(at[fits], pa.int32())],
@@ -126,7 +131,7 @@ def spaced_seed_matches(
         for batch in batches:
             for part in slices(batch, "text"):
                 row_of, hash_of, at_of = [], [], []
-                for _, row, at, fits, hashes in _windows(part, 1, masks):
+                for _, row, at, fits, hashes in _windows(part, 1, masks, least):
                     fits = fits[bits.has(seen.value, hashes[fits])]
                     row_of.append(row[fits])
                     hash_of.append(hashes[fits])
@@ -148,8 +153,10 @@ def spaced_seed_matches(
                     ["doc_id", "text", "hashes", "at"],
                 )
 
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    struck = docs.mapInArrow(strikes, "doc_id long, text string, hashes array<long>, at array<int>")
+    doc_kind, item_kind = docs.schema[doc_id].dataType, items.schema["item_id"].dataType
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = T.StructType.fromDDL("text string, hashes array<long>, at array<int>")
+    struck = docs.mapInArrow(strikes, T.StructType([T.StructField("doc_id", doc_kind), *found.fields]))
     struck = keep(struck.withColumn("_row", F.monotonically_increasing_id()), "decon-struck")
     hits = struck.select("_row", F.explode(F.arrays_zip("hashes", "at")).alias("s"))
     hits = hits.select("_row", F.col("s.hashes").alias("hash"), F.col("s.at").alias("at")).join(test, "hash")
@@ -159,10 +166,11 @@ def spaced_seed_matches(
 
     def verify(batches):
         for batch in batches:
-            out = []
+            out, last, doc = [], None, []
             for r in batch.to_pylist():
-                doc, item = words_of(r["text"]), words_of(r["item_text"])
-                best = None
+                if r["text"] is not last and r["text"] != last:
+                    last, doc = r["text"], words_of(r["text"])
+                item, best = words_of(r["item_text"]), None
                 need = min(enough, int(np.ceil(share * len(item))))
                 for line in sorted(r["lines"]):
                     found = best_stretch(doc, item, line, need, identity)
@@ -170,11 +178,14 @@ def spaced_seed_matches(
                         best = found
                 if best:
                     out.append((r["doc_id"], r["item_id"], best[2], best[3], best[1], len(item), r["text_hash"]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 7, names)
+            columns = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, arrow, strict=True)], names)
 
     names = ["doc_id", "item_id", "first_word", "last_word", "matched", "item_words", "text_hash"]
+    kinds = [doc_kind, item_kind, *[T.LongType()] * 5]
+    arrow = [to_arrow_type(k) for k in kinds]
     full = full.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "item_id", "item_text", "lines")
-    return full.mapInArrow(verify, ", ".join(f"{n} long" for n in names))
+    return full.mapInArrow(verify, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
 def best_stretch(doc: list[str], item: list[str], line: int, need: int, identity: float) -> tuple[int, int, int, int] | None:

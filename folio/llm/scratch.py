@@ -60,6 +60,16 @@ def keep(df: DataFrame, name: str, compression: str = "zstd", tasks: int | None
     return out
 
 
+def keep_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """keep(), dealt by a column: later joins on it read a bucket in one task and shuffle the other side only."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"folio_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(table)
+    out = spark.table(table)
+    out._folio_path = path
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files go when the driver's collectors find their frames unused; ask them now, after a large step."""
     gc.collect()

@@ -3,7 +3,8 @@
 Every run of ``k`` words of a document is hashed and joined with the runs of the license
 templates.  A match at document word p and template word q votes for the diagonal p - q of its
 template.  Diagonals next to each other (a few words put in or left out) are merged into one
-cluster, and a cluster is verified: the share of the template's words that its matching runs
+cluster, a cluster is cut into spans where as many words as the template has go without a match, and a span is
+verified: the share of the template's words that its matching runs
 cover, counted once each, must reach ``share``.  Runs are joined on their hash and their words,
 so a vote is never a hash collision.
 
@@ -24,10 +25,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .license_texts import LICENSES
 from .scratch import keep
 
 #: License notices and their labels.
-TEMPLATES = (
+NOTICES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("mit", "Released under the MIT License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
@@ -38,6 +40,7 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("public-domain", "This is free and unencumbered software released into the public domain"),
 )
+TEMPLATES = (*NOTICES, *LICENSES)
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,7 +48,12 @@ RUN, NEAR, SHARE, FEW = 3, 2, 0.7, 4096
 
 
 def _words(text):
-    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+    return F.array_remove(F.split(lowered(text), SEPARATORS), "")
+
+
+def lowered(text):
+    """A to Z in lower case, all else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def template_runs(spark, templates=TEMPLATES, k: int = RUN) -> DataFrame:
@@ -73,7 +81,7 @@ def scan_licenses(
     spark = docs.sparkSession
     runs = template_runs(spark, templates, k)
     body = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(F.col(doc_id).alias("doc_id"), _words(body).alias("w"), F.contains(F.lower(body), F.lit("license")).alias("_any"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), _words(body).alias("w"), F.contains(lowered(body), F.lit("license")).alias("_any"))
     d = d.withColumn("n_words", F.size("w"))
 
     def stands(i, phrase):
@@ -122,8 +130,13 @@ def scan_licenses(
     new = F.coalesce((F.col("line") - F.lag("line").over(order) > near).cast("int"), F.lit(0))
     cluster = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0))
     hits = hits.withColumn("_new", new).withColumn("cluster", cluster)
-    covered = hits.select("_row", "template", "label", "size", "cluster", "at", F.explode(F.sequence("t_at", F.col("t_at") + k - 1)).alias("t"))
-    spans = covered.groupBy("_row", "template", "label", "size", "cluster").agg(
+    # and a cluster is cut where a template's length of the document has no match, so that a span is one place
+    along = Window.partitionBy("_row", "template", "cluster").orderBy("at", "t_at")
+    apart = F.coalesce((F.col("at") - F.lag("at").over(along) > F.col("size")).cast("int"), F.lit(0))
+    place = F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    hits = hits.withColumn("_new", apart).withColumn("place", place)
+    covered = hits.select("_row", "template", "label", "size", "cluster", "place", "at", F.explode(F.sequence("t_at", F.col("t_at") + k - 1)).alias("t"))
+    spans = covered.groupBy("_row", "template", "label", "size", "cluster", "place").agg(
         (F.count_distinct("t") / F.col("size")).alias("covered"),
         F.min("at").cast("long").alias("first_word"),
         (F.max("at") + k - 1).cast("long").alias("last_word"),
@@ -142,13 +155,13 @@ def scan_licenses(
         joined(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>")))).alias("labels"),
         F.greatest(F.coalesce("_covered", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).alias("score"),
     )
-    spans = spans.join(d.select("_row", "doc_id"), "_row").drop("_row", "size", "cluster")
+    spans = spans.join(d.select("_row", "doc_id"), "_row").drop("_row", "size", "cluster", "place")
     return rows, spans
 
 
 def oracle(templates=TEMPLATES, phrases=PHRASES, k: int = RUN, near: int = NEAR, share: float = SHARE) -> str:
     """The rows of scan_licenses() as DuckDB SQL."""
-    quoted = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(templates))
+    quoted = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(templates))
     base = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in phrases)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
@@ -164,7 +177,7 @@ bs AS (
   SELECT r, count(DISTINCT pos0) AS n_base, min(pos0) AS first_word, max(pos0) AS last_word,
          list_sort(list(DISTINCT label)) AS base FROM b GROUP BY r),
 t AS (
-  SELECT template, label, regexp_extract_all(lower(body), '{word}') AS w
+  SELECT template, label, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w
   FROM (VALUES {quoted}) v(template, label, body)),
 tr AS (
   SELECT template, label, len(w) AS size, t_at, array_to_string(w[t_at + 1:t_at + {k}], ' ') AS run
@@ -177,11 +190,15 @@ l AS (
   SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY r, template ORDER BY line) > {near} THEN 1 ELSE 0 END AS new
   FROM (SELECT DISTINCT r, template, line FROM h)),
 c AS (SELECT r, template, line, sum(new) OVER (PARTITION BY r, template ORDER BY line) AS cluster FROM l),
+hc AS (
+  SELECT h.*, cluster, CASE WHEN pos0 - lag(pos0) OVER v > size THEN 1 ELSE 0 END AS new
+  FROM h JOIN c ON c.r = h.r AND c.template = h.template AND c.line = h.line
+  WINDOW v AS (PARTITION BY h.r, h.template, cluster ORDER BY pos0, t_at)),
+hp AS (SELECT *, sum(new) OVER (PARTITION BY r, template, cluster ORDER BY pos0, t_at ROWS UNBOUNDED PRECEDING) AS place FROM hc),
 v AS (
-  SELECT r, template, label, cluster, count(DISTINCT t) / any_value(size) AS covered
-  FROM (SELECT h.r, h.template, label, size, cluster, unnest(range(t_at, t_at + {k})) AS t
-        FROM h JOIN c ON c.r = h.r AND c.template = h.template AND c.line = h.line)
-  GROUP BY r, template, label, cluster),
+  SELECT r, template, label, cluster, place, count(DISTINCT t) / any_value(size) AS covered
+  FROM (SELECT r, template, label, size, cluster, place, unnest(range(t_at, t_at + {k})) AS t FROM hp)
+  GROUP BY r, template, label, cluster, place),
 m AS (SELECT r, list(DISTINCT label) AS more, max(covered) AS covered FROM v WHERE covered >= {share} GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(base, ','), '') AS base_labels,

@@ -1,15 +1,16 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
 Random indexing: every word has a sparse index vector of a few +1 and -1 at places given by its
-hash; the vector of a word is the sum of the index vectors of the words around it, over a sample
-of the corpus.  Nothing has to be factorised and sums come from any number of tasks.  Words in
+hash; the vector of a word is the sum of the index vectors of the words around it, over all
+documents.  Nothing has to be factorised and sums come from any number of tasks.  Words in
 question are described twice: by their letters in lower case, and by their form (case, affixed
 marks, length, whether they repeat the word before).  A document is the mean of its words'
 vectors and of the index vectors of their forms, with a few ratios.  A two-layer numpy network on the
 pooled vectors gives a logit; a temperature fitted on rows kept from training calibrates it.
 
-Fitting looks at ``SAMPLE`` labelled rows at most, those of the smallest hashed ids; vocabulary,
-vectors and weights are therefore bounded and can be broadcast.  Scoring reads every whole text.
+The vocabulary (the ``VOCABULARY`` commonest words) and the vectors come from all documents.  The network is fitted on
+``SAMPLE`` labelled rows at most, those of the smallest hashed ids.  Vectors and weights are of fixed
+size and can be broadcast.  Scoring reads every whole text.
 Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have the zero vector and get a score; labels of null value
@@ -40,13 +41,19 @@ EXTRA = 6
 SLICE = 512 << 10
 
 
-def index_vectors(h: np.ndarray, width: int) -> np.ndarray:
-    """Sparse ternary vectors: PLACES entries of +1 or -1, from the hash."""
-    out = np.zeros((len(h), width), np.float32)
-    rows = np.arange(len(h))
+def index_places(h: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The PLACES entries of a sparse ternary vector, from the hash: (place, +1 or -1)."""
+    out = []
     for k in range(PLACES):
         x = mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-        np.add.at(out, (rows, (x % np.uint64(width)).astype(np.int64)), np.where(x >> np.uint64(63), 1, -1).astype(np.float32))
+        out.append(((x % np.uint64(width)).astype(np.int64), np.where(x >> np.uint64(63), 1.0, -1.0)))
+    return out
+
+
+def index_vectors(h: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(h), width), np.float32)
+    for place, sign in index_places(h, width):
+        np.add.at(out, (np.arange(len(h)), place), sign.astype(np.float32))
     return out
 
 
@@ -133,17 +140,30 @@ class Vectors:
         return np.concatenate(parts, 1).astype(np.float32)
 
 
-def fit_vectors(sample: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, width: int = WIDTH) -> Vectors:
-    """Random-indexing vectors of the commonest words of the sample."""
-    spark = sample.sparkSession
+def fit_vectors(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, width: int = WIDTH) -> Vectors:
+    """Random-indexing vectors of the commonest words of all documents, from all places where they stand."""
+    spark = docs.sparkSession
 
     def count(batches):
+        held, size = [], 0
+
+        def added_up():
+            words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
         for batch in batches:
             for part in slices(batch, text):
-                w, n = np.unique(Words(part.column(0)).hashes(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    counts = sample.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                held.append(np.unique(Words(part.column(0)).hashes(), return_counts=True))
+                size += len(held[-1][0])
+                if size >= 1 << 20:
+                    yield added_up()
+                    size = 0
+        if held:
+            yield added_up()
+
+    counts = docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
     words = np.sort(top["word"].to_numpy().view(np.uint64))
     if not len(words):
@@ -152,29 +172,31 @@ def fit_vectors(sample: DataFrame, text: str = "text", vocabulary: int = VOCABUL
 
     def around(batches):
         words = known.value
-        total = np.zeros((len(words), width), np.float32)
+        total = np.zeros(len(words) * width)  # whole numbers, so any order of adding gives the same
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
+            for part in slices(batch, text, SLICE):
                 w = Words(part.column(0))
                 h = w.hashes()
-                if not len(h):
-                    continue
                 at = np.minimum(np.searchsorted(words, h), len(words) - 1)
                 hit = np.flatnonzero(words[at] == h)
-                index = index_vectors(h, width)
+                places = index_places(h, width)
                 row = np.repeat(np.arange(w.n), w.counts)
                 for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
                     near = hit[(hit + d >= 0) & (hit + d < len(h))]
                     near = near[row[near] == row[near + d]]
-                    # the place of a neighbour is told by a rotation of its vector
-                    np.add.at(total, at[near], np.roll(index[near + d], d, axis=1))
+                    for place, sign in places:
+                        # where a neighbour stands is told by a rotation of its vector
+                        to = at[near] * width + (place[near + d] + d) % width
+                        total += np.bincount(to, sign[near + d], len(total))
+        total = total.reshape(-1, width)
         some = np.flatnonzero(np.abs(total).sum(1))
-        flat = pa.array(total[some].astype(np.float64).ravel())
+        flat = pa.array(total[some].ravel())
         yield pa.RecordBatch.from_arrays(
             [pa.array(some, pa.int32()), pa.FixedSizeListArray.from_arrays(flat, width).cast(pa.list_(pa.float64()))], ["at", "v"]
         )
 
-    sums = sample.select(text).mapInArrow(around, "at int, v array<double>")
+    sums = docs.select(text).mapInArrow(around, "at int, v array<double>")
+    # one row for each word of the vocabulary
     sums = sums.groupBy("at").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(width)]).toArrow()
     table = np.zeros((len(words), width), np.float64)
     table[sums["at"].to_numpy()] = np.stack([sums[f"v{k}"].to_numpy() for k in range(width)], 1)
@@ -263,7 +285,7 @@ class QualityModel:
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str, limit: int, doc_id: str, text: str):
         context = docs.sparkSession.sparkContext
         sample = labelled_sample(docs, labels, label, limit, doc_id, text)
-        fitted = fit_vectors(sample)
+        fitted = fit_vectors(docs.select(F.col(text).alias("text")))
         self.vectors = vectors = context.broadcast((fitted.words, fitted.table))
         n_features = WIDTH + FORMS + EXTRA
 

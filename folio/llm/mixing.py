@@ -1,18 +1,20 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Every source's documents are put in a hashed order and cut, end to end, into blocks of equal
-token counts.  The mix is a row of slots, one block each.  Slot k has the golden-ratio point
-frac((k + 1/2) * phi); that point, looked up in the cumulative target weights, names its source, so
+token counts (``BLOCK``, or a 64th of a smaller source).  A source's slots are as many as bring its words nearest to its
+target.  The mix is a row of slots, one block each.  Slot k has the golden-ratio point
+frac((k + 1/2) * phi); that point, looked up in the cumulative shares of the slots, names its source, so
 any stretch of the mix holds the sources nearly in proportion.  Slots are ranked within their
 source, and the r-th slot takes block r modulo the number of blocks: sources are passed through
-whole, again and again.  A pass beyond the repeat cap is not made.
+whole, again and again.  Where the points give a source a few slots too many or too few, the last ones are left
+out or added at the end.
 
 Targets: sources in code point order (null last) weigh 5, 2, 1 and so on again, and share all
 tokens; a target over ``max_repeats`` times its source's size stops there and its excess is
 shared by weight among the rest.
 
 Prefix sums and ranks are taken in two levels (pieces of a source, then within a piece), so a
-source with a third of all rows is spread over many tasks.  The driver holds one row per source.
+source with a third of all rows is spread over many tasks.  The driver and every task hold a few numbers for each source.
 
 Defined results: null or blank texts have size 0 and take nothing; a source without tokens has
 target 0; ties in the hashed order are broken by id and text, equal rows are interchangeable;
@@ -21,10 +23,14 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import fresh, keep
 
 BLOCK = 64
 #: Pieces of a source for two-level sums; and slots of the schedule that are ranked together.
@@ -52,6 +58,27 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, max_repeats: int = 3)
     return out
 
 
+@dataclass(frozen=True)
+class Share:
+    """A source's part of the mix: its slots and the length and number of its blocks."""
+
+    size: int
+    target: float
+    block: int
+    blocks: int
+    slots: int
+
+
+def share_of(size: int, target: float, block: int, max_repeats: int) -> Share:
+    if not size:
+        return Share(0, target, 1, 0, 0)
+    length = min(block, -(-size // 64))
+    blocks = -(-size // length)
+    passes = min(int(target // size), max_repeats)
+    rest = min(target - passes * size, size) if passes < max_repeats else 0.0
+    return Share(size, target, length, blocks, passes * blocks + min(round(rest / length), blocks))
+
+
 def mix_sources(
     docs: DataFrame,
     seed: int = 17,
@@ -78,10 +105,10 @@ def mix_sources(
     sizes = {r.source: r.n for r in pieces.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     goal = targets(sizes, max_repeats=max_repeats)
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
-    total = sum(sizes.values())
-    facts = spark.createDataFrame(
-        [(i, s, sizes[s], goal[s]) for i, s in enumerate(names)], "_source int, source string, source_size long, target double"
-    )
+    shares = [share_of(sizes[s], goal[s], block, max_repeats) for s in names]
+    kinds = "_source int, source string, source_size long, target double, _length long, _blocks long, _slots long"
+    facts = [(i, s, x.size, x.target, x.block, x.blocks, x.slots) for i, (s, x) in enumerate(zip(names, shares, strict=True))]
+    facts = spark.createDataFrame(facts, kinds)
 
     # where each document's tokens begin in its source's hashed order
     before = Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,16 +118,17 @@ def mix_sources(
     same = (F.col("r.source").eqNullSafe(F.col("s.source"))) & (F.col("r._piece") == F.col("s._piece"))
     placed = rows.withColumn("_in", begun).alias("r").join(starts.alias("s"), same)
     placed = placed.select("r.doc_id", "r.size", "r.source", "r._crc", (F.col("_base") + F.col("_in")).alias("_from"))
-    placed = placed.alias("p").join(F.broadcast(facts).alias("f"), F.col("p.source").eqNullSafe(F.col("f.source")))
-    placed = placed.select("p.*", "_source", "source_size", "target")
+    placed = placed.alias("p").join(facts.alias("f"), F.col("p.source").eqNullSafe(F.col("f.source")))
+    placed = placed.select("p.*", "_source", "source_size", "target", "_length")
 
-    schedule = _schedule(spark, names, sizes, goal, total, block, max_repeats)
+    schedule = _schedule(spark, shares, facts)
     times = keep(schedule.groupBy("_source", "block").agg(F.count("*").alias("times")), "mix-times")
     # the pieces of documents that lie in one block meet the number of times it is read
-    first, last = F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block)
+    length = F.col("_length")
+    first, last = F.floor(F.col("_from") / length), F.floor((F.col("_from") + F.col("size") - 1) / length)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    inside = F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(
-        F.col("_from"), F.col("block") * block
+    inside = F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * length) - F.greatest(
+        F.col("_from"), F.col("block") * length
     )
     # (source, _from) names a document with tokens: no two begin at the same token
     parts = parts.select("_source", "_from", "block", inside.alias("_n")).join(times, ["_source", "block"])
@@ -116,38 +144,40 @@ def mix_sources(
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
         F.col("_crc").alias("text_crc32"),
     )
-    name = F.broadcast(facts.select("_source", "source"))
-    return out, schedule.join(name, "_source").select("slot", "source", "block", "turn")
+    return out, schedule.join(facts.select("_source", "source"), "_source").select("slot", "source", "block", "turn")
 
 
-def _schedule(spark, names, sizes, goal, total, block, max_repeats) -> DataFrame:
+def _schedule(spark, shares: list[Share], facts: DataFrame) -> DataFrame:
     """Slots of the mix with their source, block and turn."""
-    n_slots = -(-total // block)
-    bounds, acc = [], 0.0
-    for s in names:
-        acc += goal[s]
-        bounds.append(acc / total if total else 1.0)
-    if bounds:
-        bounds[-1] = 1.0
-    high, low = F.floor(F.col("id") / (1 << 20)), F.col("id") % (1 << 20)
-    point = F.pmod(F.pmod(high * _PHI20, F.lit(1.0)) + low * _PHI + 0.5 * _PHI, F.lit(1.0))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("_u"))
-    edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array(F.lit(1.0))
-    found = F.size(F.filter(edges, lambda b: b <= F.col("_u"))).cast("int")
-    slots = slots.select("slot", F.least(found, F.lit(max(len(names) - 1, 0))).alias("_source"))
+    slots = np.cumsum([x.slots for x in shares]) if shares else np.zeros(0, np.int64)
+    total = int(slots[-1]) if len(slots) else 0
+    edges = spark.sparkContext.broadcast(slots / max(total, 1))
+
+    def sources(batches):
+        for batch in batches:
+            slot = batch.column(0).to_numpy()
+            high, low = slot >> 20, slot & ((1 << 20) - 1)
+            point = (high * _PHI20 % 1.0 + low * _PHI + 0.5 * _PHI) % 1.0
+            # of sources without slots none is found: their edge is the one before
+            found = np.minimum(np.searchsorted(edges.value, point, side="right"), np.searchsorted(edges.value, edges.value[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], ["slot", "_source"])
+
+    slots = spark.range(total).toDF("slot").mapInArrow(sources, "slot long, _source int")
     slots = slots.withColumn("_run", F.floor(F.col("slot") / RUN))
-    counts = slots.groupBy("_source", "_run").agg(F.count("*").alias("n"))
+    counts = keep(slots.groupBy("_source", "_run").agg(F.count("*").alias("n")), "mix-runs")
     before = Window.partitionBy("_source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_source", "_run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    bases = counts.select("_source", "_run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    bases = bases.join(facts.select("_source", "_blocks", "_slots"), "_source")
     rank = F.row_number().over(Window.partitionBy("_source", "_run").orderBy("slot")) - 1
-    ranked = slots.withColumn("_in", rank).join(counts, ["_source", "_run"])
-    blocks = F.array(*[F.lit(max(1, -(-sizes[s] // block))) for s in names]) if names else F.array(F.lit(1))
-    ranked = ranked.withColumn("_blocks", F.element_at(blocks, F.col("_source") + 1).cast("long"))
-    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_in"))
+    ranked = slots.withColumn("_in", rank).join(bases, ["_source", "_run"])
+    ranked = ranked.select("slot", "_source", (F.col("_base") + F.col("_in")).alias("_rank"), "_blocks", "_slots").where("_rank < _slots")
+    # what the points did not give a source follows the last slot
+    got = facts.join(counts.groupBy("_source").agg(F.sum("n").alias("n")), "_source", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    short = got.where("n < _slots").select("_source", "_blocks", "_slots", F.explode(F.sequence("n", F.col("_slots") - 1)).alias("_rank"))
+    short = short.select((F.lit(total) + F.col("_source") + F.col("_rank") * max(len(shares), 1)).alias("slot"), "_source", "_rank", "_blocks", "_slots")
+    ranked = ranked.unionByName(short)
     turn = F.floor(F.col("_rank") / F.col("_blocks")).cast("long")
-    return ranked.select(
-        "slot", "_source", F.pmod("_rank", "_blocks").alias("block"), turn.alias("turn")
-    ).where(F.col("turn") < max_repeats)
+    return ranked.select("slot", "_source", F.pmod("_rank", "_blocks").alias("block"), turn.alias("turn"))
 
 
 def mixed_documents(
@@ -159,12 +189,13 @@ def mixed_documents(
     0.4; texts without words are not in the mix.
     """
     rows, _ = mix_sources(docs, seed, doc_id=doc_id, text=text, source=source, **options)
-    rate = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(
-        F.try_divide(F.sum("taken"), F.sum("size")).alias("_rate")
+    rate = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc")).agg(
+        F.try_divide(F.sum("taken"), F.sum("size")).alias("rate")
     )
     crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
-    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "_id", "_crc"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = rate.select("_id", "_crc", F.floor(F.col("_rate") + chance).cast("int").alias("_copies")).where("_copies > 0")
-    copies = keep(copies, "mix-copies")
-    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col("_id")) & (crc == F.col("_crc")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "id", "crc"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = rate.select("id", "crc", F.floor(F.col("rate") + chance).cast("int").alias("copies")).where("copies > 0")
+    id_, crc_, copies_, copy_ = fresh(docs.columns, "id", "crc", "copies", "copy")
+    copies = keep(copies, "mix-copies").toDF(id_, crc_, copies_)
+    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col(id_)) & (crc == F.col(crc_)))
+    return joined.withColumn(copy_, F.explode(F.sequence(F.lit(1), copies_))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,3 +33,26 @@ def test_stages(spark, tmp_path):
     assert set(ids(after)) <= set(ids(before)) and max(ids(after).values()) <= 3
     before, after = seen["sharding"]
     assert ids(before) == ids(after) and {r.shard for r in after.collect()} == set(range(24))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeats, columns whose names stages use inside, and no rows at all."""
+    text = " ".join(f"word{k} of a sentence that reads well enough." for k in range(40))
+    rows = [(None, text + " First.", "en", None, 1), (1, None, None, "s", None), (2, "", "en", "s", 0), (3, text, "en", "s", 1), (3, text, "en", "s", 1)]
+    rows += [(4, "long words " * 60_000, "en", "s", 1), (5, text + " Also this.", "en", "t", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = "_id long, _hash long, _key long, y double, score double, shard int, slot int, size long, held_out string, taken long"
+    odd = spark.createDataFrame([(*r, *([None] * 10)) for r in rows], f"{schema}, {extra}")
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        columns, ids = docs.columns, None
+        for stage, apply in corpus_pipeline.STAGES:
+            docs = apply(spark, docs, SF)
+            docs.write.parquet(f"{tmp_path}/{name}-{stage}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            if stage != "sharding":
+                assert docs.columns == columns
+            if stage == "near_duplicates":
+                ids = Counter(r.doc_id for r in docs.collect())
+                # one of the near copies, whichever of them the classifier kept
+                assert sum(ids[k] for k in (3, 5, None)) <= 1 and max(ids.values(), default=0) <= 1
+        assert docs.count() == 0 if name == "none" else {r.doc_id for r in docs.collect()} <= set(ids)

@@ -1,6 +1,6 @@
 """A Bloom bitmap of 64-bit values, built by Spark and small enough to broadcast.
 
-It has thirty-two bits or more a value, from ``LEAST`` up to ``MOST`` in log2: 128 MB at most.  A bitmap of more values
+It has ``each`` bits or more a value, from 2**``LEAST`` up to 2**``MOST``, which are 32 MB.  A bitmap of more values
 fills up and lets others through; whoever uses it joins exactly afterwards, so results never depend on it.
 """
 
@@ -10,13 +10,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST = 20, 30
+LEAST, MOST = 20, 28
 
 
-def build(values: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+def build(values: DataFrame, column: str, each: int = 64) -> np.ndarray:
     """Bitmap of the non-null longs in ``column``: at most ``2**bits / 64`` rows reach the driver."""
-    if bits is None:
-        bits = min(max((32 * values.count()).bit_length(), LEAST), MOST)
+    bits = min(max((each * values.count()).bit_length(), LEAST), MOST)
     low = (1 << bits) - 1
     probes = F.array(F.col(column).bitwiseAND(F.lit(low)), F.shiftrightunsigned(column, 64 - bits))
     words = (

@@ -125,7 +125,8 @@ def spaced_seed_matches(
     test = keep(
         items.select("item_text", "_item").mapInArrow(test_hashes, "hash long, _item long, item_at int"), "decon-test"
     )
-    seen = spark.sparkContext.broadcast(bits.build(test, "hash"))
+    # a document has thousands of windows, and hardly one may strike by chance
+    seen = spark.sparkContext.broadcast(bits.build(test, "hash", each=4096))
 
     def strikes(batches):
         for batch in batches:

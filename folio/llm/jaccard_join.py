@@ -16,14 +16,14 @@ take the one with the lower cut; it keeps a segment that they share and so does
 Empty segments rank last and are indexed only when the bound cannot be met otherwise.
 
 Documents with equal sets are one node.  Of sets that share an index key, sizes and parity sketches
-are compared first.  A sketch has a bit for each of several parts of the universe, at least four times as
+are compared first.  A sketch has a bit for each of several parts of the universe, at least twice as
 many as the set has tokens, and tells whether a part holds an odd number of them; no more bits differ
 than tokens do, so a pair that is too far apart by its sketches is settled, and nearly all such pairs
 are.  The others are compared exactly, on their whole sets.  Within a key's run the members are compared with
 one pivot first, the member that shares most keys with others and so lies nearest the middle.  Then only
 members that are still in different components are compared, since a link inside a component changes
-nothing: at first each member of a smaller component with the nearest of every other component, and when those
-links are known, whatever is still apart with all.  So rows are made of links, about one a member and
+nothing: at first each member of a smaller component with the nearest of every other component, and where that one
+proves too far while others might not be, with all.  So rows are made of links, about one a member and
 component, and no link between components is missed.  Large runs are dealt to tasks by pairs of blocks.
 
 Shingles are 64-bit hashes of five whole words; sets are compared on them.
@@ -56,7 +56,7 @@ SIZE, NUM, DEN = 5, 80, 100
 #: log2 of the counters for token commonness; growth of the bands; spare segments; price of a loose key.
 SKETCH_BITS, BAND_GROWTH, SPARE, LOOSE = 18, 1.95, 1.25, 16
 #: Bits of a parity sketch for each token, at least; members of a run that one group compares with as many others.
-SKETCH, RUN_BLOCK = 4, 4096
+SKETCH, RUN_BLOCK = 2, 4096
 #: Shingles of the corpus for each bucket of index keys.
 BUCKET = 8 << 20
 _ALONE = (0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x428A2F98D728AE22, 0x7137449123EF65CD)
@@ -368,28 +368,34 @@ def _links(docs: DataFrame, runs: DataFrame, marks: DataFrame, size: int, num: i
     links, failed = compare(pairs)
     drop(shared, pivots, pairs)
     release(spark)
+    todo = runs
     for nearest in (True, False):
         roots = components(links)
-        new = _apart(runs, roots, marks, nearest, num, den, tasks).distinct().join(failed, ["a", "b"], "left_anti")
-        new = keep(new, "join-pairs", tasks=tasks)
+        asked = keep(_apart(todo, roots, marks, nearest, num, den, tasks), "join-asked", tasks=tasks)
         drop(*roots.folio_tables)
-        if new.isEmpty():
-            break
-        more, gone = compare(new)
+        new = keep(asked.select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"), "join-pairs", tasks=tasks)
+        if not new.isEmpty():
+            more, gone = compare(new)
+            links, failed = links.unionByName(more), failed.unionByName(gone)
         drop(new)
         release(spark)
-        links, failed = links.unionByName(more), failed.unionByName(gone)
+        # the runs in which a nearest member proved too far and others were left
+        again = keep(asked.where("others").join(failed, ["a", "b"], "left_semi").select("run").distinct(), "join-again", tasks=tasks)
+        drop(asked)
+        if not nearest or again.isEmpty():
+            break
+        todo = keep(runs.join(again, "run", "left_semi"), "join-todo", tasks=tasks)
     compare.close()
     drop(marks)
     return links
 
 
 def _apart(runs: DataFrame, roots: DataFrame, marks: DataFrame, nearest: bool, num: int, den: int, tasks: int) -> DataFrame:
-    """(a, b), a < b: nodes of one run but different components that may be similar by their sizes and sketches.
+    """(run, a, b, others), a < b: nodes of one run but different components that may be similar by their sizes and sketches.
 
     Members of a run's largest component meet the others alone.  The members are dealt to blocks and so are those
     others; a group holds a block of each, so its size is bounded.  nearest: of each other component's
-    members in a group only the one nearest by its sketch."""
+    members in a group only the one nearest by its sketch; ``others`` tells whether there are more."""
     labelled = keep(runs.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root")), "join-labelled", tasks=tasks)
     parts = labelled.groupBy("run", "root").agg(F.count("*").alias("c"))
     facts = parts.groupBy("run").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("k"), F.count("*").alias("parts"))
@@ -420,7 +426,7 @@ def _apart(runs: DataFrame, roots: DataFrame, marks: DataFrame, nearest: bool, n
             at = np.flatnonzero((widths == w) & (role & 1 > 0))
             at = at[np.argsort(n[at], kind="stable")]
             held.append((at, {int(w): np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(-1, w)}))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for i in np.flatnonzero(role & 2):
             mine, its = np.frombuffer(sketches[i], np.uint64), int(widths[i])
             other, gap = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -439,15 +445,18 @@ def _apart(runs: DataFrame, roots: DataFrame, marks: DataFrame, nearest: bool, n
             other, gap = np.concatenate(other), np.concatenate(gap)
             fits = gap <= (n[other] + n[i]) * (den - num) // (den + num)
             other, gap = other[fits], gap[fits]
+            several = np.zeros(len(other), bool)
             if nearest and len(other) > 1:
-                order = np.lexsort((node[other], gap / (n[other] + n[i])))
-                other = other[order]
-                other = other[np.unique(root[other], return_index=True)[1]]
+                other = other[np.lexsort((node[other], gap / (n[other] + n[i])))]
+                _, first, count = np.unique(root[other], return_index=True, return_counts=True)
+                other, several = other[first], count > 1
+            rest.append(several)
             a.append(np.minimum(node[other], node[i]))
             b.append(np.maximum(node[other], node[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"run": np.full(len(a), table["run"][0].as_py(), np.int64), "a": a, "b": b, "others": np.concatenate(rest)})
 
-    return rows.groupBy("run", "s", "t").applyInArrow(near, "a long, b long")
+    return rows.groupBy("run", "s", "t").applyInArrow(near, "run long, a long, b long, others boolean")
 
 
 class _Comparison:
@@ -474,7 +483,9 @@ class _Comparison:
 
     def _near(self, pairs: DataFrame, tasks: int) -> DataFrame:
         num, den = self.num, self.den
-        side = lambda k: self.marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}"))
+        # later rounds have few pairs, and need little of the table
+        marks = self._needed(self.marks, pairs) if self.sets else self.marks
+        side = lambda k: marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}"))
         # rows of one pivot lie together, so its sketch compresses on the way to the other side
         both = pairs.join(side("a"), "a").coalesce(tasks).join(side("b"), "b")
 
@@ -506,6 +517,11 @@ class _Comparison:
         found = self.docs.mapInArrow(live_sets, "node long, tokens binary")
         return keep(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "join-sets")
 
+    def _needed(self, table: DataFrame, pairs: DataFrame) -> DataFrame:
+        nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-nodes")
+        self.nears.append(nodes)
+        return table.join(nodes, "node", "left_semi")
+
     def _all_sets(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.sets)
 
@@ -513,14 +529,16 @@ class _Comparison:
         """Pairs with their exact overlap; similar: den * common >= num * all."""
         num, den = self.num, self.den
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        if not self.sets:
+        first = not self.sets
+        if first:
             self.sets.append(self._fetch(nodes))
         else:
             missing = keep(nodes.join(self._all_sets().select("node"), "node", "left_anti").distinct(), "join-missing", tasks=6)
             if not missing.isEmpty():
                 self.sets.append(keep(self._fetch(missing).join(self._all_sets().select("node"), "node", "left_anti"), "join-sets"))
             drop(missing)
-        side = lambda k: self._all_sets().select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
+        sets = self._all_sets() if first else self._needed(self._all_sets(), pairs)
+        side = lambda k: sets.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
         names = ["a", "b", "common", "size_a", "size_b", "similar"]
 

@@ -4,6 +4,11 @@ Every stage is a function of (spark, docs, sf_dir) and works on all that the sta
 rejects of the quality classifier go, one document of each near-duplicate group stays, documents
 that hold a benchmark passage go, sources are mixed to their target weights, and the mix is
 dealt to shards.  run() writes each stage to the shared folder and reads it again.
+
+Defined results: null and empty texts get a score like others; having no words they are linked with nothing and hold no
+benchmark passage, and as they have no words to take the mix leaves them out.  Of rows with equal ids and texts one stays
+after near_duplicates.  Null ids and sources are values like others; extra columns are carried through, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

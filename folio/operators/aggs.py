@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METRICS = ("calls", "cost_usd", "input_tokens", "output_tokens", "cache_read", "cache_write")
 FLAG_BELOW = 0.85
@@ -50,63 +53,78 @@ def usage_summary(rollup: DataFrame, today: str, days: int = 30, day: str = "day
 def cost_report(calls: DataFrame, books: str) -> DataFrame:
     """Costs by operation and model, by operation, and in total; the total also per book."""
     sums = [F.count("*").alias("calls"), F.sum("cost_usd").alias("cost_usd"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")]
-    out = calls.rollup("operation", "model").agg(*sums, F.count_distinct(books).alias("_books"), F.grouping_id().alias("_level"))
+    # the distinct books are counted by themselves: beside a rollup every row would be expanded for them
+    one = calls.agg(F.count_distinct(books).alias("_books"))
+    out = calls.rollup("operation", "model").agg(*sums, F.grouping_id().alias("_level"))
+    out = out.crossJoin(one)  # one row
     level = F.when(F.col("_level") == 0, "model").when(F.col("_level") == 1, "operation").otherwise("total")
     per = F.when(F.col("_level") == 3, F.col("cost_usd") / F.col("_books"))
     return out.select(level.alias("level"), "operation", "model", "calls", "cost_usd", "input_tokens", "output_tokens", per.alias("cost_per_book"))
 
 
-def words_lower(c) -> Column:
-    """ASCII letters and digits, lower-cased first."""
-    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), "")
-
-
-def words_as_is(c) -> Column:
-    return F.array_remove(F.split(F.coalesce(c, F.lit("")), "[^0-9A-Za-z]+"), "")
-
-
-def bag(df: DataFrame, keys: list[str], words: Column, n: str) -> DataFrame:
-    """Word counts by key: the multiset of each text, aggregated before anything is joined."""
-    return df.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias(n))
+def shared_words(rows: DataFrame, keep: list[str], left: Column, right: Column, letters: str = "a-zA-Z0-9") -> DataFrame:
+    """rows' ``keep`` columns with _common, _left and _right: the words that two texts of a row have in common, counted as
+    multisets, and those of each.  Words are runs of ``letters``; both texts are in the row, so nothing is shuffled."""
+    source = rows.select(*keep, F.coalesce(left, F.lit("")).alias("_l"), F.coalesce(right, F.lit("")).alias("_r"))
+    schema = T.StructType([*source.schema.fields[: len(keep)], *(T.StructField(n, T.LongType()) for n in ("_common", "_left", "_right"))])
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def words(texts):
+            lists = pc.split_pattern_regex(texts, f"[^{letters}]+")
+            row, word = pc.list_parent_indices(lists), pc.list_flatten(lists)
+            some = pc.not_equal(word, "")
+            return row.filter(some).to_numpy(), word.filter(some)
+
+        for batch in batches:
+            size = np.cumsum(pc.add(pc.binary_length(batch["_l"]), pc.binary_length(batch["_r"])).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                # a megabyte of text at a time, one row at least
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), side="right")))
+                part, n = batch.slice(at, end - at), end - at
+                (lr, lw), (rr, rw) = words(part["_l"]), words(part["_r"])
+                codes = pa.concat_arrays([lw, rw]).dictionary_encode()
+                width, codes = max(len(codes.dictionary), 1), codes.indices.to_numpy().astype(np.int64)
+                lk, ln = np.unique(lr * width + codes[: len(lr)], return_counts=True)
+                rk, rn = np.unique(rr * width + codes[len(lr) :], return_counts=True)
+                both, i, j = np.intersect1d(lk, rk, assume_unique=True, return_indices=True)
+                common = np.bincount(both // width, np.minimum(ln[i], rn[j]), n).astype(np.int64)
+                counts = [pa.array(x) for x in (common, np.bincount(lr, minlength=n), np.bincount(rr, minlength=n))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *counts], schema.names)
+                at = end
+
+    return source.mapInArrow(count, schema)
 
 
 def overlap(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """(keys, jaccard, containment) of two texts in a row: multiset overlaps of their words.
+    """(keys, jaccard, containment) of two texts in a row: multiset overlaps of their words, lower-cased ASCII letters and digits.
 
     Both texts empty: similarity 1; one empty: 0; an empty reference (right) is wholly contained.
     """
-    both = F.concat(
-        F.transform(words_lower(F.col(left)), lambda w: F.struct(w.alias("w"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
-        F.transform(words_lower(F.col(right)), lambda w: F.struct(w.alias("w"), F.lit(0).alias("a"), F.lit(1).alias("b"))),
-    )
-    counts = pairs.select(*keys, F.explode(both).alias("x")).groupBy(*keys, F.col("x.w").alias("word"))
-    counts = counts.agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
-    sums = counts.groupBy(*keys).agg(F.sum(F.least("a", "b")).alias("_i"), F.sum(F.greatest("a", "b")).alias("_u"), F.sum("b").alias("_b"))
-    out = pairs.select(*keys).distinct().join(sums, keys, "left")
+    out = shared_words(pairs, keys, F.lower(left), F.lower(right), "a-z0-9")
+    every = F.col("_left") + F.col("_right") - F.col("_common")
     return out.select(
         *keys,
-        F.coalesce(F.col("_i") / F.nullif("_u", F.lit(0)), F.lit(1.0)).alias("jaccard"),
-        F.coalesce(F.col("_i") / F.nullif("_b", F.lit(0)), F.lit(1.0)).alias("containment"),
+        F.coalesce(F.col("_common") / F.nullif(every, F.lit(0)), F.lit(1.0)).alias("jaccard"),
+        F.coalesce(F.col("_common") / F.nullif("_right", F.lit(0)), F.lit(1.0)).alias("containment"),
     )
 
 
-def only_removed(df: DataFrame, key: str, original: str, cleaned: str) -> DataFrame:
-    """(key, kept): the cleaned text adds no word to the original (case counts) and is not blank."""
-    both = F.concat(
-        F.transform(words_as_is(F.col(original)), lambda w: F.struct(w.alias("w"), F.lit(1).alias("d"))),
-        F.transform(words_as_is(F.col(cleaned)), lambda w: F.struct(w.alias("w"), F.lit(-1).alias("d"))),
-    )
-    left = df.select(key, F.explode(both).alias("x")).groupBy(key, F.col("x.w")).agg(F.sum("x.d").alias("n"))
-    added = left.groupBy(key).agg(F.min("n").alias("_least"))
+def only_removed(df: DataFrame, original: str, cleaned: str) -> DataFrame:
+    """df with ``kept``: the cleaned text adds no word to the original (case counts) and is not blank."""
+    out = shared_words(df, df.columns, F.col(original), F.col(cleaned))
     blank = F.trim(F.coalesce(cleaned, F.lit(""))) == ""
-    return df.select(key, blank.alias("_blank")).join(added, key, "left").select(key, (~F.col("_blank") & (F.coalesce("_least", F.lit(0)) >= 0)).alias("kept"))
+    return out.withColumn("kept", ~blank & (F.col("_common") == F.col("_right"))).drop("_common", "_left", "_right")
 
 
 def clean_outcome(df: DataFrame, key: str, original: str, cleaned: str, sense: str, fits: str) -> DataFrame:
     """(key, status, final_text, needs_review, priority) of a cleaning reply; a null reply (cleaned and verdicts null) failed."""
     from folio.functions.columns import review_verdict
 
-    kept = only_removed(df, key, original, cleaned)
     text, new = F.coalesce(original, F.lit("")), F.trim(F.coalesce(cleaned, F.lit("")))
     status = (
         F.when(F.col(sense).isNull() & F.col(cleaned).isNull(), "failed")
@@ -114,7 +132,7 @@ def clean_outcome(df: DataFrame, key: str, original: str, cleaned: str, sense: s
         .when(F.col("kept"), "cleaned")
         .otherwise("rejected")
     )
-    out = df.join(kept, key).withColumn("status", status)
+    out = only_removed(df, original, cleaned).withColumn("status", status)
     out = out.withColumn("final_text", F.when(F.col("status") == "cleaned", new).otherwise(text))
     yes = lambda c: F.coalesce(F.col(c), F.lit(True))
     out = out.withColumn("_v", review_verdict(yes(sense), yes(fits), F.trim("final_text") != ""))
@@ -151,6 +169,45 @@ def review_flags(pages: DataFrame, key: str, page: str, flagged: str, high: str,
     return g.select(key, (F.col("needs_review") | (note != "")).alias("needs_review"), "pages", "high", note.alias("note"))
 
 
+def corpus_totals(books: DataFrame, pages: DataFrame, characters: DataFrame, aliases: DataFrame, existing: dict[str, DataFrame]) -> DataFrame:
+    """One row of an import's totals.
+
+    books: skipped, referenced (booleans), author, illustrator, publisher; pages: book, story, image, layer, ocr, skipped,
+    cleaned, rejected, flagged, high, ocr_failed, judge_failed (booleans); existing: name of a people column to a table
+    with ``id``: shared records that are there before the import.  Every table is aggregated by itself to one row."""
+    new = ~F.col("skipped")
+    people = ("author", "illustrator", "publisher")
+    parts = [
+        books.agg(
+            F.count_if(new).alias("books"),
+            F.count_if(F.col("skipped")).alias("books_skipped"),
+            F.count_if(new & ~F.col("referenced")).alias("no_reference"),
+            *[F.count_distinct(F.when(new, F.col(p))).alias(f"{p}s") for p in people],
+        ),
+        pages.agg(
+            F.count("*").alias("pages"),
+            F.count_if("story").alias("story_pages"),
+            F.count_if("image").alias("images"),
+            F.count_if("layer").alias("pages_text_layer"),
+            F.count_if("ocr").alias("pages_needing_ocr"),
+            F.count_if("skipped").alias("pages_skipped_ocr"),
+            F.count_if("cleaned").alias("pages_cleaned"),
+            F.count_if("rejected").alias("pages_clean_rejected"),
+            F.count_if("flagged").alias("pages_flagged"),
+            F.count_if(F.col("flagged") & F.col("high")).alias("pages_flagged_high"),
+            F.count_if("ocr_failed").alias("ocr_failed"),
+            F.count_if("judge_failed").alias("judge_failed"),
+            F.count_distinct(F.when(F.col("flagged"), F.col("book"))).alias("books_flagged"),
+        ),
+        characters.agg(F.count("*").alias("characters")),
+        aliases.agg(F.count("*").alias("aliases")),
+    ]
+    for p in people:
+        held = books.where(new & F.col(p).isNotNull()).select(F.col(p).alias("id")).distinct().join(existing[p], "id", "left_semi")
+        parts.append(held.agg(F.count("*").alias(f"{p}s_existing")))
+    return reduce(DataFrame.crossJoin, parts)  # of one row each
+
+
 def image_counts(books: DataFrame, key: str, images: DataFrame, threshold: int = 2) -> DataFrame:
     """(key, n, reason): books with few page images; those without any count 0."""
     n = images.groupBy(key).agg(F.count("*").alias("n"))

@@ -85,7 +85,7 @@ def g4(t):
     return out.withColumns({"cost_usd": F.round("cost_usd", 4), "cost_per_book": F.round("cost_per_book", 6)})
 
 
-_OVERLAP = r"""WITH p AS (SELECT doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+_OVERLAP = r"""WITH p AS (SELECT doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(a, '')), '[a-z0-9]+')) AS w, 1 AS a, 0 AS b FROM p
   UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(b, '')), '[a-z0-9]+')), 0, 1 FROM p),
 k AS (SELECT doc_id, w, sum(a) AS a, sum(b) AS b FROM w GROUP BY 1, 2),
@@ -94,7 +94,7 @@ o AS (SELECT doc_id, coalesce(i / nullif(u, 0), 1.0) AS jaccard, coalesce(i / nu
 
 
 def overlaps(t):
-    pairs = t.documents.select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    pairs = t.documents.select("doc_id", "text", (F.col("doc_id") % t.benchmark.count()).alias("item_id"))
     pairs = pairs.join(t.benchmark.select("item_id", F.col("text").alias("reference")), "item_id").drop("item_id")
     return g.overlap(pairs, ["doc_id"], "text", "reference")
 
@@ -131,7 +131,7 @@ def cleaned(t):
 
 @query("g7_only_removed", _KEPT + "SELECT doc_id, kept FROM k")
 def g7(t):
-    return g.only_removed(cleaned(t), "doc_id", "text", "cleaned")
+    return g.only_removed(cleaned(t), "text", "cleaned").select("doc_id", "kept")
 
 
 @query(
@@ -156,10 +156,12 @@ def g9(t):
     "g10_cross_check",
     _OVERLAP
     + """SELECT round(avg(containment), 6) AS containment, round(avg(jaccard), 6) AS jaccard, count(*) FILTER (containment < 0.85) AS below,
-    (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM o WHERE doc_id % 3 = 0)) AS no_reference FROM o WHERE doc_id % 3 = 0""",
+    (SELECT count(*) FROM documents WHERE coalesce(lang, '') <> 'en') AS no_reference FROM o JOIN documents USING (doc_id) WHERE lang = 'en'""",
 )
 def g10(t):
-    out = g.cross_check(overlaps(t).where("doc_id % 3 = 0"), t.documents.select("doc_id"), "doc_id")
+    """The references are English, so texts in other languages have none."""
+    english = t.documents.where("lang = 'en'").select("doc_id")
+    out = g.cross_check(overlaps(t).join(english, "doc_id", "left_semi"), t.documents.select("doc_id"), "doc_id")
     return out.withColumns({"containment": F.round("containment", 6), "jaccard": F.round("jaccard", 6)})
 
 
@@ -176,23 +178,50 @@ def g11(t):
     return out.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))
 
 
-_TOTALS = {
-    "lines": "count(*)",
-    "returned": "count_if(l_returnflag = 'R')",
-    "open": "count_if(l_linestatus = 'O')",
-    "discounted": "count_if(l_discount > 0.05)",
-    "untaxed": "count_if(l_tax = 0)",
-    "small": "count_if(l_quantity < 10)",
-    "parts": "count(DISTINCT l_partkey)",
-    "suppliers": "count(DISTINCT l_suppkey)",
-    "orders": "count(DISTINCT l_orderkey)",
-    "skip_rate": "round(count_if(l_returnflag = 'R') / count(*), 9)",
-}
-
-
-@query("g12_totals", "SELECT " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" if k != "skip_rate" else f"{v} AS {k}" for k, v in _TOTALS.items()) + " FROM lineitem")
+@query(
+    "g12_totals",
+    """WITH b AS (SELECT o_orderpriority = '5-LOW' AS skipped, o_orderstatus = 'F' AS referenced, o_custkey AS author, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 77 END AS illustrator, o_orderpriority AS publisher FROM orders),
+    p AS (SELECT l_orderkey AS book, l_linestatus = 'F' AS story, l_quantity < 10 AS image, l_returnflag = 'A' AS layer, l_returnflag = 'R' AS ocr, l_returnflag = 'N' AS skip, l_discount < 0.02 AS cleaned,
+      l_discount >= 0.09 AS rejected, l_tax > 0.06 AS flagged, l_quantity > 40 AS high, l_linenumber = 7 AS ocr_failed, l_linenumber = 6 AS judge_failed FROM lineitem)
+    SELECT b.*, p.*, (SELECT count(*) FROM part) AS characters, (SELECT count(*) FROM supplier) AS aliases,
+      (SELECT count(DISTINCT author) FROM b WHERE NOT skipped AND author IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS authors_existing,
+      (SELECT count(DISTINCT illustrator) FROM b WHERE NOT skipped AND illustrator IN (SELECT s_suppkey FROM supplier)) AS illustrators_existing,
+      (SELECT count(DISTINCT publisher) FROM b WHERE NOT skipped AND publisher = '1-URGENT') AS publishers_existing
+    FROM (SELECT count(*) FILTER (NOT skipped) AS books, count(*) FILTER (skipped) AS books_skipped, count(*) FILTER (NOT skipped AND NOT referenced) AS no_reference,
+      count(DISTINCT author) FILTER (NOT skipped) AS authors, count(DISTINCT illustrator) FILTER (NOT skipped) AS illustrators, count(DISTINCT publisher) FILTER (NOT skipped) AS publishers FROM b) b,
+    (SELECT count(*) AS pages, count(*) FILTER (story) AS story_pages, count(*) FILTER (image) AS images, count(*) FILTER (layer) AS pages_text_layer, count(*) FILTER (ocr) AS pages_needing_ocr,
+      count(*) FILTER (skip) AS pages_skipped_ocr, count(*) FILTER (cleaned) AS pages_cleaned, count(*) FILTER (rejected) AS pages_clean_rejected, count(*) FILTER (flagged) AS pages_flagged,
+      count(*) FILTER (flagged AND high) AS pages_flagged_high, count(*) FILTER (ocr_failed) AS ocr_failed, count(*) FILTER (judge_failed) AS judge_failed, count(DISTINCT book) FILTER (flagged) AS books_flagged FROM p) p""",
+)
 def g12(t):
-    return t.lineitem.agg(*[F.expr(v).alias(k) for k, v in _TOTALS.items()])
+    books = t.orders.select(
+        (F.col("o_orderpriority") == "5-LOW").alias("skipped"),
+        (F.col("o_orderstatus") == "F").alias("referenced"),
+        F.col("o_custkey").alias("author"),
+        F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey") % 77).alias("illustrator"),
+        F.col("o_orderpriority").alias("publisher"),
+    )
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber")
+    pages = t.lineitem.select(
+        F.col("l_orderkey").alias("book"),
+        (F.col("l_linestatus") == "F").alias("story"),
+        (F.col("l_quantity") < 10).alias("image"),
+        (flag == "A").alias("layer"),
+        (flag == "R").alias("ocr"),
+        (flag == "N").alias("skipped"),
+        (F.col("l_discount") < 0.02).alias("cleaned"),
+        (F.col("l_discount") >= 0.09).alias("rejected"),
+        (F.col("l_tax") > 0.06).alias("flagged"),
+        (F.col("l_quantity") > 40).alias("high"),
+        (n == 7).alias("ocr_failed"),
+        (n == 6).alias("judge_failed"),
+    )
+    existing = {
+        "author": t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id")),
+        "illustrator": t.supplier.select(F.col("s_suppkey").alias("id")),
+        "publisher": t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderpriority").alias("id")),
+    }
+    return g.corpus_totals(books, pages, t.part, t.supplier, existing)
 
 
 @query(

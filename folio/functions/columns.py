@@ -193,6 +193,7 @@ def blank_text(c) -> Column:
 def isbn(c) -> Column:
     """An ISBN-13 if one is found, else an ISBN-10; no check digit is verified."""
     text = F.coalesce(col(c), F.lit(""))
+    # The layouts of an ISBN of thirteen and of ten digits
     long = F.regexp_extract(text, r"97[89][-\s]?(?:[0-9][-\s]?){9}[0-9]", 0)
     short = F.regexp_extract(text, r"\b[0-9][-\s]?(?:[0-9][-\s]?){8}[0-9X]\b", 0)
     return F.regexp_replace(F.coalesce(F.nullif(long, F.lit("")), F.nullif(short, F.lit(""))), r"[-\s]", "")

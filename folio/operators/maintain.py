@@ -22,9 +22,10 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, provided: list[str])
     return both.select(*pick)
 
 
-def insert_absent(target: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, rows that exist): the first row of an id counts."""
-    rows = rows.dropDuplicates([key])
+def insert_absent(target: DataFrame, rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to insert, rows that exist): the first row of an id in ``order`` counts."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    rows = rows.withColumn("_place", place).where("_place = 1").drop("_place")
     known = target.select(key)
     return rows.join(known, key, "left_anti"), rows.join(known, key, "left_semi")
 
@@ -58,11 +59,43 @@ def rename_children(children: DataFrame, ident: str, book: str, plan: DataFrame)
     return out.select(fixed.alias(ident), F.coalesce("new", book).alias(book), *keep)
 
 
-def rename_characters(characters: DataFrame, names: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rename_books(books: DataFrame, characters: DataFrame, titles: DataFrame, plan: DataFrame) -> DataFrame:
+    """Books after a rename plan: new id, title and folder, and the list of characters built again from the table.
+
+    books: id, title, photos_url, characters (array of ids) and others; characters: id, book; titles: id, title of the
+    renamed ones.  The list of a renamed book holds the new ids of all its characters, in order of id."""
+    good = plan.where(F.col("refused").isNull()).select(F.col("old").alias("id"), "new")
+    people = rename_children(characters, "id", "book", plan).groupBy("book").agg(F.array_sort(F.collect_list("id")).alias("_list"))
+    out = books.join(good, "id", "left").join(titles.select("id", F.col("title").alias("_title")), "id", "left")
+    out = out.join(people.withColumnRenamed("book", "new"), "new", "left")
+    moved = F.col("new").isNotNull()
+    folder = F.concat(F.regexp_extract("photos_url", "^(.*/)?", 1), F.col("_title"))
+    new = {
+        "id": F.coalesce("new", "id"),
+        "title": F.when(moved, F.col("_title")).otherwise(F.col("title")),
+        "photos_url": F.when(moved, folder).otherwise(F.col("photos_url")),
+        "characters": F.when(moved, F.coalesce("_list", F.array().cast("array<string>"))).otherwise(F.col("characters")),
+    }
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in books.columns])
+
+
+def rename_references(children: DataFrame, ref: str, book: str, plan: DataFrame) -> DataFrame:
+    """Children with the id in ``ref`` carried over to the new book where it begins with a renamed book's id; book: the old one."""
+    good = plan.where(F.col("refused").isNull()).select(F.col("old").alias(book), "new")
+    out = children.join(good, book, "left")
+    moved = F.concat("new", F.substring(F.col(ref), F.char_length(book) + 1, F.char_length(ref)))
+    mine = F.col("new").isNotNull() & F.startswith(F.col(ref), F.concat(F.col(book), F.lit("_")))
+    return out.withColumn(ref, F.when(mine, moved).otherwise(F.col(ref))).select(*children.columns)
+
+
+def rename_characters(
+    characters: DataFrame, names: DataFrame, aliases: DataFrame, books: DataFrame | None = None
+) -> tuple[DataFrame, ...]:
     """(characters, aliases) after renames (id, new_name); a change of case or spaces alone keeps the id,
     a name whose id is taken is refused and changes nothing.
 
-    characters: id, book, name; aliases: id, character.
+    characters: id, book, name; aliases: id, character.  With books (id, characters: array of ids) these follow as a third
+    table: a renamed id leaves the list and the new one joins its end, in order of the old ids.
     """
     fresh = F.concat_ws("_", "book", F.lower(F.translate("new_name", " ", "_")))
     asked = characters.join(names, "id").select("id", fresh.alias("new_id"), "new_name")
@@ -71,7 +104,15 @@ def rename_characters(characters: DataFrame, names: DataFrame, aliases: DataFram
     plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy("new_id").orderBy("id"))).where("_n = 1").drop("_taken", "_n")
     out = characters.join(plan, "id", "left").select(F.coalesce("new_id", "id").alias("id"), "book", F.coalesce("new_name", "name").alias("name"))
     moved = aliases.join(plan.select(F.col("id").alias("character"), "new_id"), "character", "left")
-    return out, moved.select(F.col("id"), F.coalesce("new_id", "character").alias("character"))
+    moved = moved.select(F.col("id"), F.coalesce("new_id", "character").alias("character"))
+    if books is None:
+        return out, moved
+    swaps = plan.where("id != new_id").join(characters.select("id", "book"), "id").groupBy(F.col("book").alias("id"))
+    swaps = swaps.agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("old"), F.col("new_id").alias("new")))).alias("_s"))
+    lists = books.join(swaps, "id", "left")
+    left = F.array_except("characters", F.transform("_s", lambda x: x["old"]))
+    swapped = F.concat(left, F.transform("_s", lambda x: x["new"]))
+    return out, moved, lists.withColumn("characters", F.coalesce(swapped, "characters")).drop("_s")
 
 
 def delete_plan(books: DataFrame, pages: DataFrame, characters: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFrame:

@@ -25,11 +25,11 @@ def m1(t):
 
 @query(
     "m2_insert_absent",
-    """SELECT DISTINCT o_custkey + 1000 AS c_custkey, o_custkey + 1000 IN (SELECT c_custkey FROM customer) AS existed FROM orders""",
+    """SELECT o_custkey + 1000 AS c_custkey, min(o_orderkey) AS first_order, o_custkey + 1000 IN (SELECT c_custkey FROM customer) AS existed FROM orders GROUP BY o_custkey""",
 )
 def m2(t):
-    rows = t.orders.select((F.col("o_custkey") + 1000).alias("c_custkey"))
-    new, old = m.insert_absent(t.customer, rows, "c_custkey")
+    rows = t.orders.select((F.col("o_custkey") + 1000).alias("c_custkey"), F.col("o_orderkey").alias("first_order"))
+    new, old = m.insert_absent(t.customer, rows, "c_custkey", ["first_order"])
     return new.withColumn("existed", F.lit(False)).unionByName(old.withColumn("existed", F.lit(True)))
 
 
@@ -55,14 +55,15 @@ def m3(t):
 
 _RENAMES = """WITH r AS (SELECT 'b' || CAST(o_orderkey AS VARCHAR) AS old, CASE o_orderkey % 30 WHEN 0 THEN 'b' || CAST(o_orderkey AS VARCHAR) WHEN 10 THEN 'b1'
   ELSE 'new' || CAST(o_orderkey AS VARCHAR) END AS new, o_orderkey AS k FROM orders WHERE o_orderkey % 10 = 0),
-p AS (SELECT old, new, CASE WHEN k % 30 = 0 THEN 'same id' WHEN k >= 14000 THEN 'source missing' WHEN k % 30 = 10 THEN 'target exists' END AS refused FROM r) """
+b AS (SELECT 'b' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus <> 'P'),
+p AS (SELECT old, new, CASE WHEN old = new THEN 'same id' WHEN old NOT IN (SELECT id FROM b) THEN 'source missing' WHEN new IN (SELECT id FROM b) THEN 'target exists' END AS refused FROM r) """
 
 
 def renames(t):
     k = F.col("o_orderkey")
     old = F.concat(F.lit("b"), S("o_orderkey"))
     new = F.when(k % 30 == 0, old).when(k % 30 == 10, "b1").otherwise(F.concat(F.lit("new"), S("o_orderkey")))
-    books = t.orders.where("o_orderkey < 14000").select(old.alias("id"))
+    books = t.orders.where("o_orderstatus != 'P'").select(old.alias("id"))
     return m.rename_plan(t.orders.where("o_orderkey % 10 = 0").select(old.alias("old"), new.alias("new")), books)
 
 
@@ -83,32 +84,90 @@ def m4_children(t):
     return m.rename_children(pages, "id", "book", renames(t))
 
 
+_LISTS = _RENAMES + """, l AS (SELECT 'b' || CAST(l_orderkey AS VARCHAR) AS book, 'b' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS id, l_linenumber AS n FROM lineitem),
+o AS (SELECT 'b' || CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'P') """
+
+
+@query(
+    "m4_rename_books",
+    _LISTS
+    + """, c AS (SELECT book, string_agg(coalesce(new, book) || substring(id, length(book) + 1), ',' ORDER BY coalesce(new, book) || substring(id, length(book) + 1)) AS people
+      FROM l LEFT JOIN p ON p.old = book AND refused IS NULL GROUP BY 1)
+    SELECT coalesce(new, o.id) AS id, CASE WHEN new IS NULL THEN 'T ' || o.id ELSE 'N ' || o.id END AS title, CASE WHEN new IS NULL THEN 'scans/T ' || o.id ELSE 'scans/N ' || o.id END AS photos_url,
+      CASE WHEN new IS NULL THEN 'kept' ELSE coalesce(people, '') END AS characters, s AS status
+    FROM o LEFT JOIN p ON p.old = o.id AND refused IS NULL LEFT JOIN c ON c.book = o.id""",
+)
+def m4_books(t):
+    book, old = F.concat(F.lit("b"), S("l_orderkey")), F.concat(F.lit("b"), S("o_orderkey"))
+    title = F.concat(F.lit("T "), old)
+    books = t.orders.where("o_orderstatus != 'P'").select(
+        old.alias("id"), title.alias("title"), F.concat(F.lit("scans/"), title).alias("photos_url"), F.array(F.lit("kept")).alias("characters"), F.col("o_orderstatus").alias("status")
+    )
+    people = t.lineitem.select(F.concat_ws("_", book, S("l_linenumber")).alias("id"), book.alias("book"))
+    titles = books.select("id", F.concat(F.lit("N "), "id").alias("title"))
+    return m.rename_books(books, people, titles, renames(t)).withColumn("characters", F.array_join("characters", ","))
+
+
+@query(
+    "m4_rename_references",
+    _LISTS
+    + """SELECT book || '/' || CAST(n AS VARCHAR) AS alias, CASE WHEN n = 1 THEN 'x' || id WHEN new IS NULL THEN id ELSE new || substring(id, length(book) + 1) END AS character
+    FROM l LEFT JOIN p ON p.old = book AND refused IS NULL""",
+)
+def m4_references(t):
+    book, n = F.concat(F.lit("b"), S("l_orderkey")), S("l_linenumber")
+    # references that lead to no child of the book stay as they are
+    who = F.concat(F.when(F.col("l_linenumber") == 1, "x").otherwise(""), F.concat_ws("_", book, n))
+    aliases = t.lineitem.select(F.concat_ws("/", book, n).alias("alias"), who.alias("character"), book.alias("book"))
+    return m.rename_references(aliases, "character", "book", renames(t)).drop("book")
+
+
 def _people(t):
     book = (F.col("p_partkey") % 50).cast("string")
     name = F.concat(F.lit("Ann "), S("p_partkey"))
     return t.part.select(F.concat_ws("_", book, F.lower(F.translate(name, " ", "_"))).alias("id"), book.alias("book"), name.alias("name"), "p_partkey")
 
 
-@query(
-    "m5_rename_characters",
-    """WITH c AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS book, p_partkey AS k FROM part)
-    SELECT 'character' AS kind, book || '_' || CASE WHEN k % 7 = 1 THEN 'bob_' ELSE 'ann_' END || CAST(k AS VARCHAR) AS id,
-    CASE k % 7 WHEN 0 THEN 'ANN ' || CAST(k AS VARCHAR) WHEN 1 THEN 'Bob ' || CAST(k AS VARCHAR) ELSE 'Ann ' || CAST(k AS VARCHAR) END AS name FROM c
-    UNION ALL SELECT 'alias', CAST(k AS VARCHAR), book || '_' || CASE WHEN k % 7 = 1 THEN 'bob_' ELSE 'ann_' END || CAST(k AS VARCHAR) FROM c""",
-)
-def m5(t):
+_RENAMED = """WITH c AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS book, p_partkey AS k, 'Ann ' || CAST(p_partkey AS VARCHAR) AS name, CAST(p_partkey % 50 AS VARCHAR) || '_ann_' || CAST(p_partkey AS VARCHAR) AS id FROM part),
+a AS (SELECT *, CASE k % 7 WHEN 0 THEN 'ANN ' || CAST(k AS VARCHAR) WHEN 1 THEN 'Bob ' || CAST(k AS VARCHAR) WHEN 2 THEN 'Ann ' || CAST((k + 50) % 1000 AS VARCHAR) END AS asked FROM c),
+n AS (SELECT *, book || '_' || lower(replace(asked, ' ', '_')) AS new_id FROM a WHERE asked IS NOT NULL),
+g AS (SELECT id, new_id, asked, book FROM n WHERE new_id = id OR new_id NOT IN (SELECT id FROM c) QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY id) = 1) """
+
+
+def _renamed(t):
     people = _people(t)
     k = F.col("p_partkey") % 7
-    # a change of case, a new name, and a name that the book has already
+    # a change of case, a new name, and a name that the book may have already
     new = F.when(k == 0, F.upper("name")).when(k == 1, F.replace(F.col("name"), F.lit("Ann"), F.lit("Bob")))
     new = new.when(k == 2, F.concat(F.lit("Ann "), ((F.col("p_partkey") + 50) % F.lit(1000)).cast("string")))
-    names = people.where((k < 2) | ((k == 2) & (F.col("p_partkey") < 900))).select("id", new.alias("new_name"))
+    names = people.where(k < 3).select("id", new.alias("new_name"))
     aliases = people.select(S("p_partkey").alias("aid"), F.col("id").alias("character")).withColumnRenamed("aid", "id")
-    chars, moved = m.rename_characters(people.select("id", "book", "name"), names, aliases)
+    books = people.groupBy(F.col("book").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("characters"))
+    return m.rename_characters(people.select("id", "book", "name"), names, aliases, books)
+
+
+@query(
+    "m5_rename_characters",
+    _RENAMED
+    + """SELECT 'character' AS kind, coalesce(g.new_id, c.id) AS id, coalesce(g.asked, c.name) AS name FROM c LEFT JOIN g ON g.id = c.id
+    UNION ALL SELECT 'alias', CAST(k AS VARCHAR), coalesce(g.new_id, c.id) FROM c LEFT JOIN g ON g.id = c.id""",
+)
+def m5(t):
+    chars, moved, _ = _renamed(t)
     out = chars.select(F.lit("character").alias("kind"), "id", "name")
     return out.unionByName(moved.select(F.lit("alias").alias("kind"), "id", F.col("character").alias("name")))
 
 
+@query(
+    "m5_character_lists",
+    _RENAMED
+    + """, s AS (SELECT c.book, c.id, g.new_id FROM c LEFT JOIN g ON g.id = c.id AND g.new_id <> g.id)
+    SELECT book AS id, string_agg(coalesce(new_id, id), ',' ORDER BY new_id IS NOT NULL, id) AS characters FROM s GROUP BY 1""",
+)
+def m5_lists(t):
+    return _renamed(t)[2].select("id", F.array_join("characters", ",").alias("characters"))
+
+
 @query(
     "m6_delete_plan",
     """WITH b AS (SELECT CAST(o_orderkey AS VARCHAR) AS book FROM orders WHERE o_orderkey % 100 = 0),
@@ -142,6 +201,18 @@ def m6_people(t):
     return m.deletable_people(t.customer, "c_custkey", books, ["author", "illustrator"])
 
 
+@query(
+    "m6_protected",
+    """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'users' WHEN 2 THEN 'collections' WHEN 3 THEN 'edit_log' WHEN 4 THEN 'extraction_errors' WHEN 5 THEN 'books' ELSE 'pages' END AS collection,
+    l_linenumber <= 4 AS refused FROM lineitem""",
+)
+def m6_protected(t):
+    k = F.col("l_linenumber")
+    name = F.when(k == 1, "users").when(k == 2, "collections").when(k == 3, "edit_log").when(k == 4, "extraction_errors").when(k == 5, "books").otherwise("pages")
+    asked = t.lineitem.select("l_orderkey", "l_linenumber", name.alias("collection"))
+    return asked.withColumn("refused", m.protected("collection"))
+
+
 _PAGES = "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem"
 
 
@@ -217,12 +288,12 @@ f AS (SELECT book || '_' || lower(replace(al, ' ', '_')) AS id, book, ch, al FRO
 @query(
     "m10_commit_characters",
     _SUGGESTED
-    + """SELECT 'character' AS kind, id, name, NULL AS character FROM n UNION ALL SELECT 'alias', id, al, ch FROM f WHERE id NOT IN (SELECT 'x')
+    + """SELECT 'character' AS kind, id, name, NULL AS character FROM n UNION ALL SELECT 'alias', id, al, ch FROM f WHERE id NOT IN (SELECT CAST(p_partkey AS VARCHAR) || '_puss_' || CAST(p_partkey AS VARCHAR) FROM part)
     UNION ALL SELECT 'unresolved', book, name, target FROM i WHERE ch NOT IN (SELECT id FROM known)""",
 )
 def m10(t):
     characters = t.orders.select(F.concat(S("o_orderkey"), F.lit("_cat_1")).alias("id"))
-    aliases = t.orders.limit(0).select(S("o_orderkey").alias("id"))
+    aliases = t.part.select(F.concat(S("p_partkey"), F.lit("_puss_"), S("p_partkey")).alias("id"))
     new, names, lost = m.commit_characters(_suggested(t), characters, aliases)
     none = F.lit(None).cast("string")
     out = new.select(F.lit("character").alias("kind"), "id", "name", none.alias("character"))

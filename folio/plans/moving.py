@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import columns as c
@@ -35,9 +38,30 @@ def a5(t):
     """SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS norm, p_brand AS name, 'NO' AS human FROM part WHERE p_size % 3 = 2""",
 )
 def a6(t):
+    return _character_source(t)[2]
+
+
+def _character_source(t):
     k = F.col("p_size") % 3
-    rows = t.part.select(F.col("p_name").alias("book"), F.col("p_brand").alias("name"), F.when(k == 0, " h").when(k == 1, "NH").otherwise("NO").alias("human"))
-    return s.character_source(rows, rows)[2]
+    rows = t.part.select("p_partkey", F.col("p_name").alias("book"), F.col("p_brand").alias("name"), F.when(k == 0, " h").when(k == 1, "NH").otherwise("NO").alias("human"))
+    aliases = t.part.select("p_partkey", F.upper("p_name").alias("book"), F.col("p_type").alias("alias"))
+    return s.character_source(rows, aliases)
+
+
+@query(
+    "a6_characters",
+    """SELECT p_partkey, p_name AS book, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS norm, p_brand AS name, p_size % 3 <> 1 AS human FROM part""",
+)
+def a6_characters(t):
+    return _character_source(t)[0]
+
+
+@query(
+    "a6_aliases",
+    """SELECT p_partkey, upper(p_name) AS book, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS norm, p_type AS alias FROM part""",
+)
+def a6_aliases(t):
+    return _character_source(t)[1]
 
 
 @query("a7_column_json", """SELECT CAST(p_partkey AS VARCHAR) AS k, p_name AS title, p_brand AS text FROM part""")
@@ -48,7 +72,7 @@ def a7(t):
     return s.first_usable(s.column_json(broken, "raw"), s.column_json(docs, "raw"))
 
 
-_PATHS = "'saw/' || CASE WHEN l_suppkey % 11 = 0 THEN 'uploads' ELSE 'Book ' || CAST(l_suppkey AS VARCHAR) END || '/' || CASE l_linenumber % 4 WHEN 0 THEN 'Page_' WHEN 1 THEN 'page_' WHEN 2 THEN 'cover_' ELSE 'page_' END || CAST(l_partkey AS VARCHAR) || CASE WHEN l_linenumber % 4 = 3 THEN '_cropped' ELSE '' END || '.jpg'"
+_PATHS = "'scans/' || CASE WHEN l_suppkey % 11 = 0 THEN 'uploads' ELSE 'Book ' || CAST(l_suppkey AS VARCHAR) END || '/' || CASE l_linenumber % 4 WHEN 0 THEN 'Page_' WHEN 1 THEN 'page_' WHEN 2 THEN 'cover_' ELSE 'page_' END || CAST(l_partkey AS VARCHAR) || CASE WHEN l_linenumber % 4 = 3 THEN '_cropped' ELSE '' END || '.jpg'"
 
 
 def listing(t):
@@ -56,14 +80,16 @@ def listing(t):
     folder = F.when(F.col("l_suppkey") % 11 == 0, "uploads").otherwise(F.concat(F.lit("Book "), F.col("l_suppkey").cast("string")))
     head = F.when(k == 0, "Page_").when(k == 2, "cover_").otherwise("page_")
     file = F.concat(head, F.col("l_partkey").cast("string"), F.when(k == 3, "_cropped").otherwise(""), F.lit(".jpg"))
-    return t.lineitem.select(F.concat_ws("/", F.lit("saw"), folder, file).alias("path"))
+    return t.lineitem.select(F.concat_ws("/", F.lit("scans"), folder, file).alias("path"))
 
 
 @query(
     "a8_inventory",
-    f"""WITH p AS (SELECT {_PATHS} AS path, l_suppkey, l_partkey, l_linenumber % 4 AS k FROM lineitem)
-    SELECT path, 'saw/Book ' || CAST(l_suppkey AS VARCHAR) AS folder, CASE WHEN k <> 2 THEN CAST(l_partkey AS INTEGER) END AS page_number,
-    CASE k WHEN 2 THEN NULL WHEN 3 THEN '_cropped' ELSE '' END AS variant, k IN (0, 1) AS is_page FROM p WHERE l_suppkey % 11 <> 0""",
+    rf"""WITH p AS (SELECT {_PATHS} AS path FROM lineitem),
+    f AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, lower(regexp_extract(path, '[^/]*$')) AS file FROM p),
+    n AS (SELECT *, nullif(regexp_extract(file, '^page_([0-9]+)(_cropped|_display)?\.jpg$', 1), '') AS number, regexp_extract(file, '^page_([0-9]+)(_cropped|_display)?\.jpg$', 2) AS kind FROM f)
+    SELECT path, folder, CAST(number AS INTEGER) AS page_number, CASE WHEN number IS NOT NULL THEN kind END AS variant, number IS NOT NULL AND kind = '' AS is_page
+    FROM n WHERE regexp_extract(folder, '[^/]*$') <> 'uploads'""",
 )
 def a8(t):
     return s.inventory(listing(t), "path").drop("file")
@@ -71,25 +97,35 @@ def a8(t):
 
 @query(
     "a9_reviewed_lines",
-    """SELECT CASE WHEN o_orderkey % 4 = 1 THEN 's3_prefix' ELSE 'document' END AS kind, CASE WHEN o_orderkey % 4 <> 1 THEN 'books' END AS collection,
-    CASE WHEN o_orderkey % 4 <> 1 THEN 'b/' || CAST(o_orderkey AS VARCHAR) END AS doc_id, CASE WHEN o_orderkey % 4 = 1 THEN 'saw/' || CAST(o_orderkey AS VARCHAR) END AS path
-    FROM orders WHERE o_orderkey % 4 IN (0, 1)""",
+    """WITH l AS (SELECT trim(CASE o_orderkey % 4 WHEN 0 THEN '  books/b/' WHEN 1 THEN 's3: scans/' WHEN 2 THEN '# ' ELSE '  ' END || CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END) AS line FROM orders),
+    k AS (SELECT line, starts_with(line, 's3:') AS s3 FROM l WHERE line <> '' AND NOT starts_with(line, '#'))
+    SELECT CASE WHEN s3 THEN 's3_prefix' ELSE 'document' END AS kind, CASE WHEN NOT s3 THEN split_part(line, '/', 1) END AS collection,
+    CASE WHEN NOT s3 THEN regexp_extract(line, '^[^/]*/(.*)$', 1) END AS doc_id, CASE WHEN s3 THEN trim(substring(line, 4)) END AS path FROM k WHERE s3 OR contains(line, '/')""",
 )
 def a9(t):
     k, n = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
-    line = F.when(k == 0, F.concat(F.lit("  books/b/"), n)).when(k == 1, F.concat(F.lit("s3: saw/"), n)).when(k == 2, F.concat(F.lit("# "), n)).otherwise("  ")
+    line = F.when(k == 0, F.concat(F.lit("  books/b/"), n)).when(k == 1, F.concat(F.lit("s3: scans/"), n)).when(k == 2, F.concat(F.lit("# "), n)).otherwise("  ")
     path = shared_path(t.spark, "reviewed")
     t.orders.select(line.alias("value")).write.text(path)
     records, rejects = s.reviewed_lines(t.spark.read.text(path))
     return records
 
 
-@query("a10_export", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS status FROM orders")
+@query(
+    "a10_export",
+    """SELECT 'orders' AS collection, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS value FROM orders
+    UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_mktsegment FROM customer UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_name FROM part""",
+)
 def a10(t):
     path = shared_path(t.spark, "export")
-    s.export({"orders": t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"))}, path)
-    back = t.spark.read.option("header", True).schema("o_orderkey string, status string").csv(f"{path}/orders")
-    return back.withColumn("status", F.coalesce("status", F.lit("")))
+    tables = {
+        "orders": t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("value")),
+        "customer": t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value")),
+        "part": t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("value")),
+    }
+    s.export(tables, path)
+    back = lambda name: t.spark.read.option("header", True).schema("id string, value string").csv(f"{path}/{name}").withColumn("collection", F.lit(name))
+    return reduce(DataFrame.unionByName, map(back, tables)).withColumn("value", F.coalesce("value", F.lit("")))
 
 
 @query(
@@ -118,8 +154,17 @@ def a12(t):
     """SELECT category, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('none')) c(category) LEFT JOIN orders ON o_orderstatus = category GROUP BY 1""",
 )
 def a13(t):
+    return _candidates(t)[1]
+
+
+@query("a13_candidates", """SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE '' END AS category, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders""")
+def a13_candidates(t):
+    return _candidates(t)[0].withColumn("category", F.when(F.col("category") != "P", F.col("category")).otherwise(""))
+
+
+def _candidates(t):
     found = t.orders.select(F.col("o_orderstatus").alias("category"), "o_orderkey")
-    return s.candidate_report(found, ["F", "O", "P", "none"])[1]
+    return s.candidate_report(found, ["F", "O", "P", "none"])
 
 
 @query(
@@ -198,25 +243,68 @@ def f3(t):
 
 @query(
     "m12_import",
-    """WITH b AS (SELECT p_partkey, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS title, p_brand AS author FROM part WHERE p_partkey % 5 <> 0),
-    i AS (SELECT *, lower(replace(title, ' ', '_')) AS id FROM b)
-    SELECT 'author' AS kind, lower(replace(author, ' ', '_')) AS id FROM i GROUP BY 2
-    UNION ALL SELECT 'page', id || '_' || CAST(n AS VARCHAR) FROM i, (VALUES (1), (2), (3)) v(n)
-    UNION ALL SELECT DISTINCT 'character', id || '_' || lower(l_returnflag) FROM i JOIN lineitem ON l_partkey = p_partkey
-    UNION ALL SELECT 'book', id FROM i""",
+    """WITH b AS (SELECT p_partkey, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS title, p_brand, p_type, p_size FROM part WHERE p_partkey % 5 <> 0),
+    i AS (SELECT *, lower(replace(title, ' ', '_')) AS id FROM b),
+    l AS (SELECT l_partkey, CAST(l_linenumber AS BIGINT) AS n, l_linestatus = 'F' AS ok, l_returnflag || ' text ' || CAST(l_orderkey AS VARCHAR) AS text, l_returnflag AS who, l_orderkey, l_suppkey FROM lineitem),
+    r AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY l_partkey, n ORDER BY l_orderkey, text) = 1),
+    g AS (SELECT id, unnest(range(1, 1 + 1 + p_partkey % 6)) AS n, p_partkey FROM i),
+    p AS (SELECT id, g.n, CASE WHEN ok THEN text ELSE '' END AS text, ok IS NULL OR NOT ok AS flagged FROM g LEFT JOIN r ON r.l_partkey = g.p_partkey AND r.n = g.n),
+    c AS (SELECT id AS book, id || '_' || lower(who) AS id, who FROM i JOIN l ON l_partkey = p_partkey),
+    a AS (SELECT i.id || '_supplier_' || CAST(l_suppkey AS VARCHAR) AS id, i.id || '_' || lower(who) AS character, who, l_orderkey, l.n FROM i JOIN l ON l_partkey = p_partkey)
+    SELECT 'author' AS kind, lower(replace(p_brand, ' ', '_')) AS id, min(p_brand) AS value, '' AS ref, false AS flagged FROM i GROUP BY 2
+    UNION ALL SELECT 'illustrator', lower(p_type), min(p_type), '', false FROM i GROUP BY 2
+    UNION ALL SELECT 'publisher', 'house_' || CAST(p_size AS VARCHAR), 'House ' || CAST(p_size AS VARCHAR), '', false FROM i GROUP BY p_size
+    UNION ALL SELECT 'page', id || '_' || CAST(n AS VARCHAR), text, id, flagged FROM p
+    UNION ALL SELECT 'character', id, min(who), min(book), false FROM c GROUP BY id
+    UNION ALL SELECT 'alias', id, 'Supplier', arg_min(character, l_orderkey * 10 + n), false FROM a GROUP BY id
+    UNION ALL SELECT 'book', i.id, title, lower(replace(p_brand, ' ', '_')), coalesce(f.any_flag, false) FROM i LEFT JOIN (SELECT id, bool_or(flagged) AS any_flag FROM p GROUP BY 1) f ON f.id = i.id""",
 )
 def m12(t):
-    """The tables of an import in one job, existing books left out: authors, pages, characters, and the books last."""
+    """The seven tables of an import in one job, existing books left out: people and houses, pages with their text and
+    flags, characters, aliases, and the books last."""
     title = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
-    sheet = t.part.select("p_partkey", title.alias("title"), F.col("p_brand").alias("author"), c.document_id(title).alias("id"))
+    sheet = t.part.select(
+        "p_partkey",
+        title.alias("title"),
+        F.col("p_brand").alias("author"),
+        F.col("p_type").alias("illustrator"),
+        F.concat(F.lit("House "), F.col("p_size").cast("string")).alias("publisher"),
+        c.document_id(title).alias("id"),
+    )
     have = sheet.where("p_partkey % 5 = 0").select("id")
-    books, _ = m.insert_absent(have, sheet, "id")
-    authors = books.select(c.document_id("author").alias("id"), "author", "p_partkey")
-    authors = w.first_wins(authors, "id", ["p_partkey"]).select(F.lit("author").alias("kind"), "id")
-    results = t.part.limit(0).select(F.lit("").alias("id"), F.lit(1).alias("page"), F.lit(True).alias("ok"), F.lit("").alias("text"), F.lit("").alias("error"))
-    pages, _ = m.complete_pages(books.withColumn("n", F.lit(3)), "id", "n", results, "page")
-    pages = pages.select(F.lit("page").alias("kind"), c.document_id("id", "page").alias("id"))
-    people = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_returnflag", "l_orderkey", "l_linenumber").join(books.select("p_partkey", F.col("id").alias("book")), "p_partkey")
-    people = people.withColumn("id", c.document_id("book", "l_returnflag"))
-    people = w.first_wins(people, "id", ["l_orderkey", "l_linenumber"]).select(F.lit("character").alias("kind"), "id")
-    return authors.unionByName(pages).unionByName(people).unionByName(books.select(F.lit("book").alias("kind"), "id"))
+    books, _ = m.insert_absent(have, sheet, "id", ["p_partkey"])
+    no = F.lit(False).alias("flagged")
+    shared = []
+    for kind in ("author", "illustrator", "publisher"):
+        rows = books.select(c.document_id(kind).alias("id"), F.col(kind).alias("value"), "p_partkey")
+        shared.append(w.first_wins(rows, "id", ["value", "p_partkey"]).select(F.lit(kind).alias("kind"), "id", "value", F.lit("").alias("ref"), no))
+    lines = t.lineitem.select(
+        F.col("l_partkey").alias("p_partkey"),
+        F.col("l_linenumber").cast("int").alias("page"),
+        (F.col("l_linestatus") == "F").alias("ok"),
+        F.concat(F.col("l_returnflag"), F.lit(" text "), F.col("l_orderkey").cast("string")).alias("text"),
+        F.col("l_returnflag").alias("who"),
+        "l_orderkey",
+        "l_suppkey",
+        F.lit("no text").alias("error"),
+    ).join(books.select("p_partkey", "id"), "p_partkey")
+    results = w.preferred(lines.withColumn("_k", F.concat_ws("|", "id", "page")), "_k", [F.col("l_orderkey"), F.col("text")])
+    jobs = books.withColumn("n", (1 + F.col("p_partkey") % 6).cast("int"))
+    pages, _ = m.complete_pages(jobs, "id", "n", results.select("id", "page", "ok", "text", "error"), "page")
+    pages = pages.select(c.document_id("id", "page").alias("pid"), "text", "id", (F.col("outcome") != "done").alias("flagged"))
+    flags = pages.groupBy("id").agg(F.bool_or("flagged").alias("flagged"))
+    people = lines.select(c.document_id("id", "who").alias("cid"), "who", "id", "l_orderkey", "page", "l_suppkey")
+    characters = w.first_wins(people, "cid", ["who", "l_orderkey", "page"])
+    aliases = people.withColumn("aid", F.concat(F.col("id"), F.lit("_supplier_"), F.col("l_suppkey").cast("string")))
+    aliases = w.first_wins(aliases, "aid", ["l_orderkey", "page"])
+    head = books.join(flags, "id", "left").select(
+        F.lit("book").alias("kind"), "id", F.col("title").alias("value"), c.document_id("author").alias("ref"), F.coalesce("flagged", F.lit(False)).alias("flagged")
+    )
+    parts = [
+        *shared,
+        pages.select(F.lit("page").alias("kind"), F.col("pid").alias("id"), F.col("text").alias("value"), F.col("id").alias("ref"), "flagged"),
+        characters.select(F.lit("character").alias("kind"), F.col("cid").alias("id"), F.col("who").alias("value"), F.col("id").alias("ref"), no),
+        aliases.select(F.lit("alias").alias("kind"), F.col("aid").alias("id"), F.lit("Supplier").alias("value"), F.col("cid").alias("ref"), no),
+        head,
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -37,11 +37,10 @@ def t2(t):
 @query(
     "t3_recently_active",
     """SELECT user_id, CAST(max(ts) FILTER (event_type = 'view') AS VARCHAR) IS NOT NULL AS seen, max(ts) >= TIMESTAMP '2024-01-16 10:00:00' AS active
-    FROM events WHERE event_type = 'view' AND event_id % 50 = 0 GROUP BY user_id""",
+    FROM events WHERE event_type = 'view' GROUP BY user_id""",
 )
 def t3(t):
-    records = stream(t, "events").where("event_id % 50 = 0")
-    latest = o.latest_activity(records, "user_id", "ts", F.col("event_type") == "view")
+    latest = o.latest_activity(stream(t, "events"), "user_id", "ts", F.col("event_type") == "view")
     merged = o.run_to_end(latest, "active", "update", lambda df: df.groupBy("user_id").agg(F.max("last").alias("last")))
     return o.recently_active(merged, "2024-01-16 12:00:00").select("user_id", F.lit(True).alias("seen"), "active")
 
@@ -60,10 +59,10 @@ def t4(t):
     SELECT o_orderkey AS session, 'ready' AS event FROM orders JOIN h ON l_orderkey = o_orderkey WHERE o_custkey % 5 > 0 AND have = list_transform(range(1, 1 + o_custkey % 5), lambda x: CAST(x AS VARCHAR))""",
 )
 def t5(t):
-    files = stream(t, "lineitem").select(F.col("l_orderkey").alias("session"), F.lit("file").alias("kind"), F.col("l_linenumber").cast("string").alias("name"))
+    files = stream(t, "lineitem").select(F.col("l_orderkey").alias("session"), F.lit(0.0).alias("at"), F.lit("file").alias("kind"), F.col("l_linenumber").cast("string").alias("name"))
     k = (F.col("o_custkey") % 5).cast("int")
     names = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda x: x.cast("string")), "|")
-    manifests = stream(t, "orders").select(F.col("o_orderkey").alias("session"), F.lit("manifest").alias("kind"), F.when(k > 0, names).otherwise("").alias("name"))
+    manifests = stream(t, "orders").select(F.col("o_orderkey").alias("session"), F.lit(1.0).alias("at"), F.lit("manifest").alias("kind"), F.when(k > 0, names).otherwise("").alias("name"))
     return o.run_to_end(o.uploads(files.unionByName(manifests)), "uploads")
 
 
@@ -88,6 +87,12 @@ def t7(t):
     return o.run_to_end(o.error_counts(errors, "ts", ["flow"]), "errors")
 
 
+@query("t7_error_log", "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day, props FROM events WHERE event_type = 'error'")
+def t7_log(t):
+    errors = stream(t, "events").where("event_type = 'error'").select("event_id", "user_id", "ts", "props")
+    return o.run_to_end(o.error_log(errors, "ts"), "error-log").drop("ts")
+
+
 @query(
     "t8_page_outcomes",
     """SELECT user_id, arg_max(event_type, ts) AS outcome, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "at" FROM events GROUP BY user_id""",

@@ -1,8 +1,8 @@
 """Structured Streaming operators, each with a batch twin.
 
-Stateful ones keep a state per key: its size is bounded by the key, not by the stream.  Rows of a
-key are taken in order of time within a micro-batch; streams are expected to keep that order between
-micro-batches, and rows later than the stated watermark are dropped where one is used.
+Stateful ones keep a state per key: its size is bounded by the key, not by the stream, and it goes when the key
+has been idle for ``IDLE_MS``.  Rows of a key are taken in order of time within a micro-batch; streams are expected to keep
+that order between micro-batches, and rows later than the stated watermark are dropped where one is used.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folio.sources.shared import shared_path
 
+#: Milliseconds without a row after which a key's state is given up: 30 days.
+IDLE_MS = 30 * 24 * 3600 * 1000
 THROTTLE_S, ACTIVE_MIN, LEASE_S, STALL_POLLS, LIMIT = 30, 120, 180, 20, 5
 
 
@@ -42,12 +44,16 @@ def _by_key(df: DataFrame, key: str, step: Callable[[tuple, pd.DataFrame, object
         return df.groupBy(key).applyInPandas(whole, output)
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(parts), ignore_index=True)
         out, new = step(k, rows, held.get if held.exists else empty)
         held.update(new)
+        held.setTimeoutDuration(IDLE_MS)
         yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def heartbeats(beats: DataFrame, throttle: int = THROTTLE_S) -> DataFrame:
@@ -111,26 +117,30 @@ def uploads(items: DataFrame) -> DataFrame:
     """(session, event): ready once when the files seen are those of the manifest, stalled after STALL_POLLS
     unchanged polls with files present.
 
-    items: session long, kind (file, manifest, poll), name string; a manifest item holds names joined by '|'."""
+    items: session long, at double (order of arrival), kind (file, manifest, poll), name string; a manifest item holds names
+    joined by '|'.  What has one time arrived together: files count before manifests and these before polls."""
 
     def step(k, rows, state):
         files, manifest, polls, done = state
         have = set(files.split("|")) - {""}
-        new = set(rows.loc[rows["kind"] == "file", "name"].dropna())
-        lists = rows.loc[rows["kind"] == "manifest", "name"].dropna()
-        manifest = lists.iloc[-1] if len(lists) else manifest
-        polls = 0 if new - have else polls + int((rows["kind"] == "poll").sum())
-        have |= new
-        want = set(manifest.split("|")) - {""}
         out = []
-        if not done and want and want == have:
-            done, out = True, [(int(k[0]), "ready")]
-        elif not done and have and polls >= STALL_POLLS:
-            polls, out = 0, [(int(k[0]), "stalled")]
+        for _, now in rows.groupby("at", sort=True, dropna=False):
+            new = set(now.loc[now["kind"] == "file", "name"].dropna()) - have
+            lists = sorted(now.loc[now["kind"] == "manifest", "name"].dropna())
+            manifest = lists[-1] if lists else manifest
+            polls, have = 0 if new else polls, have | new
+            want = set(manifest.split("|")) - {""}
+            if not done and want and want == have:
+                done = True
+                out.append((int(k[0]), "ready"))
+            polls += int((now["kind"] == "poll").sum())
+            if not done and have and polls >= STALL_POLLS:
+                polls = 0
+                out.append((int(k[0]), "stalled"))
         return out, ("|".join(sorted(have)), manifest, polls, done)
 
     kinds = "files string, manifest string, polls int, done boolean"
-    return _by_key(items.select("session", "kind", "name"), "session", step, "session long, event string", kinds, ("", "", 0, False))
+    return _by_key(items.select("session", "at", "kind", "name"), "session", step, "session long, event string", kinds, ("", "", 0, False))
 
 
 def finished_jobs(results: DataFrame) -> DataFrame:
@@ -150,6 +160,11 @@ def finished_jobs(results: DataFrame) -> DataFrame:
     return _by_key(rows, "job", step, "job long, n int", "seen string, done boolean", ("", False))
 
 
+def error_log(errors: DataFrame, time: str) -> DataFrame:
+    """Errors as rows of an append-only table by day."""
+    return timed(errors, time).withColumn("day", F.date_format(time, "yyyy-MM-dd"))
+
+
 def error_counts(errors: DataFrame, time: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Errors by hour and keys; an hour is final once the watermark has passed its end."""
     grouped = timed(errors, time).withWatermark(time, late).groupBy(F.window(time, "1 hour"), *keys)

@@ -10,13 +10,14 @@ from folio.streaming import operators as o
 
 @pytest.fixture()
 def split(spark, tmp_path):
-    """Rows as a stream of three files, each a micro-batch, in order."""
+    """Rows as a stream of three files, each a micro-batch; within a file in an order of their own."""
 
     def make(rows, schema):
         df = spark.createDataFrame(rows, schema)
         third = -(-len(rows) // 3)
         for k in range(3):
-            spark.createDataFrame(rows[k * third : (k + 1) * third], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            part = rows[k * third : (k + 1) * third]
+            spark.createDataFrame(random.Random(k).sample(part, len(part)), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         return df, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
 
     return make
@@ -86,14 +87,16 @@ def test_finished_jobs_once(split):
 
 
 def test_uploads_wait_for_the_manifest(split):
-    rows = [(1, "file", "a"), (2, "file", "a"), (1, "manifest", "b|a"), (3, "manifest", ""), (1, "file", "b"), (3, "file", "x")]
-    df, stream = split(rows, "session long, kind string, name string")
+    rows = [(1, 0.0, "file", "a"), (2, 1.0, "file", "a"), (1, 2.0, "manifest", "b|a"), (3, 3.0, "manifest", ""), (1, 4.0, "file", "b"), (3, 5.0, "file", "x")]
+    df, stream = split(rows, "session long, at double, kind string, name string")
     assert same(o.uploads(stream), o.uploads(df), "uploads") == [(1, "ready")]
 
 
 def test_uploads_stall(split):
-    rows = [(1, "file", "a")] * 10 + [(1, "poll", None)] * 20
-    _, stream = split(rows, "session long, kind string, name string")
+    rows = [(1, 0.0, "file", "a")] * 10 + [(1, float(k + 1), "poll", None) for k in range(20)]
+    df, stream = split(rows, "session long, at double, kind string, name string")
+    # a file and the polls after it, all in one micro-batch
+    assert [tuple(r) for r in o.uploads(df).collect()] == [(1, "stalled")]
     assert [tuple(r) for r in o.run_to_end(o.uploads(stream), "uploads").collect()] == [(1, "stalled")]
 
 

@@ -83,28 +83,43 @@ def _ratio(option: pd.Series, name: pd.Series) -> pd.Series:
 def fuzzy_match(names: DataFrame, name: str, options: DataFrame, option: str, cutoff: float = 0.8) -> DataFrame:
     """(name, match, score): the option of the best matching-blocks ratio, ties to the largest; null if none.
 
-    ``cutoff`` is 0.8 at least, which the blocking below relies on.
+    ``cutoff`` is 0.8 at least, which the blocking below relies on; lower ones are an error.
 
     Each distinct name is matched once.  Options are blocked by length (a ratio of ``cutoff`` needs
-    2 min / (min + max) of it) and by one shared pair of letters (blocks that cover most of both
-    names share neighbours), and the common letters bound the ratio before Python sees a pair.
+    2 min / (min + max) of it) and by pairs of neighbouring letters: M matching letters in blocks with at most la + lb - 2 M
+    gaps share 3 M - la - lb - 1 of them, which is s or more for any partner of a name, so two such names share one
+    that is among the g - s + 1 rarest of each.  The common letters bound the ratio before Python sees a pair.
     """
+    if cutoff < 0.8:
+        raise ValueError("cutoff must be 0.8 or more")
     low = lambda c: F.lower(F.trim(c))
     # lower-cased options keep their first spelling in byte order
     opts = options.where(F.col(option).isNotNull()).groupBy(F.lower(option).alias("_o")).agg(F.min(option).alias("match"))
     asked = names.where(F.trim(name) != "").select(F.col(name).alias("name"), low(F.col(name)).alias("_n")).distinct()
-    # M matching letters without two neighbours leave M - 1 gaps, so the ratio is at most 2M / (3M - 1): under 0.8
-    # but for names of two or three letters, which meet under the empty pair
+    # the k-th time that a pair of letters stands in a name is an element of its own
     pairs_of = lambda c: F.transform(
         F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))
     )
-    short = lambda c: F.when(F.char_length(c) <= 3, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    grams = lambda c: F.array_distinct(F.concat(pairs_of(c), short(c)))
-    length = F.char_length
-    left = asked.select("name", "_n", length("_n").alias("_ln"), F.explode(grams(F.col("_n"))).alias("_g"))
-    right = opts.select("match", "_o", length("_o").alias("_lo"), F.explode(grams(F.col("_o"))).alias("_g"))
-    near = 2 * F.least("_ln", "_lo") >= cutoff * (F.col("_ln") + F.col("_lo"))
-    pairs = left.join(right, "_g").where(near).select("name", "_n", "match", "_o").distinct()
+
+    def elements(df: DataFrame, name: str) -> DataFrame:
+        numbered = F.transform("_p", lambda x, i: F.concat(x, F.size(F.filter(F.slice("_p", 1, i), lambda y: y == x)).cast("string")))
+        return df.select(name, F.char_length(name).alias("_l"), pairs_of(F.col(name)).alias("_p")).select(name, "_l", F.explode(numbered).alias("_g"))
+
+    mine, theirs = elements(asked.select("_n").distinct(), "_n"), elements(opts.select("_o"), "_o")
+    often = mine.select("_g").unionByName(theirs.select("_g")).groupBy("_g").agg(F.count("*").alias("_f"))
+
+    def rarest(side: DataFrame, name: str) -> DataFrame:
+        least = F.greatest(F.ceil((1.5 * cutoff - 1) * 2 / (2 - cutoff) * F.col("_l") - 1 - 1e-9), F.lit(1))
+        place = F.row_number().over(Window.partitionBy(name).orderBy("_f", "_g"))
+        few = side.join(often, "_g").withColumn("_k", place).where(F.col("_k") <= F.greatest(F.col("_l") - 1, F.lit(1)) - least + 1)
+        # names of two and three letters can match without a pair in common: they meet by themselves
+        short = side.where("_l <= 3").select(name, "_l", F.lit("").alias("_g")).distinct()
+        return few.select(name, "_l", "_g").unionByName(short)
+
+    left, right = rarest(mine, "_n"), rarest(theirs, "_o").withColumnRenamed("_l", "_lo")
+    near = 2 * F.least("_l", "_lo") >= cutoff * (F.col("_l") + F.col("_lo"))
+    pairs = left.join(right, "_g").where(near).select("_n", "_o").distinct()
+    pairs = pairs.join(asked, "_n").join(opts, "_o").select("name", "_n", "match", "_o")
     letters = F.expr(
         "aggregate(array_distinct(split(_n, '')), 0, (s, x) -> s + least("
         "char_length(_n) - char_length(replace(_n, x, '')), char_length(_o) - char_length(replace(_o, x, ''))))"
@@ -137,14 +152,16 @@ def alias_targets(aliases: DataFrame, characters: DataFrame, keys: list[str], ta
 
 
 def in_scope(facts: DataFrame, key: str, selection: DataFrame | None) -> DataFrame:
-    """Facts whose key is in the selected lists (column keys: array); no selection at all keeps all.
+    """Facts whose key is in the selected lists (column keys: array); a selection without any item keeps all.
 
-    A selection whose lists are all empty or unresolvable is a selection, and keeps nothing.
+    Items that lead nowhere (null keys) are a selection, and keep nothing.
     """
     if selection is None:
         return facts
-    keys = selection.select(F.explode("keys").alias(key)).distinct()
-    return facts.join(keys, key, "left_semi")
+    keys = selection.select(F.explode("keys").alias(key))
+    if keys.isEmpty():  # looks at one row
+        return facts
+    return facts.join(keys.distinct(), key, "left_semi")
 
 
 def with_names(df: DataFrame, dimensions: list[tuple[DataFrame, str, str, str]]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.sources.shared import shared_path
+
 #: Digits to which runs are padded: longer numbers than any counter.
 DIGITS = 20
 
@@ -50,8 +51,11 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     """
     keys = {f"_o{i}": o for i, o in enumerate(order)}
     ranged = df.withColumns(keys).repartitionByRange(*[F.col(k) for k in keys])
-    # kept, so that counting and numbering see the same ranges: each run samples its own
-    ranged = ranged.sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    # written, so that counting and numbering see the same ranges (each run samples its own) and lost executors lose nothing
+    ranged = ranged.sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    path = shared_path(df.sparkSession, "numbered")
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     part = F.shiftright("_id", 33).cast("int")
     counts = {r.p: r.n for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     total, before = 0, []

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.ordering import numbered
+
 TEXT_LAYER_MIN = 20
 #: Notes that stand for a neighbour without text.
 FIRST_PAGE, LAST_PAGE = "(first story page)", "(last story page)"
@@ -107,14 +109,12 @@ def tripped(calls: DataFrame, key: str, order: str, outcome: str, limit: int = 5
 def unique_titles(titles: DataFrame, title: str, position: str, existing: DataFrame, ident: str) -> DataFrame:
     """(position, title, id): ids that collide get " (2)", " (3)", ... in order of position.
 
-    Titles whose ids may meet share everything before a trailing "(n)", so a title is handled together
+    A blank title is "Untitled book n", n being its place among all titles of the batch.  Titles whose ids may meet share everything before a trailing "(n)", so a title is handled together
     with all that its suffixed forms could clash with, and with the existing ids among them.
     """
-    blank = F.trim(F.coalesce(title, F.lit(""))) == ""
-    rows = titles.select(F.col(position).alias("position"), F.col(title).alias("_t"), blank.alias("_blank"))
-    # blanks alone are numbered; they are the rows without any title
-    empty = rows.where("_blank").withColumn("t", F.concat(F.lit("Untitled book "), F.row_number().over(Window.partitionBy("_blank").orderBy("position")).cast("string")))
-    rows = rows.where("not _blank").withColumn("t", F.trim("_t")).unionByName(empty).select("position", "t", F.lit(None).cast("string").alias("taken"))
+    rows = numbered(titles.select(F.col(position).alias("position"), F.trim(F.coalesce(title, F.lit(""))).alias("_t")), [F.col("position")], "_n")
+    untitled = F.concat(F.lit("Untitled book "), F.col("_n").cast("string"))
+    rows = rows.select("position", F.when(F.col("_t") == "", untitled).otherwise(F.col("_t")).alias("t"), F.lit(None).cast("string").alias("taken"))
     used = existing.select(F.lit(None).cast(rows.schema["position"].dataType).alias("position"), F.lit(None).cast("string").alias("t"), F.col(ident).alias("taken"))
     ids = lambda c: F.translate(F.lower(c), " ", "_")
     stem = F.regexp_replace(F.coalesce("taken", ids(F.col("t"))), r"(_\([0-9]+\))+$", "")

@@ -192,8 +192,10 @@ def j11(t):
 
 @query(
     "j12_flagged_pages",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 4 = 3 THEN '(unknown book)' WHEN l_linenumber % 4 = 2 THEN 'loose' ELSE CAST(l_orderkey AS VARCHAR) END AS book,
-    CASE WHEN l_linenumber % 4 < 2 THEN o_orderpriority END AS title FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'A'""",
+    """WITH p AS (SELECT *, CAST(l_orderkey AS VARCHAR) AS o, '_' || CAST(l_linenumber AS VARCHAR) AS tail FROM lineitem WHERE l_returnflag = 'A'),
+    r AS (SELECT *, CASE WHEN l_linenumber % 4 = 0 THEN 'books/' || o ELSE '' END AS ref, CASE l_linenumber % 4 WHEN 1 THEN o || tail WHEN 2 THEN 'loose' ELSE '' END AS page FROM p),
+    b AS (SELECT *, coalesce(regexp_extract(nullif(ref, ''), '[^/]*$'), nullif(CASE WHEN ends_with(page, tail) THEN substring(page, 1, length(page) - length(tail)) END, ''), nullif(page, ''), '(unknown book)') AS book FROM r)
+    SELECT l_orderkey, l_linenumber, l_partkey, book, o_orderpriority AS title FROM b LEFT JOIN orders ON CAST(o_orderkey AS VARCHAR) = book""",
 )
 def j12(t):
     k = F.col("l_linenumber") % 4

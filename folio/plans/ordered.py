@@ -11,11 +11,11 @@ from folio.plans.aggregating import _FILES, files
 from folio.plans.normalise import CALLS_SQL, costed
 from folio.plans.registry import query
 
-_STORY = "SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '' ELSE substring(text, 1, 80) END AS text FROM conversations WHERE role <> 'system'"
+_STORY = "SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '' ELSE text END AS text FROM conversations WHERE role <> 'system'"
 
 
 def story(t):
-    text = F.when(F.col("turn") % 3 == 1, "").otherwise(F.substring("text", 1, 80))
+    text = F.when(F.col("turn") % 3 == 1, "").otherwise(F.col("text"))
     return t.conversations.where("role <> 'system'").select("conv_id", "turn", text.alias("text"))
 
 
@@ -40,14 +40,14 @@ def w2(t):
 
 @query(
     "w3_routed",
-    f"""WITH p AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN '' ELSE substring(text, 1, 80) END AS text FROM conversations),
+    f"""WITH p AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN '' ELSE text END AS text FROM conversations),
     s AS (SELECT *, length(trim(text)) >= 20 AS layer FROM p WHERE role <> 'system'),
     f AS (SELECT *, coalesce(lag(layer) OVER v, false) AND coalesce(lead(layer) OVER v, false) AS flanked FROM s WINDOW v AS (PARTITION BY conv_id ORDER BY turn))
     SELECT conv_id, turn, role, CASE WHEN layer THEN 'layer' WHEN flanked AND conv_id % 2 = 0 AND conv_id % 3 <> 0 THEN 'skipped_wordless' ELSE 'ocr' END AS text_source FROM f
     UNION ALL SELECT conv_id, turn, role, CASE WHEN length(trim(text)) >= 20 THEN 'layer' ELSE 'none' END FROM p WHERE role = 'system'""",
 )
 def w3(t):
-    text = F.when(F.col("turn") % 3 == 1, "").otherwise(F.substring("text", 1, 80))
+    text = F.when(F.col("turn") % 3 == 1, "").otherwise(F.col("text"))
     pages = t.conversations.select(
         "conv_id",
         "turn",

@@ -59,7 +59,7 @@ def test_word_multisets(spark):
     got = {q.k: (q.jaccard, q.containment) for q in g.overlap(spark.createDataFrame(pairs, "k int, l string, r string"), ["k"], "l", "r").collect()}
     assert got == {0: (1, 1), 1: (1, 1), 2: (0, 1), 3: (0, 0), 4: (2 / 3, 1), 5: (0.5, 2 / 3), 6: (1, 1)}
     texts = [(0, "a b c", "a c"), (1, "a b", "a b d"), (2, "Cat", "cat"), (3, "a", " "), (4, "a a", "a a a"), (5, "x", None)]
-    kept = {q.k: q.kept for q in g.only_removed(spark.createDataFrame(texts, "k int, l string, r string"), "k", "l", "r").collect()}
+    kept = {q.k: q.kept for q in g.only_removed(spark.createDataFrame(texts, "k int, l string, r string"), "l", "r").collect()}
     assert kept == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False}
 
 
@@ -92,11 +92,11 @@ def test_unique_titles_is_greedy(spark):
     have = ["cat", "dog_(2)"]
     df = spark.createDataFrame(list(enumerate(titles)), "pos int, t string")
     got = {q.position: q.id for q in w.unique_titles(df, "t", "pos", spark.createDataFrame([(h,) for h in have], "id string"), "id").collect()}
-    taken, blanks = set(have), 0
+    taken = set(have)
     for i, t in enumerate(titles):
         if not (t or "").strip():
-            blanks += 1
-            t = f"Untitled book {blanks}"
+            # of the batch, one id is used by each title before
+            t = f"Untitled book {i + 1}"
         n, name = 1, t.strip()
         while (key := name.lower().replace(" ", "_")) in taken:
             n += 1
@@ -123,7 +123,7 @@ def test_salvage():
 
 
 def test_page_files(spark):
-    paths = ["saw/B/page_1.jpg", "saw/B/PAGE_12.JPG", "saw/B/page_3_cropped.jpg", "saw/B/page_x.jpg", "saw/B/cover.jpg", "saw/uploads/page_1.jpg"]
+    paths = ["scans/B/page_1.jpg", "scans/B/PAGE_12.JPG", "scans/B/page_3_cropped.jpg", "scans/B/page_x.jpg", "scans/B/cover.jpg", "scans/uploads/page_1.jpg"]
     got = {q.path: (q.page_number, q.variant, q.is_page) for q in s.inventory(spark.createDataFrame([(p,) for p in paths], "path string"), "path").collect()}
     assert got == {
         paths[0]: (1, "", True),
@@ -136,11 +136,11 @@ def test_page_files(spark):
 
 def test_reviewed_records(spark, tmp_path):
     good, bad, report = tmp_path / "a.txt", tmp_path / "b.txt", tmp_path / "c.json"
-    good.write_text("# note\nbooks/x\n\n s3: saw/y \n")
+    good.write_text("# note\nbooks/x\n\n s3: scans/y \n")
     bad.write_text("books/x\nnonsense\n")
-    report.write_text('{"categories": {"orphans": [{"kind": "s3_prefix", "path": "saw/z"}]}}')
-    assert {(q.kind, q.doc_id, q.path) for q in s.reviewed_records(spark, str(good)).collect()} == {("document", "x", None), ("s3_prefix", None, "saw/y")}
-    assert s.reviewed_records(spark, str(report)).first().path == "saw/z"
+    report.write_text('{"categories": {"orphans": [{"kind": "s3_prefix", "path": "scans/z"}]}}')
+    assert {(q.kind, q.doc_id, q.path) for q in s.reviewed_records(spark, str(good)).collect()} == {("document", "x", None), ("s3_prefix", None, "scans/y")}
+    assert s.reviewed_records(spark, str(report)).first().path == "scans/z"
     with pytest.raises(ValueError, match="nonsense"):
         s.reviewed_records(spark, str(bad))
 
@@ -173,5 +173,6 @@ def test_scope_without_selection_is_everything(spark):
     facts = spark.createDataFrame([(1,), (2,)], "k int")
     lists = lambda x: spark.createDataFrame([(x,)], "keys array<int>")
     assert j.in_scope(facts, "k", None).count() == 2
-    assert j.in_scope(facts, "k", lists([])).count() == 0 == j.in_scope(facts, "k", lists([9])).count()
+    assert j.in_scope(facts, "k", lists([])).count() == 2  # nothing is selected: all books
+    assert j.in_scope(facts, "k", lists([9])).count() == 0 == j.in_scope(facts, "k", lists([None])).count()
     assert j.in_scope(facts, "k", lists([2])).count() == 1

@@ -197,5 +197,6 @@ def mixed_documents(
     copies = rate.select("id", "crc", F.floor(F.col("rate") + chance).cast("int").alias("copies")).where("copies > 0")
     id_, crc_, copies_, copy_ = fresh(docs.columns, "id", "crc", "copies", "copy")
     copies = keep(copies, "mix-copies").toDF(id_, crc_, copies_)
-    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col(id_)) & (crc == F.col(crc_)))
+    # as many copies as documents: no side of this join is small at any size that matters
+    joined = docs.join(copies.hint("merge"), F.col(doc_id).eqNullSafe(F.col(id_)) & (crc == F.col(crc_)))
     return joined.withColumn(copy_, F.explode(F.sequence(F.lit(1), copies_))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -371,7 +371,7 @@ def _links(docs: DataFrame, runs: DataFrame, marks: DataFrame, size: int, num: i
     todo = runs
     for nearest in (True, False):
         roots = components(links)
-        asked = keep(_apart(todo, roots, marks, nearest, num, den, tasks), "join-asked", tasks=tasks)
+        asked = keep(_apart(todo, roots, marks, nearest, num, den, tasks), "join-asked")
         drop(*roots.folio_tables)
         new = keep(asked.select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"), "join-pairs", tasks=tasks)
         if not new.isEmpty():

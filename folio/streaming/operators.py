@@ -1,7 +1,8 @@
 """Structured Streaming operators, each with a batch twin.
 
-Stateful ones keep a state per key: its size is bounded by the key, not by the stream, and it goes when the key
-has been idle for ``IDLE_MS``.  Rows of a key are taken in order of time within a micro-batch; streams are expected to keep
+Stateful ones keep a state per key: its size is bounded by the key, not by the stream.  With ``idle_ms`` it goes
+when the key has been idle for so long; that is for streams that run on, as a run up to the end of the input does not end
+while timeouts are looked for.  Rows of a key are taken in order of time within a micro-batch; streams are expected to keep
 that order between micro-batches, and rows later than the stated watermark are dropped where one is used.
 """
 
@@ -16,8 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folio.sources.shared import shared_path
 
-#: Milliseconds without a row after which a key's state is given up: 30 days.
-IDLE_MS = 30 * 24 * 3600 * 1000
 THROTTLE_S, ACTIVE_MIN, LEASE_S, STALL_POLLS, LIMIT = 30, 120, 180, 20, 5
 
 
@@ -33,7 +32,7 @@ def usage_by_day(calls: DataFrame, time: str, keys: list[str], metrics: list[str
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), *keys, "calls", *metrics)
 
 
-def _by_key(df: DataFrame, key: str, step: Callable[[tuple, pd.DataFrame, object], tuple[list[tuple], object]], output: str, state: str, empty: tuple) -> DataFrame:
+def _by_key(df: DataFrame, key: str, step: Callable[[tuple, pd.DataFrame, object], tuple[list[tuple], object]], output: str, state: str, empty: tuple, idle_ms: int | None) -> DataFrame:
     """Run ``step(key, rows in order, state) -> (output rows, new state)`` by key, in a stream or over a whole table."""
     names = [f.strip().split(" ")[0] for f in output.split(",")]
     if not df.isStreaming:
@@ -50,13 +49,15 @@ def _by_key(df: DataFrame, key: str, step: Callable[[tuple, pd.DataFrame, object
         rows = pd.concat(list(parts), ignore_index=True)
         out, new = step(k, rows, held.get if held.exists else empty)
         held.update(new)
-        held.setTimeoutDuration(IDLE_MS)
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", timeout)
 
 
-def heartbeats(beats: DataFrame, throttle: int = THROTTLE_S) -> DataFrame:
+def heartbeats(beats: DataFrame, throttle: int = THROTTLE_S, idle_ms: int | None = None) -> DataFrame:
     """(book, at) beats that are written: the first, then those ``throttle`` seconds after the last one written.
 
     beats: book long, at double (seconds)."""
@@ -70,7 +71,7 @@ def heartbeats(beats: DataFrame, throttle: int = THROTTLE_S) -> DataFrame:
                 out.append((int(k[0]), float(at)))
         return out, (last,)
 
-    return _by_key(beats.select("book", "at"), "book", step, "book long, at double", "last double", (-1.0,))
+    return _by_key(beats.select("book", "at"), "book", step, "book long, at double", "last double", (-1.0,), idle_ms)
 
 
 def latest_activity(records: DataFrame, book: str, time: str, counts: Column) -> DataFrame:
@@ -84,7 +85,7 @@ def recently_active(latest: DataFrame, now: str, minutes: int = ACTIVE_MIN) -> D
     return latest.withColumn("active", F.coalesce(F.col("last") >= edge, F.lit(False)))
 
 
-def claims(requests: DataFrame, lease: int = LEASE_S) -> DataFrame:
+def claims(requests: DataFrame, lease: int = LEASE_S, idle_ms: int | None = None) -> DataFrame:
     """(page, id, granted) of claim requests.
 
     requests: page long, id long, at double, kind (claim, done, failed, pending).  A page that is done or failed, or
@@ -104,7 +105,7 @@ def claims(requests: DataFrame, lease: int = LEASE_S) -> DataFrame:
         return out, (status, float(since))
 
     rows = requests.select("page", "id", "at", "kind")
-    return _by_key(rows, "page", step, "page long, id long, granted boolean", "status string, since double", ("", -1.0))
+    return _by_key(rows, "page", step, "page long, id long, granted boolean", "status string, since double", ("", -1.0), idle_ms)
 
 
 def claimable(status, claimed_at, now, lease: int = LEASE_S) -> Column:
@@ -113,7 +114,7 @@ def claimable(status, claimed_at, now, lease: int = LEASE_S) -> Column:
     return F.coalesce(~(F.col(status).isin("done", "failed") | held), F.lit(True))
 
 
-def uploads(items: DataFrame) -> DataFrame:
+def uploads(items: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(session, event): ready once when the files seen are those of the manifest, stalled after STALL_POLLS
     unchanged polls with files present.
 
@@ -140,10 +141,10 @@ def uploads(items: DataFrame) -> DataFrame:
         return out, ("|".join(sorted(have)), manifest, polls, done)
 
     kinds = "files string, manifest string, polls int, done boolean"
-    return _by_key(items.select("session", "at", "kind", "name"), "session", step, "session long, event string", kinds, ("", "", 0, False))
+    return _by_key(items.select("session", "at", "kind", "name"), "session", step, "session long, event string", kinds, ("", "", 0, False), idle_ms)
 
 
-def finished_jobs(results: DataFrame) -> DataFrame:
+def finished_jobs(results: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(job, n) once for each job when all pages 1..n are terminal.  results: job long, page int, n int, terminal boolean."""
 
     def step(k, rows, state):
@@ -157,7 +158,7 @@ def finished_jobs(results: DataFrame) -> DataFrame:
         return out, (",".join(map(str, sorted(have))), done)
 
     rows = results.select("job", "page", "n", "terminal")
-    return _by_key(rows, "job", step, "job long, n int", "seen string, done boolean", ("", False))
+    return _by_key(rows, "job", step, "job long, n int", "seen string, done boolean", ("", False), idle_ms)
 
 
 def error_log(errors: DataFrame, time: str) -> DataFrame:
@@ -176,7 +177,7 @@ def page_outcomes(events: DataFrame, keys: list[str], time: str, outcome: str) -
     return timed(events, time).groupBy(*keys).agg(F.max(F.struct(F.col(time).alias("at"), F.col(outcome).alias("outcome"))).alias("x")).select(*keys, "x.*")
 
 
-def streaks(calls: DataFrame, limit: int = LIMIT) -> DataFrame:
+def streaks(calls: DataFrame, limit: int = LIMIT, idle_ms: int | None = None) -> DataFrame:
     """(job, id) where a job's failures in a row first reach the limit.  calls: job long, id long, outcome (ok, fail, other)."""
 
     def step(k, rows, state):
@@ -192,7 +193,7 @@ def streaks(calls: DataFrame, limit: int = LIMIT) -> DataFrame:
                     out.append((int(k[0]), int(r.id)))
         return out, (int(streak), bool(tripped))
 
-    return _by_key(calls.select("job", "id", "outcome"), "job", step, "job long, id long", "streak int, tripped boolean", (0, False))
+    return _by_key(calls.select("job", "id", "outcome"), "job", step, "job long, id long", "streak int, tripped boolean", (0, False), idle_ms)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """A Bloom bitmap of 64-bit values, built by Spark and small enough to broadcast.
 
-It has ``each`` bits or more a value, from 2**``LEAST`` up to 2**``MOST``, which are 32 MB.  A bitmap of more values
+It has ``each`` bits or more a value, from 2**``LEAST`` up to 2**``MOST``, which are 16 MB.  A bitmap of more values
 fills up and lets others through; whoever uses it joins exactly afterwards, so results never depend on it.
 """
 
@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST = 20, 28
+LEAST, MOST = 20, 27
 
 
 def build(values: DataFrame, column: str, each: int = 64) -> np.ndarray:

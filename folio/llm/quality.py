@@ -157,15 +157,24 @@ def fit_vectors(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULAR
             for part in slices(batch, text):
                 held.append(np.unique(Words(part.column(0)).hashes(), return_counts=True))
                 size += len(held[-1][0])
-                if size >= 1 << 20:
+                if size >= 1 << 18:
                     yield added_up()
                     size = 0
         if held:
             yield added_up()
 
     counts = docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
-    words = np.sort(top["word"].to_numpy().view(np.uint64))
+    counts = keep(counts, "quality-words")
+    # how many words occur so often: a row for each number of times, from which the least number of the vocabulary is read
+    often = counts.groupBy("n").agg(F.count("*").alias("words")).toArrow().sort_by([("n", "descending")])
+    upto = np.cumsum(often["words"].to_numpy())
+    full = int(np.searchsorted(upto, vocabulary, side="right"))
+    last = int(often["n"][full].as_py()) if full < len(upto) else 0
+    left = vocabulary - (int(upto[full - 1]) if full else 0)
+    # ``vocabulary`` rows of one number; of the words that tie at its end those of the least hashes
+    top = counts.where(F.col("n") > last).select("word").unionByName(counts.where(F.col("n") == last).orderBy("word").limit(left).select("word"))
+    words = np.sort(top.toArrow()["word"].to_numpy().view(np.uint64))
+    drop(counts)
     if not len(words):
         return Vectors(words, np.zeros((0, width), np.float32))
     known = spark.sparkContext.broadcast(words)
@@ -319,7 +328,6 @@ class Scorer:
         """(part of the batch, scores of its texts)"""
         for part in slices(batch, column, SLICE):
             yield part, self.network.scores(self.vectors.pool(part.column(part.schema.get_field_index(column))))
-            pa.default_memory_pool().release_unused()
 
 
 def quality_scores(

@@ -56,6 +56,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         last = min(max(last, first + 1), batch.num_rows)
         yield batch.slice(first, last - first)
         first = last
+    del batch, offsets
+    pa.default_memory_pool().release_unused()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan
+from . import chat_format, divergence, license_scan, ranked_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: The rules of the contract: host, path, verdict.
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_filter
+
+    out = url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "score", "held_out")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +142,9 @@ QUERIES = {
         op8_html_extract,
         op9_jaccard_join,
         op10_mixing,
+        op11_ranked_search,
+        op12_url_filter,
+        op13_source_divergence,
         pipeline,
     )
 }
@@ -120,6 +152,8 @@ QUERIES = {
 SQL = {
     "op2_chat_format": chat_format.ORACLE,
     "op6_license_scan": license_scan.oracle(),
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
     "op1_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -25,6 +25,7 @@ but those named host, path, rule, verdict, score or held_out in any case are rep
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -174,15 +175,22 @@ class UrlModel:
 
 def ruled(urls: DataFrame, host: str, path: str, rules: list[tuple[str, str, str]] | DataFrame, rule: str, verdict: str) -> DataFrame:
     """``urls`` with the rule that fits (host and path joined) and its verdict, or nulls.  rules: (host, path, verdict)."""
-    spark = urls.sparkSession
-    if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
-    rules = rules.select("host", "path", "verdict", F.size(F.split("host", "[.]")).alias("labels"))
-    own = rules.groupBy("host", "labels").agg(F.collect_set(F.struct("path", "verdict")).alias("paths"))
+    if isinstance(rules, DataFrame):
+        rules = rules.select("host", "path", "verdict", F.size(F.split("host", "[.]")).alias("labels"))
+        own = rules.groupBy("host", "labels").agg(F.collect_set(F.struct("path", "verdict")).alias("paths"))
+        sizes = sorted(r.labels for r in rules.select("labels").distinct().collect())  # as many as labels a rule's host can have
+    else:  # a local table, of a size that Spark knows
+        held: dict[str, list] = {}
+        for rule_host, rule_path, rule_verdict in rules:
+            held.setdefault(rule_host, []).append({"path": rule_path, "verdict": rule_verdict})
+        labels = [h.count(".") + 1 for h in held]
+        kind = pa.list_(pa.struct([("path", pa.string()), ("verdict", pa.string())]))
+        own = urls.sparkSession.createDataFrame(pa.table({"host": pa.array(list(held), pa.string()), "labels": pa.array(labels, pa.int32()), "paths": pa.array(list(held.values()), kind)}))
+        sizes = sorted(set(labels))
     found, key, paths = fresh([*urls.columns, rule, verdict], "found", "key", "paths")
     col = lambda c: F.col(f"`{c}`")
     out = urls.withColumn(found, F.lit(None).cast("struct<labels:int,size:int,allow:int,rule:string,verdict:string>"))
-    for n in sorted(r.labels for r in rules.select("labels").distinct().collect()):  # as many as labels a rule's host can have
+    for n in sizes:
         # a host of fewer labels has no such suffix
         suffix = F.when(F.size(F.split(col(host), "[.]")) >= n, F.substring_index(col(host), ".", -n))
         mine = own.where(F.col("labels") == n).select(F.col("host").alias(key), F.col("paths").alias(paths))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from folio.functions.columns import GENDERS
 from folio.operators import maintain as m
 from folio.plans.registry import query
+from folio.sources.shared import shared_path
+from folio.sources.snapshots import Store
 
 S = lambda c: F.col(c).cast("string")
 
@@ -259,6 +261,47 @@ def m9(t):
     return m.pending_writes(staged, t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit(1).cast("long").alias("token")), "o_orderkey")
 
 
+@query(
+    "m9_resumed",
+    """WITH n AS (SELECT o_orderkey AS id, o_custkey % 7 AS page FROM orders)
+    SELECT 'books' AS "table", id, 'first' AS state FROM n UNION ALL SELECT 'pages', id, 'third' FROM n WHERE page <> 0""",
+)
+def m9_resumed(t):
+    """Four writes of two tables: a whole one, one that stops before its pointer, one that stops after it, one that stops
+    while staging; then what a resumed store shows."""
+    store = Store(t.spark, shared_path(t.spark, "resumed"))
+    rows = lambda state: t.orders.select(F.col("o_orderkey").alias("id"), F.lit(state).alias("state"))
+    both = lambda state: {"pages": rows(state), "books": rows(state)}
+    store.write(both("first"), "edit", 0)
+    store.stage(both("second"), "edit", 1)
+    kept = t.orders.where("o_custkey % 7 != 0").select(F.col("o_orderkey").alias("id"), F.lit("third").alias("state"))
+    _stopped(store, "clear", lambda: store.write({"pages": kept}, "edit", 2))
+    _stopped(store, "manifest", lambda: store.write(both("fourth"), "edit", 3))
+    store.resume()
+    read = lambda name: store.read(name).select(F.lit(name).alias("table"), "id", "state")
+    return read("books").unionByName(read("pages"))
+
+
+class _Stop(Exception):
+    pass
+
+
+def _stopped(store: Store, before: str, write) -> None:
+    """Run a write that stops before a step."""
+
+    def do(what, action, *args):
+        if what == before:
+            raise _Stop
+        return action(*args)
+
+    store._do = do
+    try:
+        write()
+    except _Stop:
+        pass
+    del store._do
+
+
 def _suggested(t):
     k, part = F.col("l_partkey"), S("l_partkey")
     line = F.col("l_linenumber")

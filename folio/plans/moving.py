@@ -15,6 +15,7 @@ from folio.operators import windows as w
 from folio.plans.registry import query
 from folio.sources import tables as s
 from folio.sources.shared import shared_path
+from folio.sources.snapshots import Store
 
 
 @query("a1_scan", "SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS nickname FROM customer")
@@ -260,8 +261,8 @@ def f3(t):
     UNION ALL SELECT 'book', i.id, title, lower(replace(p_brand, ' ', '_')), coalesce(f.any_flag, false) FROM i LEFT JOIN (SELECT id, bool_or(flagged) AS any_flag FROM p GROUP BY 1) f ON f.id = i.id""",
 )
 def m12(t):
-    """The seven tables of an import in one job, existing books left out: people and houses, pages with their text and
-    flags, characters, aliases, and the books last."""
+    """The seven tables of an import in one commit, existing books left out: people and houses, pages with their text and
+    flags, characters, aliases, and the books last; read back from the committed version."""
     title = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
     sheet = t.part.select(
         "p_partkey",
@@ -300,11 +301,13 @@ def m12(t):
     head = books.join(flags, "id", "left").select(
         F.lit("book").alias("kind"), "id", F.col("title").alias("value"), c.document_id("author").alias("ref"), F.coalesce("flagged", F.lit(False)).alias("flagged")
     )
-    parts = [
-        *shared,
-        pages.select(F.lit("page").alias("kind"), F.col("pid").alias("id"), F.col("text").alias("value"), F.col("id").alias("ref"), "flagged"),
-        characters.select(F.lit("character").alias("kind"), F.col("cid").alias("id"), F.col("who").alias("value"), F.col("id").alias("ref"), no),
-        aliases.select(F.lit("alias").alias("kind"), F.col("aid").alias("id"), F.lit("Supplier").alias("value"), F.col("cid").alias("ref"), no),
-        head,
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    people_tables = dict(zip(("authors", "illustrators", "publishers"), shared))
+    tables = people_tables | {
+        "pages": pages.select(F.lit("page").alias("kind"), F.col("pid").alias("id"), F.col("text").alias("value"), F.col("id").alias("ref"), "flagged"),
+        "characters": characters.select(F.lit("character").alias("kind"), F.col("cid").alias("id"), F.col("who").alias("value"), F.col("id").alias("ref"), no),
+        "aliases": aliases.select(F.lit("alias").alias("kind"), F.col("aid").alias("id"), F.lit("Supplier").alias("value"), F.col("cid").alias("ref"), no),
+        "books": head,
+    }
+    store = Store(t.spark, shared_path(t.spark, "import"))
+    store.write(tables, "import")
+    return reduce(DataFrame.unionByName, [store.read(name) for name in tables])

@@ -1,4 +1,4 @@
-"""Where jobs put tables and stream checkpoints that all machines must see."""
+"""Where jobs put tables and stream checkpoints that all machines must see, and small files there."""
 
 from __future__ import annotations
 
@@ -24,3 +24,50 @@ def shared_path(spark: SparkSession, name: str) -> str:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-folio-")
         root = _LOCAL[app]
     return f"{root.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+
+
+class Folder:
+    """Small files under a path of any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self._jvm, self._gateway = path.rstrip("/"), spark._jvm, spark.sparkContext._gateway
+        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self._fs = self._at("").getFileSystem(self._conf)
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str = "") -> list[str]:
+        """What lies in a folder, sorted; nothing where it is missing."""
+        at = self._at(name)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        """Write a file that is seen whole or not at all; False where there is one of this name already."""
+        draft = self._at(f"_draft-{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self._conf)
+        self._fs.mkdirs(self._at(name).getParent())
+        never_over = self._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(draft, self._at(name), never_over)
+        except Exception as failed:  # the gateway wraps what the store throws
+            self._fs.delete(draft, False)
+            if "FileAlreadyExists" in str(failed):
+                return False
+            raise
+        return True
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)

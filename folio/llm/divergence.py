@@ -94,6 +94,11 @@ def _vectorized(rows: DataFrame, min_df: int) -> tuple[DataFrame, list[str]] | N
     return entries.groupBy("source", "index").agg(F.sum(F.col("n").cast("long")).alias("n")), model.vocabulary
 
 
+def _local(spark, **columns: pa.Array) -> DataFrame:
+    """A small table of the driver's, of a size that Spark knows."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def _p(n, total) -> F.Column:
     """1 + floor(10**9 (n + 5) / total)"""
     top = (F.coalesce(n, F.lit(0)) + 5).cast("decimal(20,0)") * F.lit(1_000_000_000).cast("decimal(10,0)")
@@ -131,7 +136,8 @@ def source_divergence(
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     docs = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")).select(blank("lang"), blank("source"), blank("text"))
     # one row for each language
-    langs = spark.createDataFrame([(k, r.lang) for k, r in enumerate(docs.select("lang").distinct().orderBy("lang").collect())], "lang_no long, lang string")
+    names_ = [r.lang for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    langs = _local(spark, lang_no=pa.array(range(len(names_)), pa.int64()), lang=pa.array(names_, pa.string()))
     path = new_path(spark, "divergence-terms")
     term_texts(docs).join(langs, "lang").select("lang_no", "source", "text").write.partitionBy("lang_no").option("compression", "zstd").parquet(path)
     read = lambda: spark.read.schema("source string, text string, lang_no long").parquet(path)
@@ -140,7 +146,7 @@ def source_divergence(
     groups = keep(groups.withColumn("at", number.cast("long")).withColumn("tile", F.floor(F.col("at") / TILE)), "divergence-groups")
 
     sums, words, sizes = [], [], []
-    for lang_no in range(langs.count()):
+    for lang_no in range(len(names_)):
         rows = read().where(F.col("lang_no") == lang_no)
         rows = rows.select("source", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " ")).alias("terms"))
         for part in range(parts):
@@ -157,8 +163,8 @@ def source_divergence(
             words.append(keep(spark.createDataFrame(index).select(*where, "index", "term"), "divergence-words"))
             sizes.append((lang_no, part, len(vocabulary)))
     out_columns = ["lang", "source", "part", "item", "value", "rank"]
-    sizes = spark.createDataFrame(sizes, "lang_no long, part int, size long")  # one row for each vectorizer
-    whole = langs.join(sizes.groupBy("lang_no").agg(F.sum("size").alias("v")), "lang_no", "left").select("lang_no", F.coalesce("v", F.lit(0)).alias("v"))
+    kept = [sum(size for k, _, size in sizes if k == lang_no) for lang_no in range(len(names_))]
+    whole = _local(spark, lang_no=pa.array(range(len(names_)), pa.int64()), v=pa.array(kept, pa.int64()))
     none = spark.createDataFrame([], "lang_no long, part int, source string, index int, n long")
     counts = reduce(DataFrame.unionByName, sums) if sums else none
     names = reduce(DataFrame.unionByName, words) if words else none.select("lang_no", "part", "index", F.col("source").alias("term"))
@@ -172,8 +178,9 @@ def source_divergence(
 
     # terms of a group that are commoner there than in the language
     word_sums = valued.groupBy("lang_no", "part", "index").agg(F.sum("n").alias("all"))
-    lang_totals = valued.groupBy("lang_no").agg(F.sum("n").alias("lang_total")).join(whole, "lang_no")
-    lang_totals = lang_totals.select("lang_no", (F.col("lang_total") + 5 * F.col("v")).alias("lang_total"))
+    # one row for each language
+    sums_ = {r.lang_no: r.n for r in valued.groupBy("lang_no").agg(F.sum("n").alias("n")).collect()}
+    lang_totals = _local(spark, lang_no=pa.array(list(sums_), pa.int64()), lang_total=pa.array([n + 5 * kept[k] for k, n in sums_.items()], pa.int64()))
     words_ = names.join(word_sums, ["lang_no", "part", "index"]).join(lang_totals, "lang_no")
     words_ = words_.select("lang_no", "part", "index", "term", _p(F.col("all"), F.col("lang_total")).alias("q"))
     terms = valued.where("n > 0").join(words_, ["lang_no", "part", "index"]).where("p > q")
@@ -182,12 +189,18 @@ def source_divergence(
     terms = ranked(terms).where(F.col("rank") <= top)
 
     # pairs of sources: partial sums by block of terms and pair of tiles
-    blocks = sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    tiles = groups.groupBy("lang_no").agg(F.max("tile").alias("last"))
-    cells = blocks.join(tiles, "lang_no")  # one row for each vectorizer
+    last = {r.lang_no: r.last for r in groups.groupBy("lang_no").agg(F.max("tile").alias("last")).collect()}
+    cells = _local(  # one row for each vectorizer
+        spark,
+        lang_no=pa.array([k for k, _, _ in sizes], pa.int64()),
+        part=pa.array([part for _, part, _ in sizes], pa.int32()),
+        size=pa.array([size for _, _, size in sizes], pa.int64()),
+        blocks=pa.array([-(-size // BLOCK) for _, _, size in sizes], pa.int64()),
+        last=pa.array([last[k] for k, _, _ in sizes], pa.int64()),
+    )
     pair = F.expr("flatten(transform(sequence(0L, last), a -> transform(sequence(a, last), b -> struct(a as first, b as second))))")
-    mine = F.filter("pairs", lambda x: (x["first"] == F.col("tile")) | (x["second"] == F.col("tile")))
     cells = cells.withColumn("pairs", pair)
+    mine = F.filter("pairs", lambda x: (x["first"] == F.col("tile")) | (x["second"] == F.col("tile")))
     left = valued.join(cells.select("lang_no", "part", "blocks", "pairs"), ["lang_no", "part"])
     left = left.select("lang_no", "part", F.pmod("index", "blocks").alias("block"), F.explode(mine).alias("x"), "at", "index", "p").select("*", "x.*").drop("x")
     right = groups.join(cells.select("lang_no", "part", "size", "blocks", "pairs"), "lang_no")

@@ -34,7 +34,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_records
 
-    rows, _ = shard_records(_table(spark, sf_dir, "documents"), shards=24)
+    rows, _ = shard_records(_table(spark, sf_dir, "documents"), shards=24, carry=["doc_id"])
     return rows.select(
         "doc_id",
         "size",

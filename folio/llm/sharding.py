@@ -9,12 +9,17 @@ What the driver holds is the slot table: one row per slot, bounded by ``slots``.
 that grows with the input (hashing, sums, numbering) stays in Spark.  Numbers within a shard
 come from a rank inside the virtual slot plus the slot's offset, so no task sees a whole shard.
 
-Law: ``bytes``.  Records of equal text are no unit of placement: each is placed by its own id and text, so copies
-may lie in several shards, and a group of copies larger than a fair share is spread like other rows.
+Law: ``bytes``.  Records of equal text are one unit: a slot is taken by the hash of the text's bytes, so copies lie in one
+slot and one shard.  Only a text whose copies are larger than a shard's fair share cannot stay whole: its rows are spread by the hash
+of their ids over ``SPREAD`` slots of its own, beyond the others (at most ``shards`` texts are as large as that).
+
+Numbers within a slot are given in ``PARTS`` parts by the hash of the id, so that a slot of many copies is numbered by many
+tasks.  ``docs`` is read three times: give a table.
 
 Defined results: null text has no bytes; null ids and repeated rows are placed by their hash
 like any other; one record larger than a fair share fills a shard by itself; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; columns named in ``carry`` come along, but those named size, text_crc32, vslot, shard or slot in any case
+give way to the ones added.
 """
 
 from __future__ import annotations
@@ -23,14 +28,18 @@ import heapq
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .scratch import keep, new_path
+from .scratch import fresh, new_path
 
 SLOTS = 8192
+#: Slots of a text whose copies are larger than a shard, and parts in which a slot is numbered.
+SPREAD, PARTS = 1024, 16
+ADDED = ("size", "text_crc32", "vslot", "shard", "slot")
 MAP_SCHEMA = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("version", "vslot", "shard", "bytes", "rows", "offset")]
 )
@@ -134,40 +143,75 @@ def _near(sizes: list[int], want: float) -> int | None:
 
 
 def shard_records(
-    docs: DataFrame, shards: int = 24, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, shards: int = 24, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None
 ) -> tuple[DataFrame, SlotMap]:
     """Place every row; returns the placed rows and the map's versions (0: initial, 1: rebalanced).
 
-    Rows: doc_id, size, text_crc32, vslot, shard, slot (gapless position within the shard).
+    Rows: the columns of ``carry`` (None: all), size, text_crc32, vslot, shard, slot (gapless position within the shard).
     """
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
+    kept = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ADDED]
+    ident, size, crc, key, vslot, part, rank, of, own = fresh([*docs.columns, *ADDED], "ident", "size", "crc", "key", "vslot", "part", "rank", "of", "own")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.octet_length(body) + 8).cast("long").alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+        *[F.col(f"`{c}`") for c in kept],
+        F.col(f"`{doc_id}`").alias(ident),
+        (F.octet_length(body) + 8).cast("long").alias(size),
+        F.crc32(F.encode(body, "UTF-8")).alias(crc),
+        F.xxhash64(body).alias(key),
     )
-    vslot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots))
-    rows = keep(rows.withColumn("vslot", vslot.cast("long")), "shard-rows")
-    sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
-    table = [{"vslot": v, "shard": v % shards, "bytes": 0, "rows": 0} for v in range(slots)]
-    for r in sums:
-        table[r.vslot] |= {"bytes": r.bytes, "rows": r["rows"]}
+    plain = F.pmod(F.col(key), F.lit(slots)).cast("long")
+
+    def sums(of: Column, which: DataFrame) -> dict[int, tuple[int, int]]:
+        return {r.v: (r.bytes, r.rows) for r in which.groupBy(of.alias("v")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).collect()}
+
+    by_slot = sums(plain, rows)  # one row for each slot
+    fair = sum(b for b, _ in by_slot.values()) / shards
+    heavy: list[int] = []
+    if full := [v for v, (b, _) in by_slot.items() if b > fair]:
+        # texts larger than a fair share: at most ``shards``
+        large = rows.where(plain.isin(full)).groupBy(key).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).where((F.col("bytes") > fair) & (F.col("rows") > 1))
+        heavy = sorted(r[0] for r in large.collect())
+    place = plain
+    for k, h in enumerate(heavy):
+        spread = slots + k * SPREAD + F.pmod(F.xxhash64(ident, key), F.lit(SPREAD)).cast("long")
+        place = F.when(F.col(key) == h, spread).otherwise(place)
+    rows = rows.withColumn(vslot, place).withColumn(part, F.pmod(F.xxhash64(ident, F.lit("part")), F.lit(PARTS)).cast("int"))
+    # one row for each part of a slot: bounded by the parameters
+    counts = rows.groupBy(vslot, part).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).toArrow().sort_by([(vslot, "ascending"), (part, "ascending")])
+    total = slots + SPREAD * len(heavy)
+    table = [{"vslot": v, "shard": v % shards, "bytes": 0, "rows": 0} for v in range(total)]
+    before = []
+    for v, b, n in zip(counts[vslot].to_pylist(), counts["bytes"].to_pylist(), counts["rows"].to_pylist()):
+        before.append(table[v]["rows"])
+        table[v]["bytes"] += b
+        table[v]["rows"] += n
     slot_map = SlotMap(spark)
     slot_map.write(table)
     slot_map.write(rebalance(table, shards))
-    order = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    # one row per virtual slot: bounded by the parameter, so safe to broadcast
-    current = F.broadcast(slot_map.read().select("vslot", "shard", "offset"))
-    placed = rows.withColumn("_rank", F.row_number().over(order) - 1).join(current, "vslot")
+    shard_of, offset_of = {s["vslot"]: s["shard"] for s in table}, {s["vslot"]: s["offset"] for s in table}
+    at = counts[vslot].to_pylist()
+    current = spark.createDataFrame(
+        pa.table(
+            {
+                vslot: counts[vslot],
+                part: counts[part],
+                of: pa.array([shard_of[v] for v in at], pa.int32()),
+                own: pa.array([offset_of[v] + b for v, b in zip(at, before)], pa.int64()),
+            }
+        )
+    )
+    order = Window.partitionBy(vslot, part).orderBy(F.asc_nulls_first(ident), crc, size)
+    # a row for each part of a slot: safe to broadcast
+    placed = rows.withColumn(rank, F.row_number().over(order) - 1).join(F.broadcast(current), [vslot, part])
     return (
         placed.select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            "vslot",
-            F.col("shard").cast("int").alias("shard"),
-            (F.col("offset") + F.col("_rank")).cast("long").alias("slot"),
+            *[F.col(f"`{c}`") for c in kept],
+            F.col(size).alias("size"),
+            F.col(crc).alias("text_crc32"),
+            F.col(vslot).alias("vslot"),
+            F.col(of).alias("shard"),
+            (F.col(own) + F.col(rank)).cast("long").alias("slot"),
         ),
         slot_map,
     )

@@ -7,16 +7,15 @@ host and path, and each page is paired with its nearest neighbour in that order
 that is no copy of it (a page before it, or one after).  The pair's lines are aligned by a longest
 common subsequence and lines that both share are deleted.
 
-The alignment alone decides on text outside of articles and on containers that only a name
-(class or id) tells as chrome: such a container goes if the neighbour has one like it and stays
-if not.  Names count by themselves where the alignment has no say, because no other page of the
-host is at hand.  A container by name, or a form, that holds an article or main is no chrome.  A
-name counts if it is made of chrome words (``cookie-banner``, ``comment-list``) or, outside of articles,
-ends in one (``site-header``); a chrome word among others (``header-text``, ``share-price``) says nothing.
+The alignment alone decides on text outside of articles and on containers whose name (class or id)
+only ends in a chrome word (``site-header``): such a container goes if the neighbour has one like it
+and stays if not.  Such names count by themselves where no other page of the host is at hand.  A container by name,
+or a form, that holds an article or main is no chrome.  A chrome word among others (``header-text``,
+``share-price``) says nothing.
 
 Two checks follow.  A text block inside an article element is content even if the neighbour
-repeats it (copied paragraphs are common), so it stays.  Containers that their tag or role tells
-as chrome go though the neighbour happens to lack them.  Scripts, styles and markup never are lines.
+repeats it (copied paragraphs are common), so it stays.  Containers that their tag, their role or their
+whole name (``ad``, ``cookie-banner``, ``comment-list``, inside articles too) tells as chrome go though the neighbour lacks them.  Scripts, styles and markup never are lines.
 
 Hosts are cut into blocks of neighbouring pages, each about as long as ``BLOCK`` or a 65,536th of all pages.
 Where a block begins depends on the pages alone (those with a certain hash of path and id begin one), and
@@ -84,40 +83,43 @@ class Line:
     text: str
     article: bool
     chrome: bool
-    named: bool = False  # chrome by its class or id alone
+    named: bool = False  # chrome by the end of its class or id alone
 
 
-def _chrome_name(name: str, in_article: bool) -> bool:
-    """Whether a class or id tells of page chrome."""
+def _chrome_name(name: str, in_article: bool) -> str:
+    """What a class or id tells: chrome, if it is made of chrome words; named, if it ends in one outside of articles."""
     words = [w for w in (w.lower() for w in _NAME_WORDS.findall(name)) if w not in NEUTRAL_WORDS]
-    if not words:
-        return False
-    return all(w in CHROME_WORDS for w in words) or not in_article and words[-1] in CHROME_WORDS
+    if words and all(w in CHROME_WORDS for w in words):
+        return "chrome"
+    return "named" if words and not in_article and words[-1] in CHROME_WORDS else ""
+
 
+def _part(tag: str, attrs: str, in_article: bool, holder: bool = False) -> tuple[str, bool]:
+    """chrome, named (perhaps chrome, by the end of a class or id), hidden, article or nothing; holder: it has an article inside.
 
-def _part(tag: str, attrs: str, in_article: bool, holder: bool = False) -> str:
-    """chrome, named (chrome by class or id alone), hidden, article or nothing; holder: it has an article inside."""
+    And whether it would be none with an article inside: by name, or a form."""
     if tag in HIDDEN:
-        return "hidden"
+        return "hidden", False
     names: list[str] = []
     for m in _ATTR.finditer(attrs or ""):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return "hidden"
+            return "hidden", False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return "hidden"
+            return "hidden", False
         if name == "role" and value.lower() in CHROME_ROLES:
-            return "chrome"
+            return "chrome", False
         if name in ("class", "id"):
             names += value.split()
     # the heading of an article may stand in a header element of its own
     if tag in CHROME and not (tag == "header" and in_article) and not (tag == "form" and holder):
-        return "chrome"
+        return "chrome", tag == "form"
     if tag in ("html", "body"):
-        return ""
-    if any(_chrome_name(x, in_article) for x in names) and not (tag in ARTICLE or holder):
-        return "named"
-    return "article" if tag in ARTICLE else ""
+        return "", False
+    told = {_chrome_name(x, in_article) for x in names} - {""} if not (tag in ARTICLE or holder) else set()
+    if told:
+        return min(told), True  # chrome before named
+    return "article" if tag in ARTICLE else "", False
 
 
 def page_lines(html: str | None) -> list[Line]:
@@ -128,10 +130,10 @@ def page_lines(html: str | None) -> list[Line]:
 
 
 def _lines(html: str, holders: set[int]) -> list[Line]:
-    """The lines, given the places of named containers and forms that hold an article; adds those it finds."""
+    """The lines, given the places of containers by name and forms that hold an article; adds those it finds."""
     known = frozenset(holders)
     out: list[Line] = []
-    stack: list[tuple[str, str, int]] = []  # (tag, part, place)
+    stack: list[tuple[str, str, int, bool]] = []  # (tag, part, place, whether an article inside makes it none)
     depth = {"chrome": 0, "named": 0, "hidden": 0, "article": 0}
     buffer: list[str] = []
 
@@ -151,7 +153,7 @@ def _lines(html: str, holders: set[int]) -> list[Line]:
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            _, part, _ = stack.pop()
+            _, part, _, _ = stack.pop()
             if part:
                 depth[part] -= 1
 
@@ -187,13 +189,13 @@ def _lines(html: str, holders: set[int]) -> list[Line]:
             continue
         if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
             close(len(stack) - 1)
-        part = _part(tag, m[3], depth["article"] > 0, m.start() in known)
+        part, unless = _part(tag, m[3], depth["article"] > 0, m.start() in known)
         if part in ("chrome", "named") and not depth["chrome"] and not depth["named"] and not depth["hidden"]:
             names = " ".join(sorted(w.lower() for a in _ATTR.finditer(m[3] or "") for w in _NAME_WORDS.findall(a[2] or a[3] or a[4] or "")))
             out.append(Line(f"\x00{tag} {names}", "", depth["article"] > 0, True, part == "named"))
         if part == "article" and not depth["hidden"]:
-            holders.update(place for t, p, place in stack if p == "named" or t == "form" and p == "chrome")
-        stack.append((tag, part, m.start()))
+            holders.update(place for _, _, place, if_none in stack if if_none)
+        stack.append((tag, part, m.start(), unless))
         if part:
             depth[part] += 1
     flush()
@@ -257,7 +259,7 @@ def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
     stay = []
     for x, g in zip(page, gone, strict=True):
         if x.chrome:
-            # the alignment deletes what the neighbour has too; of what is left over, tags and roles are checked
+            # the alignment deletes what the neighbour has too; of what is left over, tags, roles and whole names are checked
             keep = not g and x.named and judged
         else:
             # an article's own text is content though the neighbour repeats it

@@ -339,10 +339,10 @@ def quality_scores(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``docs`` with held_out, score and predicted added; columns of these names are replaced."""
+    """``docs`` with held_out, score and predicted added; columns of these names, in any case, are replaced."""
     model = QualityModel(docs, labels, label, limit, doc_id, text)
     start = model.on_worker
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    names = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
 
     def score(batches):
         scorer = start()

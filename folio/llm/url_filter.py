@@ -173,6 +173,17 @@ class UrlModel:
         return out.select(*[F.col(f"`{c}`") for c in columns], vector_to_array(chance)[1].alias(score))
 
 
+def _ranked(labels: int, host: Column):
+    """A rule as a struct by which the strongest is the largest."""
+    return lambda x: F.struct(
+        F.lit(labels).alias("labels"),
+        F.length(x["path"]).alias("size"),
+        (x["verdict"] == "allow").cast("int").alias("allow"),
+        F.concat(host, x["path"]).alias("rule"),
+        x["verdict"].alias("verdict"),
+    )
+
+
 def ruled(urls: DataFrame, host: str, path: str, rules: list[tuple[str, str, str]] | DataFrame, rule: str, verdict: str) -> DataFrame:
     """``urls`` with the rule that fits (host and path joined) and its verdict, or nulls.  rules: (host, path, verdict)."""
     if isinstance(rules, DataFrame):
@@ -195,16 +206,7 @@ def ruled(urls: DataFrame, host: str, path: str, rules: list[tuple[str, str, str
         suffix = F.when(F.size(F.split(col(host), "[.]")) >= n, F.substring_index(col(host), ".", -n))
         mine = own.where(F.col("labels") == n).select(F.col("host").alias(key), F.col("paths").alias(paths))
         fits = F.filter(col(paths), lambda x: F.startswith(col(path), x["path"]))
-        ranked = F.transform(
-            fits,
-            lambda x, n=n: F.struct(
-                F.lit(n).alias("labels"),
-                F.length(x["path"]).alias("size"),
-                (x["verdict"] == "allow").cast("int").alias("allow"),
-                F.concat(col(key), x["path"]).alias("rule"),
-                x["verdict"].alias("verdict"),
-            ),
-        )
+        ranked = F.transform(fits, _ranked(n, col(key)))
         out = out.withColumn(key, suffix).join(mine, key, "left").withColumn(found, F.coalesce(F.array_max(ranked), col(found))).drop(key, paths)
     return out.withColumns({rule: col(found)["rule"], verdict: col(found)["verdict"]}).drop(found)
 

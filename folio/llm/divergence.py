@@ -24,7 +24,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,14 +79,15 @@ def term_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(terms, "lang string, source string, text string")
 
 
+def _of_part(part: int, parts: int):
+    return lambda term: F.pmod(F.xxhash64(term), F.lit(parts)) == part
+
+
 def _vectorized(rows: DataFrame, min_df: int) -> tuple[DataFrame, list[str]] | None:
     """(source, index, count) sums of the documents' sparse vectors, and the vocabulary; None without kept terms."""
-    try:
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=MOST).fit(rows)
-    except IllegalArgumentException as none:
-        if "vocabulary size should be > 0" in str(none):
-            return None
-        raise
+    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=MOST).fit(rows)
+    if not model.vocabulary:
+        return None
     sparse = F.unwrap_udt("vector")
     entries = model.transform(rows).select("source", F.inline(F.arrays_zip(sparse["indices"].alias("index"), sparse["values"].alias("n"))))
     entries = entries.toDF("source", "index", "n")
@@ -152,7 +152,7 @@ def source_divergence(
         for part in range(parts):
             mine = rows
             if parts > 1:
-                mine = rows.withColumn("terms", F.filter("terms", lambda t, part=part: F.pmod(F.xxhash64(t), F.lit(parts)) == part))
+                mine = rows.withColumn("terms", F.filter("terms", _of_part(part, parts)))
             made = _vectorized(mine, min_df)
             if made is None:
                 continue

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import license_scan, pitman_yor
+from folio.llm import divergence, license_scan, pitman_yor, ranked_search
 from folio.llm.chat_format import rotate_perspectives
 from folio.llm.components import components
 from folio.llm.decontaminate import best_stretch, decontaminate, spaced_seed_matches, words_of
@@ -30,6 +30,7 @@ from folio.llm.mixing import mix_sources, mixed_documents, targets
 from folio.llm.pitman_yor import score_texts
 from folio.llm.quality import keep_good, quality_scores
 from folio.llm.sharding import SlotMap, rebalance, shard_records
+from folio.llm.url_filter import url_filter
 from folio.llm.words import Words, mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -169,7 +170,7 @@ def test_perspectives_brute_force(spark):
 def test_sharding_brute_force(spark):
     """Bytes by slot and shard, counted again; one id with most rows, and loads near equal."""
     rng = random.Random(4)
-    rows = [(5 if i % 3 == 0 else i, "x" * rng.randrange(200), "en", None, 0) for i in range(20_000)]
+    rows = [(5 if i % 3 == 0 else i, str(i) + "x" * rng.randrange(200), "en", None, 0) for i in range(20_000)]
     df = spark.createDataFrame(rows, DOCS)
     placed, slot_map = shard_records(df, shards=24)
     got, load, where = placed.collect(), Counter(), {r.vslot: r.shard for r in slot_map.read().collect()}
@@ -182,6 +183,26 @@ def test_sharding_brute_force(spark):
     assert {r.vslot: r.bytes for r in slot_map.read().collect() if r.bytes} == by_slot
 
 
+def test_sharding_keeps_copies_together(spark):
+    """Equal texts lie in one shard, but for one that is larger than a shard; loads stay near equal."""
+    rng = random.Random(6)
+    rows = [(i, f"own text {i} " + "y" * rng.randrange(100), "en", None, 0) for i in range(3000)]
+    rows += [(3000 + i, f"copy {i % 40} " + "z" * 60, "en", None, 0) for i in range(1200)]
+    rows += [(5000 + i, "hot " * 25, "en", None, 0) for i in range(3000)]
+    rng.shuffle(rows)
+    text_of = {r[0]: r[1] for r in rows}
+    got = shard_records(spark.createDataFrame(rows, DOCS), shards=8)[0].collect()
+    assert len(got) == len(rows) and all(r.text == text_of[r.doc_id] for r in got)  # all columns come along
+    shards, load = defaultdict(set), Counter()
+    for r in got:
+        shards[text_of[r.doc_id]].add(r.shard)
+        load[r.shard] += r["size"]
+    assert {t for t, s in shards.items() if len(s) > 1} == {"hot " * 25}
+    assert max(load.values()) - min(load.values()) <= 0.02 * max(load.values())
+    for k in range(8):
+        assert sorted(r["slot"] for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
 def test_sharding(spark, edge, clashing, empty):
     for df in (edge, clashing):
         rows, slot_map = shard_records(df, shards=4)
@@ -191,6 +212,8 @@ def test_sharding(spark, edge, clashing, empty):
         for k in range(4):
             assert sorted(r["slot"] for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
         assert slot_map.versions == [0, 1] and slot_map.read(0).count() == slot_map.read().count() == 8192
+    odd = spark.createDataFrame([(1, "a", "mine", "x")], "doc_id long, text string, Shard string, _rank string")
+    assert [c for c in shard_records(odd)[0].columns] == ["doc_id", "text", "_rank", "size", "text_crc32", "vslot", "shard", "slot"]
     assert shard_records(empty)[0].count() == 0
 
 
@@ -465,7 +488,7 @@ def test_html(spark):
 
 def test_html_alignment_decides_on_named_containers(spark):
     nav = "<nav>{0}</nav><div class='ad'>Buy {0}</div>"
-    page = [page_lines(x) for x in (nav.format("a") + "<div class='related-posts'>Only here <nav>x</nav> and on</div><p>Text a", nav.format("b") + "<p>Text b")]
+    page = [page_lines(x) for x in (nav.format("a") + "<div class='book-related'>Only here <nav>x</nav> and on</div><p>Text a", nav.format("b") + "<p>Text b")]
     # the neighbour has an advert too, but nothing like the other container; chrome by its tag goes in any case
     assert main_text(*page) == "Only here\nand on\nText a"
     assert main_text(page[0], None) == "Text a"
@@ -482,6 +505,15 @@ def test_html_alignment_decides_on_named_containers(spark):
     assert {r.page_id: r.text for r in got} == {i: "Own" if i < 3 else "Other" for i in range(6)}
 
 
+def test_html_chrome_that_the_neighbour_lacks(spark):
+    """Adverts, notices, forms and comments go whether or not a neighbour has them, inside articles as well."""
+    body = "<div class='ad'>Buy now</div><div class='comments'>Reader says hi</div><article><h1>Head</h1>{}<p>Text {}</article>"
+    inside = "<div class='newsletter'>Join</div><section id='cookie-banner'>Cookies</section><ol class='comment-list'><li>First!</ol><form>Send</form>"
+    rows = [(1, "http://h.example/1", body.format(inside, "a")), (2, "http://h.example/2", "<article><h1>Head</h1><p>Text b</article>"), (3, "http://alone.example/1", body.format(inside, "c"))]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Head\nText a", 2: "Head\nText b", 3: "Head\nText c"}
+
+
 def test_html_does_not_depend_on_partitions(spark):
     """Against a loop over each host's blocks, with few and many partitions, tiny blocks, one large host and string ids."""
     rng = random.Random(8)
@@ -682,6 +714,170 @@ def test_mixing_small_sources(spark):
         assert abs(taken[s] - goal[s]) <= max(1, min(32, size[s] / 64)), (s, taken[s], goal[s])
 
 
+# ---------------------------------------------------------------- ranked search
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+A_Z = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def brute_ranks(docs, items, top):
+    held = [(i, Counter(TERM.findall((t or "").translate(A_Z)))) for i, t in docs]
+    held = [(i, c) for i, c in held if c]
+    n, length = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = Counter()
+    for item, text in items:
+        asked, found = Counter(TERM.findall((text or "").translate(A_Z))), []
+        for i, c in held:
+            m = 75 + (25 * sum(c.values()) * n) // length
+            score = sum(k * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m)) for t, k in asked.items() if c[t])
+            if score > 0:
+                found.append((-score, i is None, i or 0))
+        for rank, (score, null, i) in enumerate(sorted(found)[:top], 1):
+            out[item, rank, None if null else i, -score] += 1
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"LEAF": 2, "TREE_DOCS": 7, "TREE_ITEMS": 3, "ITEMS": 4, "MERGES": 2}])
+def test_ranked_search_brute_force(spark, monkeypatch, limits):
+    """Many equal scores, copies, shared paths, repeated ids and items, nulls; with large and with tiny trees and blocks."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ranked_search, name, value)
+    rng = random.Random(12)
+    words = WORDS[:12]
+    docs = [(i % 70, " ".join(rng.choice(words[: 2 + i % 11]) for _ in range(rng.randrange(1, 30)))) for i in range(150)]
+    docs += [(200 + i, "Alder BIRCH-cedar alder") for i in range(40)] + [(None, "alder birch"), (None, "alder birch"), (9, None), (8, ""), (7, "- ! -")]
+    docs += [(6, "oak " * 50_000 + "É漢 yew"), (5, "É é 漢")]
+    items = [(i, " ".join(rng.choice(words + ["É", "nowhere"]) for _ in range(rng.randrange(1, 9)))) for i in range(9)]
+    items += [(3, "alder alder birch"), (3, "alder alder birch"), (None, "cedar"), (50, None), (51, ""), (52, "nowhere"), (53, "yew " * 2000)]
+    frame = spark.createDataFrame([(*d, None, None) for d in docs], "doc_id long, text string, score long, number int").repartition(5)
+    asked = spark.createDataFrame([(*i, None) for i in items], "item_id long, text string, rank int")
+    got = ranked_search.ranked_search(frame, asked, top=6).collect()
+    assert Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in got) == brute_ranks(docs, items, 6)
+    assert ranked_search.ranked_search(frame.limit(0), asked).count() == ranked_search.ranked_search(frame, asked.limit(0)).count() == 0
+
+
+def test_ranked_search_bounds_spare_rows():
+    """The tree's bounds leave most documents unscored, and the result is that of scoring all."""
+    rng = np.random.default_rng(3)
+    tf = np.zeros((3000, 60), np.int64)
+    for i in range(3000):  # three languages of twenty terms each
+        at = rng.integers(0, 20, 12) + 20 * (i % 3)
+        np.add.at(tf[i], at, 1)
+    rows, ranks = np.nonzero(tf)
+    m = rng.integers(75, 200, 3000)
+    tree = ranked_search.Tree(rows, ranks, tf[rows, ranks], m, 60)
+    assert sorted(tree.order) == list(range(3000)) and (tree.tf == tf[tree.order]).all()
+    at, weights = np.array([1, 3, 7, 11]), np.array([900, 1200, 800, 1500])
+    best = ranked_search.Best(20)
+    scored = ranked_search.descend(tree, at, weights, np.zeros(3000, bool), np.arange(3000), best)
+    all_ = ranked_search.part_scores(weights, tf[:, at], m)
+    want = sorted(zip(-all_, range(3000)))[:20]
+    assert [(-s, i) for s, i in zip(best.scores, best.ids)] == want and scored <= 1500
+
+
+# ---------------------------------------------------------------- URL filter
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def brute_rule(url, rules):
+    rest = (url or "").split("://", 1)
+    rest = rest[1] if len(rest) > 1 else ""
+    host = re.split(r"[/?#]", rest)[0]
+    path = re.split(r"[?#]", rest[len(host) :])[0]
+    host = host.translate(A_Z)
+    fits = [(r[0].count("."), len(r[1]), r[2] == "allow", r) for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    return host, path, max(fits)[3] if fits else None
+
+
+def test_url_rules_brute_force(spark):
+    rng = random.Random(2)
+    hosts = ["example.org", "a.EXAMPLE.org", "b.a.example.org", "notexample.org", "org", "x.com", "com", "é.com", "x.net", "", "org.", ".org", "x.org:80"]
+    paths = ["", "/", "/es/", "/es", "/en/12", "/en/2", "/fr/1", "/de/", "/de", "?q=/es/", "#/es/", "/fr/x?y=/de/#z"]
+    urls = [rng.choice(["http://", "https://", "x://y://", "//", ""]) + h + p for h in hosts for p in paths] + [None, "", "://", "no scheme.org/es/"]
+    urls += ["http://" + "a." * 3000 + "org/es/" + "x" * 50_000, "http://x.org/\nes/", urls[0], urls[0]]
+    rules = RULES + [("org", "/", "block"), ("a.example.org", "", "block")]
+    df = spark.createDataFrame([(i, u, None, None) for i, u in enumerate(urls)], "page_id long, url string, Host string, _slot int")
+    out = url_filter(df, rules)
+    assert out.columns == ["page_id", "url", "_slot", "host", "path", "rule", "verdict", "score", "held_out"]
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for got in (out.collect(), url_filter(df, table).collect()):
+        assert sorted(r.page_id for r in got) == list(range(len(urls)))
+        for r in got:
+            host, path, rule = brute_rule(r.url, rules)
+            assert (r.host, r.path, r.rule) == (host, path, rule and rule[0] + rule[1]), r.url
+            assert r.verdict == (rule[2] if rule else "block" if r.score >= 0.5 else "allow")
+    assert url_filter(df.limit(0), rules).count() == 0
+
+
+def test_url_trees_on_hosts_they_never_saw(spark):
+    """Labels by a list of words; hosts kept out of the fit are judged by their form alone."""
+    rng = random.Random(1)
+    good, bad = WORDS, "casino bets pills spam adult xxx poker".split()
+    rows = []
+    for k in range(120):
+        host = f"www.{rng.choice(good)}{rng.choice(good)}.example.{rng.choice(['com', 'org', 'net'])}" if k % 4 else f"{rng.choice(bad)}-{rng.choice(good)}-{rng.randrange(1000)}.example.com"
+        rows += [(f"http://{host}/en/{rng.randrange(10**5)}", int(not k % 4)) for _ in range(20)]
+    df = spark.createDataFrame(rows, "url string, bad int")
+    found = {r.url: r for r in url_filter(df, []).collect()}
+    for held in (False, True):
+        mine = [(u, b) for u, b in rows if found[u].held_out is held]
+        assert len(mine) > 200 and np.mean([(found[u].score >= 0.5) == bool(b) for u, b in mine]) >= 0.95
+    # the caller's labels: one kind only, none at all, nulls and ties
+    labels = lambda x: spark.createDataFrame(x, "url string, label int")
+    assert {r.verdict for r in url_filter(df, [], labels([(rows[0][0], 1), (rows[0][0], 0), (None, 0), (rows[1][0], None)])).collect()} <= {"block", "allow"}
+    assert {r.verdict for r in url_filter(df, [], labels([])).collect()} == {"allow"}
+
+
+# ---------------------------------------------------------------- source divergence
+
+
+def brute_divergence(rows, min_df, top):
+    found = [(r[0] or "", r[1] or "", Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (r[2] or "").translate(A_Z)))) for r in rows]
+    out = set()
+    for lang in {r[0] for r in found}:
+        mine = [(s, c) for x, s, c in found if x == lang]
+        df = Counter(t for _, c in mine for t in c)
+        kept = sorted(t for t in df if df[t] >= min_df)
+        counts = defaultdict(Counter)
+        for s, c in mine:
+            counts[s].update({t: n for t, n in c.items() if df[t] >= min_df})
+            counts[None].update({t: n for t, n in c.items() if df[t] >= min_df})
+        p = {s: {t: 1 + 10**9 * (c[t] + 5) // (sum(c.values()) + 5 * len(kept)) for t in kept} for s, c in counts.items()}
+        for s in set(counts) - {None}:
+            pairs = [("pair", x, sum(abs(p[s][t] - p[x][t]) for t in kept)) for x in set(counts) - {None, s}]
+            terms = [("term", t, p[s][t] - p[None][t]) for t in kept if counts[s][t] and p[s][t] > p[None][t]]
+            for part, limit in ((pairs, None), (terms, top)):
+                for rank, (kind, item, value) in enumerate(sorted(part, key=lambda x: (-x[2], x[1].encode()))[:limit], 1):
+                    out.add((lang, s, kind, item, value, rank))
+    return out
+
+
+@pytest.mark.parametrize("limits,parts", [({}, 1), ({"BLOCK": 3, "TILE": 2}, 1), ({"BLOCK": 5}, 3)])
+def test_source_divergence_brute_force(spark, monkeypatch, limits, parts):
+    """Nulls, ties, repeats, groups without terms, languages without kept terms; with blocks and tiles of a few."""
+    for name, value in limits.items():
+        monkeypatch.setattr(divergence, name, value)
+    rng = random.Random(7)
+    rows = [(rng.choice(["en", "fr", None]), rng.choice(["s1", "s2", "s3", "é", None, "alone"][: 5 + (i % 9 == 0)]), " ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 20)))) for i in range(200)]
+    rows += [("en", "none", None), ("en", "none", "12 34 !"), ("xx", "s1", "once"), ("xx", "s2", ""), ("yy", "s1", "alder " * 9), ("en", "s1", "Alder,ÉCLAIR-été " * 3)]
+    rows += [("en", "s1", "alder Birch")] * 7 + [("fr", "s2", "oak " * 40_000)]
+    schema = "lang string, source string, text string"
+    df = spark.createDataFrame([(*r, None, None) for r in rows], f"{schema}, lang_no int, index int").repartition(3)
+    got = divergence.source_divergence(df, min_df=5, top=4, parts=parts).collect()
+    assert len(got) == len(set(got)) and {(r.lang, r.source, r["part"], r.item, r.value, r["rank"]) for r in got} == brute_divergence(rows, 5, 4)
+    if parts == 1:
+        assert divergence.source_divergence(df.limit(0)).count() == 0
+
+
+def test_spaced_terms():
+    texts = ["", None, "a", "  A b ", "1a2b3", "é-È !", " ", "ab  cd\n", "x" * 5]
+    want = [" ".join(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(A_Z))) for t in texts]
+    assert divergence.spaced(pa.array(texts)).to_pylist() == want
+    assert divergence.spaced(pa.array(texts)[3:7]).to_pylist() == want[3:7]
+
+
 def test_operators_without_the_library_on_workers(tmp_path):
     """The functions that workers run travel with the job: another folder, and no PYTHONPATH."""
     code = f"""

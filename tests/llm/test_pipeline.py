@@ -33,6 +33,9 @@ def test_stages(spark, tmp_path):
     assert set(ids(after)) <= set(ids(before)) and max(ids(after).values()) <= 3
     before, after = seen["sharding"]
     assert ids(before) == ids(after) and {r.shard for r in after.collect()} == set(range(24))
+    # what ends in the shards are whole documents
+    assert after.columns == [*columns, "size", "text_crc32", "vslot", "shard", "slot"]
+    assert Counter((r.doc_id, r.text, r.source) for r in after.collect()) == Counter((r.doc_id, r.text, r.source) for r in before.collect())
 
 
 def test_stages_on_odd_rows(spark, tmp_path):

@@ -8,7 +8,8 @@ dealt to shards.  run() writes each stage to the shared folder and reads it agai
 Defined results: null and empty texts get a score like others; having no words they are linked with nothing and hold no
 benchmark passage, and as they have no words to take the mix leaves them out.  Of rows with equal ids and texts one stays
 after near_duplicates.  Null ids and sources are values like others; extra columns are carried through, whatever
-their names; an empty table gives an empty result.
+their names, up to the end, where columns named size, text_crc32, vslot, shard or slot give way to those of the shards; an empty
+table gives an empty result.  The rows of the last stage hold their texts and all other columns: written by shard, they are the shards.
 """
 
 from __future__ import annotations

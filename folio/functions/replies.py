@@ -97,23 +97,27 @@ def salvaged(df: DataFrame, key: str, reply: str) -> DataFrame:
     return fine.unionByName(rest.mapInPandas(repair, "key string, parsed string, outcome string"))
 
 
-def scored(df: DataFrame, key: str, text: str, scorer: Callable[[str], float]) -> DataFrame:
-    """(key, score, error): a scorer on every text; a row that fails becomes an error row, never a failed job."""
+def scored(df: DataFrame, key: str, text: str, scorer: Callable[[str], object], kind: str = "double", name: str = "score") -> DataFrame:
+    """(key, score, error): a scorer on every text; a row that fails becomes an error row, never a failed job.
+
+    ``kind`` and ``name``: type and name of what the scorer gives."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cast = float if kind == "double" else lambda x: x
         for b in batches:
             scores, errors = [], []
             for t in b["text"]:
                 try:
-                    scores.append(float(scorer(t)))
+                    scores.append(cast(scorer(t)))
                     errors.append(None)
                 except Exception as e:  # whatever a caller's scorer raises is that row's result
                     scores.append(None)
                     errors.append(f"{type(e).__name__}: {e}"[:SNIPPET])
-            yield pd.DataFrame({"key": b["key"], "score": pd.Series(scores, dtype="float64"), "error": pd.Series(errors, dtype="object")})
+            made = pd.Series(scores, dtype="float64" if kind == "double" else "object")
+            yield pd.DataFrame({"key": b["key"], name: made, "error": pd.Series(errors, dtype="object")})
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "key string, score double, error string")
+    return rows.mapInPandas(run, f"key string, {name} {kind}, error string")
 
 
 def two_tier(df: DataFrame, key: str, text: str, cheap, costly, accept) -> DataFrame:
@@ -123,3 +127,26 @@ def two_tier(df: DataFrame, key: str, text: str, cheap, costly, accept) -> DataF
     good = F.col("error").isNull() & F.coalesce(accept(F.col("score")), F.lit(False))
     again = df.withColumn("_k", F.col(key).cast("string")).join(first.where(~good).select(F.col("key").alias("_k")), "_k", "left_semi")
     return first.where(good).unionByName(scored(again, key, text, costly).withColumn("tier", F.lit(2)))
+
+
+def cleaned_in_two_tiers(df: DataFrame, key: str, text: str, cheap, costly) -> DataFrame:
+    """(key, cleaned, error, tier, kept): the cheap cleaner first; where it failed, or its text adds a word to the original or
+    is blank, the costly one.  ``kept`` tells whether the text that was taken passes that guard.
+
+    The cheap cleaner's texts are written before they are read by either tier, so none is made twice."""
+    from folio.operators.aggs import only_removed
+    from folio.sources.shared import shared_path
+
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("original"))
+
+    def tier(part: DataFrame, cleaner, number: int) -> DataFrame:
+        path = shared_path(df.sparkSession, f"tier-{number}")
+        made = scored(part, "key", "original", cleaner, "string", "cleaned")
+        guarded = only_removed(part.join(made, "key"), "original", "cleaned").withColumn("tier", F.lit(number))
+        guarded.write.parquet(path)
+        return df.sparkSession.read.schema(guarded.schema).parquet(path)
+
+    first = tier(rows, cheap, 1)
+    good = F.col("error").isNull() & F.col("kept")
+    second = tier(first.where(~good).select("key", "original"), costly, 2)
+    return first.where(good).unionByName(second).drop("original")

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.functions.names import unused
+
+#: What ``shared_words`` adds: words in common, of the left text, of the right one.
+COUNTS = ("common", "left", "right")
 METRICS = ("calls", "cost_usd", "input_tokens", "output_tokens", "cache_read", "cache_write")
 FLAG_BELOW = 0.85
 
@@ -63,10 +67,13 @@ def cost_report(calls: DataFrame, books: str) -> DataFrame:
 
 
 def shared_words(rows: DataFrame, keep: list[str], left: Column, right: Column, letters: str = "a-zA-Z0-9") -> DataFrame:
-    """rows' ``keep`` columns with _common, _left and _right: the words that two texts of a row have in common, counted as
-    multisets, and those of each.  Words are runs of ``letters``; both texts are in the row, so nothing is shuffled."""
-    source = rows.select(*keep, F.coalesce(left, F.lit("")).alias("_l"), F.coalesce(right, F.lit("")).alias("_r"))
-    schema = T.StructType([*source.schema.fields[: len(keep)], *(T.StructField(n, T.LongType()) for n in ("_common", "_left", "_right"))])
+    """rows' ``keep`` columns and three more, the words that two texts of a row have in common, counted as
+    multisets, and those of each (under ``COUNTS`` with marks before them that clash with no column of ``keep``).  Words are runs
+    of ``letters``; both texts are in the row, so nothing is shuffled."""
+    names = unused(keep, *COUNTS)
+    source = rows.select(*[F.col(f"`{c}`") for c in keep], *[F.coalesce(x, F.lit("")).alias(n) for x, n in zip((left, right), names[1:])])
+    schema = T.StructType([*source.schema.fields[: len(keep)], *(T.StructField(n, T.LongType()) for n in names)])
+    at_l, at_r = len(keep), len(keep) + 1
 
     def count(batches):
         import numpy as np
@@ -80,13 +87,13 @@ def shared_words(rows: DataFrame, keep: list[str], left: Column, right: Column,
             return row.filter(some).to_numpy(), word.filter(some)
 
         for batch in batches:
-            size = np.cumsum(pc.add(pc.binary_length(batch["_l"]), pc.binary_length(batch["_r"])).to_numpy(zero_copy_only=False).astype(np.int64))
+            size = np.cumsum(pc.add(pc.binary_length(batch.column(at_l)), pc.binary_length(batch.column(at_r))).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < batch.num_rows:
                 # a megabyte of text at a time, one row at least
                 end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), side="right")))
                 part, n = batch.slice(at, end - at), end - at
-                (lr, lw), (rr, rw) = words(part["_l"]), words(part["_r"])
+                (lr, lw), (rr, rw) = words(part.column(at_l)), words(part.column(at_r))
                 codes = pa.concat_arrays([lw, rw]).dictionary_encode()
                 width, codes = max(len(codes.dictionary), 1), codes.indices.to_numpy().astype(np.int64)
                 lk, ln = np.unique(lr * width + codes[: len(lr)], return_counts=True)
@@ -106,19 +113,21 @@ def overlap(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFra
     Both texts empty: similarity 1; one empty: 0; an empty reference (right) is wholly contained.
     """
     out = shared_words(pairs, keys, F.lower(left), F.lower(right), "a-z0-9")
-    every = F.col("_left") + F.col("_right") - F.col("_common")
+    common, one, other = unused(keys, *COUNTS)
+    every = F.col(one) + F.col(other) - F.col(common)
     return out.select(
         *keys,
-        F.coalesce(F.col("_common") / F.nullif(every, F.lit(0)), F.lit(1.0)).alias("jaccard"),
-        F.coalesce(F.col("_common") / F.nullif("_right", F.lit(0)), F.lit(1.0)).alias("containment"),
+        F.coalesce(F.col(common) / F.nullif(every, F.lit(0)), F.lit(1.0)).alias("jaccard"),
+        F.coalesce(F.col(common) / F.nullif(other, F.lit(0)), F.lit(1.0)).alias("containment"),
     )
 
 
 def only_removed(df: DataFrame, original: str, cleaned: str) -> DataFrame:
     """df with ``kept``: the cleaned text adds no word to the original (case counts) and is not blank."""
     out = shared_words(df, df.columns, F.col(original), F.col(cleaned))
+    common, one, other = unused(df.columns, *COUNTS)
     blank = F.trim(F.coalesce(cleaned, F.lit(""))) == ""
-    return out.withColumn("kept", ~blank & (F.col("_common") == F.col("_right"))).drop("_common", "_left", "_right")
+    return out.withColumn("kept", ~blank & (F.col(common) == F.col(other))).drop(common, one, other)
 
 
 def clean_outcome(df: DataFrame, key: str, original: str, cleaned: str, sense: str, fits: str) -> DataFrame:
@@ -182,8 +191,9 @@ def corpus_totals(books: DataFrame, pages: DataFrame, characters: DataFrame, ali
             F.count_if(new).alias("books"),
             F.count_if(F.col("skipped")).alias("books_skipped"),
             F.count_if(new & ~F.col("referenced")).alias("no_reference"),
-            *[F.count_distinct(F.when(new, F.col(p))).alias(f"{p}s") for p in people],
         ),
+        # each by itself: several distinct counts in one aggregation would make a row of every row for each
+        *[books.where(new & F.col(p).isNotNull()).select(p).distinct().agg(F.count("*").alias(f"{p}s")) for p in people],
         pages.agg(
             F.count("*").alias("pages"),
             F.count_if("story").alias("story_pages"),
@@ -197,8 +207,8 @@ def corpus_totals(books: DataFrame, pages: DataFrame, characters: DataFrame, ali
             F.count_if(F.col("flagged") & F.col("high")).alias("pages_flagged_high"),
             F.count_if("ocr_failed").alias("ocr_failed"),
             F.count_if("judge_failed").alias("judge_failed"),
-            F.count_distinct(F.when(F.col("flagged"), F.col("book"))).alias("books_flagged"),
         ),
+        pages.where(F.col("flagged") & F.col("book").isNotNull()).select("book").distinct().agg(F.count("*").alias("books_flagged")),
         characters.agg(F.count("*").alias("characters")),
         aliases.agg(F.count("*").alias("aliases")),
     ]

@@ -6,7 +6,7 @@ shuffles otherwise; none of these operators forces a broadcast.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import NON_BOOK_FOLDERS
+from folio.functions.matching import ratios
+from folio.sources.shared import Folder, shared_path
+from folio.sources.snapshots import Store
 
 
 def lookup(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -70,14 +73,13 @@ def orphan_folders(objects: DataFrame, books: DataFrame, folder: str, book_folde
     return counts.where(F.col("n_pages") >= least).join(keys, folder, "left_anti")
 
 
-def _ratio(option: pd.Series, name: pd.Series) -> pd.Series:
-    m = SequenceMatcher(None)
-    out = []
-    for o, n in zip(option, name, strict=True):
-        m.set_seq2(n)
-        m.set_seq1(o)
-        out.append(m.ratio())
-    return pd.Series(out)
+def _ratio(cutoff: float | None = None):
+    """The matching-blocks ratio as a column function; 0 for pairs below a cutoff."""
+
+    def of(option: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series(ratios(option.tolist(), name.tolist(), cutoff), dtype="float64")
+
+    return F.pandas_udf(of, "double")
 
 
 def fuzzy_match(names: DataFrame, name: str, options: DataFrame, option: str, cutoff: float = 0.8) -> DataFrame:
@@ -88,7 +90,7 @@ def fuzzy_match(names: DataFrame, name: str, options: DataFrame, option: str, cu
     Each distinct name is matched once.  Options are blocked by length (a ratio of ``cutoff`` needs
     2 min / (min + max) of it) and by pairs of neighbouring letters: M matching letters in blocks with at most la + lb - 2 M
     gaps share 3 M - la - lb - 1 of them, which is s or more for any partner of a name, so two such names share one
-    that is among the g - s + 1 rarest of each.  The common letters bound the ratio before Python sees a pair.
+    that is among the g - s + 1 rarest of each.  The common letters bound the ratio before a pair is compared, a batch of pairs at a time.
     """
     if cutoff < 0.8:
         raise ValueError("cutoff must be 0.8 or more")
@@ -125,8 +127,7 @@ def fuzzy_match(names: DataFrame, name: str, options: DataFrame, option: str, cu
         "char_length(_n) - char_length(replace(_n, x, '')), char_length(_o) - char_length(replace(_o, x, ''))))"
     )
     pairs = pairs.where(2 * letters >= cutoff * (F.char_length("_n") + F.char_length("_o")))
-    ratio = F.pandas_udf(_ratio, "double")
-    scored = pairs.withColumn("score", ratio("_o", "_n")).where(F.col("score") >= cutoff)
+    scored = pairs.withColumn("score", _ratio(cutoff)("_o", "_n")).where(F.col("score") >= cutoff)
     best = scored.groupBy("name").agg(F.max(F.struct("score", "_o", "match")).alias("b"))
     out = asked.select("name").distinct().join(best, "name", "left")
     return out.select("name", F.col("b.match").alias("match"), F.col("b.score").alias("score"))
@@ -221,22 +222,52 @@ def by_priority(df: DataFrame, key: str, sources: list[DataFrame], fields: list[
     return out.select(key, *[F.coalesce(*[blank(f"_{i}_{f}") for i in use(f)]).alias(f) for f in fields])
 
 
-def cached(requests: DataFrame, parts: list[str], cache: DataFrame, scorer, schema: str) -> tuple[DataFrame, DataFrame]:
+def content_key(parts: list[str]) -> Column:
+    """SHA-1 of the parts as strings with a zero byte between them; null is ''."""
+    blank = [F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]
+    return F.sha1(reduce(lambda a, b: F.concat(a, F.lit("\x00"), b), blank).cast("binary"))
+
+
+def cached(requests: DataFrame, parts: list[str], cache: DataFrame, scorer, schema: str, ahead: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(all results, results to append to the cache): content keys found in the cache are reused.
 
     cache: key and the columns of ``schema``; scorer(DataFrame of misses) gives key, the same columns and ok.
     Failures are not appended, so they are tried again next time.
+
+    The scorer's results are written to ``ahead`` (a folder) before anything is returned, and both frames read them there, so a
+    miss is scored once.  Where the folder stands complete, as a job before left it, nothing is scored again.
     """
-    blank = [F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]
-    glue = F.lit("\x00")
-    text = reduce(lambda a, b: F.concat(a, glue, b), blank)
-    keyed = requests.withColumn("key", F.sha1(text.cast("binary")))
+    spark = requests.sparkSession
+    keyed = requests.withColumn("key", content_key(parts))
     columns = [f.split()[0] for f in schema.split(",")]
-    hits = keyed.join(cache.select("key", *columns), "key").withColumn("cached", F.lit(True))
-    misses = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
-    fresh = scorer(misses)
-    again = keyed.join(cache.select("key"), "key", "left_anti").join(fresh.select("key", *columns), "key")
-    return hits.unionByName(again.withColumn("cached", F.lit(False))), fresh.where("ok").select("key", *columns)
+    held = cache.select("key", *columns)
+    ahead = ahead or shared_path(spark, "scored")
+    if "_SUCCESS" not in Folder(spark, ahead).names():
+        misses = keyed.join(held.select("key"), "key", "left_anti").dropDuplicates(["key"])
+        scorer(misses).select("key", *columns, "ok").write.mode("overwrite").parquet(ahead)
+    scored = spark.read.schema(f"key string, {schema}, ok boolean").parquet(ahead)
+    hits = keyed.join(held, "key").withColumn("cached", F.lit(True))
+    again = keyed.join(held.select("key"), "key", "left_anti").join(scored.select("key", *columns), "key")
+    return hits.unionByName(again.withColumn("cached", F.lit(False))), scored.where("ok").select("key", *columns)
+
+
+def score_once(requests: DataFrame, parts: list[str], store: Store, table: str, scorer, schema: str, writer: str, number: int) -> DataFrame:
+    """Results of all requests from a store's table of results, which new ones are added to: a content key that was
+    scored without failure is never scored again, whoever asks and however often a job is run.
+
+    Results go to a folder named by writer and number before they are committed; a job that stopped in between
+    finds them there."""
+    spark = requests.sparkSession
+    version = store.pointer()
+    there = table in version["tables"]
+    cache = store.read(table, version["version"]) if there else spark.createDataFrame([], f"key string, {schema}")
+    folder = f"ahead-{writer}-{number}"
+    if store.done(writer, number):
+        # a job that is run again: what it added is in the table, and only its failures are not
+        folder = f"again-{uuid.uuid4().hex}"
+    out, new = cached(requests, parts, cache, scorer, schema, f"{store.path}/{folder}")
+    store.write({table: new}, writer, number, append=True)
+    return out
 
 
 def name_dimension(table: DataFrame, name: str, ident: str, order: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.names import unused
 from folio.sources.shared import shared_path
 
 #: Digits to which runs are padded: longer numbers than any counter.
 DIGITS = 20
+#: Numbers of a session looked at together, and numbers of a range in one array.
+PIECE, STEP = 1_000_000, 10_000
 
 
 def natural_key(c) -> Column:
@@ -49,22 +52,23 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
 
     The driver sees one count a range, not the rows; no task orders the whole table.
     """
-    keys = {f"_o{i}": o for i, o in enumerate(order)}
+    mark, *names = unused([*df.columns, name], "id", *[f"o{i}" for i in range(len(order))])
+    keys = dict(zip(names, order))
     ranged = df.withColumns(keys).repartitionByRange(*[F.col(k) for k in keys])
     # written, so that counting and numbering see the same ranges (each run samples its own) and lost executors lose nothing
-    ranged = ranged.sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    ranged = ranged.sortWithinPartitions(*keys).withColumn(mark, F.monotonically_increasing_id())
     path = shared_path(df.sparkSession, "numbered")
     ranged.write.parquet(path)
     ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
-    part = F.shiftright("_id", 33).cast("int")
+    part = F.shiftright(mark, 33).cast("int")
     counts = {r.p: r.n for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     total, before = 0, []
     for p in range(max(counts, default=-1) + 1):
         before.append(total)
         total += counts.get(p, 0)
     offsets = F.array(*[F.lit(b) for b in before]) if before else F.array(F.lit(0))
-    place = F.element_at(offsets, part + 1) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return ranged.withColumn(name, place.cast("long")).drop(*keys, "_id")
+    place = F.element_at(offsets, part + 1) + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.withColumn(name, place.cast("long")).drop(*keys, mark)
 
 
 def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -83,11 +87,26 @@ def distinct_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b).dropDuplicates([key])
 
 
+def missing_ranges(files: DataFrame, session: str, slot: str) -> DataFrame:
+    """(session, first, last): the ranges of numbers from 1 up to the highest seen that are absent.
+
+    A session's numbers are looked at in pieces of ``PIECE``, and the pieces' ends once more, so no task takes a whole session."""
+    n = F.col(slot).cast("long")
+    seen = files.where(n >= 1).select(session, n.alias("_n"), F.floor(n / PIECE).alias("_piece")).distinct()
+    before = F.lag("_n").over(Window.partitionBy(session, "_piece").orderBy("_n"))
+    inside = seen.select(session, (before + 1).alias("first"), (F.col("_n") - 1).alias("last"))
+    ends = seen.groupBy(session, "_piece").agg(F.min("_n").alias("_low"), F.max("_n").alias("_high"))
+    before = F.coalesce(F.lag("_high").over(Window.partitionBy(session).orderBy("_piece")), F.lit(0))
+    between = ends.select(session, (before + 1).alias("first"), (F.col("_low") - 1).alias("last"))
+    return inside.unionByName(between).where("first <= last")
+
+
 def missing_slots(files: DataFrame, session: str, slot: str) -> DataFrame:
     """(session, slot) of the numbers 1..highest seen that are absent."""
-    top = files.groupBy(session).agg(F.max(slot).alias("_top"), F.collect_set(slot).alias("_have"))
-    gaps = F.array_except(F.sequence(F.lit(1), F.col("_top").cast("int")), F.transform("_have", lambda x: x.cast("int")))
-    return top.where("_top >= 1").select(session, F.explode(gaps).alias(slot))
+    ranges = missing_ranges(files, session, slot).withColumn("_from", F.explode(F.sequence("first", "last", F.lit(STEP))))
+    # a row for each STEP numbers before a row for each
+    numbers = F.sequence("_from", F.least("last", F.col("_from") + STEP - 1))
+    return ranges.select(session, F.explode(numbers).alias(slot)).withColumn(slot, F.col(slot).cast("int"))
 
 
 def manifest_matches(manifests: DataFrame, session: str, listed: str, files: DataFrame, name: str) -> DataFrame:

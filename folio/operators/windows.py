@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators.ordering import numbered
+from folio.sources.shared import shared_path
 
 TEXT_LAYER_MIN = 20
 #: Notes that stand for a neighbour without text.
 FIRST_PAGE, LAST_PAGE = "(first story page)", "(last story page)"
 NO_TEXT_BEFORE, NO_TEXT_AFTER = "(previous story page has no text)", "(next story page has no text)"
 
+#: Places of a key that are looked at together.
+PIECE = 1_000_000
+
 
 def neighbour_context(pages: DataFrame, book: str, page: str, text: str) -> DataFrame:
     """Story pages with previous and next text, or a note: at the book's edge, or a page without text."""
@@ -106,33 +110,95 @@ def tripped(calls: DataFrame, key: str, order: str, outcome: str, limit: int = 5
     return fails.withColumn("_n", nth).where(F.col("_n") == limit).groupBy(key).agg(F.min(order).alias("at"))
 
 
+def _as_of(rows: DataFrame, points: DataFrame, key: str, at: str, value: str, name: str) -> DataFrame:
+    """rows with the largest ``value`` of the points of their key that stand before their ``at`` (0 if none); values rise with ``at``.
+
+    Rows and points meet in pieces of ``PIECE`` places; of the pieces before only the largest value is carried on."""
+    piece = F.floor(F.col(at) / PIECE)
+    rows, points = rows.withColumn("_piece", piece), points.select(key, at, value).withColumn("_piece", piece)
+    pieces = rows.select(key, "_piece").distinct().join(points.groupBy(key, "_piece").agg(F.max(value).alias("_most")), [key, "_piece"], "full")
+    so_far = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(key, "_piece", F.coalesce(F.max("_most").over(so_far), F.lit(0)).alias("_carry"))
+    marks = points.select(key, "_piece", at, F.col(value).alias("_point"))
+    both = rows.withColumn("_row", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    # a point at a row's own place comes after it
+    before = Window.partitionBy(key, "_piece").orderBy(at, F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_most", F.max("_point").over(before)).where("_row").drop("_row", "_point")
+    return both.join(pieces, [key, "_piece"]).withColumn(name, F.greatest(F.coalesce("_most", F.lit(0)), "_carry")).drop("_most", "_carry", "_piece")
+
+
+def _ranked(rows: DataFrame, key: str, place: str, name: str) -> DataFrame:
+    """rows with their rank by place within their key, in pieces of ``PIECE`` places."""
+    rows = rows.withColumn("_piece", F.floor(F.col(place) / PIECE))
+    counts = rows.groupBy(key, "_piece").agg(F.count("*").alias("_n"))
+    so_far = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(key, "_piece", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_piece").orderBy(place))
+    return rows.withColumn("_inside", inside).join(counts, [key, "_piece"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_piece", "_inside", "_before")
+
+
+def _claims(part: pd.DataFrame) -> pd.DataFrame:
+    """Which of a stem's ids that two titles could take go to which: rows (base, parent, n, before, taken, exists).
+
+    ``base`` is the id of a title of its own and number n of its parent.  ``before``: titles of the parent before the first of
+    base; ``taken``: existing ids among the parent's numbers below n; ``exists``: the id is taken in any case."""
+    out, lost, won = [], set(), {}
+    # parents first, and of one parent's numbers the lower first
+    for r in sorted(part.itertuples(), key=lambda r: (r.base.count("_("), r.parent, r.n)):
+        blocked = r.taken + (r.parent in lost) + won.get(r.parent, 0)
+        if r.exists:
+            continue
+        if r.n - blocked <= r.before:  # the parent's titles came to this number first
+            lost.add(r.base)
+            out.append((r.base, 1))
+        else:
+            won[r.parent] = won.get(r.parent, 0) + 1
+            out.append((r.parent, r.n))
+    return pd.DataFrame(out, columns=["base", "n"])
+
+
 def unique_titles(titles: DataFrame, title: str, position: str, existing: DataFrame, ident: str) -> DataFrame:
     """(position, title, id): ids that collide get " (2)", " (3)", ... in order of position.
 
-    A blank title is "Untitled book n", n being its place among all titles of the batch.  Titles whose ids may meet share everything before a trailing "(n)", so a title is handled together
-    with all that its suffixed forms could clash with, and with the existing ids among them.
+    A blank title is "Untitled book n", n being its place among all titles of the batch.
+
+    Titles of one id are ranked, and the k-th gets the k-th number that is free: k and as many as there are taken numbers
+    in front of it, which is looked up among the gaps of the taken ones.  Taken are existing ids, and ids that another title
+    has by itself ("Cat (2)" takes the second of "Cat").  Such an id goes to who comes first: its parent's titles have passed it by
+    then, or not.  That is settled for the distinct ids in question, a stem's in one task; copies are only ranked and counted.
     """
-    rows = numbered(titles.select(F.col(position).alias("position"), F.trim(F.coalesce(title, F.lit(""))).alias("_t")), [F.col("position")], "_n")
-    untitled = F.concat(F.lit("Untitled book "), F.col("_n").cast("string"))
-    rows = rows.select("position", F.when(F.col("_t") == "", untitled).otherwise(F.col("_t")).alias("t"), F.lit(None).cast("string").alias("taken"))
-    used = existing.select(F.lit(None).cast(rows.schema["position"].dataType).alias("position"), F.lit(None).cast("string").alias("t"), F.col(ident).alias("taken"))
-    ids = lambda c: F.translate(F.lower(c), " ", "_")
-    stem = F.regexp_replace(F.coalesce("taken", ids(F.col("t"))), r"(_\([0-9]+\))+$", "")
-    both = rows.unionByName(used).withColumn("stem", stem)
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken = set(pdf["taken"].dropna())
-        out = []
-        for r in pdf[pdf["t"].notna()].sort_values("position").itertuples():
-            n, name = 1, r.t
-            while (key := name.lower().replace(" ", "_")) in taken:
-                n += 1
-                name = f"{r.t} ({n})"
-            taken.add(key)
-            out.append((int(r.position), name, key))
-        return pd.DataFrame(out, columns=["position", "title", "id"])
-
-    return both.groupBy("stem").applyInPandas(number, "position long, title string, id string")
+    rows = numbered(titles.select(F.col(position).alias("position"), F.trim(F.coalesce(title, F.lit(""))).alias("_t")), [F.col("position")], "place")
+    untitled = F.concat(F.lit("Untitled book "), F.col("place").cast("string"))
+    rows = rows.select("position", "place", F.when(F.col("_t") == "", untitled).otherwise(F.col("_t")).alias("t"))
+    rows = _ranked(rows.withColumn("base", F.translate(F.lower("t"), " ", "_")), "base", "place", "k")
+    path = shared_path(titles.sparkSession, "titles")
+    rows.write.parquet(path)
+    rows = titles.sparkSession.read.schema(rows.schema).parquet(path)
+
+    form = r"(?s)^(.*)_\(([1-9][0-9]{0,17})\)$"
+    numbered_id = lambda c: F.when(F.regexp_extract(c, form, 2) != "", F.regexp_extract(c, form, 2)).cast("long")
+    bases = rows.groupBy("base").agg(F.min("place").alias("first"))
+    known = bases.select(F.col("base").alias("parent"))
+    children = bases.withColumns({"parent": F.regexp_extract("base", form, 1), "n": numbered_id("base")}).where("n >= 2").join(known, "parent")
+    have = existing.select(F.col(ident).alias("base")).where("base is not null").distinct()
+    own = have.join(bases.select("base"), "base").select("base", F.lit(1).cast("long").alias("n"))
+    of_parent = have.select(F.regexp_extract("base", form, 1).alias("parent"), numbered_id("base").alias("n")).where("n >= 2").join(known, "parent")
+    taken = own.unionByName(of_parent.select(F.col("parent").alias("base"), "n"))
+
+    # the distinct ids that a title has by itself and another as a number
+    asked = _as_of(children.select("base", "parent", "n", F.col("first").alias("place")), rows.select(F.col("base").alias("parent"), "place", "k"), "parent", "place", "k", "before")
+    ranks = taken.withColumn("j", F.row_number().over(Window.partitionBy("base").orderBy("n")).cast("long"))
+    asked = _as_of(asked, ranks.withColumnRenamed("base", "parent"), "parent", "n", "j", "taken")
+    asked = asked.join(have.withColumn("exists", F.lit(True)), "base", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+    stem = F.regexp_replace("base", r"(_\([0-9]+\))+$", "")
+    settled = asked.withColumn("stem", stem).groupBy("stem").applyInPandas(_claims, "base string, n long")
+
+    ranks = taken.unionByName(settled).distinct().withColumn("j", F.row_number().over(Window.partitionBy("base").orderBy("n")).cast("long"))
+    # taken number n is the j-th: who ranks above n - j steps over it
+    gaps = ranks.groupBy("base", (F.col("n") - F.col("j")).alias("k")).agg(F.max("j").alias("over"))
+    out = _as_of(rows, gaps, "base", "k", "over", "over").withColumn("n", F.col("k") + F.col("over"))
+    mark = lambda head: F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit(f"{head}("), F.col("n").cast("string"), F.lit(")")))
+    return out.select(F.col("position").cast("long").alias("position"), F.concat("t", mark(" ")).alias("title"), F.concat("base", mark("_")).alias("id"))
 
 
 def cluster_sample(df: DataFrame, cluster: str, item: str, k: int, m: int, seed: int, order) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from folio.functions import columns as c
 from folio.operators import joins as j
+from folio.functions.replies import scored
 from folio.plans.registry import query
+from folio.sources.shared import shared_path
+from folio.sources.snapshots import Store
 
 
 @query(
@@ -283,6 +286,31 @@ def j17(t):
     return out.select("doc_id", "key", "score", "cached")
 
 
+@query(
+    "j17_score_once",
+    r"""WITH d AS (SELECT doc_id, sha1(lang || chr(0) || coalesce(text, '')) AS key, length(text) AS n FROM documents),
+    hit AS (SELECT DISTINCT key FROM d WHERE doc_id % 2 = 0 AND n <= 3000)
+    SELECT doc_id, key, CASE WHEN n <= 3000 THEN CAST(n AS DOUBLE) END AS score, key IN (SELECT key FROM hit) AS cached FROM d""",
+)
+def j17_score_once(t):
+    """Half of the documents are scored and kept; then all are asked for, and only new texts and failures are scored."""
+    store = Store(t.spark, shared_path(t.spark, "results"))
+    docs = t.documents.select("doc_id", "lang", "text")
+
+    def scorer(misses):
+        return scored(misses, "key", "text", _short).withColumn("ok", F.col("error").isNull())
+
+    j.score_once(docs.where("doc_id % 2 = 0"), ["lang", "text"], store, "scores", scorer, "score double", "half", 0)
+    out = j.score_once(docs, ["lang", "text"], store, "scores", scorer, "score double", "all", 0)
+    return out.select("doc_id", "key", "score", "cached")
+
+
+def _short(text):
+    if len(text) > 3000:
+        raise ValueError("too long")
+    return len(text)
+
+
 @query(
     "j18_name_dimension",
     """WITH d AS (SELECT replace(lower(n_name), '_', ' ') AS name, n_nationkey AS id FROM nation UNION ALL SELECT 'nation ' || CAST(s_nationkey % 3 AS VARCHAR), s_suppkey + 1000 FROM supplier)

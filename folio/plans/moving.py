@@ -173,12 +173,12 @@ def _candidates(t):
     """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 3 = 0 THEN '{"v":null}' ELSE '{"v":"' || event_type || '"}' END AS old_value, '{"v":' || CAST(user_id AS VARCHAR) || '}' AS new_value FROM events""",
 )
 def a14(t):
-    path = shared_path(t.spark, "log")
+    """Two jobs append their halves, and the first is run again: its rows are there once."""
+    store = Store(t.spark, shared_path(t.spark, "log"))
     rows = t.events.select("event_id", "ts", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("old_value"), F.col("user_id").alias("new_value"))
-    s.append_log(rows.where("event_id % 2 = 0"), path, "ts", ["old_value", "new_value"])
-    s.append_log(rows.where("event_id % 2 = 1"), path, "ts", ["old_value", "new_value"])
-    back = t.spark.read.schema("event_id long, old_value string, new_value string, day string").parquet(path)
-    return back.select("event_id", "day", "old_value", "new_value")
+    for number, half in ((0, 0), (1, 1), (0, 0)):
+        s.append_once(rows.where(F.col("event_id") % 2 == half), store, "log", "ts", ["old_value", "new_value"], "audit", number)
+    return store.read("log").select("event_id", "day", "old_value", "new_value")
 
 
 def page_reply(t):
@@ -234,12 +234,27 @@ def f2(t):
     return r.two_tier(t.documents, "doc_id", "text", _short, lambda text: -1.0, lambda score: score >= 100)
 
 
+def _first_line(text):
+    return text.split("\n")[0] if len(text) % 2 == 0 else text + " added"
+
+
+@query(
+    "f2_guarded",
+    r"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS key, text, split_part(text, chr(10), 1) AS line FROM documents),
+    c AS (SELECT *, length(text) % 2 = 0 AND trim(line) <> '' AS ok FROM d)
+    SELECT key, CASE WHEN ok THEN line ELSE text END AS cleaned, NULL AS error, CASE WHEN ok THEN 1 ELSE 2 END AS tier, ok OR trim(text) <> '' AS kept FROM c""",
+)
+def f2_guarded(t):
+    """A cleaner that adds a word to every other text is refused there, and the second tier takes its place."""
+    return r.cleaned_in_two_tiers(t.documents, "doc_id", "text", _first_line, lambda text: text)
+
+
 @query("f3_matching_ratio")
 def f3(t):
     """The ratio of matching blocks of part names and their neighbours by key; Python's definition, so without SQL."""
     a = t.part.select("p_partkey", F.col("p_name").alias("option"))
     b = t.part.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("name"))
-    return a.join(b, "p_partkey").withColumn("ratio", F.pandas_udf(j._ratio, "double")("option", "name"))
+    return a.join(b, "p_partkey").withColumn("ratio", j._ratio()("option", "name"))
 
 
 @query(

@@ -268,6 +268,16 @@ def u4(t):
     return o.missing_slots(t.lineitem, "l_orderkey", "l_linenumber")
 
 
+@query(
+    "u4_missing_ranges",
+    """WITH s AS (SELECT DISTINCT user_id, event_id + 1 AS n FROM events),
+    l AS (SELECT user_id, coalesce(lag(n) OVER (PARTITION BY user_id ORDER BY n), 0) + 1 AS "first", n - 1 AS "last" FROM s)
+    SELECT user_id, "first", "last" FROM l WHERE "first" <= "last" """,
+)
+def u4_ranges(t):
+    return o.missing_ranges(t.events.select("user_id", (F.col("event_id") + 1).alias("n")), "user_id", "n")
+
+
 @query(
     "u5_manifest_matches",
     """WITH h AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS have FROM lineitem GROUP BY 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.columns import NON_BOOK_FOLDERS, human_code, normal_title
+from folio.sources.snapshots import MOST_FOLDERS, Store
 
 SECRETS = ("password", "token", "secret")
 
@@ -51,6 +52,27 @@ def first_usable(*sources: DataFrame) -> DataFrame:
     return sources[-1]
 
 
+def database_table(spark: SparkSession, url: str, table: str, key: str, parts: int = 8, columns: list[str] | None = None, **options: str) -> DataFrame:
+    """A table of a database over JDBC, in ``parts`` ranges of a whole-number key, each read by a task of its own.
+
+    Columns and filters that a query uses go to the database; the bounds are read there first.  An empty table is one range."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    ends = reader.option("query", f"SELECT MIN({key}) AS LOW, MAX({key}) AS HIGH FROM {table}").load().first()
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if ends[0] is not None and parts > 1:
+        reader = reader.options(partitionColumn=key, lowerBound=int(ends[0]), upperBound=int(ends[1]) + 1, numPartitions=parts)
+    rows = reader.load()
+    return scan(rows, columns) if columns else rows
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modified) of the objects under a folder of any store, listed by tasks; no content is read.
+
+    Filters on length and time are applied to the listing before rows are made."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 def file_parts(path) -> dict[str, Column]:
     """folder, file, page_number and variant of object paths; null page for anything but a page file."""
     file = F.regexp_extract(path, "[^/]*$", 0)
@@ -132,6 +154,17 @@ def candidate_report(candidates: DataFrame, categories: list[str]) -> tuple[Data
     return flat(candidates), spine.join(counts, "category", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def append_once(rows: DataFrame, store: Store, table: str, time: str, values: list[str], writer: str, number: int) -> bool:
+    """Append records to a store's table with their day; a job run again under the same writer and number adds nothing.
+
+    Values of any type are written as JSON.  Many small appends are brought together now and then."""
+    out = rows.withColumns({v: F.to_json(F.struct(F.col(v).alias("v")), {"ignoreNullFields": "false"}) for v in values})
+    added = store.write({table: out.withColumn("day", F.date_format(time, "yyyy-MM-dd"))}, writer, number, append=True)
+    if len(store.pointer()["tables"][table]["folders"]) > MOST_FOLDERS:
+        store.compact(table, f"compact {table}")
+    return added
+
+
 def append_log(rows: DataFrame, path: str, time: str, values: list[str]) -> DataFrame:
     """Append records partitioned by day; values of any type are written as JSON, so no write fails on a type."""
     out = rows.withColumns({v: F.to_json(F.struct(F.col(v).alias("v")), {"ignoreNullFields": "false"}) for v in values})

@@ -1,19 +1,21 @@
 """Hand-worked answers for columns, joins, aggregations, windows and maintenance."""
 
 import random
-from difflib import get_close_matches
+from difflib import SequenceMatcher, get_close_matches
 
 import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import columns as c
 from folio.functions import replies as r
+from folio.functions.matching import ratios
 from folio.operators import aggs as g
 from folio.operators import joins as j
 from folio.operators import maintain as m
 from folio.operators import ordering as o
 from folio.operators import windows as w
 from folio.sources import tables as s
+from folio.sources.snapshots import Store
 
 
 def values(spark, expr, cases, kind="string"):
@@ -105,6 +107,159 @@ def test_unique_titles_is_greedy(spark):
         assert got[i] == key
 
 
+def greedy_titles(titles, have):
+    taken, out = set(have), []
+    for i, t in enumerate(titles):
+        t = (t or "").strip() or f"Untitled book {i + 1}"
+        n, name = 1, t
+        while (key := name.lower().replace(" ", "_")) in taken:
+            n += 1
+            name = f"{t} ({n})"
+        taken.add(key)
+        out.append((i, name, key))
+    return out
+
+
+@pytest.mark.parametrize("seed,piece", [(1, 10**6), (2, 7), (3, 5), (4, 3)])
+def test_unique_titles_across_titles(spark, monkeypatch, seed, piece):
+    """Titles that clash with other titles' numbers, at two levels, with gaps in what is taken; in large and tiny pieces."""
+    monkeypatch.setattr(w, "PIECE", piece)
+    rng = random.Random(seed)
+    kinds = ["Cat", "cat", "Cat (2)", "CAT (3)", "cat (4)", "Cat (2) (2)", "cat (2) (3)", "Cat (02)", "Cat (1)", "Cat (7)", "Dog", "dog (5)", "", None, "Untitled book 9", "Eel (2)"]
+    titles = [rng.choice(kinds) for _ in range(150)]
+    have = rng.sample(["cat", "cat_(5)", "cat_(6)", "cat_(9)", "dog_(2)", "dog_(3)", "cat_(2)_(2)", "eel", "cat_(3)", "untitled_book_9_(2)", "owl"], 6)
+    df = spark.createDataFrame(list(enumerate(titles)), "pos int, t string").repartition(3)
+    got = w.unique_titles(df, "t", "pos", spark.createDataFrame([(h,) for h in have], "id string"), "id").collect()
+    assert sorted(map(tuple, got)) == greedy_titles(titles, have)
+
+
+def test_a_hundred_thousand_equal_titles(spark):
+    """Copies are ranked, not tried one by one."""
+    df = spark.range(100_000).select(F.col("id").alias("pos"), F.lit("Same").alias("t"))
+    have = spark.createDataFrame([("same",), ("same_(10)",), ("same_(11)",)], "id string")
+    got = w.unique_titles(df, "t", "pos", have, "id").agg(F.count_distinct("id").alias("n"), F.max(F.regexp_extract("id", "([0-9]+)", 1).cast("int")).alias("top")).first()
+    assert tuple(got) == (100_000, 100_003)
+
+
+def test_matching_ratio_is_difflib():
+    rng = random.Random(8)
+    name = lambda letters, lo, hi: "".join(rng.choice(letters) for _ in range(rng.randrange(lo, hi)))
+    pairs = [(name("abc d", 0, 14), name("abc dé漢", 0, 14)) for _ in range(2000)] + [(name("ab c", 180, 260), name("ab c", 180, 260)) for _ in range(20)]
+    pairs += [("", ""), ("", "a"), ("a", ""), ("\U0001f600x", "x\U0001f600")]
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    first, second = zip(*pairs)
+    assert ratios(list(first), list(second)).tolist() == want
+    assert ratios(list(first), list(second), 0.6).tolist() == [x if x >= 0.6 else 0 for x in want]
+
+
+def test_gaps_are_ranges(spark, monkeypatch):
+    rows = [(1, 3), (1, 3), (1, 2_000_000_000), (2, 1), (2, 2), (3, 0), (3, -5), (4, 2), (4, 5), (4, None), (None, 2)]
+    df = spark.createDataFrame(rows, "s int, n int")
+    ranges = sorted(map(tuple, o.missing_ranges(df, "s", "n").collect()), key=str)
+    assert ranges == sorted([(1, 1, 2), (1, 4, 1_999_999_999), (4, 1, 1), (4, 3, 4), (None, 1, 1)], key=str)
+    monkeypatch.setattr(o, "PIECE", 3)
+    monkeypatch.setattr(o, "STEP", 2)
+    rng = random.Random(4)
+    rows = [(s, rng.randrange(1, 40)) for s in range(4) for _ in range(12)]
+    got = sorted(map(tuple, o.missing_slots(spark.createDataFrame(rows, "s int, n int"), "s", "n").collect()))
+    have = {s: {n for x, n in rows if x == s} for s in range(4)}
+    assert got == [(s, n) for s in range(4) for n in range(1, max(have[s])) if n not in have[s]]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(7, "b", 1), (8, "a", 2)], "_id int, s string, _o0 int")
+    assert [tuple(r) for r in o.numbered(df, [F.col("s")]).orderBy("place").collect()] == [(8, "a", 2, 1), (7, "b", 1, 2)]
+    df = spark.createDataFrame([("a b", "a", 1, 2, 3)], "l string, r string, _l int, _r int, _common int")
+    assert g.only_removed(df, "l", "r").first().asDict() == {"l": "a b", "r": "a", "_l": 1, "_r": 2, "_common": 3, "kept": True}
+
+
+def test_a_result_is_scored_once(spark, tmp_path):
+    """A scorer that counts its calls: one a key, whatever frames are written, jobs run again, or stopped before they commit."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        calls.add(1)
+        if text.startswith("bad"):
+            raise ValueError(text)
+        return len(text)
+
+    def scorer(misses):
+        return r.scored(misses, "key", "text", count).withColumn("ok", F.col("error").isNull())
+
+    docs = spark.createDataFrame([(i, f"text {i % 4}") for i in range(12)] + [(20, "bad"), (21, None)], "id int, text string")
+    ask = lambda n, df=docs: {q.id: (q.score, q.cached) for q in j.score_once(df, ["text"], store, "scores", scorer, "score double", "job", n).collect()}
+    first = ask(0)
+    assert first[0] == (6.0, False) and first[20] == (None, False) and calls.value == 6
+    again = ask(0)  # the same job: only its failures are tried again
+    assert again[0] == (6.0, True) and calls.value == 8
+    more = docs.unionByName(spark.createDataFrame([(30, "longer text")], "id int, text string"))
+    stop = store.write
+    store.write = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("stopped"))
+    with pytest.raises(RuntimeError):
+        ask(1, more)
+    store.write, made = stop, calls.value
+    assert ask(1, more)[30] == (11.0, False) and calls.value == made  # its results stood written
+    assert {q.score for q in store.read("scores").collect()} == {6.0, 11.0} and store.read("scores").count() == 5
+
+
+def test_records_are_appended_once(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    monkeypatch.setattr(s, "MOST_FOLDERS", 3)
+    rows = spark.createDataFrame([(1, "2025-01-02 03:04:05", True)], "id int, t string, v boolean").withColumn("t", F.col("t").cast("timestamp"))
+    for number in (0, 1, 1, 0, 2, 3, 4, 4):
+        s.append_once(rows, store, "log", "t", ["v"], "daily", number)
+    assert [tuple(q) for q in store.read("log").select("id", "day", "v").collect()] == [(1, "2025-01-02", '{"v":true}')] * 5
+    assert len(store.pointer()["tables"]["log"]["folders"]) <= 3
+
+
+def test_guard_between_tiers(spark):
+    rows = [(1, "a b c"), (2, "a b"), (3, "boom"), (4, None), (5, "keep")]
+    df = spark.createDataFrame(rows, "k int, t string")
+
+    def cheap(text):
+        if text == "boom":
+            raise ValueError("no")
+        return {"a b c": "a c", "a b": "a b new", "keep": " "}[text]
+
+    got = {q.key: (q.cleaned, q.tier, q.kept) for q in r.cleaned_in_two_tiers(df, "k", "t", cheap, lambda t: t.upper()).collect()}
+    assert got == {"1": ("a c", 1, True), "2": ("A B", 2, False), "3": ("BOOM", 2, False), "4": (None, 2, False), "5": ("KEEP", 2, False)}
+
+
+def test_database_table_in_ranges(spark, tmp_path):
+    """A bundled engine's table: ranges of the key are partitions, filters and columns go to the database."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    base = spark.range(100).select("id", (F.col("id") % 7).cast("int").alias("n"), F.concat(F.lit("b"), "id").alias("name"))
+    base.write.format("jdbc").options(url=url, dbtable="books", driver=DERBY).save()
+    df = s.database_table(spark, url, "books", "id", 4, driver=DERBY)
+    assert df.rdd.getNumPartitions() == 4 and sorted(map(tuple, df.collect())) == sorted(map(tuple, base.collect()))
+    some = df.where("n = 3").select("id")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo" in plan and "name" not in plan.lower()
+    assert {q.id for q in some.collect()} == {i for i in range(100) if i % 7 == 3}
+    characters, _, odd = s.character_source(
+        s.database_table(spark, url, "books", "id", driver=DERBY).select(F.col("name").alias("book"), "name", F.lit("H").alias("human")), spark.createDataFrame([("b1", "x")], "book string, alias string")
+    )
+    assert characters.count() == 100 and odd.count() == 0
+    spark.createDataFrame([], "id long").write.format("jdbc").options(url=url, dbtable="none", driver=DERBY).save()
+    assert s.database_table(spark, url, "none", "id", driver=DERBY).count() == 0
+
+
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
+
+
+def test_listing_of_objects(spark, tmp_path):
+    for path, size in (("a/page_1.jpg", 3), ("a/page_2_cropped.jpg", 30), ("b/sub/page_3.jpg", 300), ("b/notes.txt", 5), ("uploads/page_4.jpg", 1)):
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"x" * size)
+    files = s.listing(spark, f"file://{tmp_path}", "*.jpg")
+    got = {(q.folder.rsplit("/", 1)[1], q.page_number, q.variant, q.length) for q in s.inventory(files, "path").collect()}
+    assert got == {("a", 1, "", 3), ("a", 2, "_cropped", 30), ("sub", 3, "", 300)}
+    plan = files.where("length > 10").select("path")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(length,10)" in plan and "content" not in plan.split("ReadSchema")[1]
+
+
 def test_salvage():
     cases = {
         '{"a": 1}': '{"a": 1}',

@@ -57,7 +57,8 @@ def database_table(spark: SparkSession, url: str, table: str, key: str, parts: i
 
     Columns and filters that a query uses go to the database; the bounds are read there first.  An empty table is one range."""
     reader = spark.read.format("jdbc").options(url=url, **options)
-    ends = reader.option("query", f"SELECT MIN({key}) AS LOW, MAX({key}) AS HIGH FROM {table}").load().first()
+    own = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    ends = reader.option("query", f"SELECT MIN({own}) AS LOW, MAX({own}) AS HIGH FROM {table}").load().first()
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if ends[0] is not None and parts > 1:
         reader = reader.options(partitionColumn=key, lowerBound=int(ends[0]), upperBound=int(ends[1]) + 1, numPartitions=parts)

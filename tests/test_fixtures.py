@@ -241,8 +241,8 @@ def test_database_table_in_ranges(spark, tmp_path):
         s.database_table(spark, url, "books", "id", driver=DERBY).select(F.col("name").alias("book"), "name", F.lit("H").alias("human")), spark.createDataFrame([("b1", "x")], "book string, alias string")
     )
     assert characters.count() == 100 and odd.count() == 0
-    spark.createDataFrame([], "id long").write.format("jdbc").options(url=url, dbtable="none", driver=DERBY).save()
-    assert s.database_table(spark, url, "none", "id", driver=DERBY).count() == 0
+    spark.createDataFrame([], "id long").write.format("jdbc").options(url=url, dbtable="no_books", driver=DERBY).save()
+    assert s.database_table(spark, url, "no_books", "id", driver=DERBY).count() == 0
 
 
 DERBY = "org.apache.derby.jdbc.EmbeddedDriver"

@@ -8,7 +8,8 @@ marks, length, whether they repeat the word before).  A document is the mean of
 vectors and of the index vectors of their forms, with a few ratios.  A two-layer numpy network on the
 pooled vectors gives a logit; a temperature fitted on rows kept from training calibrates it.
 
-The vocabulary (the ``VOCABULARY`` commonest words) and the vectors come from all documents.  The network is fitted on
+Every word of all documents has a vector: words are hashed to ``SLOTS`` vectors, which those of one slot share, so the
+table has one size whatever the corpus.  The network is fitted on
 ``SAMPLE`` labelled rows at most, those of the smallest hashed ids.  Vectors and weights are of fixed
 size and can be broadcast.  Scoring reads every whole text.
 Labels, language, source and id are never inputs of a score.
@@ -32,11 +33,11 @@ from pyspark.sql import types as T
 from .scratch import drop, keep
 from .words import Words, mix, slices
 
-#: Labelled rows to fit on; words with a vector; width of word vectors and of form vectors.
-SAMPLE, VOCABULARY, WIDTH, FORMS = 12_000, 16_384, 32, 64
+#: Labelled rows to fit on; vectors that words share; width of word vectors and of form vectors.
+SAMPLE, SLOTS, WIDTH, FORMS = 12_000, 1 << 15, 32, 64
 HIDDEN, EPOCHS, RATE, DECAY = 32, 40, 3e-3, 1e-4
 WINDOW, PLACES = 2, 4
-EXTRA = 6
+EXTRA = 5
 #: Text bytes that are pooled at a time; a word takes up to two kilobytes of arrays.
 SLICE = 512 << 10
 
@@ -90,11 +91,14 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total
 
 
+def slot_of(h: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(h ^ np.uint64(0x510E_527F)) % np.uint64(slots)).astype(np.int64)
+
+
 @dataclass
 class Vectors:
-    """Word vectors by sorted word hash."""
+    """Word vectors by slot."""
 
-    words: np.ndarray
     table: np.ndarray
 
     def pool(self, column: pa.Array) -> np.ndarray:
@@ -103,24 +107,14 @@ class Vectors:
         h = w.hashes()
         n = w.counts
         per = 1.0 / np.maximum(n, 1)
-        parts = []
         row = np.repeat(np.arange(w.n), n)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            known = self.words[at] == h
-            hit, rows = np.flatnonzero(known), row[known]
-            # a text's words by vector: each distinct one is read once
-            key, count = np.unique(rows * len(self.words) + at[hit], return_counts=True)
-            of, which = key // len(self.words), key % len(self.words)
-            first = np.searchsorted(of, np.arange(w.n + 1))
-            weighed = self.table[which]
-            weighed *= count[:, None].astype(np.float32)
-            parts.append(_sums(weighed, first) * per[:, None])
-            del weighed
-            share = np.bincount(rows, minlength=w.n) * per
-        else:
-            parts.append(np.zeros((w.n, WIDTH)))
-            share = np.zeros(w.n)
+        # a text's words by vector: each distinct one is read once
+        slots = len(self.table)
+        key, count = np.unique(row * slots + slot_of(h, slots), return_counts=True)
+        weighed = self.table[key % slots]
+        weighed *= count[:, None].astype(np.float32)
+        parts = [_sums(weighed, np.searchsorted(key, np.arange(w.n + 1) * slots)) * per[:, None]]
+        del weighed
         form, again = word_forms(w, h)
         forms, which = np.unique(form, return_inverse=True)
         vectors = index_vectors(mix(forms.astype(np.uint64)), FORMS)
@@ -135,68 +129,38 @@ class Vectors:
         lines = np.add.reduceat(np.append(w.data == 10, False), np.minimum(w.offsets[:-1], len(w.data))) if w.n else size
         lines = np.where(size > 0, lines, 0)
         parts.append(
-            np.stack([share, distinct, np.bincount(row[again], minlength=w.n) * per, np.log1p(n), np.log1p(lines), size * per / 16], 1)
+            np.stack([distinct, np.bincount(row[again], minlength=w.n) * per, np.log1p(n), np.log1p(lines), size * per / 16], 1)
         )
         return np.concatenate(parts, 1).astype(np.float32)
 
 
-def fit_vectors(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, width: int = WIDTH) -> Vectors:
-    """Random-indexing vectors of the commonest words of all documents, from all places where they stand."""
-    spark = docs.sparkSession
-
-    def count(batches):
-        held, size = [], 0
-
-        def added_up():
-            words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
-
-        for batch in batches:
-            for part in slices(batch, text):
-                held.append(np.unique(Words(part.column(0)).hashes(), return_counts=True))
-                size += len(held[-1][0])
-                if size >= 1 << 18:
-                    yield added_up()
-                    size = 0
-        if held:
-            yield added_up()
-
-    counts = docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = keep(counts, "quality-words")
-    # how many words occur so often: a row for each number of times, from which the least number of the vocabulary is read
-    often = counts.groupBy("n").agg(F.count("*").alias("words")).toArrow().sort_by([("n", "descending")])
-    upto = np.cumsum(often["words"].to_numpy())
-    full = int(np.searchsorted(upto, vocabulary, side="right"))
-    last = int(often["n"][full].as_py()) if full < len(upto) else 0
-    left = vocabulary - (int(upto[full - 1]) if full else 0)
-    # ``vocabulary`` rows of one number; of the words that tie at its end those of the least hashes
-    top = counts.where(F.col("n") > last).select("word").unionByName(counts.where(F.col("n") == last).orderBy("word").limit(left).select("word"))
-    words = np.sort(top.toArrow()["word"].to_numpy().view(np.uint64))
-    drop(counts)
-    if not len(words):
-        return Vectors(words, np.zeros((0, width), np.float32))
-    known = spark.sparkContext.broadcast(words)
-
-    def around(batches):
-        words = known.value
-        total = np.zeros(len(words) * width)  # whole numbers, so any order of adding gives the same
+def around(column: pa.Array, slots: int, width: int) -> np.ndarray:
+    """By slot, the sum of the index vectors of the words around its words; whole numbers, so any order of adding gives the same."""
+    w = Words(column)
+    h = w.hashes()
+    if not len(h):
+        return np.zeros(slots * width)
+    places = index_places(h, width)
+    row, slot = np.repeat(np.arange(w.n), w.counts), slot_of(h, slots) * width
+    to, signs = [], []
+    for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+        at = np.arange(max(-d, 0), len(h) - max(d, 0))
+        at = at[row[at] == row[at + d]]
+        for place, sign in places:
+            # where a neighbour stands is told by a rotation of its vector
+            to.append(slot[at] + (place[at + d] + d) % width)
+            signs.append(sign[at + d])
+    return np.bincount(np.concatenate(to), np.concatenate(signs), slots * width)
+
+
+def fit_vectors(docs: DataFrame, text: str = "text", slots: int = SLOTS, width: int = WIDTH) -> Vectors:
+    """Random-indexing vectors of the words of all documents, from all places where they stand."""
+
+    def sums(batches):
+        total = np.zeros(slots * width)
         for batch in batches:
             for part in slices(batch, text, SLICE):
-                w = Words(part.column(0))
-                h = w.hashes()
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                hit = np.flatnonzero(words[at] == h)
-                places = index_places(h, width)
-                row = np.repeat(np.arange(w.n), w.counts)
-                for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
-                    near = hit[(hit + d >= 0) & (hit + d < len(h))]
-                    near = near[row[near] == row[near + d]]
-                    for place, sign in places:
-                        # where a neighbour stands is told by a rotation of its vector
-                        to = at[near] * width + (place[near + d] + d) % width
-                        total += np.bincount(to, sign[near + d], len(total))
+                total += around(part.column(0), slots, width)
         total = total.reshape(-1, width)
         some = np.flatnonzero(np.abs(total).sum(1))
         flat = pa.array(total[some].ravel())
@@ -204,13 +168,13 @@ def fit_vectors(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULAR
             [pa.array(some, pa.int32()), pa.FixedSizeListArray.from_arrays(flat, width).cast(pa.list_(pa.float64()))], ["at", "v"]
         )
 
-    sums = docs.select(text).mapInArrow(around, "at int, v array<double>")
-    # one row for each word of the vocabulary
-    sums = sums.groupBy("at").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(width)]).toArrow()
-    table = np.zeros((len(words), width), np.float64)
-    table[sums["at"].to_numpy()] = np.stack([sums[f"v{k}"].to_numpy() for k in range(width)], 1)
+    parts = docs.select(text).mapInArrow(sums, "at int, v array<double>")
+    # one row for each slot
+    found = parts.groupBy("at").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(width)]).toArrow()
+    table = np.zeros((slots, width), np.float64)
+    table[found["at"].to_numpy()] = np.stack([found[f"v{k}"].to_numpy() for k in range(width)], 1)
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
-    return Vectors(words, table.astype(np.float32))
+    return Vectors(table.astype(np.float32))
 
 
 @dataclass
@@ -295,11 +259,11 @@ class QualityModel:
         context = docs.sparkSession.sparkContext
         sample = labelled_sample(docs, labels, label, limit, doc_id, text)
         fitted = fit_vectors(docs.select(F.col(text).alias("text")))
-        self.vectors = vectors = context.broadcast((fitted.words, fitted.table))
+        self.vectors = vectors = context.broadcast(fitted.table)
         n_features = WIDTH + FORMS + EXTRA
 
         def pooled(batches):
-            known = Vectors(*vectors.value)
+            known = Vectors(vectors.value)
             for batch in batches:
                 for part in slices(batch, "text", SLICE):
                     x = known.pool(part.column(0)).astype(np.float32)
@@ -316,7 +280,7 @@ class QualityModel:
         self.network = context.broadcast((net.mean, net.scale, net.weights, net.temperature))
 
     def on_worker(self) -> Scorer:
-        return Scorer(Vectors(*self.vectors.value), Network(*self.network.value))
+        return Scorer(Vectors(self.vectors.value), Network(*self.network.value))
 
 
 @dataclass

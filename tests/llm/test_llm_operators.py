@@ -19,7 +19,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import divergence, license_scan, pitman_yor, ranked_search
+from folio.llm import divergence, license_scan, pitman_yor, quality, ranked_search
 from folio.llm.chat_format import rotate_perspectives
 from folio.llm.components import components
 from folio.llm.decontaminate import best_stretch, decontaminate, spaced_seed_matches, words_of
@@ -39,6 +39,7 @@ CLASH = (
     "score long, node long, size long, slot int, _row long, hash long, held_out string, predicted string, label string, "
     "_id long, _hash long, y double, _key long, _copies int, id string, mark string"
 )
+A_Z = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORDS = "alder birch cedar elder hazel larch maple rowan sumac willow yew ash elm fir oak pine teak lime plum pear".split()
 
 
@@ -714,10 +715,51 @@ def test_mixing_small_sources(spark):
         assert abs(taken[s] - goal[s]) <= max(1, min(32, size[s] / 64)), (s, taken[s], goal[s])
 
 
+def test_quality_brute_force(spark):
+    """Vectors, pooling and network recomputed by plain loops; columns that the scores replace are found in any case."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(WORDS[:9]) + rng.choice(["", ".", "!!"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, "", "One", "AA aa AA"]
+    rows = [(i, t, i % 3 > 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, 1.0, "x") for i, t, _ in rows], "doc_id long, text string, Score double, Held_Out string").repartition(3)
+    slots, width = 64, 8
+    found = quality.fit_vectors(df.select("text"), slots=slots, width=width).table
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    code = lambda word: Words(pa.array([word])).hashes()
+    want = np.zeros((slots, width))
+    for t in texts:
+        words = split(t)
+        for i, word in enumerate(words):
+            for d in (-2, -1, 1, 2):
+                if 0 <= i + d < len(words):
+                    want[quality.slot_of(code(word), slots)[0]] += np.roll(quality.index_vectors(code(words[i + d]), width)[0], d)
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(found, want, atol=1e-5)
+    # pooling: the mean of a text's words' vectors, and a few ratios
+    pooled = quality.Vectors(found).pool(pa.array(texts))
+    for t, x in zip(texts, pooled):
+        words = split(t)
+        mean = sum((found[quality.slot_of(code(word), slots)[0]] for word in words), np.zeros(width)) / max(len(words), 1)
+        assert np.allclose(x[:width], mean, atol=1e-5)
+        lower = [w.translate(A_Z) for w in words]
+        again = sum(a == b for a, b in zip(lower, lower[1:]))
+        ratios_ = [len(set(lower)) / max(len(words), 1), again / max(len(words), 1), math.log1p(len(words)), math.log1p((t or "").count("\n")), len((t or "").encode()) / max(len(words), 1) / 16]
+        assert np.allclose(x[-quality.EXTRA :], ratios_, atol=1e-5)
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.QualityModel(df, labels, "quality", 1000, "doc_id", "text")
+    table, (mean, scale, (w1, b1, w2, b2), temperature) = model.vectors.value, model.network.value
+    got = {r.doc_id: r for r in quality_scores(df, labels).collect()}
+    assert set(got[0].asDict()) == {"doc_id", "text", "held_out", "score", "predicted"}
+    for (i, t, _), x in zip(rows, quality.Vectors(table).pool(pa.array(texts)).astype(float)):
+        z = [min(max((x[k] - mean[k]) / scale[k], -8), 8) for k in range(len(x))]
+        hidden = [max(sum(z[k] * w1[k][h] for k in range(len(z))) + b1[h], 0) for h in range(len(b1))]
+        logit = sum(hidden[h] * w2[h][0] for h in range(len(hidden))) + b2[0]
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-logit / temperature)), abs=1e-6)
+        assert got[i].predicted == (got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 # ---------------------------------------------------------------- ranked search
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-A_Z = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def brute_ranks(docs, items, top):

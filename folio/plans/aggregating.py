@@ -85,7 +85,9 @@ def g4(t):
     return out.withColumns({"cost_usd": F.round("cost_usd", 4), "cost_per_book": F.round("cost_per_book", 6)})
 
 
-_OVERLAP = r"""WITH p AS (SELECT doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+_OVERLAP = r"""WITH c AS (SELECT count(*) AS items FROM benchmark),
+d AS (SELECT doc_id, text AS a, doc_id % items AS item_id FROM documents, c),
+p AS (SELECT doc_id, a, b.text AS b FROM d JOIN benchmark b USING (item_id)),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(a, '')), '[a-z0-9]+')) AS w, 1 AS a, 0 AS b FROM p
   UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(b, '')), '[a-z0-9]+')), 0, 1 FROM p),
 k AS (SELECT doc_id, w, sum(a) AS a, sum(b) AS b FROM w GROUP BY 1, 2),

@@ -110,15 +110,17 @@ def reviewed_lines(lines: DataFrame, line: str = "value") -> tuple[DataFrame, Da
 
 def reviewed_records(spark: SparkSession, path: str) -> DataFrame:
     """Reviewed candidates from a report (object of categories), a JSON list, or a text of lines; a bad line is an error."""
-    text = spark.read.text(path, wholetext=True)
-    head = text.select(F.substring(F.ltrim("value"), 1, 1).alias("h")).first()
-    if head and head.h in ("{", "["):
-        record = "struct<kind:string,collection:string,doc_id:string,path:string>"
-        if head.h == "[":
-            return text.select(F.explode(F.from_json("value", f"array<{record}>")).alias("r")).select("r.*")
-        report = F.from_json("value", f"categories map<string,array<{record}>>")
-        return text.select(F.explode(report["categories"]).alias("category", "rs")).select(F.explode("rs").alias("r")).select("r.*")
-    records, rejects = reviewed_lines(spark.read.text(path))
+    lines = spark.read.text(path)
+    first = lines.where(F.trim("value") != "").first()
+    head = first.value.lstrip()[0] if first else ""
+    record = "kind string, collection string, doc_id string, path string"
+    # the reader takes a document from its file piece by piece; elements of a list are rows at once
+    if head == "[":
+        return spark.read.schema(record).option("multiLine", True).json(path)
+    if head == "{":
+        report = spark.read.schema(f"categories map<string,array<struct<{record.replace(' string', ':string')}>>>").option("multiLine", True).json(path)
+        return report.select(F.explode("categories").alias("category", "rs")).select(F.explode("rs").alias("r")).select("r.*")
+    records, rejects = reviewed_lines(lines)
     if bad := rejects.first():
         raise ValueError(f"unrecognised line: {bad.line!r}")
     return records

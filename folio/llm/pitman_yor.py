@@ -12,7 +12,7 @@ sits down again: at an occupied table in proportion to its customers less the di
 dishes of a bucket move at once, and see other dishes' tables as of the sweep before.  The parent's customers are the
 tables of its children, and sit down anew in each sweep.  Discounts are estimated from the
 numbers of single and double customers.  The predictive probabilities of ``SAMPLES`` sweeps
-after ``BURN`` are averaged, and their logarithms summed over each text.
+after ``BURN`` are averaged, and their logarithms summed over each text; its perplexity is that sum's mean a token.
 
 Layout.  Pieces of the input send, for each bucket of words, the distinct (word, context) pairs with
 their counts and the documents they occur in, as packed arrays; so a word costs one entry for
@@ -570,10 +570,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
                 "train_tokens": pa.array(np.full(m, n_train, np.int64)),
                 "base_score": pa.array(base),
                 "score": pa.array(score),
+                "perplexity": pa.array(10 ** (-score / np.maximum(n, 1))),
             }
         )
 
-    schema = T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    schema = T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     schema = T.StructType([T.StructField("doc_id", kind), *schema.fields])
     return partial.unionByName(heads).groupBy("piece").applyInArrow(add_up, schema)
 

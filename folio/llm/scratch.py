@@ -66,6 +66,8 @@ def keep_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFr
     path, table = new_path(spark, name), f"folio_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(table)
     out = spark.table(table)
+    out.schema  # found by now, so the catalog need not keep the name; the files stay
+    spark.sql(f"DROP TABLE {table}")
     out._folio_path = path
     return out
 

@@ -338,7 +338,9 @@ def test_pitman_yor(spark, edge, clashing, empty):
     assert all(r.score < 0 for r in got)
     out = [r for r in got if r.held_out and (r.doc_id or 0) >= 200]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in got)
     assert score_texts(empty).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("folio_")]
 
 
 def chances(spark, train, words):

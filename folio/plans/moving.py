@@ -190,9 +190,14 @@ def page_reply(t):
 
 @query(
     "n26_page_replies",
-    """SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN trim(text) ELSE '' END AS text, turn % 4 <> 2 AND role = 'user' AS is_story, CASE WHEN turn % 4 = 2 THEN '' ELSE role END AS page_type,
-    NULL AS error_message FROM conversations WHERE turn % 4 <> 3
-    UNION ALL SELECT conv_id, turn, NULL, NULL, NULL, 'not usable JSON: ' || trim(substring(text, 1, 30)) FROM conversations WHERE turn % 4 = 3""",
+    """WITH r AS (SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN substring(text, 1, 30) WHEN 2 THEN '{"text": 7}'
+      ELSE CAST(to_json({'text': ' ' || text, 'has_text': turn % 4 <> 1, 'is_story_page': role = 'user', 'page_type': role}) AS VARCHAR) END AS raw FROM conversations),
+    k AS (SELECT *, CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE false END AS usable FROM r)
+    SELECT conv_id, turn,
+      CASE WHEN coalesce(lower(raw ->> '$.has_text') NOT IN ('false', '0', ''), true) AND json_type(raw, '$.text') = 'VARCHAR' THEN trim(raw ->> '$.text') ELSE '' END AS text,
+      coalesce(lower(raw ->> '$.is_story_page') IN ('true', '1'), false) AS is_story, coalesce(raw ->> '$.page_type', '') AS page_type, NULL AS error_message FROM k WHERE usable
+    UNION ALL SELECT conv_id, turn, NULL, NULL, NULL,
+      CASE WHEN trim(coalesce(raw, '')) = '' THEN 'no usable reply' ELSE 'not usable JSON: ' || substring(trim(raw), 1, 500) END FROM k WHERE NOT usable""",
 )
 def n26(t):
     pages, errors = r.page_replies(page_reply(t), "reply")

@@ -19,7 +19,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import divergence, license_scan, pitman_yor, quality, ranked_search
+from folio.llm import bitmap, divergence, jaccard_join, license_scan, pitman_yor, quality, ranked_search
+from folio.llm import components as components_
 from folio.llm.chat_format import rotate_perspectives
 from folio.llm.components import components
 from folio.llm.decontaminate import best_stretch, decontaminate, spaced_seed_matches, words_of
@@ -418,7 +419,10 @@ def test_pitman_yor_contexts_do_not_share(spark):
 # ---------------------------------------------------------------- licenses
 
 
-def test_licenses(spark, empty):
+@pytest.mark.parametrize("few", [4096, 1])
+def test_licenses(spark, empty, monkeypatch, few):
+    """Whether the hashes of the templates' runs are a list in the plan or a table that is joined."""
+    monkeypatch.setattr(license_scan, "FEW", few)
     apache = license_scan.TEMPLATES[0][1]
     docs = edge_rows() + [
         (20, f"Hello. {apache}. More.", "en", "s", 1),
@@ -615,7 +619,12 @@ def brute_components(rows):
     return Counter((doc_id, len(s), least.get(find(i), doc_id)) for i, (doc_id, s) in enumerate(sets))
 
 
-def test_jaccard_join_brute_force(spark, empty):
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_join_brute_force(spark, empty, monkeypatch, small):
+    """Also with blocks of two members, components by the plan for large ones, and bitmaps that are full."""
+    if small:
+        for module, name, value in ((jaccard_join, "RUN_BLOCK", 2), (components_, "LARGE", 1), (bitmap, "LEAST", 6), (bitmap, "MOST", 8)):
+            monkeypatch.setattr(module, name, value)
     rng = random.Random(8)
     rows, passage = edge_rows(), prose(77, 60)
     for g in range(14):

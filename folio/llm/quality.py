@@ -34,7 +34,7 @@ from .scratch import drop, keep
 from .words import Words, mix, slices
 
 #: Labelled rows to fit on; vectors that words share; width of word vectors and of form vectors.
-SAMPLE, SLOTS, WIDTH, FORMS = 12_000, 1 << 15, 32, 64
+SAMPLE, SLOTS, WIDTH, FORMS = 12_000, 1 << 14, 32, 64
 HIDDEN, EPOCHS, RATE, DECAY = 32, 40, 3e-3, 1e-4
 WINDOW, PLACES = 2, 4
 EXTRA = 5
@@ -163,10 +163,10 @@ def fit_vectors(docs: DataFrame, text: str = "text", slots: int = SLOTS, width:
                 total += around(part.column(0), slots, width)
         total = total.reshape(-1, width)
         some = np.flatnonzero(np.abs(total).sum(1))
-        flat = pa.array(total[some].ravel())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.FixedSizeListArray.from_arrays(flat, width).cast(pa.list_(pa.float64()))], ["at", "v"]
-        )
+        for k in range(0, len(some), 1024):
+            at = some[k : k + 1024]
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(total[at].ravel()), width).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), flat], ["at", "v"])
 
     parts = docs.select(text).mapInArrow(sums, "at int, v array<double>")
     # one row for each slot

@@ -6,12 +6,14 @@ parent, the restaurant of single words, and that one has the uniform distributio
 as its base.  A table in a context restaurant is a customer of the parent.
 
 Seating is sampled by Gibbs sweeps.  At first the customers of a dish sit down one after another, a new table being taken
-in proportion to the strength, the tables in the restaurant and the parent's probability.  Then, ``MOVES`` times a sweep,
-of every dish one customer, drawn at random, leaves (and with it the table, if nobody else sits there) and
-sits down again: at an occupied table in proportion to its customers less the discount, or at a new one.  All
-dishes of a bucket move at once, and see other dishes' tables as of the sweep before.  The parent's customers are the
-tables of its children, and sit down anew in each sweep.  Discounts are estimated from the
-numbers of single and double customers.  The predictive probabilities of ``SAMPLES`` sweeps
+in proportion to the strength, the tables in the restaurant and the parent's probability.  Then, in each sweep, every customer
+leaves about once and sits down again, at an occupied table in proportion to its customers less the discount, or at
+a new one: ``ROUNDS`` times a share of 1 / ROUNDS of the dish's customers, one at least, however many it has.  Sizes of tables are
+integrated out: given its customers and tables, the chance that the one who leaves sat alone has a closed form (``Alone``), so a
+dish is two numbers at any count.  One customer at a time is an exact Gibbs move; the customers of a share move by the
+chances at its start.  All dishes of a bucket move at once, and see other dishes' tables as of the sweep before.  The parent's
+customers are the tables of its children: those who are gone leave, new ones sit down, and then they move as the others.
+Discounts are estimated from the numbers of single and double customers.  The predictive probabilities of ``SAMPLES`` sweeps
 after ``BURN`` are averaged, and their logarithms summed over each text; its perplexity is that sum's mean a token.
 
 Layout.  Pieces of the input send, for each bucket of words, the distinct (word, context) pairs with
@@ -36,6 +38,8 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -47,7 +51,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .scratch import drop, keep, keep_bucketed, release
 from .words import Words, mix, slices
 
-BURN, SAMPLES, MOVES = 1, 2, 8
+BURN, SAMPLES, ROUNDS = 1, 2, 32
+#: Customers of a dish up to which the chance of sitting alone comes from the recursion.
+EXACT = 256
 STRENGTH, ROOT_STRENGTH = 2.0, 10.0
 #: Tokens of one piece of input, and of one bucket of words on average.
 PIECE, BUCKET = 2 << 20, 1 << 20
@@ -106,69 +112,90 @@ def _context(keys: np.ndarray) -> np.ndarray:
     return (keys & _LOW).astype(np.int64)
 
 
-def seats(customers: np.ndarray, strength: np.ndarray, slope: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables of dishes after all their customers sat down; a new table's weight is strength + slope * tables."""
-    tables = np.minimum(customers, 1).astype(np.int64)
-    todo = np.flatnonzero(customers > 1)
-    at = 1
+def seats(tables: np.ndarray, at: np.ndarray, customers: np.ndarray, strength: np.ndarray, slope: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Tables of dishes after more of their customers sat down than the first ``at``; a new table's weight is strength + slope * tables."""
+    first = (at < 1) & (customers > 0)
+    tables, at = np.where(first, 1, tables), np.where(first, 1, at)
+    todo = np.flatnonzero(customers > at)
     while len(todo):
-        block = max(1, at // 4)
-        t = tables[todo]
+        n, t = at[todo], tables[todo]
+        block = np.minimum(np.maximum(1, n // 4), customers[todo] - n)
         fresh = strength[todo] + slope[todo] * t
-        p = fresh / (fresh + np.maximum(at - discount * t, 1e-9))
-        tables[todo] = t + rng.binomial(np.minimum(block, customers[todo] - at), np.clip(p, 0, 1))
-        at += block
-        todo = todo[customers[todo] > at]
+        p = fresh / (fresh + np.maximum(n - discount * t, 1e-9))
+        tables[todo] = t + rng.binomial(block, np.clip(p, 0, 1))
+        at[todo] = n + block
+        todo = todo[customers[todo] > at[todo]]
+    return tables
+
+
+class Alone:
+    """The chance that a customer of a dish, drawn at random, sits alone, by the dish's customers and tables.
+
+    Given both, a seating has the weight of its tables' sizes alone, whatever the weight of a new table, so the chance is a
+    ratio of generalised Stirling numbers: S(c - 1, t - 1) / S(c, t), with S(c, t) = S(c - 1, t - 1) + (c - 1 - d t) S(c - 1, t).
+    Up to ``EXACT`` customers it is taken from that recursion.  Beyond, table sizes follow the law with the generating
+    function 1 - (1 - x)^d, x being such that their mean is that of the dish: a share d x / (1 - (1 - x)^d) of the tables is single.
+    """
+
+    def __init__(self, discount: float):
+        log = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        log[0, 0] = 0
+        self.table = np.zeros((EXACT + 1, EXACT + 1))
+        for c in range(1, EXACT + 1):
+            others = c - 1 - discount * np.arange(1, c + 1)
+            stay = np.where(others > 0, log[c - 1, 1 : c + 1] + np.log(np.maximum(others, 1e-300)), -np.inf)
+            log[c, 1 : c + 1] = np.logaddexp(log[c - 1, :c], stay)
+            self.table[c, 1 : c + 1] = np.exp(log[c - 1, :c] - log[c, 1 : c + 1])
+        rest = np.logspace(-1e-9, -15, 8192)  # 1 - x
+        full = -np.expm1(discount * np.log(rest))
+        self.mean = np.log((1 - rest) * discount * rest ** (discount - 1) / full)
+        self.single = discount * (1 - rest) / full
+
+    def __call__(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        small = customers <= EXACT
+        out = self.table[np.where(small, customers, 0), np.where(small, tables, 0)]
+        c, t = customers[~small] - 1, tables[~small] - 1
+        out[~small] = t / c * np.interp(np.log(c / np.maximum(t, 1e-9)), self.mean, self.single)
+        return out
+
+
+@lru_cache(maxsize=4)
+def alone(discount: float) -> Alone:
+    return Alone(discount)
+
+
+def _several(n: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
+    """Binomial draws; most are of one."""
+    out = (rng.random(len(n)) < p).astype(np.int64)
+    many = np.flatnonzero(n > 1)
+    out[many] = rng.binomial(n[many], np.clip(p[many], 0, 1))
+    return out
+
+
+def moved(tables: np.ndarray, customers: np.ndarray, strength: np.ndarray, slope: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Tables after ``ROUNDS`` rounds, in each of which a share of 1 / ROUNDS of every dish's customers, one at least, leaves
+    and sits down again; a new table's weight is strength + slope * tables."""
+    where = np.flatnonzero(customers > 1)
+    c, t, strength, slope = customers[where], tables[where], strength[where], slope[where]
+    share = -(-c // ROUNDS)
+    for _ in range(ROUNDS):
+        gone = np.minimum(_several(share, alone(discount)(c, t), rng), t - 1)
+        left = t - gone / share
+        fresh = strength + slope * left
+        t = np.minimum(t - gone + _several(share, fresh / (fresh + np.maximum(c - 1 - discount * left, 1e-9)), rng), c)
+    tables = tables.copy()
+    tables[where] = t
     return tables
 
 
-class Tables:
-    """Who sits where: the customers at each table of the dishes that have several; other dishes have a table of their own."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, rng, size: np.ndarray | None = None):
-        self.n = tables.copy()  # tables of each dish
-        self.many = np.flatnonzero(customers > 1)
-        self.customers = customers[self.many]
-        self.first = np.cumsum(self.customers) - self.customers
-        self.size = np.zeros(int(self.customers.sum()), np.int64) if size is None else size
-        if size is not None:
-            return
-        # one customer opens each table and the others choose one of them
-        t, dish = tables[self.many], np.repeat(np.arange(len(self.many)), self.customers)
-        at = np.arange(len(dish)) - self.first[dish]
-        later = at >= t[dish]
-        at[later] = (rng.random(int(later.sum())) ** 2 * t[dish[later]]).astype(np.int64)
-        np.add.at(self.size, self.first[dish] + at, 1)
-
-    def _anyone(self, n: np.ndarray, below: np.ndarray, who: np.ndarray, rng) -> np.ndarray:
-        """The table of a random customer of each dish in who; below: customers up to and with each table."""
-        start = below[self.first[who]] - self.size[self.first[who]]
-        return np.searchsorted(below, start + (rng.random(len(who)) * n[who]).astype(np.int64), side="right")
-
-    def move(self, strength: np.ndarray, slope: np.ndarray, discount: float, rng) -> None:
-        """One customer of each dish leaves and sits down again; a new table's weight is strength + slope * tables."""
-        t, everyone = self.n[self.many], np.arange(len(self.many))
-        left = self._anyone(self.customers, np.cumsum(self.size), everyone, rng)
-        self.size[left] -= 1
-        gone = self.size[left] == 0
-        # the last table takes the place of one that is gone
-        last = self.first[gone] + t[gone] - 1
-        self.size[left[gone]] = self.size[last]
-        self.size[last] = 0
-        t[gone] -= 1
-        n = self.customers - 1
-        fresh = strength[self.many] + slope[self.many] * t
-        new = rng.random(len(t)) * (fresh + n - discount * t) < fresh
-        to = self.first + t
-        below = np.cumsum(self.size)
-        todo = np.flatnonzero(~new)
-        while len(todo):  # a table by its customers, and again if the discount takes it away
-            pick = self._anyone(n, below, todo, rng)
-            good = rng.random(len(todo)) * self.size[pick] < self.size[pick] - discount
-            to[todo[good]] = pick[good]
-            todo = todo[~good]
-        self.size[to] += 1
-        self.n[self.many] = t + new
+def followed(tables: np.ndarray, before: np.ndarray, customers: np.ndarray, strength: np.ndarray, slope: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Tables of dishes that had others customers before: those who are missing leave, new ones sit down, and then they move."""
+    fewer = np.flatnonzero(customers < before)
+    tables = tables.copy()
+    left = rng.binomial(before[fewer] - customers[fewer], np.clip(alone(discount)(before[fewer], tables[fewer]), 0, 1))
+    tables[fewer] = np.clip(tables[fewer] - left, np.minimum(customers[fewer], 1), customers[fewer])
+    tables = seats(tables, np.minimum(before, customers), customers, strength, slope, discount, rng)
+    return moved(tables, customers, strength, slope, discount, rng)
 
 
 class Bucket:
@@ -186,7 +213,7 @@ class Bucket:
         place = np.minimum(np.searchsorted(hot, self.words), max(len(hot) - 1, 0))
         self.hot = np.where(hot[place] == self.words, place, -1) if len(hot) else np.full(len(self.words), -1)
         self.tables = np.ones(len(keys), np.int64)
-        self.seated: Tables | None = None
+        self.seated = False
         self.totals = self._by_word(counts)
         self.customers = self._by_word(self.tables)
         self.root = np.ones(len(self.words), np.int64)
@@ -195,13 +222,12 @@ class Bucket:
         return np.add.reduceat(values, self.first) if len(values) else np.zeros(0, np.int64)
 
     def stored(self) -> list[bytes]:
-        """The seating: customers at each table, tables of each pair, tables of each word in the root."""
-        sizes = self.seated.size if self.seated else np.zeros(0, np.int64)
-        return [_planes(x.astype(np.uint32)) for x in (sizes, self.tables, self.root)]
+        """The seating: tables of each pair, tables of each word in the root."""
+        return [_planes(x.astype(np.uint64)) for x in (self.tables, self.root)]
 
-    def restore(self, sizes: bytes, tables: bytes, root: bytes) -> None:
-        sizes, self.tables, self.root = (_values(x, np.uint32).astype(np.int64) for x in (sizes, tables, root))
-        self.seated = Tables(self.counts, self.tables, None, sizes)
+    def restore(self, tables: bytes, root: bytes) -> None:
+        self.tables, self.root = (_values(x, np.uint64).astype(np.int64) for x in (tables, root))
+        self.seated = True
         self.customers = self._by_word(self.tables)
 
     def parent(self, s: dict) -> np.ndarray:
@@ -217,14 +243,14 @@ class Bucket:
         p = self.parent(s)[self.of]
         others = context_tables[self.context] - self.tables
         strength, slope = (STRENGTH + s["d1"] * np.maximum(others, 0)) * p, s["d1"] * p
-        if self.seated is None:
-            self.seated = Tables(self.counts, seats(self.counts, strength, slope, s["d1"], rng), rng)
-        for _ in range(MOVES):
-            self.seated.move(strength, slope, s["d1"], rng)
-        self.tables = self.seated.n.copy()
+        before = self.customers if self.seated else np.ones(len(self.words), np.int64)
+        if not self.seated:
+            self.tables = seats(self.tables, np.minimum(self.counts, 1), self.counts, strength, slope, s["d1"], rng)
+        self.tables = moved(self.tables, self.counts, strength, slope, s["d1"], rng)
         self.customers = self._by_word(self.tables)
-        weight = np.full(len(self.words), base_weight(s))
-        self.root = seats(self.customers, weight, s["d0"] * weight / max(ROOT_STRENGTH + s["d0"] * s["root"], 1e-9), s["d0"], rng)
+        each = np.full(len(self.words), s["d0"] / (s["vocabulary"] + 1))
+        weight = np.maximum(base_weight(s) - each * self.root, each)
+        self.root = followed(self.root, before, self.customers, weight, each, s["d0"], rng)
 
     def share(self, ranges: int) -> pa.RecordBatch:
         """What others need of this bucket's seating: (kind, place, value) to be summed, as kind 0 the
@@ -247,7 +273,7 @@ class Bucket:
             packed[0].append(_pack(self.contexts[a:b]))
             packed[1].append(_planes(tables[a:b]))
             packed[2].append(_planes(counts[a:b]))
-        for one, x in zip(packed, self.stored(), strict=True):
+        for one, x in zip(packed, [None, *self.stored()], strict=True):
             one.append(x)
         kind += [np.zeros(len(begin)), [-1]]
         place += [to[begin], [0]]
@@ -302,7 +328,7 @@ def _merged(words: list[bytes], contexts: list[bytes], counts: list[bytes], numb
 
 def _stored(columns: list[bytes], number: int, hot: np.ndarray) -> Bucket:
     keys, counts, names, contexts = columns
-    return Bucket(number, _unpack(keys), _values(counts, np.uint32).astype(np.int64), hot, _unpack(names), _unpack(contexts))
+    return Bucket(number, _unpack(keys), _values(counts, np.uint64).astype(np.int64), hot, _unpack(names), _unpack(contexts))
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
@@ -422,7 +448,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
         if number >= 0:
             words, before, counts = (table[c].to_pylist() for c in ("keys", "contexts", "trained"))
             bucket, keys = _merged(words, before, counts, number, hot.value)
-            merged = [_pack(bucket.keys), _planes(bucket.counts.astype(np.uint32)), _pack(bucket.names), _pack(bucket.contexts)]
+            merged = [_pack(bucket.keys), _planes(bucket.counts.astype(np.uint64)), _pack(bucket.names), _pack(bucket.contexts)]
             none = pa.nulls(len(keys), pa.binary())
             columns = [columns[0], pa.array([_pack(k) for k in keys], pa.binary()), columns[2], none, columns[4], none]
         parts = pa.StructArray.from_arrays(columns, names[1:])
@@ -452,7 +478,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
                     number, *row = (c[r].as_py() for c in batch.columns)
                     bucket = _stored(row[:4], number, hot.value)
                     if k > 1:
-                        bucket.restore(*row[5:8])
+                        bucket.restore(*row[5:7])
                     if k:
                         bucket.sweep(k - 1, shared, _values(row[4], np.uint64).astype(float))
                     yield bucket.share(buckets)
@@ -469,12 +495,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
         done = keep(seating(k, states[-1] if states else None), f"lm-seating{k}")
         # fewer than 1024 rows for each of two kinds, and a few totals: a fixed size
         sums = done.where("kind > 0").groupBy("kind", "place").agg(F.sum("value").alias("value")).toArrow()
-        states.append(_state(sums, hot.value, states[0] if states else None))
+        states.append(_state(sums, hot.value, states))
         added = done.where("kind = 0").groupBy("place").applyInArrow(_add_contexts, "bucket int, place long, tables binary, counts binary")
         added = added.groupBy("bucket").applyInArrow(_joined, "bucket int, tables binary, counts binary")
         around.append(keep(added, f"lm-contexts{k}"))
         if k:
-            state = F.col("contexts").alias("sizes"), F.col("tables").alias("seats"), F.col("counts").alias("roots")
+            state = F.col("tables").alias("seats"), F.col("counts").alias("roots")
             seated[k] = keep(done.where("kind = -1").select(F.col("value").cast("int").alias("bucket"), *state), f"lm-seated{k}")
         drop(done)
         release(spark)
@@ -501,7 +527,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
                 customers = _values(batch.column(6)[r].as_py(), np.uint64).astype(float)
                 seatings = []
                 for k in range(samples):
-                    near, *seating = (batch.column(7 + 4 * k + i)[r].as_py() for i in range(4))
+                    near, *seating = (batch.column(7 + 3 * k + i)[r].as_py() for i in range(3))
                     bucket.restore(*seating)
                     near = _values(near, np.uint64).astype(float)
                     seatings.append((bucket.tables, bucket.customers, bucket.root, shared[burn + k + 1], near))
@@ -536,7 +562,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
     rows = words.select("bucket", *merged_names, "parts").join(around[0].select("bucket", "counts"), "bucket")
     for k in range(burn + 1, burn + samples + 1):
         rows = rows.join(around[k].select("bucket", F.col("tables").alias(f"near{k}")), "bucket")
-        rows = rows.join(seated[k].toDF("bucket", f"sizes{k}", f"seats{k}", f"roots{k}"), "bucket")
+        rows = rows.join(seated[k].toDF("bucket", f"seats{k}", f"roots{k}"), "bucket")
     partial = rows.mapInArrow(scores, "piece long, rows binary, base binary, score binary, known binary")
     heads = sent.where("bucket < 0").select(F.explode("parts").alias("p")).select(
         F.col("p.piece").alias("piece"),
@@ -579,7 +605,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
     return partial.unionByName(heads).groupBy("piece").applyInArrow(add_up, schema)
 
 
-def _state(sums: pa.Table, hot: np.ndarray, first: dict | None) -> dict:
+def _state(sums: pa.Table, hot: np.ndarray, states: list[dict]) -> dict:
     kind, place, value = (sums[c].to_numpy() for c in ("kind", "place", "value"))
 
     def vector(k: int, size: int) -> np.ndarray:
@@ -594,13 +620,16 @@ def _state(sums: pa.Table, hot: np.ndarray, first: dict | None) -> dict:
     s["tokens"] = int(tokens)
     s["tables"] = tables
     discount = lambda a, b: float(np.clip(a / (a + 2 * b) if a else 0.5, 0.1, 0.95))
-    s["d1"] = first["d1"] if first else discount(once, twice)
-    s["d0"] = first["d0"] if first else discount(root_once, root_twice)
-    rng = np.random.default_rng(int(s["tables"]))
+    s["d1"] = states[0]["d1"] if states else discount(once, twice)
+    s["d0"] = states[0]["d0"] if states else discount(root_once, root_twice)
+    rng = np.random.default_rng([len(states), int(tables)])
     # the frequent words' tables in the root restaurant: seated here, there are fewer than 1024
-    s["root"] = root
-    weight = np.full(len(hot), (ROOT_STRENGTH + s["d0"] * max(root, 1)) / (s["vocabulary"] + 1))
-    s["hot_root"] = seats(s["hot_tables"].astype(np.int64), weight, np.zeros(len(hot)), s["d0"], rng).astype(float)
+    customers = s["hot_tables"].astype(np.int64)
+    before = states[-1]["hot_tables"].astype(np.int64) if len(states) > 1 else np.minimum(customers, 1)
+    own = states[-1]["hot_root"].astype(np.int64) if states else before
+    each = np.full(len(hot), s["d0"] / (s["vocabulary"] + 1))
+    weight = ROOT_STRENGTH / (s["vocabulary"] + 1) + each * np.maximum(root + own.sum() - own, 0)
+    s["hot_root"] = (followed(own, before, customers, weight, each, s["d0"], rng) if states else own).astype(float)
     s["root"] = root + s["hot_root"].sum()
     return s
 

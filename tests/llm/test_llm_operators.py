@@ -393,11 +393,59 @@ def test_gibbs_moves_reach_the_posterior():
         ways.append([0.0] + [ways[n][t - 1] + (n - discount * t) * ways[n][t] for t in range(1, c + 1)])
     want = np.array([ways[c][t] * math.prod(weight + slope * j for j in range(t)) for t in range(1, c + 1)])
     rng = np.random.default_rng(1)
-    tables = pitman_yor.Tables(np.full(k, c), np.ones(k, np.int64), rng)
-    for _ in range(40):
-        tables.move(np.full(k, weight), np.full(k, slope), discount, rng)
-    assert np.bincount(tables.n, minlength=c + 1)[1:] / k == pytest.approx(want / want.sum(), abs=0.01)
-    assert (tables.size.reshape(k, c).sum(1) == c).all() and ((tables.size.reshape(k, c) > 0).sum(1) == tables.n).all()
+    tables = np.ones(k, np.int64)
+    for _ in range(3):
+        tables = pitman_yor.moved(tables, np.full(k, c), np.full(k, weight), np.full(k, slope), discount, rng)
+    assert np.bincount(tables, minlength=c + 1)[1:] / k == pytest.approx(want / want.sum(), abs=0.01)
+    # customers who come and go leave the law as it is
+    for other in (2, 9, c):
+        was, c_now = c if other == 2 else {9: 2, c: 9}[other], other
+        tables = pitman_yor.followed(tables, np.full(k, was), np.full(k, c_now), np.full(k, weight), np.full(k, slope), discount, rng)
+    assert np.bincount(tables, minlength=c + 1)[1:] / k == pytest.approx(want / want.sum(), abs=0.01)
+
+
+@pytest.mark.parametrize("discount", [0.3, 0.8])
+def test_gibbs_shares_reach_the_posterior(discount):
+    """A dish of 2000 customers, a share of which moves at a time, beyond the recursion's table: mean and spread of its tables."""
+    c, weight, slope, k = 2000, 3.0, 0.2 * discount, 4000
+    log = np.full(c + 1, -np.inf)
+    log[0] = 0
+    t = np.arange(1, c + 1)
+    for n in range(c):
+        stay = np.where(n - discount * t > 0, log[1:] + np.log(np.maximum(n - discount * t, 1e-300)), -np.inf)
+        log = np.append(-np.inf, np.logaddexp(log[:-1], stay))
+    law = log[1:] + np.cumsum(np.log(weight + slope * (t - 1)))
+    law = np.exp(law - law.max())
+    law /= law.sum()
+    mean = (law * t).sum()
+    spread = math.sqrt((law * (t - mean) ** 2).sum())
+    rng = np.random.default_rng(2)
+    tables = np.full(k, 5)
+    for _ in range(30):
+        tables = pitman_yor.moved(tables, np.full(k, c), np.full(k, weight), np.full(k, slope), discount, rng)
+    assert tables.mean() == pytest.approx(mean, rel=0.03) and tables.std() == pytest.approx(spread, rel=0.1)
+
+
+@pytest.mark.parametrize("discount", [0.1, 0.5, 0.95])
+def test_chance_of_sitting_alone(discount, monkeypatch):
+    """The closed form against the recursion, where both are there."""
+    exact = pitman_yor.Alone(discount)
+    monkeypatch.setattr(pitman_yor, "EXACT", 1)
+    form = pitman_yor.Alone(discount)
+    for c in (200, 256):
+        t = np.arange(1, c)
+        assert form(np.full(c - 1, c), t) == pytest.approx(exact(np.full(c - 1, c), t), abs=0.006)
+
+
+def test_pair_with_many_customers_stays_small():
+    """A pair that occurs a hundred million times takes two numbers, and moves in a moment."""
+    keys = np.array([0, 1], np.uint64)
+    bucket = pitman_yor.Bucket(0, keys, np.array([10**8, 3]), np.zeros(0, np.uint64), np.array([7], np.uint64), np.array([7, 9], np.uint64))
+    s = {"hot_tables": np.zeros(0), "hot_root": np.zeros(0), "d0": 0.5, "d1": 0.5, "tables": 2, "root": 1, "vocabulary": 1}
+    for k in range(4):
+        tables = int(bucket.tables.sum())
+        bucket.sweep(k, s | {"tables": tables, "root": int(bucket.root.sum())}, np.bincount(bucket.context, bucket.tables, 2))
+    assert 1 < bucket.tables[0] < 10**7 and sum(map(len, bucket.stored())) < 200
 
 
 def test_pitman_yor_contexts_do_not_share(spark):

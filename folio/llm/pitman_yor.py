@@ -246,6 +246,7 @@ class Bucket:
         before = self.customers if self.seated else np.ones(len(self.words), np.int64)
         if not self.seated:
             self.tables = seats(self.tables, np.minimum(self.counts, 1), self.counts, strength, slope, s["d1"], rng)
+            self.seated = True
         self.tables = moved(self.tables, self.counts, strength, slope, s["d1"], rng)
         self.customers = self._by_word(self.tables)
         each = np.full(len(self.words), s["d0"] / (s["vocabulary"] + 1))

@@ -19,8 +19,9 @@ after ``BURN`` are averaged, and their logarithms summed over each text; its per
 Layout.  Pieces of the input send, for each bucket of words, the distinct (word, context) pairs with
 their counts and the documents they occur in, as packed arrays; so a word costs one entry for
 each context and piece, however often it occurs.  A word with more than a 512th of all tokens (there
-are fewer than 1024 such words) is dealt to all buckets by its context.  A bucket's task seats
-its words.  Customers and tables by context grow with the vocabulary: between sweeps each bucket
+are fewer than 1024 such words) is dealt to all buckets by its context.  Tokens of a pair with such a share never leave
+their piece: its two numbers are a fixed size for all pairs together and are kept by the driver, and the piece adds its chance
+up.  A bucket's task seats its words.  Customers and tables by context grow with the vocabulary: between sweeps each bucket
 sends its own sums, they are added up by ranges of contexts and go back to the buckets that have the
 context, in a Spark table for each sweep.  A few totals and the frequent words' tables have a fixed
 size and go through the driver.  Sums by document return to the piece they came from.
@@ -198,6 +199,14 @@ def followed(tables: np.ndarray, before: np.ndarray, customers: np.ndarray, stre
     return moved(tables, customers, strength, slope, discount, rng)
 
 
+def _places(among: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each x in a sorted array, or -1."""
+    if not len(among):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    return np.where(among[at] == x, at, -1)
+
+
 class Bucket:
     """Training pairs of a bucket of words and their seating."""
 
@@ -210,8 +219,8 @@ class Bucket:
         self.words = names[word[self.first]]
         self.of = np.cumsum(new) - 1
         self.context = _context(keys)
-        place = np.minimum(np.searchsorted(hot, self.words), max(len(hot) - 1, 0))
-        self.hot = np.where(hot[place] == self.words, place, -1) if len(hot) else np.full(len(self.words), -1)
+        self.hot = _places(hot, self.words)
+        self.hot_context = _places(contexts, hot)
         self.tables = np.ones(len(keys), np.int64)
         self.seated = False
         self.totals = self._by_word(counts)
@@ -230,6 +239,12 @@ class Bucket:
         self.seated = True
         self.customers = self._by_word(self.tables)
 
+    def around(self, data: bytes, frequent: np.ndarray) -> np.ndarray:
+        """Sums by context; those of frequent words, which have frequent pairs too, are known to all."""
+        out, at = _values(data, np.uint64).astype(float), np.flatnonzero(self.hot_context >= 0)
+        out[self.hot_context[at]] = frequent[at]
+        return out
+
     def parent(self, s: dict) -> np.ndarray:
         """The parent's probability of each word, given the state before this sweep."""
         customers, root = self.customers.astype(float), self.root.astype(float)
@@ -263,13 +278,15 @@ class Bucket:
         root_once, root_twice = [int((self.customers[cold] == k).sum()) for k in (1, 2)]
         totals = [once, twice, root_once, root_twice, int(self.root[cold].sum()), int(cold.sum())]
         totals += [int(self.tables.sum()), int(self.counts.sum())]
-        sizes = [len(where), len(where), len(totals)]
-        kind, place, value = [np.repeat([2, 3, 4], sizes)], [self.hot[where], self.hot[where], np.arange(len(totals))], [self.customers[where], self.totals[where], totals]
+        tables = np.bincount(self.context, self.tables, len(self.contexts)).astype(np.uint64)
+        counts = np.bincount(self.context, self.counts, len(self.contexts)).astype(np.uint64)
+        near = np.flatnonzero(self.hot_context >= 0)
+        sizes = [len(where), len(where), len(totals), len(near), len(near)]
+        kind, place = [np.repeat([2, 3, 4, 5, 6], sizes)], [self.hot[where], self.hot[where], np.arange(len(totals)), near, near]
+        value = [self.customers[where], self.totals[where], totals, tables[self.hot_context[near]], counts[self.hot_context[near]]]
         packed = [[None] * sum(sizes) for _ in range(3)]
         to = (self.contexts >> np.uint64(_WORD_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)
         begin = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
-        tables = np.bincount(self.context, self.tables, len(self.contexts)).astype(np.uint64)
-        counts = np.bincount(self.context, self.counts, len(self.contexts)).astype(np.uint64)
         for a, b in zip(begin, np.append(begin[1:], len(to)), strict=True):
             packed[0].append(_pack(self.contexts[a:b]))
             packed[1].append(_planes(tables[a:b]))
@@ -344,17 +361,26 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
         for batch in batches:
             for part in slices(batch, "text"):
                 tokens, *_ = _tokens(part.column(1))
-                word, n = np.unique(tokens, return_counts=True)
+                word, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
                 many = n >= len(tokens) / _HOT_SHARE
-                words = pa.array([None, *word[many].astype(np.int64)], pa.int64())
-                yield pa.RecordBatch.from_arrays([words, pa.array([len(tokens), *n[many]], pa.int64())], ["word", "n"])
-
-    # a word with a 512th of all tokens has a 1024th of them in pieces where it has that share: none is missed,
-    # and words that have a 1024th of all tokens are fewer than 1024
-    heavy = keep(docs.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-heavy")
+                after = np.flatnonzero(many[at])  # a frequent pair's words are frequent both
+                pair, m = np.unique(_keys(at[after], at[after - 1]), return_counts=True)
+                pair, m = pair[m >= len(tokens) / _HOT_SHARE], m[m >= len(tokens) / _HOT_SHARE]
+                words = [None, *word[many].astype(np.int64), *word[_word(pair)].astype(np.int64)]
+                before = [None] * (1 + int(many.sum())) + word[_context(pair)].astype(np.int64).tolist()
+                arrays = [pa.array(words, pa.int64()), pa.array(before, pa.int64()), pa.array([len(tokens), *n[many], *m], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["word", "before", "n"])
+
+    # a word, or a pair, with a 512th of all tokens has a 1024th of them in pieces where it has that share: none is missed,
+    # and those that have a 1024th of all tokens are 1024 at most
+    found = docs.mapInArrow(frequent, "word long, before long, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
+    heavy = keep(found, "lm-heavy")
     tokens = (heavy.where("word is null").first() or {"n": 0})["n"]
-    hot = [r.word for r in heavy.where("word is not null").where(F.col("n") >= tokens / _HOT_SHARE).collect()]
-    hot = spark.sparkContext.broadcast(np.array(sorted(hot), np.uint64))
+    often = heavy.where("word is not null").where(F.col("n") >= tokens / _HOT_SHARE).collect()
+    hot = np.array(sorted(r.word for r in often if r.before is None), np.uint64)
+    pairs = [(r.word, r.before) for r in often if r.before is not None]
+    pairs = np.array(sorted(_HOT_SHARE * int(np.searchsorted(hot, w)) + int(np.searchsorted(hot, c)) for w, c in pairs), np.int64)
+    hot, hot_pairs = spark.sparkContext.broadcast(hot), spark.sparkContext.broadcast(pairs)
     buckets = max(1, -(-tokens // BUCKET))
     heads = max(997, tokens >> 24)
     number = np.uint16 if buckets < 1 << 16 else np.uint32
@@ -389,6 +415,23 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
         if lo or hi < len(n):
             inside = (row >= lo) & (row < hi)
             row, word = row[inside] - lo, word[inside]
+        vocabulary, at = np.unique(word, return_inverse=True)
+        del word
+        at = at.astype(np.uint32)
+        before = np.empty_like(at)
+        before[1:], before[:1] = at[:-1], at[-1:]  # the last word is an end, as before every text
+        to = ((vocabulary >> np.uint64(_WORD_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(number)[at]
+        place = _places(hot.value, vocabulary)
+        often = np.flatnonzero(place[at] >= 0)
+        to[often] = mix(mix(vocabulary[before[often]]) ^ vocabulary[at[often]]) % np.uint64(buckets)
+        # tokens of frequent pairs stay with their piece
+        often = often[place[before[often]] >= 0]
+        pair = _places(hot_pairs.value, _HOT_SHARE * place[at[often]] + place[before[often]])
+        often, pair = often[pair >= 0], pair[pair >= 0]
+        frequent_at, frequent_n = np.unique(pair.astype(np.uint32) << np.uint32(16) | row[often].astype(np.uint32), return_counts=True)
+        rest = np.ones(len(at), bool)
+        rest[often] = False
+        del often, pair
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([-1 - name % heads], pa.int32()),
@@ -396,21 +439,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
                 pa.array([pa.record_batch([ids[lo:hi]], schema=id_schema).serialize().to_pybytes()], pa.binary()),
                 pa.array([n[lo:hi].astype(np.int64).tobytes()], pa.binary()),
                 pa.array([out_of[lo:hi].tobytes()], pa.binary()),
-                pa.array([b""], pa.binary()),
+                pa.array([frequent_at.tobytes() + frequent_n.astype(np.uint32).tobytes()], pa.binary()),
                 pa.array([b""], pa.binary()),
             ],
             names,
         )
-        vocabulary, at = np.unique(word, return_inverse=True)
-        del word
-        at = at.astype(np.uint32)
-        before = np.empty_like(at)
-        before[1:], before[:1] = at[:-1], at[-1:]  # the last word is an end, as before every text
-        to = ((vocabulary >> np.uint64(_WORD_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(number)[at]
-        if len(hot.value):
-            often = np.flatnonzero(np.isin(vocabulary, hot.value)[at])
-            to[often] = mix(mix(vocabulary[before[often]]) ^ vocabulary[at[often]]) % np.uint64(buckets)
-            del often
+        at, before, row, to = at[rest], before[rest], row[rest], to[rest]
+        if not len(at):
+            return
         key = _keys(at, before)
         del at, before
         order = np.argsort(key)
@@ -467,6 +503,21 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
     release(spark)  # the shuffle files of the step above are not needed any more
 
     words = sent.where("bucket >= 0")
+    heads = sent.where("bucket < 0").select(F.explode("parts").alias("p"))
+
+    def pair_counts(batches):
+        for batch in batches:
+            sums = np.zeros(len(hot_pairs.value), np.int64)
+            for data, out_of in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                pair, at, n = _frequent(data)
+                np.add.at(sums, pair, np.where(np.frombuffer(out_of, bool)[at], 0, n))
+            here = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int64)), pa.array(sums[here])], ["pair", "n"])
+
+    # 1024 rows at most
+    counted = heads.select("p.rows", "p.trained").mapInArrow(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    trained_pairs = np.zeros(len(pairs), np.int64)
+    trained_pairs[counted["pair"].to_numpy()] = counted["n"].to_numpy()
     states: list[dict] = []
     around: list[DataFrame] = []  # by sweep: bucket, tables and customers of its contexts in all buckets
 
@@ -481,7 +532,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
                     if k > 1:
                         bucket.restore(*row[5:7])
                     if k:
-                        bucket.sweep(k - 1, shared, _values(row[4], np.uint64).astype(float))
+                        bucket.sweep(k - 1, shared, bucket.around(row[4], shared["near_tables"]))
                     yield bucket.share(buckets)
 
         rows = words.select("bucket", *merged_names)
@@ -494,9 +545,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
     seated: dict[int, DataFrame] = {}  # by sweep: bucket and its seating
     for k in range(burn + samples + 1):
         done = keep(seating(k, states[-1] if states else None), f"lm-seating{k}")
-        # fewer than 1024 rows for each of two kinds, and a few totals: a fixed size
+        # fewer than 1024 rows for each of four kinds, and a few totals: a fixed size
         sums = done.where("kind > 0").groupBy("kind", "place").agg(F.sum("value").alias("value")).toArrow()
-        states.append(_state(sums, hot.value, states))
+        states.append(_state(sums, hot.value, pairs, trained_pairs, states))
         added = done.where("kind = 0").groupBy("place").applyInArrow(_add_contexts, "bucket int, place long, tables binary, counts binary")
         added = added.groupBy("bucket").applyInArrow(_joined, "bucket int, tables binary, counts binary")
         around.append(keep(added, f"lm-contexts{k}"))
@@ -508,6 +559,10 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
 
     first = states[0]
     facts = spark.sparkContext.broadcast(states)
+    word = pairs // _HOT_SHARE
+    pair_base = np.log10(first["hot_counts"][word] + 0.1)
+    pair_score = np.log10(sum(_frequent_chance(pairs, trained_pairs, s, first["near_counts"]) for s in states[burn + 1 :]) / samples)
+    pair_known = first["hot_counts"][word] > 0
 
     def scores(batches):
         shared = facts.value
@@ -525,13 +580,13 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
             for r in range(batch.num_rows):
                 parts, number = batch.column(5)[r].as_py(), batch.column(0)[r].as_py()
                 bucket = _stored([batch.column(k)[r].as_py() for k in range(1, 5)], number, hot.value)
-                customers = _values(batch.column(6)[r].as_py(), np.uint64).astype(float)
+                customers = bucket.around(batch.column(6)[r].as_py(), shared[0]["near_counts"])
                 seatings = []
                 for k in range(samples):
                     near, *seating = (batch.column(7 + 3 * k + i)[r].as_py() for i in range(3))
                     bucket.restore(*seating)
-                    near = _values(near, np.uint64).astype(float)
-                    seatings.append((bucket.tables, bucket.customers, bucket.root, shared[burn + k + 1], near))
+                    state = shared[burn + k + 1]
+                    seatings.append((bucket.tables, bucket.customers, bucket.root, state, bucket.around(near, state["near_tables"])))
                 totals = bucket.totals.astype(float)
                 is_hot = bucket.hot >= 0
                 totals[is_hot] = shared[0]["hot_counts"][bucket.hot[is_hot]]
@@ -565,12 +620,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
         rows = rows.join(around[k].select("bucket", F.col("tables").alias(f"near{k}")), "bucket")
         rows = rows.join(seated[k].toDF("bucket", f"seats{k}", f"roots{k}"), "bucket")
     partial = rows.mapInArrow(scores, "piece long, rows binary, base binary, score binary, known binary")
-    heads = sent.where("bucket < 0").select(F.explode("parts").alias("p")).select(
+    heads = heads.select(
         F.col("p.piece").alias("piece"),
         F.lit(None).cast("binary").alias("rows"),
         F.col("p.keys").alias("base"),
         F.concat("p.seen", "p.trained").alias("score"),
-        F.lit(None).cast("binary").alias("known"),
+        F.col("p.rows").alias("known"),
     )
     n_train, vocabulary = first["tokens"], first["vocabulary"]
 
@@ -587,6 +642,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
             base[at] += np.frombuffer(p["base"], np.float64)
             score[at] += np.frombuffer(p["score"], np.float32)
             known[at] += np.frombuffer(p["known"], np.uint32)
+        pair, at, times = _frequent(head["known"])
+        for sums, each in ((base, pair_base), (score, pair_score), (known, pair_known)):
+            np.add.at(sums, at, times * each[pair])
         base -= n * np.log10(n_train + 0.1 * (vocabulary + 1))
         return pa.table(
             {
@@ -606,7 +664,26 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bur
     return partial.unionByName(heads).groupBy("piece").applyInArrow(add_up, schema)
 
 
-def _state(sums: pa.Table, hot: np.ndarray, states: list[dict]) -> dict:
+def _frequent(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A piece's tokens of frequent pairs: pair, row and how often."""
+    at, n = np.split(np.frombuffer(data, np.uint32), 2)
+    return (at >> np.uint32(16)).astype(np.int64), (at & np.uint32(0xFFFF)).astype(np.int64), n.astype(np.int64)
+
+
+def _frequent_parent(s: dict) -> np.ndarray:
+    """The parent's probability of each frequent word."""
+    return (np.maximum(s["hot_tables"] - s["d0"] * s["hot_root"], 0) + base_weight(s)) / (ROOT_STRENGTH + s["tables"])
+
+
+def _frequent_chance(pairs: np.ndarray, counts: np.ndarray, s: dict, near_counts: np.ndarray) -> np.ndarray:
+    """Predictive probability of each frequent pair."""
+    word, context = pairs // _HOT_SHARE, pairs % _HOT_SHARE
+    own = np.maximum(counts - s["d1"] * s["pair_tables"], 0)
+    return (own + (STRENGTH + s["d1"] * s["near_tables"][context]) * _frequent_parent(s)[word]) / (STRENGTH + near_counts[context])
+
+
+def _state(sums: pa.Table, hot: np.ndarray, pairs: np.ndarray, counts: np.ndarray, states: list[dict]) -> dict:
+    """The totals after a sweep, and the frequent pairs' and words' seating, which has a fixed size and is sampled here."""
     kind, place, value = (sums[c].to_numpy() for c in ("kind", "place", "value"))
 
     def vector(k: int, size: int) -> np.ndarray:
@@ -614,8 +691,22 @@ def _state(sums: pa.Table, hot: np.ndarray, states: list[dict]) -> dict:
         out[place[kind == k]] = value[kind == k]
         return out
 
-    s = {"hot_tables": vector(2, len(hot)), "hot_counts": vector(3, len(hot))}
+    word, context = pairs // _HOT_SHARE, pairs % _HOT_SHARE
+    own = np.minimum(counts, 1)
+    if states:
+        rng, last = np.random.default_rng([len(states), len(pairs), 1]), states[-1]
+        p, d1 = _frequent_parent(last)[word], last["d1"]
+        own = last["pair_tables"].astype(np.int64)
+        strength = (STRENGTH + d1 * np.maximum(last["near_tables"][context] - own, 0)) * p
+        if len(states) == 1:
+            own = seats(own, np.minimum(counts, 1), counts, strength, d1 * p, d1, rng)
+        own = moved(own, counts, strength, d1 * p, d1, rng)
+    s = {"pair_tables": own.astype(float)}
+    for name, k, at, more in (("hot_tables", 2, word, own), ("hot_counts", 3, word, counts), ("near_tables", 5, context, own), ("near_counts", 6, context, counts)):
+        s[name] = vector(k, len(hot)) + np.bincount(at, more, len(hot))
     once, twice, root_once, root_twice, root, cold, tables, tokens = vector(4, 8)
+    once, twice = once + (counts == 1).sum(), twice + (counts == 2).sum()
+    tables, tokens = tables + own.sum(), tokens + counts.sum()
     known_hot = s["hot_counts"] > 0
     s["vocabulary"] = int(cold + known_hot.sum())
     s["tokens"] = int(tokens)
@@ -656,8 +747,7 @@ def _chance(bucket: Bucket, look: tuple, s: dict, context_tables: np.ndarray, co
     if len(bucket.words):
         parent = np.where(known, bucket.parent(s)[word_at], parent)
     if len(bucket.frequent):
-        hot = (np.maximum(s["hot_tables"] - s["d0"] * s["hot_root"], 0) + base_weight(s)) / (ROOT_STRENGTH + s["tables"])
-        parent = np.where(often, hot[spot], parent)
+        parent = np.where(often, _frequent_parent(s)[spot], parent)
     own = np.zeros(len(context))
     if len(bucket.keys):
         own = np.where(trained, np.maximum(bucket.counts - s["d1"] * bucket.tables, 0)[pair_at], 0)

@@ -368,8 +368,11 @@ def test_pitman_yor_predictions_sum_to_one(spark):
     assert (x > 0).all() and x.sum() + end == pytest.approx(1, abs=1e-5)
 
 
-def test_pitman_yor_many_buckets(spark, monkeypatch):
-    """Small buckets and pieces: frequent words are dealt by context, sums come from many places, chances still sum to one."""
+@pytest.mark.parametrize("share", [1024, 16, 2])
+def test_pitman_yor_many_buckets(spark, monkeypatch, share):
+    """Small buckets and pieces: frequent words are dealt by context, sums come from many places, chances still sum to one,
+    whether every pair is frequent, some are or none is."""
+    monkeypatch.setattr(pitman_yor, "_HOT_SHARE", share)
     monkeypatch.setattr(pitman_yor, "BUCKET", 40)
     monkeypatch.setattr(pitman_yor, "PIECE", 64)
     rng = random.Random(3)

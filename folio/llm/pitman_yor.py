@@ -8,7 +8,7 @@ as its base.  A table in a context restaurant is a customer of the parent.
 Seating is sampled by Gibbs sweeps.  At first the customers of a dish sit down one after another, a new table being taken
 in proportion to the strength, the tables in the restaurant and the parent's probability.  Then, in each sweep, every customer
 leaves about once and sits down again, at an occupied table in proportion to its customers less the discount, or at
-a new one: ``ROUNDS`` times a share of 1 / ROUNDS of the dish's customers, one at least, however many it has.  Sizes of tables are
+a new one: one by one, or where a dish has more than ``ROUNDS`` customers, in as many shares.  Sizes of tables are
 integrated out: given its customers and tables, the chance that the one who leaves sat alone has a closed form (``Alone``), so a
 dish is two numbers at any count.  One customer at a time is an exact Gibbs move; the customers of a share move by the
 chances at its start.  All dishes of a bucket move at once, and see other dishes' tables as of the sweep before.  The parent's
@@ -174,18 +174,23 @@ def _several(n: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
 
 
 def moved(tables: np.ndarray, customers: np.ndarray, strength: np.ndarray, slope: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables after ``ROUNDS`` rounds, in each of which a share of 1 / ROUNDS of every dish's customers, one at least, leaves
-    and sits down again; a new table's weight is strength + slope * tables."""
+    """Tables after a sweep, in which every customer leaves about once and sits down again: a dish of up to ``ROUNDS`` customers
+    has a round for each of them, others ``ROUNDS`` rounds of an equal share of them; a new table's weight is strength + slope * tables."""
     where = np.flatnonzero(customers > 1)
-    c, t, strength, slope = customers[where], tables[where], strength[where], slope[where]
-    share = -(-c // ROUNDS)
-    for _ in range(ROUNDS):
+    where = where[np.argsort(-customers[where], kind="stable")]
+    customers, strength, slope = customers[where], strength[where], slope[where]
+    all_shares, tables = -(-customers // ROUNDS), tables.copy()
+    now = tables[where]
+    for k in range(ROUNDS):
+        n = int(np.searchsorted(-customers, -k))  # those with more than k customers come first
+        if not n:
+            break
+        c, t, share = customers[:n], now[:n], all_shares[:n]
         gone = np.minimum(_several(share, alone(discount)(c, t), rng), t - 1)
         left = t - gone / share
-        fresh = strength + slope * left
-        t = np.minimum(t - gone + _several(share, fresh / (fresh + np.maximum(c - 1 - discount * left, 1e-9)), rng), c)
-    tables = tables.copy()
-    tables[where] = t
+        fresh = strength[:n] + slope[:n] * left
+        now[:n] = np.minimum(t - gone + _several(share, fresh / (fresh + np.maximum(c - 1 - discount * left, 1e-9)), rng), c)
+    tables[where] = now
     return tables
 
 

@@ -397,7 +397,7 @@ def test_gibbs_moves_reach_the_posterior():
     want = np.array([ways[c][t] * math.prod(weight + slope * j for j in range(t)) for t in range(1, c + 1)])
     rng = np.random.default_rng(1)
     tables = np.ones(k, np.int64)
-    for _ in range(3):
+    for _ in range(20):
         tables = pitman_yor.moved(tables, np.full(k, c), np.full(k, weight), np.full(k, slope), discount, rng)
     assert np.bincount(tables, minlength=c + 1)[1:] / k == pytest.approx(want / want.sum(), abs=0.01)
     # customers who come and go leave the law as it is

@@ -65,9 +65,11 @@ def rename_books(books: DataFrame, characters: DataFrame, titles: DataFrame, pla
     books: id, title, photos_url, characters (array of ids) and others; characters: id, book; titles: id, title of the
     renamed ones.  The list of a renamed book holds the new ids of all its characters, in order of id."""
     good = plan.where(F.col("refused").isNull()).select(F.col("old").alias("id"), "new")
-    people = rename_children(characters, "id", "book", plan).groupBy("book").agg(F.array_sort(F.collect_list("id")).alias("_list"))
+    # by the old book: the new id may be that of characters without a book, which are none of its own
+    mine = rename_children(characters.withColumn("_old", F.col("book")), "id", "book", plan)
+    people = mine.groupBy(F.col("_old").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("_list"))
     out = books.join(good, "id", "left").join(titles.select("id", F.col("title").alias("_title")), "id", "left")
-    out = out.join(people.withColumnRenamed("book", "new"), "new", "left")
+    out = out.join(people, "id", "left")
     moved = F.col("new").isNotNull()
     folder = F.concat(F.regexp_extract("photos_url", "^(.*/)?", 1), F.col("_title"))
     new = {

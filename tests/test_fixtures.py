@@ -331,3 +331,12 @@ def test_scope_without_selection_is_everything(spark):
     assert j.in_scope(facts, "k", lists([])).count() == 2  # nothing is selected: all books
     assert j.in_scope(facts, "k", lists([9])).count() == 0 == j.in_scope(facts, "k", lists([None])).count()
     assert j.in_scope(facts, "k", lists([2])).count() == 1
+
+
+def test_renamed_books_list_their_own_characters(spark):
+    """Characters that stand under the new id without a book, and those of another book of that new id, are not listed."""
+    books = spark.createDataFrame([("b10", "T", "scans/T", ["x"]), ("b40", "U", "scans/U", []), ("b2", "V", "scans/V", ["y"])], "id string, title string, photos_url string, characters array<string>")
+    people = spark.createDataFrame([("b1_1", "b1"), ("b10_2", "b10"), ("b10_1", "b10"), ("b40_7", "b40"), ("b2_1", "b2")], "id string, book string")
+    plan = spark.createDataFrame([("b10", "b1", None), ("b40", "b1", None)], "old string, new string, refused string")
+    got = sorted((r.id, r.title, r.characters) for r in m.rename_books(books, people, books.select("id", "title"), plan).collect())
+    assert got == [("b1", "T", ["b1_1", "b1_2"]), ("b1", "U", ["b1_7"]), ("b2", "V", ["y"])]

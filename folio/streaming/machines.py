@@ -1,7 +1,8 @@
 """State machines over a key's rows in order of time, as streams with timers and as batch jobs.
 
-A machine sees the rows of a key by time whatever batches and files they came in.  In a stream rows wait in
-a list state until the watermark has passed them; a timer on the watermark releases them in order.  Rows that come
+A machine sees the rows of a key by time whatever batches and files they came in.  In a stream keys are dealt to buckets by
+hash, and rows wait in the list state of their bucket until the watermark has passed them; a timer on the watermark releases them
+in order.  A bucket's rows and states are read and written at once, as calls to the state store would cost more than the rows of most keys.  Rows that come
 after the watermark has passed them are dropped by Spark, which counts them (``late_rows``).  A machine may ask for a deadline:
 it is told when stream time passes it, also where no row of the key comes any more, and in the right place between rows.  With ``idle_s`` a
 key's state is forgotten so long after its last row.
@@ -17,7 +18,7 @@ import copy
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 #: Seconds that rows may be late.
 LATE_S = 60
+#: Parts that a stream's keys are dealt to by hash: a part's rows that wait and its keys' states are in memory together.
+BUCKETS = 4096
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -83,13 +86,27 @@ def plain(part: pd.DataFrame) -> list[dict]:
     return [{c: own(v) for c, v in zip(part.columns, r)} for r in part.astype(object).itertuples(index=False, name=None)]
 
 
+def _values(column: pd.Series, kind: T.DataType) -> list:
+    """A column as Python values of its type, nulls as None: pandas makes floats of whole numbers that stand beside nulls."""
+    to = int if isinstance(kind, T.IntegralType) else float if isinstance(kind, T.FractionalType) else list if isinstance(kind, T.ArrayType) else lambda x: x
+    none = lambda x: x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and math.isnan(x)
+    return [None if none(x) else to(x) for x in column.astype(object).tolist()]
+
+
+def _arrays(fields: list[T.StructField]) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields])
+
+
 class _Processor(StatefulProcessor):
-    """A machine on Spark's state: rows that wait (a list), the machine's state (a value), and one timer a key."""
+    """A machine on Spark's state, for the keys of a bucket: rows that wait (a list of blocks, each an array a column), the keys' states
+    (a value, an array a field), and one timer."""
 
-    def __init__(self, machine: Machine, fields: list[str], names: list[str]):
+    def __init__(self, machine: Machine, key: T.DataType, fields: list[str], names: list[str]):
         self.machine, self.fields, self.names = machine, fields, names
         # read here, as workers have no session to read them with
-        self.schemas = [T.StructType.fromDDL(x) for x in (", ".join(filter(None, ["at double", machine.columns])), f"{machine.state}, deadline double, idle double", "at long")]
+        own = lambda ddl: [T.StructField("_key", key), *T.StructType.fromDDL(ddl).fields]
+        self.rows, self.states = own(", ".join(filter(None, ["at double", machine.columns]))), own(f"{machine.state}, deadline double, idle double")
+        self.schemas = [_arrays(self.rows), _arrays(self.states), T.StructType.fromDDL("at long")]
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -98,7 +115,7 @@ class _Processor(StatefulProcessor):
         self.timer = handle.getValueState("timer", self.schemas[2])
 
     def _wake(self, at: float | None) -> None:
-        """One timer a key, at the earliest time that matters."""
+        """One timer a bucket, at the earliest time that matters."""
         held = self.timer.get()[0] if self.timer.exists() else None
         want = None if at is None else math.ceil(at * 1000)
         if held == want:
@@ -111,25 +128,35 @@ class _Processor(StatefulProcessor):
             self.handle.registerTimer(want)
             self.timer.update((want,))
 
-    def _advance(self, key, now_ms: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, now_ms: int) -> Iterator[pd.DataFrame]:
         m, now = self.machine, now_ms / 1000
-        kept = list(self.state.get()) if self.state.exists() else None
-        names = self.schemas[1].names
-        state = dict(zip(names, kept)) if kept is not None else m.fresh()
-        rows = [dict(zip(("at", *self.fields), r)) for r in self.waiting.get()]
-        ready, rest = [r for r in rows if r["at"] <= now], [r for r in rows if r["at"] > now]
+        ready, rest = {}, []
+        for block in self.waiting.get():
+            for r in zip(*block):
+                if r[1] <= now:
+                    ready.setdefault(r[0], []).append(dict(zip(("at", *self.fields), r[1:])))
+                else:
+                    rest.append(r)
+        fields = self.schemas[1].names[1:]
+        states = {r[0]: dict(zip(fields, r[1:])) for r in zip(*self.state.get())} if self.state.exists() else {}
         # what is due before the watermark can no longer be preceded by a row
-        out = m.run(key[0], ready, state, now) if ready or m.next(state) is not None and m.next(state) <= now else []
+        due = [key for key, state in states.items() if key not in ready and (at := m.next(state)) is not None and at <= now]
+        out, fresh = [], m.fresh()
+        for key in chain(ready, due):
+            state = states.setdefault(key, m.fresh())
+            out += m.run(key, ready.get(key, []), state, now)
+            if state == fresh:
+                del states[key]
         if ready:
             if rest:
-                self.waiting.put([tuple(r[c] for c in ("at", *self.fields)) for r in rest])
+                self.waiting.put([tuple(map(list, zip(*rest)))])
             else:
                 self.waiting.clear()
-        if state == m.fresh():
+        if not states:
             self.state.clear()
-        else:
-            self.state.update(tuple(state[n] for n in names))
-        times = [r["at"] for r in rest] + [t for t in [m.next(state)] if t is not None]
+        elif ready or due:
+            self.state.update(([*states], *([s[f] for s in states.values()] for f in fields)))
+        times = [r[1] for r in rest] + [t for s in states.values() if (t := m.next(s)) is not None]
         self._wake(min(times, default=None))
         if out:
             yield pd.DataFrame(out, columns=self.names)
@@ -137,13 +164,13 @@ class _Processor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):  # a tick: its time is in the watermark
             return
-        new = []
+        first = math.inf
         for part in rows:
-            new += [tuple(r[c] for c in ("at", *self.fields)) for r in plain(part)]
-        new = [r for r in new if r[0] is not None]
-        if new:
-            self.waiting.appendList(new)
-            first = min(r[0] for r in new)
+            part = part[part["at"].notna()]
+            if len(part):
+                self.waiting.appendValue(tuple(_values(part[c], f.dataType) for c, f in zip((self.machine.key, "at", *self.fields), self.rows)))
+                first = min(first, float(part["at"].min()))
+        if first < math.inf:
             held = self.timer.get()[0] if self.timer.exists() else None
             if held is None or math.ceil(first * 1000) < held:
                 self._wake(first)
@@ -151,23 +178,26 @@ class _Processor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def run_machine(machine: Machine, rows: DataFrame, until: float = math.inf, late_s: float = LATE_S) -> DataFrame:
+def run_machine(machine: Machine, rows: DataFrame, until: float = math.inf, late_s: float = LATE_S, buckets: int = BUCKETS) -> DataFrame:
     """The machine's output over a stream, or over a table up to the time ``until`` (seconds).
 
-    rows: the machine's key and columns, and at double (seconds, above 0); rows without a key or a time change nothing."""
+    rows: the machine's key and columns, and at double (seconds, above 0); rows without a key or a time change nothing.  buckets: of a
+    stream, fixed once it has a checkpoint."""
     fields = [f.strip().split(" ")[0] for f in machine.columns.split(",") if f]
     names = [f.strip().split(" ")[0] for f in machine.output.split(",")]
     rows = rows.select(machine.key, "at", *fields)
     if rows.isStreaming:
         timed = rows.withColumn("_time", F.timestamp_millis(F.ceil(F.col("at") * 1000).cast("long"))).withWatermark("_time", f"{int(late_s * 1000)} milliseconds")
         schema = T.StructType.fromDDL(machine.output)
-        return timed.groupBy(machine.key).transformWithStateInPandas(_Processor(machine, fields, names), schema, "Append", "EventTime")
+        bucket = F.when(F.col(machine.key).isNotNull(), F.pmod(F.xxhash64(machine.key), F.lit(buckets)))
+        dealt = timed.withColumn("_bucket", bucket).groupBy("_bucket")
+        return dealt.transformWithStateInPandas(_Processor(machine, rows.schema[machine.key].dataType, fields, names), schema, "Append", "EventTime")
 
     def whole(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         own = [r for r in plain(part) if r["at"] <= until]  # later ones are not there yet

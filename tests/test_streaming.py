@@ -199,3 +199,21 @@ def test_a_repeated_batch_changes_nothing(spark, split, tmp_path):
     # the stream's own progress is lost: it runs through all batches again
     o.run_into(stream, store, "outcomes", "page", reduce, latest, f"{tmp_path}/state-2")
     assert store.version() == before and sorted(map(tuple, store.read("outcomes").collect())) == once
+
+
+def test_keys_share_a_buckets_state(spark, split, tmp_path):
+    """State is called for a bucket, not for a key; nulls beside whole numbers stay whole numbers and nulls."""
+    rows = [(k, float(1000 + p), p, None if p == 1 else 3, True) for k in range(200) for p in (1, 2, 3)] + [(k, 1001.0, None, None, None) for k in range(0, 400, 3)]
+    df, stream = split(rows, "job long, at double, page int, n int, terminal boolean", late=2)
+    path, ticks = f"{tmp_path}/out", f"{tmp_path}/ticks"
+    m.tick(spark, ticks, None)
+    out = m.run_machine(o.finished_jobs(), m.with_ticks(stream, ticks), late_s=10, buckets=8)
+    start = lambda w: w.option("checkpointLocation", f"{tmp_path}/state").format("parquet").option("path", path).start()
+    o._ended(out, start)
+    kept = lambda name: spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/state").count()
+    assert kept("timer") == 8
+    m.tick(spark, ticks, 2000.0)
+    o._ended(out, start)
+    got = sorted(map(tuple, spark.read.schema(out.schema).parquet(path).collect()))
+    assert got == [(k, 3) for k in range(200)] == sorted(map(tuple, m.run_machine(o.finished_jobs(), df).collect()))
+    assert kept("state") == 8 and kept("waiting") == 0

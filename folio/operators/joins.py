@@ -82,6 +82,22 @@ def _ratio(cutoff: float | None = None):
     return F.pandas_udf(of, "double")
 
 
+#: Letters of a name up to which options that are a letter off are found by leaving out each letter in turn.
+SHORT = 256
+
+
+def one_letter_off(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """Pairs (a, b) of equal strings and of strings of which one is the other with a letter more, of up to SHORT letters; equal hashes
+    bring in others now and then."""
+    fewer = lambda c: F.transform(
+        F.sequence(F.lit(1), F.char_length(c)), lambda i: F.xxhash64(F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))
+    )
+    whole = lambda df, c: df.select(c, F.xxhash64(c).alias("_h"))
+    short = lambda df, c: df.where(F.char_length(c).between(1, SHORT)).select(c, F.explode(F.array_distinct(fewer(F.col(c)))).alias("_h"))
+    sides = [(whole(left, a), whole(right, b)), (whole(left, a), short(right, b)), (short(left, a), whole(right, b))]
+    return reduce(DataFrame.unionByName, [x.join(y, "_h").select(a, b) for x, y in sides]).distinct()
+
+
 def fuzzy_match(names: DataFrame, name: str, options: DataFrame, option: str, cutoff: float = 0.8) -> DataFrame:
     """(name, match, score): the option of the best matching-blocks ratio, ties to the largest; null if none.
 
@@ -91,6 +107,9 @@ def fuzzy_match(names: DataFrame, name: str, options: DataFrame, option: str, cu
     2 min / (min + max) of it) and by pairs of neighbouring letters: M matching letters in blocks with at most la + lb - 2 M
     gaps share 3 M - la - lb - 1 of them, which is s or more for any partner of a name, so two such names share one
     that is among the g - s + 1 rarest of each.  The common letters bound the ratio before a pair is compared, a batch of pairs at a time.
+
+    Names of one pattern (numbered ones) are all within the cutoff of each other.  Options that are equal to a name or a letter off are
+    therefore found first, by equality; only names that they do not settle are blocked.
     """
     if cutoff < 0.8:
         raise ValueError("cutoff must be 0.8 or more")
@@ -98,6 +117,27 @@ def fuzzy_match(names: DataFrame, name: str, options: DataFrame, option: str, cu
     # lower-cased options keep their first spelling in byte order
     opts = options.where(F.col(option).isNotNull()).groupBy(F.lower(option).alias("_o")).agg(F.min(option).alias("match"))
     asked = names.where(F.trim(name) != "").select(F.col(name).alias("name"), low(F.col(name)).alias("_n")).distinct()
+    letters = F.expr(
+        "aggregate(array_distinct(split(_n, '')), 0, (s, x) -> s + least("
+        "char_length(_n) - char_length(replace(_n, x, '')), char_length(_o) - char_length(replace(_o, x, ''))))"
+    )
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        """(_n, b) of pairs (_n, _o) that reach the cutoff."""
+        near = pairs.where(2 * letters >= cutoff * (F.char_length("_n") + F.char_length("_o")))
+        scored = near.withColumn("score", _ratio(cutoff)("_o", "_n")).where(F.col("score") >= cutoff)
+        return scored.groupBy("_n").agg(F.max(F.struct("score", "_o")).alias("b"))
+
+    # a name's best option within one letter is its best of all, if none that is two letters off can reach its ratio
+    every = asked.select("_n").distinct()
+    close = best_of(one_letter_off(every, "_n", opts.select("_o"), "_o"))
+    length = F.char_length("_n")
+    settled = close.where(((length < SHORT) | (F.col("b.score") == 1)) & (F.col("b.score") > 2 * length / (2 * length + 2) + 1e-9))
+    path = shared_path(names.sparkSession, "settled")
+    settled.write.parquet(path)
+    settled = names.sparkSession.read.schema(settled.schema).parquet(path)
+    open_names = every.join(settled.select("_n"), "_n", "left_anti")
+
     # the k-th time that a pair of letters stands in a name is an element of its own
     pairs_of = lambda c: F.transform(
         F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))
@@ -107,7 +147,7 @@ def fuzzy_match(names: DataFrame, name: str, options: DataFrame, option: str, cu
         numbered = F.transform("_p", lambda x, i: F.concat(x, F.size(F.filter(F.slice("_p", 1, i), lambda y: y == x)).cast("string")))
         return df.select(name, F.char_length(name).alias("_l"), pairs_of(F.col(name)).alias("_p")).select(name, "_l", F.explode(numbered).alias("_g"))
 
-    mine, theirs = elements(asked.select("_n").distinct(), "_n"), elements(opts.select("_o"), "_o")
+    mine, theirs = elements(open_names, "_n"), elements(opts.select("_o"), "_o")
     often = mine.select("_g").unionByName(theirs.select("_g")).groupBy("_g").agg(F.count("*").alias("_f"))
 
     def rarest(side: DataFrame, name: str) -> DataFrame:
@@ -121,16 +161,8 @@ def fuzzy_match(names: DataFrame, name: str, options: DataFrame, option: str, cu
     left, right = rarest(mine, "_n"), rarest(theirs, "_o").withColumnRenamed("_l", "_lo")
     near = 2 * F.least("_l", "_lo") >= cutoff * (F.col("_l") + F.col("_lo"))
     pairs = left.join(right, "_g").where(near).select("_n", "_o").distinct()
-    pairs = pairs.join(asked, "_n").join(opts, "_o").select("name", "_n", "match", "_o")
-    letters = F.expr(
-        "aggregate(array_distinct(split(_n, '')), 0, (s, x) -> s + least("
-        "char_length(_n) - char_length(replace(_n, x, '')), char_length(_o) - char_length(replace(_o, x, ''))))"
-    )
-    pairs = pairs.where(2 * letters >= cutoff * (F.char_length("_n") + F.char_length("_o")))
-    scored = pairs.withColumn("score", _ratio(cutoff)("_o", "_n")).where(F.col("score") >= cutoff)
-    best = scored.groupBy("name").agg(F.max(F.struct("score", "_o", "match")).alias("b"))
-    out = asked.select("name").distinct().join(best, "name", "left")
-    return out.select("name", F.col("b.match").alias("match"), F.col("b.score").alias("score"))
+    best = settled.unionByName(best_of(pairs)).select("_n", F.col("b.score").alias("score"), F.col("b._o").alias("_o"))
+    return asked.join(best, "_n", "left").join(opts, "_o", "left").select("name", "match", "score")
 
 
 def resolve_or_create(names: DataFrame, name: str, entities: DataFrame, entity_id: str, entity_name: str, new_id: Column) -> DataFrame:

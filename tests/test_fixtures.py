@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher, get_close_matches
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,3 +341,25 @@ def test_renamed_books_list_their_own_characters(spark):
     plan = spark.createDataFrame([("b10", "b1", None), ("b40", "b1", None)], "old string, new string, refused string")
     got = sorted((r.id, r.title, r.characters) for r in m.rename_books(books, people, books.select("id", "title"), plan).collect())
     assert got == [("b1", "T", ["b1_1", "b1_2"]), ("b1", "U", ["b1_7"]), ("b2", "V", ["y"])]
+
+
+def test_names_a_letter_off_are_settled_without_blocking(spark, monkeypatch):
+    """Numbered names are all near each other: pairs must not grow with their square, nor results change."""
+    total = spark.sparkContext.accumulator(0)
+
+    def counting(cutoff=None):
+        def of(option: pd.Series, name: pd.Series) -> pd.Series:
+            total.add(len(option))
+            return pd.Series(ratios(option.tolist(), name.tolist(), cutoff), dtype="float64")
+
+        return F.pandas_udf(of, "double")
+
+    monkeypatch.setattr(j, "_ratio", counting)
+    options = [f"Supplier#{k:09d}" for k in range(400)]
+    names = [f"Suplier#{k:09d}" for k in range(0, 400, 2)] + ["supplier#000000007", "supplier#00000007", "supplier#0000000071"]
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "x string")
+    got = {q.name: q.match for q in j.fuzzy_match(one(names), "x", one(options), "x").collect()}
+    low = {x.lower(): x for x in options}
+    for n in names:
+        assert got[n] == low[get_close_matches(n.lower(), list(low), n=1, cutoff=0.8)[0]], n
+    assert 0 < total.value < 4000

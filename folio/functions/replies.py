@@ -8,12 +8,19 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 MOST_CUTS = 50
 SNIPPET = 500
+#: Bytes of text that a scorer's task holds as Python strings at once.
+SLICE = 1 << 20
 
 
 def page_replies(df: DataFrame, reply: str) -> tuple[DataFrame, DataFrame]:
@@ -97,27 +104,40 @@ def salvaged(df: DataFrame, key: str, reply: str) -> DataFrame:
     return fine.unionByName(rest.mapInPandas(repair, "key string, parsed string, outcome string"))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(keys, texts) of batches (key, text), SLICE bytes of text at a time and one row at least: only so much of a batch is Python strings."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, side="right")))
+            yield b.column(0).slice(at, end - at), b.column(1).slice(at, end - at)
+            at = end
+
+
 def scored(df: DataFrame, key: str, text: str, scorer: Callable[[str], object], kind: str = "double", name: str = "score") -> DataFrame:
     """(key, score, error): a scorer on every text; a row that fails becomes an error row, never a failed job.
 
     ``kind`` and ``name``: type and name of what the scorer gives."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cast = float if kind == "double" else lambda x: x
-        for b in batches:
+    own = {"double": float, "string": lambda x: x if x is None or isinstance(x, str) else str(x)}
+    cast, made = own.get(kind, lambda x: x), to_arrow_type(T.DataType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in slices(batches):
             scores, errors = [], []
-            for t in b["text"]:
+            for t in texts.to_pylist():
                 try:
                     scores.append(cast(scorer(t)))
                     errors.append(None)
                 except Exception as e:  # whatever a caller's scorer raises is that row's result
                     scores.append(None)
                     errors.append(f"{type(e).__name__}: {e}"[:SNIPPET])
-            made = pd.Series(scores, dtype="float64" if kind == "double" else "object")
-            yield pd.DataFrame({"key": b["key"], name: made, "error": pd.Series(errors, dtype="object")})
+            columns = [keys, pa.array(scores, made, from_pandas=True), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", name, "error"])
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"key string, {name} {kind}, error string")
+    return rows.mapInArrow(run, f"key string, {name} {kind}, error string")
 
 
 def two_tier(df: DataFrame, key: str, text: str, cheap, costly, accept) -> DataFrame:

@@ -363,3 +363,15 @@ def test_names_a_letter_off_are_settled_without_blocking(spark, monkeypatch):
     for n in names:
         assert got[n] == low[get_close_matches(n.lower(), list(low), n=1, cutoff=0.8)[0]], n
     assert 0 < total.value < 4000
+
+
+def test_scorers_hold_a_slice_of_a_batch(spark):
+    """A batch's texts are turned into Python strings a slice at a time; nulls, long texts and failures keep their rows."""
+    texts = [None, "", "x" * (3 * r.SLICE), *["ab" * 1000] * 2000, None]
+    batch = r.pa.RecordBatch.from_arrays([r.pa.array([str(k) for k in range(len(texts))]), r.pa.array(texts)], ["key", "text"])
+    parts = list(r.slices(iter([batch])))
+    assert [x for _, t in parts for x in t.to_pylist()] == texts and [k for ks, _ in parts for k in ks.to_pylist()] == [str(k) for k in range(len(texts))]
+    assert all(len(t) == 1 or sum(len(x or "") for x in t.to_pylist()) <= r.SLICE for _, t in parts) and len(parts) > 4
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    got = {q.key: (q.score, q.error is None) for q in r.scored(df, "k", "t", len).collect()}
+    assert got == {str(k): (None if x is None else float(len(x)), x is not None) for k, x in enumerate(texts)}

@@ -149,15 +149,16 @@ def moved_position(page: Column, n: Column, source: Column, target: Column) -> C
 def reordered(pages: DataFrame, book: str, page: str, moves: DataFrame) -> DataFrame:
     """Pages with ``new_page``; moves: book, n, source, target.  A book is left alone (``refused``) if it has over
     MOST_PAGES pages, a page of 1..n is missing or repeated, or the move leaves the range."""
-    seen = pages.join(moves, book).groupBy(book).agg(
-        F.count("*").alias("_k"), F.count_distinct(page).alias("_d"), F.min(page).alias("_lo"), F.max(page).alias("_hi"), F.first("n").alias("n"), F.first("source").alias("source"), F.first("target").alias("target")
-    )
+    # one sort of the pages, which the join takes over: page k in place k, for every k, is 1..n without holes or repeats
+    placed = pages.withColumn("_place", F.row_number().over(Window.partitionBy(book).orderBy(page)))
+    each = Window.partitionBy(book)
+    placed = placed.withColumns({"_k": F.count("*").over(each), "_all": F.bool_and(F.coalesce(F.col(page) == F.col("_place"), F.lit(False))).over(each)})
+    out = placed.join(moves.select(book, "n", "source", "target"), book)
     n = F.col("n")
-    whole = (F.col("_k") == n) & (F.col("_d") == n) & (F.col("_lo") == 1) & (F.col("_hi") == n) & (n <= MOST_PAGES)
+    whole = F.col("_all") & (F.col("_k") == n) & (n <= MOST_PAGES)
     good = whole & F.col("source").between(1, n) & F.col("target").between(1, n)
-    out = pages.join(seen.select(book, "n", "source", "target", good.alias("_good")), book)
-    new = F.when(F.col("_good"), moved_position(F.col(page), n, F.col("source"), F.col("target"))).otherwise(F.col(page))
-    return out.withColumns({"new_page": new, "refused": ~F.col("_good")}).drop("n", "source", "target", "_good")
+    new = F.when(good, moved_position(F.col(page), n, F.col("source"), F.col("target"))).otherwise(F.col(page))
+    return out.withColumns({"new_page": new, "refused": ~good}).drop("n", "source", "target", "_place", "_k", "_all")
 
 
 def file_moves(inventory: DataFrame, mapping: DataFrame, variants: list[str]) -> DataFrame:

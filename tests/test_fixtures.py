@@ -315,6 +315,23 @@ def test_reorder_is_a_bijection_and_refuses_holes(spark):
     assert all(q.refused and q.page == q.new_page for q in got if q.book == "b")
 
 
+def test_reorder_sorts_the_pages_once(spark):
+    """No book is grouped beside its pages: the plan reads them once, and a repeated, null or surplus page refuses the book."""
+    most = m.MOST_PAGES
+    pages = [("a", 1), ("a", 2), ("a", 2), ("b", 1), ("b", None), ("c", 2), ("c", 1), ("d", 1)]
+    pages += [(k, i) for k, n in (("full", most), ("over", most + 1)) for i in range(1, n + 1)]
+    moves = [("a", 3, 1, 2), ("b", 2, 1, 2), ("c", 2, 2, 1), ("d", 1, 1, 2), ("full", most, 1, most), ("over", most + 1, 1, 2)]
+    moves = spark.createDataFrame(moves, "book string, n int, source int, target int")
+    out = m.reordered(spark.createDataFrame(pages, "book string, page int"), "book", "page", moves)
+    got = out.collect()
+    assert len(got) == len(pages) and {q.book for q in got if not q.refused} == {"c", "full"}
+    assert all(q.page == q.new_page for q in got if q.refused)
+    assert {q.page: q.new_page for q in got if q.book == "c"} == {1: 2, 2: 1}
+    assert {q.page: q.new_page for q in got if q.book == "full"} == {1: most} | {i: i - 1 for i in range(2, most + 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+
+
 def test_audit_suite(spark):
     pages = spark.createDataFrame([("the_gruffalo_1", "books/the_gruffalo"), ("ghost_5", "books/deleted"), ("p", None), ("q", "authors/x")], "id string, ref string")
     books = spark.createDataFrame([("the_gruffalo",)], "id string")

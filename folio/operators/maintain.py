@@ -1,4 +1,4 @@
-"""Table maintenance: every operator returns the new snapshot or a plan frame, and writes nothing.
+"""Table maintenance: every operator returns the new snapshot or a plan frame, and writes nothing but rows read twice to the shared folder.
 
 Writers apply a plan by replacing the snapshot, or with MERGE where the table format has it.
 """
@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.sources.shared import written
+
 PROTECTED = ("users", "edit_log", "extraction_errors", "collections")
 MOST_PAGES = 449
 
@@ -119,12 +121,17 @@ def rename_characters(
 
 def delete_plan(books: DataFrame, pages: DataFrame, characters: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFrame:
     """(collection, path) of all that goes with the given books (book): pages, characters, aliases found by
-    book or by character, files; each once."""
-    own = lambda df, coll: df.join(books, "book", "left_semi").select(F.lit(coll).alias("collection"), F.col("id").alias("path"))
-    people = characters.join(books, "book", "left_semi").select(F.col("id").alias("character"))
-    named = aliases.join(people, "character", "left_semi").select(F.lit("aliases").alias("collection"), F.col("id").alias("path"))
-    head = books.select(F.lit("books").alias("collection"), F.col("book").alias("path"))
-    parts = [head, own(pages, "pages"), own(characters, "characters"), own(aliases, "aliases"), named, own(files, "files")]
+    book or by character, files; each once.
+
+    The books, and their characters, are written first: by their size Spark sees where they can be broadcast, and then
+    the child tables, of which few rows go, are not shuffled."""
+    books = written(books.select("book").distinct(), "deleted-books")
+    own = lambda df: df.join(books, "book", "left_semi").select("id")
+    listed = lambda df, coll: df.select(F.lit(coll).alias("collection"), F.col("id").alias("path"))
+    people = written(own(characters), "deleted-characters")
+    named = aliases.join(people.select(F.col("id").alias("character")), "character", "left_semi").select("id")
+    parts = [listed(books.withColumnRenamed("book", "id"), "books"), listed(own(pages), "pages"), listed(people, "characters")]
+    parts += [listed(own(aliases), "aliases"), listed(named, "aliases"), listed(own(files), "files")]
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

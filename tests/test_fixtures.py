@@ -332,6 +332,21 @@ def test_reorder_sorts_the_pages_once(spark):
     assert plan.count("Join ") == 1 and "Aggregate" not in plan
 
 
+def test_delete_plan_shuffles_no_child_table_for_few_books(spark):
+    rows = lambda data, cols: spark.createDataFrame(data, cols)
+    books = rows([("a",), ("a",)], "book string")
+    pages = rows([("a1", "a"), ("b1", "b"), ("n", None)], "id string, book string")
+    people = rows([("ca", "a"), ("cb", "b")], "id string, book string")
+    aliases = rows([("by book", "a", "cb"), ("by character", "b", "ca"), ("both", "a", "ca"), ("kept", "b", "cb")], "id string, book string, character string")
+    files = rows([("fa", "a"), ("fa", "a"), ("fb", "b")], "id string, book string")
+    out = m.delete_plan(books, pages, people, aliases, files)
+    want = [("books", "a"), ("pages", "a1"), ("characters", "ca"), ("files", "fa")] + [("aliases", x) for x in ("by book", "by character", "both")]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    # by sizes that are known before the child tables are touched, not by what a shuffle of them has shown
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan
+
+
 def test_audit_suite(spark):
     pages = spark.createDataFrame([("the_gruffalo_1", "books/the_gruffalo"), ("ghost_5", "books/deleted"), ("p", None), ("q", "authors/x")], "id string, ref string")
     books = spark.createDataFrame([("the_gruffalo",)], "id string")

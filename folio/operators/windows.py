@@ -81,13 +81,13 @@ def split_at_covers(frames: DataFrame, session: str, order: str, cover: Column)
     return marked.withColumn("single", F.sum("_cut").over(Window.partitionBy(session)) == 0).drop("_cut")
 
 
-def preferred(df: DataFrame, key: str, preference: list[Column]) -> DataFrame:
+def preferred(df: DataFrame, key: str | list[str], preference: list[Column]) -> DataFrame:
     """One row a key, the first by preference."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*preference))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def first_wins(df: DataFrame, ident: str, order: list) -> DataFrame:
+def first_wins(df: DataFrame, ident: str | list[str], order: list) -> DataFrame:
     return preferred(df, ident, [F.col(o) if isinstance(o, str) else o for o in order])
 
 

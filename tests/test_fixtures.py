@@ -15,6 +15,7 @@ from folio.operators import joins as j
 from folio.operators import maintain as m
 from folio.operators import ordering as o
 from folio.operators import windows as w
+from folio.plans import QUERIES
 from folio.sources import tables as s
 from folio.sources.snapshots import Store
 
@@ -347,6 +348,21 @@ def test_delete_plan_shuffles_no_child_table_for_few_books(spark):
     assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan
 
 
+def test_import_works_books_out_once(spark, monkeypatch):
+    """Only the books are worked out from the sheet, and they take the flags from pages that are worked out already."""
+    read = {}
+    stage = Store.stage
+
+    def spy(self, tables, *rest):
+        read.update({name: " ".join(df.inputFiles()) for name, df in tables.items()})
+        return stage(self, tables, *rest)
+
+    monkeypatch.setattr(Store, "stage", spy)
+    QUERIES["m12_import"](spark, "/root/testdata/sf0.001")
+    assert len(read) == 7 and not [name for name, files in read.items() if "/part.parquet" in files]
+    assert {name for name, files in read.items() if "/lineitem.parquet" in files} == {"characters", "aliases"}
+
+
 def test_audit_suite(spark):
     pages = spark.createDataFrame([("the_gruffalo_1", "books/the_gruffalo"), ("ghost_5", "books/deleted"), ("p", None), ("q", "authors/x")], "id string, ref string")
     books = spark.createDataFrame([("the_gruffalo",)], "id string")

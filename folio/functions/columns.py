@@ -325,9 +325,10 @@ def stamped(df: DataFrame, user: str, now, is_new="is_new") -> DataFrame:
 def token_cost(df: DataFrame, prices: DataFrame, read_rate: float = 0.1, write_rate: float = 1.25) -> DataFrame:
     """cost_usd from token counts; prices (model, input, output in $ per million): one row a model.
 
-    Cache reads and writes are billed at a share of the input price; an unknown model costs 0.
+    Cache reads and writes are billed at a share of the input price; an unknown model costs 0.  The prices are broadcast: calls
+    are of a few models, so by model a few tasks would read them all.
     """
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     units = n("input_tokens") + n("cache_read") * read_rate + n("cache_write") * write_rate
     cost = (units * F.col("input") + n("output_tokens") * F.col("output")) / 1e6
-    return df.join(prices, "model", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(0.0))).drop("input", "output")
+    return df.join(F.broadcast(prices), "model", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(0.0))).drop("input", "output")

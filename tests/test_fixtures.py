@@ -348,6 +348,18 @@ def test_delete_plan_shuffles_no_child_table_for_few_books(spark):
     assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan
 
 
+def test_costs_do_not_gather_the_calls_of_a_model(spark):
+    calls = spark.createDataFrame([("a", 10, 4, None, None), ("a", 0, 1, 10, 8), ("x", 5, 5, 5, 5), (None, 1, 1, 1, 1)], "model string, input_tokens long, output_tokens long, cache_read long, cache_write long")
+    prices = spark.createDataFrame([("a", 2.0, 10.0), ("b", 1.0, 1.0)], "model string, input double, output double")
+    out = c.token_cost(calls, prices)
+    assert sorted(q.cost_usd for q in out.collect()) == pytest.approx([0.0, 0.0, 32e-6, 60e-6])
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    for name in ("n31_token_cost", "s5_cost_order", "g4_cost_report"):
+        text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(model" not in text, name
+
+
 def test_import_works_books_out_once(spark, monkeypatch):
     """Only the books are worked out from the sheet, and they take the flags from pages that are worked out already."""
     read = {}
